@@ -37,7 +37,9 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    sc._jvm.System.gc()  # shuffle files of dropped plans are deleted once the driver's garbage is collected
+    return out
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -24,16 +24,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (a long, b long) but the roots; root is the smallest node reachable.
 
-    The edges stay distributed; each round is checkpointed in the shared folder, and only a count and a checksum
-    come to the driver. Self-links and repeated links are allowed; no edges give no rows.
+    The edges stay distributed; each round is checkpointed in the shared folder, and only whether
+    the edges are stars already comes to the driver. Self-links and repeated links are allowed; no edges give no rows.
     """
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    before = mark(now)
-    while before[0]:
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    while True:
         now = cut(_small_star(_large_star(now)))
-        after = mark(now)
-        if after == before:
+        ends = now.select("a", F.lit(1).alias("one")).union(now.select("b", F.lit(0)).distinct())
+        # a forest of stars: each node once, as a leaf or as a root
+        if ends.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
             break
-        before = after
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
