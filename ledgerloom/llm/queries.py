@@ -7,7 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat_format import CONTROL, chat_digest, format_chats
 from .common import table
 from .pii import find_spans
+from .itq import near_vectors
 from .prob_minhash import near_duplicates
+from .quality import score_quality
+
+
+def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,13 +30,19 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(format_chats(turns.unionByName(more)))
 
 
+def op5_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def op10_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES = {
+    "op1_pu_quality": op1_pu_quality,
     "op2_pii": op2_pii,
     "op3_chat_format": op3_chat_format,
+    "op5_itq": op5_itq,
     "op10_prob_minhash": op10_prob_minhash,
 }
 ORACLES: dict[str, str] = {}
