@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -11,12 +12,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_ROOT = str(Path(__file__).resolve().parents[2])
 #: Rows and bytes of an Arrow batch that a Python worker holds at once.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches, whatever the length of the texts."""
+    """Bound the Arrow batches, whatever the length of the texts; let workers import this package wherever they run."""
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if _ROOT not in paths.split(":"):  # where the workers see the same folders; otherwise the package comes by --py-files
+        spark.sparkContext.environment["PYTHONPATH"] = f"{_ROOT}:{paths}".rstrip(":")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark

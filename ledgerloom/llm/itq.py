@@ -39,9 +39,8 @@ class ItqTables:
     def __init__(self, sample: np.ndarray, per_label: int, threshold: float = THRESHOLD, recall: float = RECALL):
         x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
         self.mean = x.mean(axis=0)
-        _, _, axes = np.linalg.svd(x - self.mean, full_matrices=True)
         self.width = min(64, x.shape[1])
-        self.axes = axes[: self.width].T
+        self.axes = np.linalg.eigh((x - self.mean).T @ (x - self.mean))[1][:, ::-1][:, : self.width]
         flip = math.acos(threshold) / math.pi
         self.k = max(1, min(self.width, max(8, round(math.log2(max(per_label, 1) / 16)))))
         need = max(1, math.ceil(math.log(1 - recall) / math.log(1 - (1 - flip) ** self.k)))
