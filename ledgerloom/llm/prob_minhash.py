@@ -7,8 +7,9 @@ in a register with the probability Jaccard similarity of their weights. An eleme
 later than all its document's registers (early termination).
 
 Equal word sequences are grouped first by a 128-bit digest, so only one representative of exact copies goes on.
-Bands of `ROWS` registers form buckets. In a bucket every member is compared with the smallest id only (a star, no
-pairs within the bucket); members that fail there form a new star among themselves, until none is left. A link holds
+Bands of `ROWS` registers form buckets. In a bucket every member is compared with the smallest id (a star, no pairs
+within the bucket); those that fail there are compared with each other, in blocks of bounded size that give a
+spanning forest of their links. A link holds
 if the Jaccard similarity of the sets of distinct shingles is at least `threshold`, counted exactly. Classes are the
 connected components of the links.
 
@@ -27,11 +28,14 @@ from pyspark.sql import functions as F
 
 from .common import batches, cut, flat_bytes, fresh, mix64, prepare, ragged, span_hashes, unit_interval, word_spans, written
 from .components import components
+from .vectors import blocked, group_starts, runs
 
 WORDS, THRESHOLD = 5, 0.8
 #: 25 bands of 5 registers: a pair at similarity 0.8 shares a band with probability 0.99995.
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
+#: Rows of a block of a bucket whose members must all be compared.
+BLOCK = 300
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SHARE = mix64(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -115,8 +119,8 @@ def _sets(incoming):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(small[cutting[i] : cutting[i + 1]]).tobytes() for i in range(b.num_rows)], pa.binary())], ["id", "grams"])
 
 
-def jaccard(a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Share of common values of two arrays of distinct values."""
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / max(1, len(x) + len(y) - both)
 
@@ -124,13 +128,39 @@ def jaccard(a: bytes, b: bytes) -> float:
 def _verify(threshold: float):
     def run(incoming):
         for b in batches(incoming):
-            lead, rep, x, y = (b.column(i).to_pylist() for i in range(4))
+            lead, rep = b.column(0).to_pylist(), b.column(1).to_pylist()
+            x, y = ([np.frombuffer(v, np.uint32) for v in b.column(i).to_pylist()] for i in (2, 3))
             good = [min(len(p), len(q)) >= threshold * max(len(p), len(q)) and jaccard(p, q) >= threshold for p, q in zip(x, y, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(lead, pa.int64()), pa.array(rep, pa.int64()), pa.array(good, pa.bool_())], ["lead", "rep", "good"])
 
     return run
 
 
+def _within(threshold: float):
+    """Links between the rows of each block, as a forest: pairs that are linked through others aren't compared."""
+
+    def run(incoming):
+        for t in runs(incoming, 3):
+            ids, mine, sets = t.column(4).to_pylist(), t.column(3).to_pylist(), [np.frombuffer(x, np.uint32) for x in t.column(5).to_pylist()]
+            lone = [i == j for i, j in zip(t.column(1).to_pylist(), t.column(2).to_pylist(), strict=True)]
+            starts = group_starts(t, 3).tolist()
+            found: list[tuple[int, int]] = []
+            for lo, hi in zip(starts, [*starts[1:], t.num_rows], strict=True):
+                root = list(range(lo, hi))
+                for i in range(lo, hi):
+                    for j in range(i + 1, hi):
+                        if root[i - lo] == root[j - lo] or not lone[i] and mine[i] == mine[j]:
+                            continue
+                        p, q = len(sets[i]), len(sets[j])
+                        if min(p, q) >= threshold * max(p, q) and jaccard(sets[i], sets[j]) >= threshold:
+                            found.append((ids[i], ids[j]))
+                            old, new = root[j - lo], root[i - lo]
+                            root = [new if r == old else r for r in root]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document: doc_id, class_id (smallest doc_id of its class), kept (doc_id = class_id)."""
     prepare(docs.sparkSession)
@@ -149,14 +179,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     wanted = left.select(F.col("rep").alias("doc_id")).distinct()
     grams = written(known.join(wanted, "doc_id").mapInArrow(_sets, "id long, grams binary").dropDuplicates(["id"]))
     links = linked.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    while not left.isEmpty():
-        pairs = left.where("rep <> lead").select("lead", "rep").distinct()
-        sides = pairs.join(grams.select(F.col("id").alias("rep"), F.col("grams").alias("y")), "rep").join(grams.select(F.col("id").alias("lead"), F.col("grams").alias("x")), "lead")
-        judged = cut(sides.select("lead", "rep", "x", "y").mapInArrow(_verify(threshold), "lead long, rep long, good boolean"))
-        links = links.union(judged.where("good").select(F.col("rep").alias("a"), F.col("lead").alias("b")))
-        rest = left.where("rep <> lead").join(judged.where("not good").select("lead", "rep"), ["lead", "rep"]).select("key", "rep")
-        leads = rest.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "lead")
-        left = cut(rest.join(leads, "key"))
+    by_rep, by_lead = (grams.select(F.col("id").alias(n), F.col("grams").alias(g)) for n, g in (("rep", "y"), ("lead", "x")))
+    pairs = left.where("rep <> lead").select("lead", "rep").distinct().join(by_rep, "rep").join(by_lead, "lead")
+    judged = cut(pairs.select("lead", "rep", "x", "y").mapInArrow(_verify(threshold), "lead long, rep long, good boolean"))
+    rest = left.join(judged.where("not good").select("lead", "rep"), ["lead", "rep"]).select("key", "rep")
+    order = ["key", "bi", "bj"]
+    held = blocked(rest, ["key"], "rep", BLOCK).join(by_rep, "rep").select(*order, "mine", "rep", "y")
+    within = held.repartition(*order).sortWithinPartitions(*order, "rep").mapInArrow(_within(threshold), "a long, b long")
+    links = links.union(judged.where("good").select("rep", "lead")).union(within)
     roots = components(links).select(F.col("node").alias("doc_id"), F.col("root"))
     out = texts.select("doc_id").join(roots, "doc_id", "left")
     return out.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), (F.coalesce("root", "doc_id").eqNullSafe(F.col("doc_id"))).alias("kept"))
