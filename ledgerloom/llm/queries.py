@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import CONTROL, chat_digest, format_chats
 from .common import table
+from .mixing import mixture
+from .packing import pack
 from .pii import find_spans
+from .gated_lm import score_texts
 from .itq import near_vectors
 from .prob_minhash import near_duplicates
 from .quality import score_quality
+from .srs import nearest
+from .unit_dedup import repeated_spans
 
 
 def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,10 +35,30 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(format_chats(turns.unionByName(more)))
 
 
+def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 def op5_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
+def op6_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_srs_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op8_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -42,7 +67,12 @@ QUERIES = {
     "op1_pu_quality": op1_pu_quality,
     "op2_pii": op2_pii,
     "op3_chat_format": op3_chat_format,
+    "op4_temperature_mixing": op4_temperature_mixing,
     "op5_itq": op5_itq,
+    "op6_bm25_packing": op6_bm25_packing,
+    "op7_srs_kdtree": op7_srs_kdtree,
+    "op8_unit_dedup": op8_unit_dedup,
+    "op9_gated_lm": op9_gated_lm,
     "op10_prob_minhash": op10_prob_minhash,
 }
 ORACLES: dict[str, str] = {}
