@@ -1,0 +1 @@
+"""Spark-native analytics over corpora of business documents."""
