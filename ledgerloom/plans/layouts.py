@@ -1 +1,83 @@
-"""Queries."""
+"""Queries on word boxes: lines, cells, spatial relations, keys and values, spans of values."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import lexicon as L
+from ..functions.text import count_contained
+from ..operators.layout import running_lines
+from ..registry import query
+from ..sources.tables import SQL_WORDS, Tables
+
+
+@query(f"""WITH {SQL_WORDS}, g AS (SELECT *, CASE WHEN y0 - lag(y0) OVER w > 5 THEN 1 ELSE 0 END AS new FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY y0, x0)), l AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY y0, x0) AS line FROM g)
+SELECT doc_id, CAST(line AS BIGINT) AS line, string_agg(word, ' ' ORDER BY x0) AS content, count(*) AS n FROM l GROUP BY doc_id, line""")
+def ocr_lines(spark, d):
+    w = W.partitionBy("doc_id").orderBy("y0", "x0")
+    g = Tables(spark, d).words.withColumn("new", F.when(F.col("y0") - F.lag("y0").over(w) > 5, 1).otherwise(0)).withColumn("line", F.sum("new").over(w))
+    rows = g.groupBy("doc_id", "line").agg(F.array_sort(F.collect_list(F.struct("x0", "word"))).alias("x"))
+    return rows.select("doc_id", "line", F.array_join("x.word", " ").alias("content"), F.size("x").cast("long").alias("n"))
+
+
+@query(f"""WITH {SQL_WORDS}, e AS (SELECT *, x0 + 8 * length(word) AS x1 FROM words), g AS (SELECT *, CASE WHEN x0 - lag(x1) OVER w > 16 OR lag(x1) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY doc_id, y0 ORDER BY x0))
+SELECT doc_id, y0, CAST(sum(new) AS BIGINT) AS cells FROM g GROUP BY doc_id, y0""")
+def ocr_cells(spark, d):
+    w = W.partitionBy("doc_id", "y0").orderBy("x0")
+    e = Tables(spark, d).words.withColumn("x1", F.col("x0") + 8 * F.length("word"))
+    gap = F.col("x0") - F.lag("x1").over(w)
+    return e.withColumn("new", F.when(gap.isNull() | (gap > 16), 1).otherwise(0)).groupBy("doc_id", "y0").agg(F.sum("new").alias("cells"))
+
+
+@query(f"""WITH {SQL_WORDS}, p AS (SELECT a.doc_id, abs(a.y0 - b.y0) / 600.0 AS dy, abs(a.x0 - b.x0) / 800.0 AS dx FROM words a JOIN words b ON a.doc_id = b.doc_id AND a.pos < b.pos WHERE a.pos < 30 AND b.pos < 30),
+r AS (SELECT doc_id, CASE WHEN dy <= 0.02 THEN CASE WHEN dx < 0.015 THEN 'same_column' ELSE 'right_of' END ELSE 'below' END AS relation FROM p) SELECT doc_id, relation, count(*) AS n FROM r GROUP BY doc_id, relation""")
+def spatial_edges(spark, d):
+    """Relations of word pairs of a page's head; pairs are built inside the page's array, nothing is shuffled twice."""
+    words = Tables(spark, d).words.where("pos < 30")
+    a, b = words.select("doc_id", "pos", "x0", "y0"), words.select("doc_id", F.col("pos").alias("p2"), F.col("x0").alias("x2"), F.col("y0").alias("y2"))
+    dy, dx = F.abs(F.col("y0") - F.col("y2")) / 600, F.abs(F.col("x0") - F.col("x2")) / 800
+    r = a.join(b, "doc_id").where("pos < p2").select("doc_id", F.when(dy <= 0.02, F.when(dx < 0.015, "same_column").otherwise("right_of")).otherwise("below").alias("relation"))
+    return r.groupBy("doc_id", "relation").agg(F.count(F.lit(1)).alias("n"))
+
+
+_KV = "[" + ", ".join(f"'{w}'" for w in L.KV_LABELS) + "]"
+
+
+@query(f"""WITH {SQL_WORDS}, s AS (SELECT *, lead(word, 1) OVER w AS w1, lead(x0, 1) OVER w AS a1, lead(y0, 1) OVER w AS b1 FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY y0, x0))
+SELECT doc_id, pos, lower(rtrim(word, ':,')) AS label, CASE WHEN b1 = y0 AND a1 > x0 AND (a1 - x0) / 800.0 < 0.5 THEN w1 END AS value FROM s WHERE len(list_filter({_KV}, lambda k: contains(lower(rtrim(word, ':,')), k))) > 0""")
+def kv_pairs(spark, d):
+    w = W.partitionBy("doc_id").orderBy("y0", "x0")
+    label = F.lower(F.rtrim("word", F.lit(":,")))
+    s = Tables(spark, d).words.withColumns({"w1": F.lead("word").over(w), "a1": F.lead("x0").over(w), "b1": F.lead("y0").over(w), "label": label})
+    near = (F.col("b1") == F.col("y0")) & (F.col("a1") > F.col("x0")) & ((F.col("a1") - F.col("x0")) / 800 < 0.5)
+    return s.where(count_contained(F.col("label"), L.KV_LABELS) > 0).select("doc_id", "pos", "label", F.when(near, F.col("w1")).alias("value"))
+
+
+@query(f"""WITH {SQL_WORDS}, v AS (SELECT doc_id, pos, word FROM words WHERE pos = doc_id % 20), m AS (SELECT w.doc_id, w.pos, w.x0, w.y0 FROM words w JOIN v ON v.doc_id = w.doc_id AND lower(v.word) = lower(w.word))
+SELECT doc_id, CAST(min(pos) AS INT) AS first_pos, min(x0) AS x0, min(y0) AS y0, max(x0) + 80 AS x1, max(y0) + 20 AS y1, count(*) AS n FROM m GROUP BY doc_id""")
+def value_to_span(spark, d):
+    """Words equal to a document's value, and the box around them."""
+    words = Tables(spark, d).words
+    v = words.where("pos = doc_id % 20").select("doc_id", F.lower("word").alias("value"))
+    m = words.withColumn("value", F.lower("word")).join(v, ["doc_id", "value"])
+    return m.groupBy("doc_id").agg(F.min("pos").alias("first_pos"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), (F.max("x0") + 80).alias("x1"), (F.max("y0") + 20).alias("y1"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {SQL_WORDS} SELECT doc_id, min(x0) AS x0, min(y0) AS y0, max(x0) + 80 AS x1, max(y0) + 20 AS y1, CAST(trunc(1000 * max(x0) / 800) AS INT) AS nx FROM words GROUP BY doc_id")
+def bbox_union(spark, d):
+    return Tables(spark, d).words.groupBy("doc_id").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), (F.max("x0") + 80).alias("x1"), (F.max("y0") + 20).alias("y1"), (1000 * F.max("x0") / 800).cast("int").alias("nx"))
+
+
+@query(f"WITH {SQL_WORDS}, v AS (SELECT doc_id, lower(word) AS v FROM words WHERE pos = 3) SELECT w.doc_id, round(avg(conf) + 1e-9, 4) AS confidence FROM words w JOIN v USING (doc_id) WHERE contains(v, lower(word)) OR contains(lower(word), v) GROUP BY w.doc_id")
+def confidence_source(spark, d):
+    """Mean confidence of the words that contain a value or that it contains."""
+    words = Tables(spark, d).words
+    v = words.where("pos = 3").select("doc_id", F.lower("word").alias("v"))
+    low = F.lower("word")
+    return words.join(v, "doc_id").where(F.contains("v", low) | F.contains(low, F.col("v"))).groupBy("doc_id").agg(F.round(F.avg("conf") + 1e-9, 4).alias("confidence"))
+
+
+@query()
+def ocr_running_lines(spark, d):
+    return running_lines(Tables(spark, d).words)

@@ -1 +1,48 @@
-"""Queries."""
+"""Queries on progress events: the batch twins with SQL, and runs of the streams themselves."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..registry import query
+from ..sources.tables import Tables
+from ..streaming import progress as P
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(sum(value), 4) AS elapsed FROM s GROUP BY user_id, k""")
+def progress_sessions(spark, d):
+    return P.sessions(Tables(spark, d).events).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", F.round("elapsed", 4).alias("elapsed"))
+
+
+@query("SELECT user_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, count(*) > 2 AS limited FROM events GROUP BY user_id, date_trunc('hour', ts)")
+def rate_limit_windows(spark, d):
+    return P.rate_windows(Tables(spark, d).events, 2, "1 hour").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", "limited")
+
+
+@query("""WITH r AS (SELECT *, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM events)
+SELECT user_id, count(*) AS failures, min(event_id) AS first_event FROM r WHERE event_type = 'error' GROUP BY user_id, run HAVING count(*) >= 5""")
+def breaker_states(spark, d):
+    return P.breaker_states(Tables(spark, d).events)
+
+
+@query("SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 25 SECOND AS idle FROM events")
+def idle_heartbeats(spark, d):
+    """Whether more than 25 seconds passed since a user's last message."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    gap = F.col("ts").cast("timestamp").cast("double") - F.lag(F.col("ts").cast("timestamp").cast("double")).over(w)
+    return Tables(spark, d).events.select("user_id", "event_id", F.lag("event_id").over(w).alias("previous"), (gap > 25).alias("idle"))
+
+
+@query()
+def stream_rate_windows(spark, d):
+    """The windows as a stream writes them: all but those that are still open at the end of the input."""
+    out = P.replayed(spark, f"{d}/events.parquet", lambda s: P.rate_windows(s, 2, "1 hour"))
+    return out.select("user_id", "start", "n", "limited")
+
+
+@query()
+def stream_breaker(spark, d):
+    return P.replayed(spark, f"{d}/events.parquet", P.breaker_stream)
