@@ -26,14 +26,14 @@ def breaker_states(spark, d):
     return P.breaker_states(Tables(spark, d).events)
 
 
-@query("SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 25 SECOND AS idle FROM events")
+@query("SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 25 SECOND, false) AS idle FROM events")
 def idle_heartbeats(spark, d):
     """Whether more than 25 seconds passed since a user's last message."""
     from pyspark.sql import Window as W
 
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
     gap = F.col("ts").cast("timestamp").cast("double") - F.lag(F.col("ts").cast("timestamp").cast("double")).over(w)
-    return Tables(spark, d).events.select("user_id", "event_id", F.lag("event_id").over(w).alias("previous"), (gap > 25).alias("idle"))
+    return Tables(spark, d).events.select("user_id", "event_id", F.lag("event_id").over(w).alias("previous"), F.coalesce(gap > 25, F.lit(False)).alias("idle"))
 
 
 @query()
