@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import entities as N
 from ..operators import rules as R
 from ..registry import query
 from ..sources.tables import SQL_INVOICES, SQL_ITEMS, Tables
@@ -192,3 +193,28 @@ def ensemble_vote(spark, d):
     v = Tables(spark, d).lineitem.select(F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("value"), model.alias("model"))
     c = v.groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("n"), F.min("model").alias("first"))
     return c.groupBy("doc_id").agg(F.max_by("value", F.struct("n", -F.col("first"))).alias("value"), F.round(F.max("n") / F.sum("n"), 4).alias("agreement"))
+
+
+def _asked_names(t: Tables):
+    k = F.col("s_suppkey") % 3
+    asked = F.when(k == 0, F.upper("s_name")).when(k == 1, F.concat("s_name", F.lit(" SARL"))).otherwise(F.concat(F.lit("Ste "), F.replace("s_name", F.lit("#"), F.lit(" "))))
+    return t.supplier.select(F.col("s_suppkey").alias("id"), asked.alias("name"))
+
+
+@query()
+def vendor_match_ratio(spark, d):
+    """Best vendor by sorted-token similarity behind a blocking join on words' first letters."""
+    t = Tables(spark, d)
+    return N.best_vendor(_asked_names(t), t.supplier.select(F.col("s_suppkey").alias("vendor_id"), F.col("s_name").alias("vendor")))
+
+
+@query()
+def supplier_edges(spark, d):
+    return N.likely_same(Tables(spark, d).nation.select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name")))
+
+
+@query()
+def supplier_entities(spark, d):
+    n = Tables(spark, d).nation.select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
+    twice = n.union(n.select(F.col("id") + 100, F.concat("name", F.lit(" LTD"))))
+    return N.entities(twice.select("id", N.normal_name(F.col("name")).alias("name")))
