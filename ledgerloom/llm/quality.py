@@ -146,13 +146,20 @@ def _features(incoming):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["positive", "x"])
 
 
+def drawn_by_hash(ids: DataFrame, most: int, seed: int) -> DataFrame:
+    """The `most` ids of least hash; a first cut by hash leaves about twice as many, so no task sorts more."""
+    share = min(1.0, 2 * most / max(1, ids.count()))
+    h = F.xxhash64(F.lit(seed), "doc_id")
+    return ids.where(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30)) + 1).orderBy(F.pmod(h, F.lit(1 << 30)), "doc_id").limit(most)
+
+
 def train(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> QualityModel:
     """Fit on hash-drawn rows outside the held-out fold; only their feature rows come to the driver."""
     prepare(docs.sparkSession)
     inside = lambda df: df.where("doc_id is not null").where(crc_fold(F.col("doc_id"), FOLDS) != HELD_OUT)
     ids = F.col("doc_id").cast("long").alias("doc_id")
-    good = inside(labels.where("quality = 1").select(ids)).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives)
-    some = inside(docs.select(ids)).orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(unlabelled)
+    good = drawn_by_hash(inside(labels.where("quality = 1").select(ids)).distinct(), positives, 0)
+    some = drawn_by_hash(inside(docs.select(ids)), unlabelled, 1)
     drawn = good.select("doc_id", F.lit(True).alias("positive")).union(some.select("doc_id", F.lit(False)))
     texts = docs.select(ids, F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id").select("positive", "text")
     got = texts.mapInArrow(_features, "positive boolean, x binary").toArrow()
