@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, prepare
+from .common import cut, fresh, prepare, written
 
 MAX_REPEATS, BLOCK, SECTIONS, ROUNDS, SEED = 1.5, 1_000_000, 32, 5, 17
 
@@ -86,7 +86,7 @@ def _block(place, blocks):
 def mixture(docs: DataFrame, *, max_repeats: float | None = MAX_REPEATS, target_entropy: float | None = None, budget: float | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """One row for each drawn copy: doc_id, source, tokens, epoch, block, place (the order within an epoch is block, place)."""
     prepare(docs.sparkSession)
-    rows = counted(docs, id_col, source_col, text_col)
+    rows = written(counted(docs, id_col, source_col, text_col))  # the texts are read once
     plan = weights(rows, max_repeats=max_repeats, target_entropy=target_entropy, budget=budget)
     plan = cut(plan.select(F.col("source").alias("s"), "whole", "rest", "blocks"))
     last = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("place", _place(F.col("whole")))
