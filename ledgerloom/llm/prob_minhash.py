@@ -8,8 +8,8 @@ later than all its document's registers (early termination).
 
 Equal word sequences are grouped first by a 128-bit digest, so only one representative of exact copies goes on.
 Bands of `ROWS` registers form buckets. In a bucket every member is compared with the smallest id (a star, no pairs
-within the bucket); those that fail there are compared with each other, in blocks of bounded size that give a
-spanning forest of their links. A link holds
+within the bucket); those that fail there are compared with all others of it, in blocks of bounded size that
+give a spanning forest of the links. A link holds
 if the Jaccard similarity of the sets of distinct shingles is at least `threshold`, counted exactly. Classes are the
 connected components of the links.
 
@@ -137,19 +137,23 @@ def _verify(threshold: float):
 
 
 def _within(threshold: float):
-    """Links between the rows of each block, as a forest: pairs that are linked through others aren't compared."""
+    """Links of the rows that failed with any row of their block, as a forest.
+
+    The others are linked through their leader from the start; pairs that are linked already aren't compared.
+    """
 
     def run(incoming):
         for t in runs(incoming, 3):
             ids, mine, sets = t.column(4).to_pylist(), t.column(3).to_pylist(), [np.frombuffer(x, np.uint32) for x in t.column(5).to_pylist()]
+            bad = t.column(6).to_pylist()
             lone = [i == j for i, j in zip(t.column(1).to_pylist(), t.column(2).to_pylist(), strict=True)]
             starts = group_starts(t, 3).tolist()
             found: list[tuple[int, int]] = []
             for lo, hi in zip(starts, [*starts[1:], t.num_rows], strict=True):
-                root = list(range(lo, hi))
+                root = [i if bad[i] else -1 for i in range(lo, hi)]
                 for i in range(lo, hi):
                     for j in range(i + 1, hi):
-                        if root[i - lo] == root[j - lo] or not lone[i] and mine[i] == mine[j]:
+                        if not (bad[i] or bad[j]) or root[i - lo] == root[j - lo] or not lone[i] and mine[i] == mine[j]:
                             continue
                         p, q = len(sets[i]), len(sets[j])
                         if min(p, q) >= threshold * max(p, q) and jaccard(sets[i], sets[j]) >= threshold:
@@ -182,9 +186,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     by_rep, by_lead = (grams.select(F.col("id").alias(n), F.col("grams").alias(g)) for n, g in (("rep", "y"), ("lead", "x")))
     pairs = left.where("rep <> lead").select("lead", "rep").distinct().join(by_rep, "rep").join(by_lead, "lead")
     judged = cut(pairs.select("lead", "rep", "x", "y").mapInArrow(_verify(threshold), "lead long, rep long, good boolean"))
-    rest = left.join(judged.where("not good").select("lead", "rep"), ["lead", "rep"]).select("key", "rep")
+    failed = left.join(judged.where("not good").select("lead", "rep"), ["lead", "rep"]).select("key", "rep", F.lit(True).alias("failed"))
+    rest = left.select("key", "rep").join(failed.select("key").distinct(), "key").join(failed, ["key", "rep"], "left")
     order = ["key", "bi", "bj"]
-    held = blocked(rest, ["key"], "rep", BLOCK).join(by_rep, "rep").select(*order, "mine", "rep", "y")
+    held = blocked(rest, ["key"], "rep", BLOCK).join(by_rep, "rep").select(*order, "mine", "rep", "y", F.coalesce("failed", F.lit(False)).alias("failed"))
     within = held.repartition(*order).sortWithinPartitions(*order, "rep").mapInArrow(_within(threshold), "a long, b long")
     links = links.union(judged.where("good").select("rep", "lead")).union(within)
     roots = components(links).select(F.col("node").alias("doc_id"), F.col("root"))
