@@ -6,8 +6,8 @@ frequent words are inputs of their own and fall, by frequency, into classes of `
 hidden state; the rest of the head falls into classes by ending, with shares by count inside. So a token's probability
 is P(class | state) * P(word | class, state), and the sum over all words and the unseen type is 1.
 
-The network is a GRU, trained by truncated backpropagation (windows of `STEPS` tokens, the state carried on) on every
-`SHARE`th training document, chosen by hash: each partition starts from the common weights and their token-weighted
+The network is a GRU, trained by truncated backpropagation (windows of `STEPS` tokens, the state carried on) on all
+training documents: each partition starts from the common weights and their token-weighted
 mean is the next start (averaging is done in a few tasks, not on the driver). Weights start at the class shares of all
 counts, so an untrained network scores like the counts. Scoring runs through every document from its first token to
 its end with one state, in windows, whatever its length.
@@ -28,7 +28,7 @@ from .common import batches, crc_fold, flat_bytes, prepare, ragged, span_hashes,
 FOLDS, HELD_OUT = 7, 2
 #: Words known to the network, words with inputs and outputs of their own, words of a class, classes by ending.
 HEAD, OWN, WIDTH, ENDINGS = 150_000, 1024, 32, 40
-HIDDEN, STEPS, SHARE, ROUNDS, SEED = 16, 24, 8, 3, 3
+HIDDEN, STEPS, ROUNDS, SEED = 16, 24, 3, 3
 #: Words that a task counts before it passes them on; tokens that are scored together.
 HOLD, TOGETHER = 400_000, 1_500_000
 END = "\n"
@@ -395,7 +395,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     order = sorted(range(len(words)), key=lambda i: (-c[i], words[i]))
     vocab = Vocabulary([words[i] for i in order], c[order], total, types)
     weights = Gru(vocab).flat()
-    taught = training.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(SHARE)) == 0).select("text")
+    taught = training.select("text")
     for _ in range(rounds if total else 0):
         mean = taught.mapInArrow(_trained(vocab, weights), "weights binary, tokens long").repartition(8).mapInArrow(_summed, "weights binary, tokens long").toArrow()
         if mean.num_rows:

@@ -301,6 +301,12 @@ class TestLm:
             assert np.isfinite(r.score) and r.score < 0
         assert gated_lm.score_texts(docs(spark, [])).count() == 0
 
+    def test_every_training_document_teaches_the_network(self, spark):
+        ids = spark.range(200).where("pmod(xxhash64(id, 3), 8) <> 0 and crc32(cast(cast(id as string) as binary)) % 7 <> 2").limit(20)
+        d = ids.select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab cd ef gh "), 60).alias("text"))
+        told, taught = ({r.doc_id: r.score for r in gated_lm.score_texts(d, rounds=n).collect()} for n in (0, gated_lm.ROUNDS))
+        assert len(told) == 20 and all(taught[k] > told[k] + 1 for k in told)
+
     def test_probabilities_sum_to_one(self):
         words = ["\n"] + [f"w{i}" for i in range(1300)]
         vocab = gated_lm.Vocabulary(words, np.arange(1301, 0, -1) + 3, 900_000, 2000)
