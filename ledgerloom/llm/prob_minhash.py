@@ -6,6 +6,9 @@ by d alone; each point falls into one of `REGISTERS` registers, which keep their
 in a register with the probability Jaccard similarity of their weights. An element stops as soon as its next point is
 later than all its document's registers (early termination).
 
+A link is about sets, so a document in which a shingle repeats has a second signature with all weights 1; where none
+does, both are the same. The bands of both are keys of one kind, so each pair can meet by its sets.
+
 Equal word sequences are grouped first by a 128-bit digest, so only one representative of exact copies goes on.
 Bands of `ROWS` registers form buckets. In a bucket every member is compared with the smallest id (a star, no pairs
 within the bucket); those that fail there are compared with all others of it, in blocks of bounded size that
@@ -31,7 +34,7 @@ from .components import components
 from .vectors import blocked, group_starts, runs
 
 WORDS, THRESHOLD = 5, 0.8
-#: 25 bands of 5 registers: a pair at similarity 0.8 shares a band with probability 0.99995.
+#: 25 bands of 5 registers: a pair whose sets have similarity 0.8 shares a band of sets with probability 0.99995.
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 #: Rows of a block of a bucket whose members must all be compared.
@@ -95,20 +98,31 @@ def _words(texts) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(data, start, end), before
 
 
+def _band_keys(sig: np.ndarray) -> np.ndarray:
+    keys = np.zeros((len(sig), BANDS), np.uint64)
+    for k in range(ROWS):
+        keys = mix64(keys + sig[:, k::ROWS] + np.array([k + 1], np.uint64) * _GOLD)
+    return mix64(keys ^ mix64(np.arange(1, BANDS + 1, dtype=np.uint64))[None, :])
+
+
 def _sign(incoming):
     for b in batches(incoming):
         hashes, before = _words(b.column(1))
         d1, d2 = _digests(hashes, before)
         doc, element, weight = shingles(hashes, before)
-        sig = prob_minhash(doc, element, weight, b.num_rows)
-        keys = np.zeros((b.num_rows, BANDS), np.uint64)
-        for k in range(ROWS):
-            keys = mix64(keys + sig[:, k::ROWS] + np.array([k + 1], np.uint64) * _GOLD)
-        keys = mix64(keys ^ mix64(np.arange(1, BANDS + 1, dtype=np.uint64))[None, :])
+        keys = _band_keys(prob_minhash(doc, element, weight, b.num_rows))
+        again = np.unique(doc[weight > 1])
+        mine = np.flatnonzero(np.isin(doc, again))
+        sets = _band_keys(prob_minhash(np.searchsorted(again, doc[mine]), element[mine], np.ones(len(mine)), len(again)))
+        size = np.full(b.num_rows, BANDS)
+        size[again] += BANDS
+        ends = np.concatenate(([0], np.cumsum(size)))
+        flat = np.empty(ends[-1], np.uint64)
+        flat[ragged(ends[:-1], np.full(b.num_rows, BANDS))] = keys.ravel()
+        flat[ragged(ends[again] + BANDS, np.full(len(again), BANDS))] = sets.ravel()
         some = np.diff(before) > 0
-        flat = pa.array(keys.astype(np.int64).ravel())
-        offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * BANDS)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(some), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "d1", "d2", "some", "bands"])
+        bands = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(some), bands], ["doc_id", "d1", "d2", "some", "bands"])
 
 
 def _sets(incoming):

@@ -387,3 +387,8 @@ class TestMinhash:
         got = {r.doc_id: r.class_id for r in rows}
         assert len(rows) == 18 and got[0] == 0 and got[9] == 9 and got[4] == 4 and got[13] == 13 and {got[i] for i in (2, 3, 11, 12)} == {2} and got[16] == 7
         assert prob_minhash.near_duplicates(docs(spark, [])).count() == 0
+
+    def test_pairs_of_equal_sets_meet_whatever_their_counts(self, spark):
+        texts = [" ".join([sentences(i, 304), *[sentences(1000 + i, 10)] * n]) for i in range(12) for n in (100, 5)]
+        got = {r.doc_id: r.class_id for r in prob_minhash.near_duplicates(docs(spark, texts)).collect()}
+        assert got == {i: i - i % 2 for i in range(24)}
