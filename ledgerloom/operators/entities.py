@@ -1,7 +1,9 @@
-"""Supplier names: normal form, sorted-token similarity, best match behind a blocking join, entities by components."""
+"""Supplier names: normal form, sorted-token similarity, best match behind a lossless filter, entities by components."""
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -38,24 +40,50 @@ def indel_ratio(a: str, b: str) -> float:
     return 2.0 * row[-1] / (len(a) + len(b))
 
 
+def sorted_words(s: str) -> str:
+    return " ".join(sorted(s.lower().split()))
+
+
 @F.pandas_udf(DoubleType())
 def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """indel_ratio of the small-letter words of each text in sorted order; null where a text is null."""
-    ready = lambda s: None if s is None else " ".join(sorted(s.lower().split()))
-    return pd.Series([None if x is None or y is None else indel_ratio(ready(x), ready(y)) for x, y in zip(a, b, strict=True)])
+    return pd.Series([None if x is None or y is None else indel_ratio(sorted_words(x), sorted_words(y)) for x, y in zip(a, b, strict=True)])
+
+
+#: Frequent characters of names, the most frequent last; all others come before them.
+FREQUENT = "0fbghpmudclsotrnaie "
+
+
+def rare_characters(name: str, least: float) -> list[str]:
+    """The characters by which a name must meet every name of similarity `least`: numbered by occurrence, rarest first.
+
+    The ratio is at most twice the common characters (with repeats) over both lengths, so a name of n characters shares at
+    least n * least / (2 - least) with any such name; leaving out fewer than that many from the end loses no pair.
+    """
+    text, seen = sorted_words(name), {}
+    if not text:
+        return [""]
+    for c in text:
+        seen[c] = seen.get(c, 0) + 1
+    every = sorted(((-k, FREQUENT.find(c), c) for c, n in seen.items() for k in range(n)))
+    must = max(1, math.ceil(len(text) * least / (2 - least) - 1e-9))
+    return [f"{c}{-k}" for k, _, c in every[: len(text) - must + 1]]
 
 
-def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (id, name) x (vendor_id, vendor) that share a word or its first three letters; no cross join."""
-    keys = lambda c: F.explode(F.array_distinct(F.transform(name_words(c), lambda w: F.left(w, F.lit(3)))))
-    a = left.select("id", "name", keys(F.col("name")).alias("k"))
-    b = right.select("vendor_id", "vendor", keys(F.col("vendor")).alias("k"))
-    return a.join(b, "k").drop("k").distinct()
+def candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """Pairs (id, name) x (vendor_id, vendor), every pair of similarity `least` or more among them; no cross join."""
+    keys = F.pandas_udf(lambda s: pd.Series([None if x is None else rare_characters(x, least) for x in s]), "array<string>")
+    size = F.pandas_udf(lambda s: pd.Series([None if x is None else len(sorted_words(x)) for x in s], dtype="Int64"), "long")
+    a = left.select("id", "name", keys("name").alias("p"), size("name").alias("n")).withColumn("k", F.explode("p"))
+    b = right.select("vendor_id", "vendor", keys("vendor").alias("q"), size("vendor").alias("m")).withColumn("k", F.explode("q"))
+    near = 2 * F.least("n", "m") >= (least - 1e-9) * (F.col("n") + F.col("m"))
+    met = a.join(b, "k").where(near & (F.get(F.array_intersect("p", "q"), F.lit(0)) == F.col("k")))
+    return met.select("id", "name", "vendor_id", "vendor")
 
 
 def best_vendor(left: DataFrame, right: DataFrame, least: float = MATCH) -> DataFrame:
     """For each (id, name) the most similar (vendor_id, vendor) of at least `least`; ties go to the smaller vendor_id."""
-    scored = candidates(left, right).withColumn("score", token_sort_ratio("name", "vendor"))
+    scored = candidates(left, right, least).withColumn("score", token_sort_ratio("name", "vendor"))
     rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "vendor_id"))
     return scored.withColumn("k", rank).where((F.col("k") == 1) & (F.col("score") >= least)).select("id", "vendor_id", F.round("score", 3).alias("score"))
 
@@ -63,7 +91,7 @@ def best_vendor(left: DataFrame, right: DataFrame, least: float = MATCH) -> Data
 def likely_same(names: DataFrame, least: float = EDGE) -> DataFrame:
     """Pairs of (id, name) of similarity `least` or more, smaller id first; confidence is 1.2 times the score, at most 1."""
     other = names.select(F.col("id").alias("vendor_id"), F.col("name").alias("vendor"))
-    pairs = candidates(names, other).where("id < vendor_id").withColumn("score", token_sort_ratio("name", "vendor")).where(F.col("score") >= least)
+    pairs = candidates(names, other, least).where("id < vendor_id").withColumn("score", token_sort_ratio("name", "vendor")).where(F.col("score") >= least)
     return pairs.select("id", F.col("vendor_id").alias("other"), F.round("score", 3).alias("score"), F.round(F.least(F.lit(1.0), 1.2 * F.col("score")), 3).alias("confidence"))
 
 

@@ -203,7 +203,7 @@ def _asked_names(t: Tables):
 
 @query()
 def vendor_match_ratio(spark, d):
-    """Best vendor by sorted-token similarity behind a blocking join on words' first letters."""
+    """Best vendor by sorted-token similarity behind a filter that loses no pair."""
     t = Tables(spark, d)
     return N.best_vendor(_asked_names(t), t.supplier.select(F.col("s_suppkey").alias("vendor_id"), F.col("s_name").alias("vendor")))
 

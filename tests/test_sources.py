@@ -1,6 +1,7 @@
 """Files, names and providers on small inputs."""
 
 import json
+import random
 
 import pytest
 
@@ -42,6 +43,20 @@ def test_names(spark):
     assert {r.id: r.entity for r in E.entities(names).collect()} == {1: 1, 2: 1, 3: 1, 9: 9}
 
 
+@pytest.mark.parametrize("least", [0.6, 0.8])
+def test_no_similar_pair_is_lost(spark, least):
+    r = random.Random(7)
+    names = ["Bosch", "Dosch", "Acmecorporation", "Bcmecorporation", "SA", "sa Ltd", "the co", "", "  ", "x", "y"]
+    names += ["".join(r.choice("abcde ") for _ in range(r.randint(1, 14))) for _ in range(90)]
+    d = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    got = {(p.id, p.other) for p in E.likely_same(d, least).collect()}
+    ready = [" ".join(sorted(n.lower().split())) for n in names]
+    assert got == {(i, j) for j in range(len(names)) for i in range(j) if E.indel_ratio(ready[i], ready[j]) >= least}
+    best = {(b.id, b.vendor_id) for b in E.best_vendor(d.where("id % 2 = 0"), d.where("id % 2 = 1").withColumnsRenamed({"id": "vendor_id", "name": "vendor"}), least).collect()}
+    scores = {i: max((E.indel_ratio(ready[i], ready[j]), -j) for j in range(1, len(names), 2)) for i in range(0, len(names), 2)}
+    assert best == {(i, -j) for i, (score, j) in scores.items() if score >= least}
+
+
 def test_providers(spark):
     rows = spark.createDataFrame([(1, "p"), (2, "p"), (3, None)], "id int, prompt string")
     got = {r.id: r.answer for r in generated(rows, StandIn()).collect()}
