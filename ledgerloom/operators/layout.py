@@ -9,11 +9,11 @@ Y_TOLERANCE = 12
 
 
 def running_lines(words: DataFrame, tolerance: float = Y_TOLERANCE) -> DataFrame:
-    """doc_id, line, y, n: a word joins the line while |y - ref| <= tolerance; ref becomes the mean of ref and y.
+    """doc_id, page, line, y, n: a word joins the line while |y - ref| <= tolerance; ref becomes the mean of ref and y.
 
     The recurrence is a fold over the page's sorted words, so it stays in the JVM and groups are single pages.
     """
-    page = words.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("y0").cast("double").alias("y"), "x0"))).alias("ws"))
+    page = words.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct(F.col("y0").cast("double").alias("y"), "x0"))).alias("ws"))
     start = F.array().cast("array<struct<ref:double,n:int>>")
 
     def step(lines, w):
@@ -22,4 +22,4 @@ def running_lines(words: DataFrame, tolerance: float = Y_TOLERANCE) -> DataFrame
         grown = F.concat(F.slice(lines, F.lit(1), F.size(lines) - 1), F.array(F.struct(((last["ref"] + w["y"]) / 2).alias("ref"), (last["n"] + 1).alias("n"))))
         return F.when(joins, grown).otherwise(F.concat(lines, F.array(F.struct(w["y"].alias("ref"), F.lit(1).alias("n")))))
 
-    return page.select("doc_id", F.posexplode(F.aggregate("ws", start, step)).alias("line", "l")).select("doc_id", "line", F.col("l.ref").alias("y"), F.col("l.n").alias("n"))
+    return page.select("doc_id", "page", F.posexplode(F.aggregate("ws", start, step)).alias("line", "l")).select("doc_id", "page", "line", F.col("l.ref").alias("y"), F.col("l.n").alias("n"))

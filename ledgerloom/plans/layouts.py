@@ -80,4 +80,4 @@ def confidence_source(spark, d):
 
 @query()
 def ocr_running_lines(spark, d):
-    return running_lines(Tables(spark, d).words)
+    return running_lines(Tables(spark, d).page_words)

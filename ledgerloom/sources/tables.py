@@ -80,6 +80,14 @@ class Tables:
         return self.documents.select("doc_id", F.posexplode(page).alias("pos", "word")).select(
             "doc_id", "pos", "word", (pos % 10 * 80).cast("long").alias("x0"), (F.floor(pos / 10) * 20).cast("long").alias("y0"), ((pos * 37 % 100) / F.lit(100.0)).alias("conf"))
 
+    @property
+    def page_words(self) -> DataFrame:
+        """All words of each text on pages of 200, with boxes as of `words`: doc_id, page, pos, word, x0, y0, conf."""
+        every = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
+        pos = F.col("at") % 200
+        return self.documents.select("doc_id", F.posexplode(every).alias("at", "word")).select(
+            "doc_id", F.floor(F.col("at") / 200).alias("page"), pos.alias("pos"), "word", (pos % 10 * 80).cast("long").alias("x0"), (F.floor(pos / 10) * 20).cast("long").alias("y0"), ((pos * 37 % 100) / F.lit(100.0)).alias("conf"))
+
     @property
     def numbers(self) -> DataFrame:
         k = F.col("p_partkey")

@@ -57,6 +57,15 @@ def test_no_similar_pair_is_lost(spark, least):
     assert best == {(i, -j) for i, (score, j) in scores.items() if score >= least}
 
 
+def test_running_lines_hold_all_words_of_a_long_text(spark, tmp_path):
+    from ledgerloom.plans.layouts import ocr_running_lines
+
+    texts = [(1, " ".join(f"w{i}" for i in range(450))), (2, "a\nb c"), (3, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.doc_id, r.page, r.line, r.y, r.n) for r in ocr_running_lines(spark, str(tmp_path)).collect())
+    assert got == [(1, i // 20, i % 20, 20.0 * (i % 20), 10) for i in range(45)] + [(2, 0, 0, 0.0, 3)]
+
+
 def test_providers(spark):
     rows = spark.createDataFrame([(1, "p"), (2, "p"), (3, None)], "id int, prompt string")
     got = {r.id: r.answer for r in generated(rows, StandIn()).collect()}
