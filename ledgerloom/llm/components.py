@@ -27,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
     The edges stay distributed; each round is checkpointed in the shared folder, and only whether
     the edges are stars already comes to the driver. Self-links and repeated links are allowed; no edges give no rows.
     """
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    # a round reads its input many times: cut what the caller hands over, so that nothing behind it runs again
+    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
         now = cut(_small_star(_large_star(now)))
         ends = now.select("a", F.lit(1).alias("one")).union(now.select("b", F.lit(0)).distinct())

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, prepare
 from .components import components
-from .vectors import blocked, group_starts, pairs_in, rows_of, runs, usable
+from .vectors import blocked, forest, group_starts, pairs_in, rows_of, runs, usable
 
 #: Rows of the fit (most), rows of a block, and the share of pairs at the threshold that a table set must find.
 SAMPLE, BLOCK, RECALL = 20_000, 2_000, 0.998
@@ -118,19 +118,6 @@ def _having(model: ItqTables):
     return run
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For each of n rows the smallest id it is linked with, over any number of links i-j."""
-    low = ids.copy()
-    while len(i):
-        m = np.minimum(low[i], low[j])
-        before = low.copy()
-        np.minimum.at(low, i, m)
-        np.minimum.at(low, j, m)
-        if (before == low).all():
-            break
-    return low
-
-
 def _compared(model: ItqTables, threshold: float):
     """For each row of a block: links counted here with the copies behind them, and the smallest id linked."""
 

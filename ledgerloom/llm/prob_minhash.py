@@ -11,10 +11,13 @@ does, both are the same. The bands of both are keys of one kind, so each pair ca
 
 Equal word sequences are grouped first by a 128-bit digest, so only one representative of exact copies goes on.
 Bands of `ROWS` registers form buckets. In a bucket every member is compared with the smallest id (a star, no pairs
-within the bucket); those that fail there are compared with all others of it, in blocks of bounded size that
-give a spanning forest of the links. A link holds
-if the Jaccard similarity of the sets of distinct shingles is at least `threshold`, counted exactly. Classes are the
-connected components of the links.
+within the bucket); only those that fail there are compared with all members of it, in blocks of bounded size that
+give a spanning forest of the links. A link holds if the Jaccard similarity of the sets of distinct shingles is at
+least `threshold`; shingles are told apart by 32 bits there, which errs by about n / 2**32 for sets of n shingles.
+Classes are the connected components of the links.
+
+Hot keys: at most `HOT` digests can hold more than a `HOT`-th of all rows each, so these few are broadcast and no other
+key of the copies' join is larger than that; leaders of many pairs are salted.
 
 Defined cases: a null or empty text (no words) is a class of its own; rows of equal doc_id are one document and share
 its class (the smallest of their digests' classes); a null doc_id gives class null; an empty table gives no rows; other
@@ -31,14 +34,16 @@ from pyspark.sql import functions as F
 
 from .common import batches, cut, flat_bytes, fresh, mix64, prepare, ragged, span_hashes, unit_interval, word_spans, written
 from .components import components
-from .vectors import blocked, group_starts, runs
+from .vectors import forest, group_starts, runs
 
 WORDS, THRESHOLD = 5, 0.8
 #: 25 bands of 5 registers: a pair whose sets have similarity 0.8 shares a band of sets with probability 0.99995.
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-#: Rows of a block of a bucket whose members must all be compared.
-BLOCK = 300
+#: Rows of a block of a bucket whose members must be compared, and pairs of a leader that one task takes.
+BLOCK, STAR = 300, 10_000
+#: Digests that more than a HOT-th of all rows share are broadcast; there can't be more than HOT of them.
+HOT = 1000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SHARE = mix64(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -151,61 +156,90 @@ def _verify(threshold: float):
 
 
 def _within(threshold: float):
-    """Links of the rows that failed with any row of their block, as a forest.
+    """Links of the rows that failed with the members of their bucket: (id, least id it is linked with in the block).
 
-    The others are linked through their leader from the start; pairs that are linked already aren't compared.
+    Rows (key, fi, ai, failed, id, grams): block fi of the failed rows meets block ai of all members.
     """
 
     def run(incoming):
         for t in runs(incoming, 3):
-            ids, mine, sets = t.column(4).to_pylist(), t.column(3).to_pylist(), [np.frombuffer(x, np.uint32) for x in t.column(5).to_pylist()]
-            bad = t.column(6).to_pylist()
-            lone = [i == j for i, j in zip(t.column(1).to_pylist(), t.column(2).to_pylist(), strict=True)]
             starts = group_starts(t, 3).tolist()
-            found: list[tuple[int, int]] = []
             for lo, hi in zip(starts, [*starts[1:], t.num_rows], strict=True):
-                root = [i if bad[i] else -1 for i in range(lo, hi)]
-                for i in range(lo, hi):
-                    for j in range(i + 1, hi):
-                        if not (bad[i] or bad[j]) or root[i - lo] == root[j - lo] or not lone[i] and mine[i] == mine[j]:
-                            continue
-                        p, q = len(sets[i]), len(sets[j])
-                        if min(p, q) >= threshold * max(p, q) and jaccard(sets[i], sets[j]) >= threshold:
-                            found.append((ids[i], ids[j]))
-                            old, new = root[j - lo], root[i - lo]
-                            root = [new if r == old else r for r in root]
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+                bad, ids = t.column(3)[lo:hi].to_numpy(), t.column(4)[lo:hi].to_numpy()
+                sets = [np.frombuffer(x, np.uint32) for x in t.column(5)[lo:hi].to_pylist()]
+                size = np.array([len(x) for x in sets])
+                every, which = np.unique(np.concatenate(sets), return_inverse=True)
+                ends = np.concatenate(([0], np.cumsum(size)))
+                ii, jj = [], []
+                for i in np.flatnonzero(bad).tolist():
+                    mark = np.zeros(len(every), bool)
+                    mark[which[ends[i] : ends[i + 1]]] = True
+                    both = np.add.reduceat(mark[which], ends[:-1], dtype=np.int64)
+                    j = np.flatnonzero((both >= threshold * (size + size[i] - both)) & (ids != ids[i]))
+                    ii.append(np.full(len(j), i))
+                    jj.append(j)
+                i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ii, jj))
+                low = forest(hi - lo, i, j, ids)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[low != ids]), pa.array(low[low != ids])], ["a", "b"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def _meetings(members: DataFrame, block: int) -> DataFrame:
+    """For (key, rep, failed): the rows of all blocks in which failed rows meet members; a key's f failed and n other
+    rows take about f * n / block copies, and keys without failures none."""
+    per = F.ceil(F.count(F.lit(1)) / block).cast("int").alias("all_blocks"), F.ceil(F.count(F.when(F.col("failed"), 1)) / block).cast("int").alias("bad_blocks")
+    met = members.join(members.groupBy("key").agg(*per).where("bad_blocks > 0"), "key")
+    mine = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asks = met.where("failed").select("key", mine("bad_blocks").alias("fi"), spread("all_blocks").alias("ai"), F.lit(True).alias("failed"), "rep")
+    told = met.select("key", spread("bad_blocks").alias("fi"), mine("all_blocks").alias("ai"), F.lit(False).alias("failed"), "rep")
+    return asks.union(told)
+
+
+def _copies(signed: DataFrame) -> DataFrame:
+    """(doc_id, rep) of the documents whose word sequence a smaller id has."""
+    copies = cut(signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    most = signed.count() // HOT
+    hot = copies.where(F.col("n") > most).select("d1", "d2", F.col("rep").alias("hot"))
+    met = signed.select("doc_id", "d1", "d2").join(F.broadcast(hot), ["d1", "d2"], "left")
+    cold = met.where("hot is null").join(copies.where(F.col("n") <= most).select("d1", "d2", "rep"), ["d1", "d2"]).select("doc_id", "rep")
+    return met.where("hot is not null").select("doc_id", F.col("hot").alias("rep")).union(cold).where("doc_id <> rep")
+
+
+def _with_leads(pairs: DataFrame, sets: DataFrame, star: int) -> DataFrame:
+    """`pairs` (lead, rep, y) with the leader's set x; a leader of many pairs is dealt to several tasks."""
+    many = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / star).cast("int").alias("salts")).where("salts > 1")
+    salts = F.coalesce("salts", F.lit(1))
+    by_lead = sets.select(F.col("id").alias("lead"), F.col("grams").alias("x")).join(many, "lead", "left")
+    by_lead = by_lead.select("lead", "x", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    dealt = pairs.join(many, "lead", "left").select("lead", "rep", F.pmod(F.xxhash64("rep"), salts).cast("int").alias("salt"))
+    held = dealt.join(sets.select(F.col("id").alias("rep"), F.col("grams").alias("y")), "rep")
+    return held.join(by_lead, ["lead", "salt"]).select("lead", "rep", "x", "y")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block: int = BLOCK, star: int = STAR) -> DataFrame:
     """One row for each document: doc_id, class_id (smallest doc_id of its class), kept (doc_id = class_id)."""
     prepare(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = texts.where("doc_id is not null")
-    signed = written(known.mapInArrow(_sign, "doc_id long, d1 long, d2 long, some boolean, bands array<long>"))
-    copies = signed.where("some").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    doubled = copies.where("n > 1").select("d1", "d2", "rep")
-    # only digests that occur more than once meet the documents again
-    linked = signed.where("some").join(doubled, ["d1", "d2"]).where("doc_id <> rep").select("doc_id", "rep")
-    members = cut(linked.groupBy("doc_id").agg(F.min("rep").alias("rep")))
-    alone = signed.where("some").join(members.select("doc_id"), "doc_id", "left_anti")
+    signed = written(known.mapInArrow(_sign, "doc_id long, d1 long, d2 long, some boolean, bands array<long>")).where("some")
+    members = cut(_copies(signed).groupBy("doc_id").agg(F.min("rep").alias("rep")))
+    alone = signed.join(members.select("doc_id"), "doc_id", "left_anti")
     keyed = alone.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key")).distinct()
     leads = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "lead")
     left = cut(keyed.join(leads, "key"))
     wanted = left.select(F.col("rep").alias("doc_id")).distinct()
     grams = written(known.join(wanted, "doc_id").mapInArrow(_sets, "id long, grams binary").dropDuplicates(["id"]))
-    links = linked.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    by_rep, by_lead = (grams.select(F.col("id").alias(n), F.col("grams").alias(g)) for n, g in (("rep", "y"), ("lead", "x")))
-    pairs = left.where("rep <> lead").select("lead", "rep").distinct().join(by_rep, "rep").join(by_lead, "lead")
-    judged = cut(pairs.select("lead", "rep", "x", "y").mapInArrow(_verify(threshold), "lead long, rep long, good boolean"))
+    pairs = cut(left.where("rep <> lead").select("lead", "rep").distinct())
+    judged = cut(_with_leads(pairs, grams, star).mapInArrow(_verify(threshold), "lead long, rep long, good boolean"))
     failed = left.join(judged.where("not good").select("lead", "rep"), ["lead", "rep"]).select("key", "rep", F.lit(True).alias("failed"))
     rest = left.select("key", "rep").join(failed.select("key").distinct(), "key").join(failed, ["key", "rep"], "left")
-    order = ["key", "bi", "bj"]
-    held = blocked(rest, ["key"], "rep", BLOCK).join(by_rep, "rep").select(*order, "mine", "rep", "y", F.coalesce("failed", F.lit(False)).alias("failed"))
+    rest = cut(rest.select("key", "rep", F.coalesce("failed", F.lit(False)).alias("failed")))
+    order = ["key", "fi", "ai"]
+    held = _meetings(rest, block).join(grams.withColumnRenamed("id", "rep"), "rep").select(*order, "failed", "rep", "grams")
     within = held.repartition(*order).sortWithinPartitions(*order, "rep").mapInArrow(_within(threshold), "a long, b long")
-    links = links.union(judged.where("good").select("rep", "lead")).union(within)
+    links = members.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).union(judged.where("good").select("rep", "lead")).union(within)
     roots = components(links).select(F.col("node").alias("doc_id"), F.col("root"))
     out = texts.select("doc_id").join(roots, "doc_id", "left")
     return out.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), (F.coalesce("root", "doc_id").eqNullSafe(F.col("doc_id"))).alias("kept"))

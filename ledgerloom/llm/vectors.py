@@ -84,3 +84,16 @@ def pairs_in(starts: np.ndarray, total: int, at_once: int = 1 << 20):
         if len(i):
             yield i, j
         a = b
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each of n rows the smallest id it is linked with, over any number of links i-j."""
+    low = ids.copy()
+    while len(i):
+        m = np.minimum(low[i], low[j])
+        before = low.copy()
+        np.minimum.at(low, i, m)
+        np.minimum.at(low, j, m)
+        if (before == low).all():
+            break
+    return low

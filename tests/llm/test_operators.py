@@ -379,6 +379,8 @@ class TestMinhash:
         d = docs(spark, texts)
         got = {r.doc_id: r.class_id for r in prob_minhash.near_duplicates(d).collect()}
         assert got == {i: find(i) for i in range(len(texts))}
+        split = {r.doc_id: r.class_id for r in prob_minhash.near_duplicates(d, block=3, star=2).collect()}  # blocks and stars split
+        assert split == got
         kept = prob_minhash.deduplicate(d)
         assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i in range(len(texts)) if find(i) == i}
 
@@ -388,6 +390,22 @@ class TestMinhash:
         assert len(rows) == 18 and got[0] == 0 and got[9] == 9 and got[4] == 4 and got[13] == 13 and {got[i] for i in (2, 3, 11, 12)} == {2} and got[16] == 7
         assert prob_minhash.near_duplicates(docs(spark, [])).count() == 0
 
+    def test_failed_rows_meet_all_members_of_their_bucket(self, spark):
+        base = [f"w{i}" for i in range(400)]
+        texts = [" ".join(base[: 400 - 3 * i]) for i in range(60)]  # far ends of the chain fail with the leader
+        members = spark.createDataFrame([(1, i, i > 20) for i in range(60)] + [(2, i, False) for i in range(9)], "key long, rep long, failed boolean")
+        met = prob_minhash._meetings(members, 7).collect()
+        pairs = {(x.rep, y.rep) for x in met if x.failed for y in met if not y.failed and (x.key, x.fi, x.ai) == (y.key, y.fi, y.ai)}
+        assert pairs == {(i, j) for i in range(21, 60) for j in range(60)} and len(met) <= 39 * 9 + 60 * 6
+        got = {r.class_id for r in prob_minhash.near_duplicates(docs(spark, texts), block=5, star=4).collect()}
+        assert got == {0}
+
+    def test_null_and_repeated_ids(self, spark):
+        text = sentences(3, 50)
+        rows = [(1, text), (1, text), (2, text), (None, text), (3, sentences(4, 50))]
+        got = prob_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id or 0, r.class_id or 0, r.kept) for r in got) == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True)]
+
     def test_pairs_of_equal_sets_meet_whatever_their_counts(self, spark):
         texts = [" ".join([sentences(i, 304), *[sentences(1000 + i, 10)] * n]) for i in range(12) for n in (100, 5)]
         got = {r.doc_id: r.class_id for r in prob_minhash.near_duplicates(docs(spark, texts)).collect()}
