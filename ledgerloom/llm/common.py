@@ -155,6 +155,16 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix64((total[end] - total[start]) * _pow_at(start, _INV, _INV_HI) + (end - start).astype(np.uint64))
 
 
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order of their first place, those places, and the number of each element's value."""
+    if not len(hashes):
+        return hashes, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    coded = pa.array(hashes.view(np.int64)).dictionary_encode()
+    which = coded.indices.to_numpy()
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(which), prepend=np.int32(-1)))
+    return hashes[first], first, which
+
+
 def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Indices start[i], start[i]+1, ... for length[i] steps, end to end."""
     total = int(length.sum())

@@ -6,10 +6,11 @@ frequent words are inputs of their own and fall, by frequency, into classes of `
 hidden state; the rest of the head falls into classes by ending, with shares by count inside. So a token's probability
 is P(class | state) * P(word | class, state), and the sum over all words and the unseen type is 1.
 
-The network is a GRU, trained by truncated backpropagation (windows of `STEPS` tokens, the state carried on) on all
-training documents: each partition starts from the common weights and their token-weighted
-mean is the next start (averaging is done in a few tasks, not on the driver). Weights start at the class shares of all
-counts, so an untrained network scores like the counts. Scoring runs through every document from its first token to
+The network is a GRU, trained by truncated backpropagation (windows of `STEPS` tokens, the state carried on) in one
+pass over all training documents: they are dealt by hash to `ROUNDS` parts, each document to one of them; in a round
+each partition of its part starts from the common weights, and their token-weighted mean is the next start (averaging
+is done in a few tasks, not on the driver). Weights start at the class shares of all counts, so an untrained network
+scores like the counts. Scoring runs through every document from its first token to
 its end with one state, in windows, whatever its length.
 
 Defined cases: a null or empty text is the end token alone; every row is scored, repeated rows too; ids that are null
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, crc_fold, flat_bytes, prepare, ragged, span_hashes, word_spans, written
+from .common import batches, crc_fold, distinct, flat_bytes, prepare, ragged, span_hashes, word_spans, written
 
 FOLDS, HELD_OUT = 7, 2
 #: Words known to the network, words with inputs and outputs of their own, words of a class, classes by ending.
@@ -54,20 +55,31 @@ def _strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
 
 
 def _count(incoming):
-    """(word, count) of a task, in pieces of at most about HOLD words."""
-    held: dict[str, int] = {}
-    flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "c"])
+    """(word, count) of a task, in pieces of at most about HOLD words; words are told apart by 64 bits within a piece."""
+    held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+    size = ends = 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        unique, first, which = distinct(np.concatenate([h for h, _, _ in held]))
+        counts = np.bincount(which, np.concatenate([c for _, c, _ in held])).astype(np.int64)
+        return unique, counts, pa.concat_arrays([w for _, _, w in held]).take(pa.array(first))
+
     for b in batches(incoming):
         data, start, end, _ = _spans(b.column(0))
-        _, first, count = np.unique(span_hashes(data, start, end), return_index=True, return_counts=True)
-        for w, c in zip(_strings(data, start[first], end[first]).to_pylist(), count.tolist(), strict=True):
-            held[w] = held.get(w, 0) + c
-        held[END] = held.get(END, 0) + b.num_rows
-        if len(held) > HOLD:
-            yield flush()
-            held.clear()
+        unique, first, which = distinct(span_hashes(data, start, end))
+        held.append((unique, np.bincount(which, minlength=len(unique)), _strings(data, start[first], end[first])))
+        size, ends = size + len(unique), ends + b.num_rows
+        if size > 2 * HOLD:
+            held = [merged()]
+            size = len(held[0][0])
+            if size > HOLD:
+                yield pa.RecordBatch.from_arrays([held[0][2], pa.array(held[0][1])], ["word", "c"])
+                held, size = [], 0
     if held:
-        yield flush()
+        _, counts, words = merged()
+        yield pa.RecordBatch.from_arrays([words, pa.array(counts)], ["word", "c"])
+    if ends:
+        yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([ends], pa.int64())], ["word", "c"])
 
 
 class Vocabulary:
@@ -115,7 +127,8 @@ class Vocabulary:
         """Head places of all tokens with each document's end token, and the n+1 offsets."""
         docs = len(before) - 1
         out = np.empty(len(hashes) + docs, np.int64)
-        out[np.arange(len(hashes)) + np.repeat(np.arange(docs), np.diff(before))] = self.find(hashes)
+        unique, _, which = distinct(hashes)
+        out[np.arange(len(hashes)) + np.repeat(np.arange(docs), np.diff(before))] = self.find(unique)[which]
         out[before[1:] + np.arange(docs)] = self.end if self.end < len(self.hashes) else -1
         return out, before + np.arange(docs + 1)
 
@@ -131,6 +144,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + np.float32(0.5)
 
 
+def _log_softmax_at(a: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """For each column of logits, the logarithm of the softmax at `row`; `a` is overwritten."""
+    a -= a.max(axis=0)
+    picked = a[row, np.arange(a.shape[1])]
+    return picked - np.log(np.exp(a, out=a).sum(axis=0))
+
+
 class Gru:
     """Weights: x (symbols + 1, the last row starts a text), u, class output, word output."""
 
@@ -164,20 +184,25 @@ class Gru:
 
     def log_probs(self, h: np.ndarray, cls: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Natural logarithm of P(class) * P(word | class); the latter only where place >= 0."""
-        a = h @ self.wc + self.bc
-        a -= a.max(axis=1, keepdims=True)
-        out = a[np.arange(len(cls)), cls] - np.log(np.exp(a).sum(axis=1))
+        # classes are rows, so that maxima and sums run along contiguous memory
+        out = _log_softmax_at(self.wc.T @ h.T + self.bc[:, None], cls)
+        mine, edges = self._by_class(cls, place)
+        out[mine] += _log_softmax_at(self._inner(h[mine], edges), place[mine])
+        return out
+
+    def _by_class(self, cls: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens with a softmax inside their class, sorted by class, and where each class begins."""
         mine = np.flatnonzero(place >= 0)
         mine = mine[np.argsort(cls[mine], kind="stable")]
-        edges = np.searchsorted(cls[mine], np.arange(OWN_CLASSES + 1))
-        for k in range(OWN_CLASSES):
-            at = mine[edges[k] : edges[k + 1]]
-            if len(at):
-                s = slice(k * WIDTH, (k + 1) * WIDTH)
-                b = h[at] @ self.ww[s].T + self.bw[s]
-                b -= b.max(axis=1, keepdims=True)
-                out[at] += b[np.arange(len(at)), place[at]] - np.log(np.exp(b).sum(axis=1))
-        return out
+        return mine, np.searchsorted(cls[mine], np.arange(OWN_CLASSES + 1))
+
+    def _inner(self, h: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Logits (WIDTH x tokens) inside the classes, for states sorted by class."""
+        a = np.empty((WIDTH, len(h)), h.dtype)
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            a[:, edges[k] : edges[k + 1]] = self.ww[k * WIDTH : (k + 1) * WIDTH] @ h[edges[k] : edges[k + 1]].T
+        a += self.bw.reshape(-1, WIDTH).repeat(np.diff(edges), axis=0).T
+        return a
 
     def gradient(self, symbol: np.ndarray, cls: np.ndarray, place: np.ndarray, h0: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
         """Loss and gradients over a window (steps x batch; cls < 0: nothing stands there), and the last state.
@@ -195,41 +220,54 @@ class Gru:
         h, c, w = np.concatenate(hs[1:]), cls.ravel(), place.ravel()
         real = c >= 0
         count = max(1, int(real.sum()))
-        a = h @ self.wc + self.bc
-        a -= a.max(axis=1, keepdims=True)
-        p = np.exp(a)
-        p /= p.sum(axis=1, keepdims=True)
         rows = np.flatnonzero(real)
-        loss = -np.log(p[rows, c[rows]] + 1e-30).sum()
-        p[rows, c[rows]] -= 1
-        p[~real] = 0
-        p /= count
-        g = {"wc": h.T @ p, "bc": p.sum(axis=0), "ww": np.zeros_like(self.ww), "bw": np.zeros_like(self.bw), "x": np.zeros_like(self.x), "u": np.zeros_like(self.u)}
-        dh_out = p @ self.wc.T
-        for k in np.unique(c[real & (w >= 0)]):
-            at, s = np.flatnonzero((c == k) & (w >= 0)), slice(k * WIDTH, (k + 1) * WIDTH)
-            b = h[at] @ self.ww[s].T + self.bw[s]
-            q = np.exp(b - b.max(axis=1, keepdims=True))
-            q /= q.sum(axis=1, keepdims=True)
-            loss -= np.log(q[np.arange(len(at)), w[at]] + 1e-30).sum()
-            q[np.arange(len(at)), w[at]] -= 1
-            q /= count
-            g["ww"][s], g["bw"][s] = q.T @ h[at], q.sum(axis=0)
-            dh_out[at] += q @ self.ww[s]
+        p = self.wc.T @ h.T + self.bc[:, None]
+        p -= p.max(axis=0)
+        picked = p[c[rows], rows]
+        total = np.exp(p, out=p).sum(axis=0)
+        loss = float(np.log(total[rows]).sum() - picked.sum())
+        p *= real / (total * count)
+        p[c[rows], rows] -= p.dtype.type(1 / count)
+        g = {"wc": (p @ h).T, "bc": p.sum(axis=1), "ww": np.zeros_like(self.ww), "bw": np.zeros_like(self.bw), "x": np.zeros_like(self.x)}
+        dh_out = (self.wc @ p).T
+        own, edges = self._by_class(c, w)
+        mine, some = h[own], np.flatnonzero(np.diff(edges))
+        q, i = self._inner(mine, edges), np.arange(len(own))
+        q -= q.max(axis=0)
+        picked = q[w[own], i]
+        total = np.exp(q, out=q).sum(axis=0)
+        loss += float(np.log(total).sum() - picked.sum())
+        q /= total * count
+        q[w[own], i] -= q.dtype.type(1 / count)
+        back = np.empty_like(mine)
+        for k in some.tolist():
+            at, s = slice(edges[k], edges[k + 1]), slice(k * WIDTH, (k + 1) * WIDTH)
+            g["ww"][s] = q[:, at] @ mine[at]
+            back[at] = q[:, at].T @ self.ww[s]
+        if len(some):
+            g["bw"].reshape(-1, WIDTH)[some] = np.add.reduceat(q, edges[some], axis=1).T
+            dh_out[own] += back
         dh_out = dh_out.reshape(steps, -1, n)
-        dh, all_gates = np.zeros_like(h0), []
+        # what the chain rule needs of each step, for all steps at once; only the state's gradient runs through time
+        z, r, new, un = (np.stack([k[i] for k in kept]) for i in range(4))
+        old = np.stack(before)
+        to_new, to_z, to_r = (1 - z) * (1 - new * new), (old - new) * z * (1 - z), un * r * (1 - r)
+        gates, into, dh = np.empty((*z.shape[:2], 3 * n), h0.dtype), np.empty((*z.shape[:2], 3 * n), h0.dtype), np.zeros_like(h0)
         for t in range(steps - 1, -1, -1):
-            z, r, new, un = kept[t]
-            dh = dh + dh_out[t]
-            dn = dh * (1 - z) * (1 - new * new)
-            gates = np.hstack([dh * (before[t] - new) * z * (1 - z), dn * un * r * (1 - r), dn])
-            all_gates.append(gates)
-            into = np.hstack([gates[:, : 2 * n], dn * r])
-            g["u"] += before[t].T @ into
-            dh = (dh * z + into @ self.u.T) * keep[t]
-        flat, order = symbol[::-1].ravel(), np.argsort(symbol[::-1].ravel(), kind="stable")
-        new = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        g["x"][flat[order][new]] = np.add.reduceat(np.concatenate(all_gates)[order], new)
+            dh += dh_out[t]
+            dn, row = dh * to_new[t], into[t]
+            np.multiply(dh, to_z[t], out=row[:, :n])
+            np.multiply(dn, to_r[t], out=row[:, n : 2 * n])
+            np.multiply(dn, r[t], out=row[:, 2 * n :])
+            gates[t, :, 2 * n :] = dn
+            dh *= z[t]
+            dh += row @ self.u.T
+            dh *= keep[t]
+        gates[:, :, : 2 * n] = into[:, :, : 2 * n]
+        g["u"] = old.reshape(-1, n).T @ into.reshape(-1, 3 * n)
+        flat, order = symbol.ravel(), np.argsort(symbol.ravel(), kind="stable")
+        first = np.flatnonzero(np.diff(flat[order], prepend=-1))
+        g["x"][flat[order][first]] = np.add.reduceat(gates.reshape(-1, 3 * n)[order], first)
         return float(loss), g, hs[-1]
 
 
@@ -395,8 +433,8 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     order = sorted(range(len(words)), key=lambda i: (-c[i], words[i]))
     vocab = Vocabulary([words[i] for i in order], c[order], total, types)
     weights = Gru(vocab).flat()
-    taught = training.select("text")
-    for _ in range(rounds if total else 0):
+    for part in range(rounds if total else 0):
+        taught = training.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == part).select("text")
         mean = taught.mapInArrow(_trained(vocab, weights), "weights binary, tokens long").repartition(8).mapInArrow(_summed, "weights binary, tokens long").toArrow()
         if mean.num_rows:
             weights = (sum(np.frombuffer(w, np.float64) for w in mean["weights"].to_pylist()) / sum(mean["tokens"].to_pylist())).astype(np.float32)

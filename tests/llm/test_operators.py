@@ -1,6 +1,7 @@
 """The training-data operators on small tables: brute force, round trips, and the cases that docstrings define."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -307,6 +308,39 @@ class TestLm:
         told, taught = ({r.doc_id: r.score for r in gated_lm.score_texts(d, rounds=n).collect()} for n in (0, gated_lm.ROUNDS))
         assert len(told) == 20 and all(taught[k] > told[k] + 1 for k in told)
 
+    def test_held_out_texts_are_likelier_than_by_counts(self, spark, data):
+        d = spark.read.parquet(f"{os.path.dirname(data)}/sf0.01/documents.parquet").select("doc_id", "text")
+        sums = gated_lm.score_texts(d).groupBy("held_out").agg(F.sum("score"), F.sum("base_score"), F.count("*")).collect()
+        assert len(sums) == 2 and all(s[1] > s[2] for s in sums)
+
+    def test_a_score_is_the_sum_over_its_tokens(self):
+        """Step by step, token by token, without batches, against score_docs."""
+        words = ["\n"] + [f"w{i}" for i in range(1300)]
+        vocab = gated_lm.Vocabulary(words, np.arange(1301, 0, -1) + 3, 900_000, 2000)
+        r = np.random.default_rng(2)
+        model = gated_lm.Gru(vocab)
+        model.ww, model.wc = r.standard_normal(model.ww.shape).astype(np.float32), r.standard_normal(model.wc.shape).astype(np.float32)
+        sizes = [1, 150, 7, 40]
+        at, off = r.integers(-1, 1301, sum(sizes)), np.concatenate(([0], np.cumsum(sizes)))
+        got = gated_lm.score_docs(model, vocab, at, off)
+        sym, cls, place = vocab.codes(at)
+        sigmoid = lambda x: 1 / (1 + np.exp(-x))
+        for d in range(4):
+            h, last, total = np.zeros(16), len(model.x) - 1, 0.0
+            for k in range(off[d], off[d + 1]):
+                x, g = model.x[last].astype(float), h @ model.u
+                z, q = sigmoid(x[:16] + g[:16]), sigmoid(x[16:32] + g[16:32])
+                h = (1 - z) * np.tanh(x[32:] + q * g[32:]) + z * h
+                a = h @ model.wc + model.bc
+                total += a[cls[k]] - np.log(np.exp(a).sum())
+                if place[k] >= 0:
+                    rows = slice(cls[k] * gated_lm.WIDTH, (cls[k] + 1) * gated_lm.WIDTH)
+                    b = model.ww[rows] @ h + model.bw[rows]
+                    total += b[place[k]] - np.log(np.exp(b).sum())
+                total += np.log(10) * (vocab.inside[at[k]] if at[k] >= 0 else 0.0)
+                last = sym[k]
+            assert got[d] == pytest.approx(total / np.log(10), rel=1e-4)
+
     def test_probabilities_sum_to_one(self):
         words = ["\n"] + [f"w{i}" for i in range(1300)]
         vocab = gated_lm.Vocabulary(words, np.arange(1301, 0, -1) + 3, 900_000, 2000)
