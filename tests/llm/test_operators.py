@@ -251,6 +251,29 @@ class TestPacking:
         self.check(spark, [*ODD, "A<|endoftext|>B", "it's, e.g. x.,y ...", *[sentences(i, 30 * i) for i in range(60)]])
         assert packing.pack(docs(spark, [])).count() == 0
 
+    def test_shards_ranges_and_carried_pieces(self, spark, monkeypatch):
+        monkeypatch.setattr(packing, "RANGE", 30_000)
+        monkeypatch.setattr(packing, "SHARD", 7_000)
+        p = self.check(spark, [sentences(i % 50, 20 * (i % 50)) for i in range(150)])
+        assert p.sequence_id.map(lambda x: x >> 36).nunique() > 1
+        full = p.groupby("sequence_id").length.sum()
+        assert (full == 4096).sum() >= p.length.sum() // 4096 - p.sequence_id.map(lambda x: x >> 36).nunique()
+
+    def test_other_tokenizers_are_refused(self):
+        import public_tokenizers
+
+        packing.WordTokens(packing.default_tokenizer())
+        others = [f for f in os.listdir(os.path.dirname(packing.default_tokenizer())) if f.endswith(".json") and f != "word_bpe_49k.json"]
+        refused = 0
+        for name in others:
+            try:
+                packing.WordTokens(public_tokenizers.path(name))
+            except ValueError:
+                refused += 1
+            except Exception:  # not a file of this library
+                refused += 1
+        assert refused == len(others)
+
     def test_neighbours_follow_their_seed(self):
         ids = [np.arange(100 * g, 100 * g + 50) for g in range(6) for _ in range(3)]
         n = np.array([len(i) for i in ids])
