@@ -55,6 +55,32 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, df: DataFrame) -> None:
+    """Delete a table of `written` that nothing reads any more; what was made from it must be cut or written itself."""
+    root = shared_dir(spark)
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if path.rpartition("/")[2].startswith("stage-") and path.split(":", 1)[-1].lstrip("/").startswith(root.split(":", 1)[-1].lstrip("/")):
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: A key that more than a HOT-th of all rows have is hot; there can't be more than HOT of them.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, values: DataFrame, keys: list[str], by: str, total: int) -> DataFrame:
+    """Inner join of `rows` with `values` (one row a key; its column `n` counts the key's rows) without a hot key in one task.
+
+    The hot keys, at most HOT, are broadcast with a number of salts, so that a key and salt have about total / HOT rows;
+    the salt of a row comes from its column `by`. `n` is dropped. `values` is read twice: cut it before.
+    """
+    most, salt, salts = max(1, total // HOT), fresh(rows, "salt"), fresh(rows, "salts")
+    per = F.ceil(F.col("n") / most).cast("int")
+    hot = values.where(F.col("n") > most).select(*keys, per.alias(salts))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn(salt, F.pmod(F.xxhash64(by), F.coalesce(salts, F.lit(1))).cast("int")).drop(salts)
+    return dealt.join(values.withColumn(salt, F.explode(F.sequence(F.lit(0), per - 1))).drop("n"), [*keys, salt]).drop(salt)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that `df` does not have in any case."""
     have = {c.lower() for c in df.columns}

@@ -16,8 +16,7 @@ give a spanning forest of the links. A link holds if the Jaccard similarity of t
 least `threshold`; shingles are told apart by 32 bits there, which errs by about n / 2**32 for sets of n shingles.
 Classes are the connected components of the links.
 
-Hot keys: at most `HOT` digests can hold more than a `HOT`-th of all rows each, so these few are broadcast and no other
-key of the copies' join is larger than that; leaders of many pairs are salted.
+Hot keys: digests that a large share of all rows have are salted (`join_hot`); leaders of many pairs are salted.
 
 Defined cases: a null or empty text (no words) is a class of its own; rows of equal doc_id are one document and share
 its class (the smallest of their digests' classes); a null doc_id gives class null; an empty table gives no rows; other
@@ -32,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut, flat_bytes, fresh, mix64, prepare, ragged, span_hashes, unit_interval, word_spans, written
+from .common import batches, cut, flat_bytes, fresh, join_hot, mix64, prepare, ragged, span_hashes, unit_interval, word_spans, written
 from .components import components
 from .vectors import forest, group_starts, runs
 
@@ -42,8 +41,6 @@ BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 #: Rows of a block of a bucket whose members must be compared, and pairs of a leader that one task takes.
 BLOCK, STAR = 300, 10_000
-#: Digests that more than a HOT-th of all rows share are broadcast; there can't be more than HOT of them.
-HOT = 1000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SHARE = mix64(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -200,11 +197,7 @@ def _meetings(members: DataFrame, block: int) -> DataFrame:
 def _copies(signed: DataFrame) -> DataFrame:
     """(doc_id, rep) of the documents whose word sequence a smaller id has."""
     copies = cut(signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    most = signed.count() // HOT
-    hot = copies.where(F.col("n") > most).select("d1", "d2", F.col("rep").alias("hot"))
-    met = signed.select("doc_id", "d1", "d2").join(F.broadcast(hot), ["d1", "d2"], "left")
-    cold = met.where("hot is null").join(copies.where(F.col("n") <= most).select("d1", "d2", "rep"), ["d1", "d2"]).select("doc_id", "rep")
-    return met.where("hot is not null").select("doc_id", F.col("hot").alias("rep")).union(cold).where("doc_id <> rep")
+    return join_hot(signed.select("doc_id", "d1", "d2"), copies, ["d1", "d2"], "doc_id", signed.count()).select("doc_id", "rep").where("doc_id <> rep")
 
 
 def _with_leads(pairs: DataFrame, sets: DataFrame, star: int) -> DataFrame:

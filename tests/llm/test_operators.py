@@ -291,21 +291,100 @@ class TestPacking:
 
 
 class TestUnits:
-    def test_passages_within_lines_are_caught(self, spark):
-        passage = ". ".join(sentences(50 + i, 9).capitalize() for i in range(7)) + "."
+    def brute(self, texts, least=unit_dedup.LEAST):
+        """The spans by plain Python: units, units taken together, first occurrences, growth, union of overlapping spans."""
+        units, words = {}, {}
+        for i, text in enumerate(texts):
+            ws = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "")]
+            low = lambda a, b, s=text: re.sub("[A-Z]", lambda m: m.group().lower(), s[a:b])
+            words[i], units[i], now = [(a, b, low(a, b)) for a, b in ws], [], []
+            for k, (a, b) in enumerate(ws):
+                now.append(k)
+                if text[b - 1] in ".!?" or k + 1 == len(ws) or "\n" in text[b : ws[k + 1][0]]:
+                    units[i].append(now)
+                    now = []
+        seen, again = {}, []
+        for i in sorted(units):
+            for k in range(len(units[i])):
+                key, j = [], k
+                while j < len(units[i]) and sum(map(len, key)) < least:
+                    key.append(tuple(words[i][x][2] for x in units[i][j]))
+                    j += 1
+                if sum(map(len, key)) >= least:
+                    here = (i, k, j - 1)
+                    kept = seen.setdefault(tuple(key), here)
+                    if kept != here:
+                        again.append((here, kept))
+        runs = []
+        for (i, k, j), kept in again:
+            if runs and runs[-1][0][0][0] == i and runs[-1][-1][0][1] == k - 1:
+                runs[-1].append(((i, k, j), kept))
+            else:
+                runs.append([((i, k, j), kept)])
+        spans = {}
+        for run in runs:
+            (i, k, _), (ki, kk, kj) = run[0]
+            (_, _, _), (li, _, lj) = run[-1]
+            j = max(x[0][2] for x in run)
+            a, b = words[i][units[i][k][0]][0], words[i][units[i][j][-1]][1]
+            floor = words[ki][units[ki][kj][-1]][1] if ki == i else 0
+            if k and kk:
+                for x, y in zip(units[i][k - 1][::-1], units[ki][kk - 1][::-1]):
+                    if words[i][x][2] != words[ki][y][2] or words[i][x][0] < floor:
+                        break
+                    a = words[i][x][0]
+            if run[-1][0][2] == j and j + 1 < len(units[i]) and lj + 1 < len(units[li]):
+                for x, y in zip(units[i][j + 1], units[li][lj + 1]):
+                    if words[i][x][2] != words[li][y][2]:
+                        break
+                    b = words[i][x][1]
+            spans.setdefault(i, []).append((a, b))
+        out = set()
+        for i, found in spans.items():
+            now = None
+            for a, b in sorted(found):
+                if now and a < now[1]:
+                    now = (now[0], max(now[1], b))
+                else:
+                    out |= {(i, *now)} if now else set()
+                    now = (a, b)
+            out.add((i, *now))
+        return out
+
+    def spans(self, spark, texts):
+        return {(r.doc_id, r.start, r.end) for r in unit_dedup.repeated_spans(docs(spark, texts)).collect()}
+
+    def test_passages_within_sentences_are_caught_whole(self, spark):
+        passage = ". ".join(sentences(50 + i, 9).capitalize() for i in range(7)) + ". " + sentences(70, 5)
         texts = [f"{sentences(i, 30)} {passage} {sentences(100 + i, 30)}" if i % 4 == 1 else sentences(200 + i, 80) for i in range(40)]
         spans = unit_dedup.repeated_spans(docs(spark, texts)).collect()
         assert {r.doc_id for r in spans} == {i for i in range(40) if i % 4 == 1 and i > 1} and {r.kept_doc_id for r in spans} == {1}
-        for r in spans:
-            assert len(texts[r.doc_id][r.start : r.end].split()) >= 50 and texts[r.doc_id][r.start : r.end] in passage
+        assert all(passage in texts[r.doc_id][r.start : r.end] for r in spans)
         clean = {r.doc_id: r for r in unit_dedup.without_repeats(docs(spark, texts)).collect()}
         assert all(len(clean[r.doc_id].text) == len(texts[r.doc_id]) - (r.end - r.start) for r in spans) and clean[0].text == texts[0]
 
+    def test_passages_of_short_lines_are_caught(self, spark):
+        passage = "\n".join(sentences(900 + i, 4) for i in range(15))
+        texts = [f"{sentences(i, 20)}\n{passage}\n{sentences(100 + i, 20)}" for i in range(5)]
+        assert self.spans(spark, texts) == {(i, texts[i].index(passage), texts[i].index(passage) + len(passage)) for i in range(1, 5)}
+
+    def test_spans_equal_brute_force(self, spark, data):
+        r = random.Random(9)
+        pool = [sentences(300 + i, r.randint(1, 12)) + r.choice([".", "!", "\n", "\n\n", " "]) for i in range(60)]
+        texts = [*ODD, *[" ".join(r.choice(pool) for _ in range(r.randint(1, 25))).replace("a", r.choice("aaaA"), 1) for _ in range(120)]]
+        assert self.spans(spark, texts) == self.brute(texts)
+        some = [x.text for x in spark.read.parquet(f"{data}/documents.parquet").orderBy("doc_id").collect()]
+        assert self.spans(spark, some) == self.brute(some)
+
     def test_odd(self, spark):
         line = "this very line comes twice here"
         rows = unit_dedup.repeated_spans(docs(spark, [*ODD, f"é\n{line}\nq\n{line}"])).collect()
         assert [(r.doc_id, r.start, r.end) for r in rows] == [(9, 4 + len(line) + 1, 4 + 2 * len(line) + 1)]
         assert unit_dedup.repeated_spans(docs(spark, [])).count() == 0
+        twice = spark.createDataFrame([(1, line), (1, line), (None, line), (2, f"x. {line}")], "doc_id long, text string")
+        assert [(r.doc_id, r.start, r.end) for r in unit_dedup.repeated_spans(twice).collect()] == [(2, 3, 3 + len(line))]
+        clean = unit_dedup.without_repeats(docs(spark, [f"{line}.", f"x y z. {line}. end"])).collect()
+        assert sorted(r.text for r in clean) == [f"{line}.", "x y z.  end"]
 
 
 class TestLm:
