@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare
+from .common import cut, drawn, prepare
 from .components import components
 from .vectors import blocked, forest, group_starts, pairs_in, rows_of, runs, usable
 
@@ -149,9 +149,9 @@ def near_vectors(rows: DataFrame, *, threshold: float = THRESHOLD, sample: int =
     links = spark.createDataFrame([], "gid long, low long, links long")
     for (width,) in one.select(F.size("embedding")).distinct().orderBy(F.size("embedding")).collect():
         ours = one.where(F.size("embedding") == width)
-        per_label = ours.groupBy("label").count().agg(F.max("count")).first()[0]
-        drawn = ours.orderBy(F.xxhash64("gid"), "gid").limit(sample).select("embedding").toArrow()
-        model = ItqTables(rows_of(drawn["embedding"], width), per_label, threshold)
+        per_label, total = ours.groupBy("label").count().agg(F.max("count"), F.sum("count")).first()
+        taken = drawn(ours.select("gid", "embedding"), ["gid"], sample, SEED, total).select("embedding").toArrow()
+        model = ItqTables(rows_of(taken["embedding"], width), per_label, threshold)
         coded = ours.select("gid", "label", "embedding").mapInArrow(_coded(model), "label long, t int, key long, gid long, codes binary")
         block, order = ["label", "t", "key", "bi", "bj"], ["label", "t", "key", "bi", "bj", "mine", "gid", "codes"]
         dealt = blocked(coded, ["label", "t", "key"], "gid", BLOCK).select(*order).repartition(*block).sortWithinPartitions(*block, "gid")

@@ -24,7 +24,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, crc_fold, flat_bytes, prepare, span_hashes, word_spans
+from .common import batches, crc_fold, drawn, flat_bytes, fresh, prepare, span_hashes, word_spans
 
 #: Bounds of the rows that a fit uses, and the score from which a document is predicted good.
 POSITIVES, UNLABELLED, CUTOFF = 8_000, 16_000, 0.7
@@ -146,22 +146,15 @@ def _features(incoming):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["positive", "x"])
 
 
-def drawn_by_hash(ids: DataFrame, most: int, seed: int) -> DataFrame:
-    """The `most` ids of least hash; a first cut by hash leaves about twice as many, so no task sorts more."""
-    share = min(1.0, 2 * most / max(1, ids.count()))
-    h = F.xxhash64(F.lit(seed), "doc_id")
-    return ids.where(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30)) + 1).orderBy(F.pmod(h, F.lit(1 << 30)), "doc_id").limit(most)
-
-
 def train(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> QualityModel:
     """Fit on hash-drawn rows outside the held-out fold; only their feature rows come to the driver."""
     prepare(docs.sparkSession)
     inside = lambda df: df.where("doc_id is not null").where(crc_fold(F.col("doc_id"), FOLDS) != HELD_OUT)
     ids = F.col("doc_id").cast("long").alias("doc_id")
-    good = drawn_by_hash(inside(labels.where("quality = 1").select(ids)).distinct(), positives, 0)
-    some = drawn_by_hash(inside(docs.select(ids)), unlabelled, 1)
-    drawn = good.select("doc_id", F.lit(True).alias("positive")).union(some.select("doc_id", F.lit(False)))
-    texts = docs.select(ids, F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id").select("positive", "text")
+    good = drawn(inside(labels.where("quality = 1").select(ids)).distinct(), ["doc_id"], positives, 0)
+    some = drawn(inside(docs.select(ids)), ["doc_id"], unlabelled, 1)
+    taken = good.select("doc_id", F.lit(True).alias("positive")).union(some.select("doc_id", F.lit(False)))
+    texts = docs.select(ids, F.col("text").cast("string").alias("text")).join(F.broadcast(taken), "doc_id").select("positive", "text")
     got = texts.mapInArrow(_features, "positive boolean, x binary").toArrow()
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, WIDTH)
     order = np.lexsort(x.T[-5:])  # the order of arrival must not tell on the sums
@@ -171,8 +164,10 @@ def train(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unl
 
 
 def with_quality(docs: DataFrame, model: QualityModel, *, name: str = "score", text_col: str = "text", least: float | None = None) -> DataFrame:
-    """All columns and rows of `docs` with the score added, or with `least` only the rows that reach it, without the score."""
+    """All columns and rows of `docs` with the score added (under a name that is free), or with `least` only the rows that
+    reach it, without the score."""
     prepare(docs.sparkSession)
+    name = fresh(docs, name)
     at = docs.columns.index(text_col)
     schema = docs.schema if least is not None else docs.select("*", F.lit(0.0).alias(name)).schema
 

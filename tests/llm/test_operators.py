@@ -219,10 +219,29 @@ class TestVectors:
             if q == 200:
                 assert [r.vec_id for r in got] == list(range(201, 211))
         assert len(by) == 15 and hits / total >= 0.9
+        assert sum(g[0].verified for g in by.values()) < 0.8 * 15 * len(x)
         few = srs.nearest(self.frame(spark, x).where("vec_id < 4")).collect()
         assert sorted((r.query_id, r.rank) for r in few) == [(0, 1), (0, 2), (0, 3)]
         assert srs.nearest(self.frame(spark, x).limit(0)).count() == 0
 
+    def test_srs_skips_rows_and_splits_cells(self, spark):
+        r = np.random.default_rng(3)
+        centres = 6 * r.standard_normal((20, 32))
+        x = (centres[np.arange(4000) % 20] + r.standard_normal((4000, 32))).astype(np.float32)
+        rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(100, [0.0] * 31 + [1e3]), (5, [1.0, 2.0]), (200_000, [1.0, 2.5])]
+        found = srs.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), block=150, cells=8).collect()
+        pool, hits = x.astype(float), 0
+        queries = [q for q in range(0, 4000, 100) if q != 100]
+        for q in queries:
+            d = np.sqrt(((pool - pool[q]) ** 2).sum(axis=1))
+            d[q] = np.inf
+            hits += len(set(np.argsort(d)[:10]) & {f.vec_id for f in found if f.query_id == q})
+        verified = {f.query_id: f.verified for f in found}
+        share = sum(verified[q] for q in queries) / len(queries) / len(x)
+        assert hits >= 0.9 * 10 * len(queries) and share < 0.3, (hits, share)
+        assert [(f.rank, f.vec_id, f.score) for f in found if f.query_id == 200_000] == [(1, 5, 0.5)]  # each length on its own
+        assert len({(f.query_id, f.rank) for f in found}) == len(found)
+
     def test_chi_square(self):
         assert srs.chi2_quantile(0.95, 8) == pytest.approx(15.5073, abs=1e-3)
 
