@@ -100,16 +100,20 @@ def read_chats(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, turns))
 
 
+def masked(formatted: Column, spans: Column) -> Column:
+    """All text under a loss mask, unescaped, in order and with nothing between."""
+    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+
+
 def chat_digest(formatted: DataFrame) -> DataFrame:
-    """Counts and digests of what the formatted conversations say, read back from them."""
-    read = formatted.select("conv_id", read_chats(F.col("formatted")).alias("turns"), F.length("formatted").cast("long").alias("formatted_chars"))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    """Counts and digests of what the formatted conversations say: turns read back from the text, loss through the mask."""
+    read = formatted.select("conv_id", read_chats(F.col("formatted")).alias("turns"), masked(F.col("formatted"), F.col("loss_spans")).alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(said, 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
         "formatted_chars",
     )

@@ -328,17 +328,19 @@ def _find(model: Crf):
         for b in batches(incoming):
             found = [all_spans(t or "", model) for t in b.column(1).to_pylist()]
             counts = [pa.array([sum(k == kind for _, k, _ in base) for base, _ in found], pa.int64()) for kind in BASE]
+            more = [pa.array([sum(k == "secret" for _, k, _ in every) for _, every in found], pa.int64()), pa.array([len(every) for _, every in found], pa.int64())]
             digest = pa.array([hashlib.sha256(said(base).encode()).hexdigest() for base, _ in found], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), *counts, digest, pa.array([said(x) for _, x in found], pa.string())], ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *counts, digest, pa.array([said(x) for _, x in found], pa.string()), *more], ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_secret", "n_spans"])
 
     return run
 
 
 def find_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, counts of the base kinds, base_sha256, spans: `kind:start:end` in code points, comma-joined."""
+    """doc_id, counts of the base kinds, base_sha256, spans (`kind:start:end` in code points, comma-joined), and how many of
+    those are secrets (n_secret) and there are in all (n_spans)."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_find(trained()), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return rows.mapInArrow(_find(trained()), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, n_spans long")
 
 
 def masked(text: str, spans: list[tuple[int, str, int]]) -> str:

@@ -150,6 +150,14 @@ class TestChat:
             assert d.loss_sha256 == hashlib.sha256(mine.encode()).hexdigest()
             assert d.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
 
+    def test_the_loss_comes_from_the_mask(self, spark):
+        df = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "a[AND]b"), (1, 2, "assistant", "c")], "conv_id long, turn long, role string, text string")
+        made = chat_format.format_chats(df)
+        d = chat_format.chat_digest(made).first()
+        assert (d.loss_chars, d.loss_sha256) == (8, hashlib.sha256(b"a[AND]bc").hexdigest())
+        none = chat_format.chat_digest(made.withColumn("loss_spans", F.slice("loss_spans", 1, 0))).first()
+        assert (none.loss_chars, none.loss_sha256) == (0, hashlib.sha256(b"").hexdigest())
+
     def test_empty(self, spark):
         assert chat_format.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
@@ -172,6 +180,45 @@ class TestMixing:
         w = mixing.weights(mixing.counted(d, "doc_id", "source", "text"), max_repeats=None, target_entropy=0.6, budget=100).toPandas()
         assert -(w.weight * np.log(w.weight)).sum() == pytest.approx(0.6, abs=1e-5) and w.quota.sum() == pytest.approx(100)
 
+    def test_unreachable_entropy_is_refused(self, spark):
+        d = spark.createDataFrame([(i, f"s{i % 8}", "w w w w") for i in range(80)], "doc_id long, source string, text string")
+        rows = mixing.counted(d, "doc_id", "source", "text")
+        with pytest.raises(ValueError, match="entropy"):
+            mixing.weights(rows, max_repeats=None, target_entropy=0.5)
+        w = mixing.weights(rows, max_repeats=None, target_entropy=float(np.log(8))).toPandas()
+        assert np.allclose(w.weight, 1 / 8)
+
+    def test_repeated_ids_are_drawn_as_often_as_in_the_mixture(self, spark):
+        rows = [(1, "a", "x y"), (1, "b", "x y z"), (2, "a", "x"), (3, "b", "x y"), (3, "b", "x y"), (3, "b", "other text"), (None, "a", "x"), (4, None, "q"), (None, None, "r")] + [(i, "c", "w " * 30) for i in range(10, 40)]
+        d = spark.createDataFrame(rows, "doc_id long, source string, text string")
+        for how in ({}, {"max_repeats": 3.0}, {"budget": 300.0}):
+            n = {(r.doc_id, r.source): r["count"] for r in mixing.mixture(d, **how).groupBy("doc_id", "source").count().collect()}
+            got = {(r.doc_id, r.source): r["count"] for r in mixing.mixed(d, **how).groupBy("doc_id", "source").count().collect()}
+            assert got == n
+        whole = mixing.mixed(d)
+        assert {tuple(r) for r in whole.collect()} == set(rows) and whole.columns == d.columns
+
+    def test_blocks_equal_brute_force(self, spark, monkeypatch):
+        """Whole and part epochs over many blocks against plain Python: quotas in order of block and place."""
+        monkeypatch.setattr(mixing, "BLOCK", 100)
+        d = spark.createDataFrame([(i, "abc"[min(2, i % 5)], "w " * (1 + i % 7)) for i in range(400)], "doc_id long, source string, text string")
+        plan = {r.source: r for r in mixing.weights(mixing.counted(d, "doc_id", "source", "text"), max_repeats=1.7).collect()}
+        drawn = mixing.mixture(d, max_repeats=1.7).collect()
+        tokens = {i: 1 + i % 7 for i in range(400)}
+        hashed = {(r.doc_id, r.epoch): r.h for e in range(4) for r in d.select("doc_id", F.lit(e).alias("epoch"), F.xxhash64(F.lit(mixing.SEED), F.lit(e).cast("int"), F.col("doc_id")).alias("h")).collect()}
+        want = set()
+        for s, p in plan.items():
+            mine = [i for i in range(400) if "abc"[min(2, i % 5)] == s]
+            want |= {(i, e) for i in mine for e in range(p.whole)}
+            place = lambda i, n=p.blocks, e=p.whole: (min(int((hashed[i, e] / 2.0**64 + 0.5) * n), n - 1), hashed[i, e], i)
+            total = 0
+            for i in sorted(mine, key=place):
+                if total >= p.rest:
+                    break
+                want.add((i, p.whole))
+                total += tokens[i]
+        assert {(r.doc_id, r.epoch) for r in drawn} == want and len(drawn) == len(want)
+
     def test_odd(self, spark):
         assert {r.doc_id for r in mixing.mixture(docs(spark, ODD)).collect()} == set(range(len(ODD)))
         assert mixing.mixture(docs(spark, [])).count() == 0
