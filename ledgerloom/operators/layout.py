@@ -1,11 +1,125 @@
-"""Layout operators whose state runs from word to word."""
+"""Layout operators on word boxes: (doc_id, page, pos, word, x0, y0, x1, y1). Groups are single pages, which are bounded."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-Y_TOLERANCE = 12
+from ..functions.text import count_contained
+
+#: Tolerances of running lines and of neighbours, and the ratios and least sizes of gaps.
+Y_TOLERANCE, SAME_LINE, SAME_COLUMN, KEY_REACH = 12, 0.02, 0.015, 0.5
+LINE_GAP, CELL_GAP, SECTION_GAP = (0.6, 5.0), (2.0, 10.0), (2.0, 2.5, 10.0)
+PAGE = ["doc_id", "page"]
+
+
+def upper_median(values: Column) -> Column:
+    """The middle one of a sorted array, of two middle ones the larger."""
+    return F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int"))
+
+
+def lines_and_cells(words: DataFrame) -> DataFrame:
+    """The words with `line` (a new one where y0 leaves the word before by more than 0.6 median heights) and `cell` (within
+    a line, where the gap to the word before exceeds two median character widths), and `height`, the median.
+
+    One exchange: pages are gathered for the medians, and the windows keep their partitioning.
+    """
+    columns = [c for c in words.columns if c not in PAGE]
+    page = words.groupBy(*PAGE).agg(F.collect_list(F.struct(*columns)).alias("ws"))
+    wide = lambda w: (w["x1"] - w["x0"]) / F.greatest(F.length(w["word"]), F.lit(1))
+    page = page.withColumns({"height": upper_median(F.transform("ws", lambda w: w["y1"] - w["y0"])), "char": upper_median(F.transform("ws", wide))})
+    rows = page.select(*PAGE, "height", "char", F.explode("ws").alias("w")).select(*PAGE, "height", "char", "w.*")
+    down = W.partitionBy(*PAGE).orderBy("y0", "x0", "pos")
+    jump = F.abs(F.col("y0") - F.lag("y0").over(down)) > F.greatest(F.col("height") * LINE_GAP[0], F.lit(LINE_GAP[1]))
+    rows = rows.withColumn("new", F.when(jump, 1).otherwise(0)).withColumn("line", F.sum("new").over(down))
+    along = W.partitionBy(*PAGE, "line").orderBy("x0", "pos")
+    gap = F.col("x0") - F.lag("x1").over(along) > F.greatest(F.col("char") * CELL_GAP[0], F.lit(CELL_GAP[1]))
+    return rows.withColumn("new", F.when(gap, 1).otherwise(0)).withColumn("cell", F.sum("new").over(along)).drop("new", "char")
+
+
+def text_lines(words: DataFrame) -> DataFrame:
+    """doc_id, page, line, content (cells joined by ` | `), cells, n, top, bottom, section: a new section begins where the
+    gap above a line exceeds twice the median gap, 2.5 median heights and 10."""
+    cells = lines_and_cells(words).groupBy(*PAGE, "line", "cell").agg(
+        F.array_sort(F.collect_list(F.struct("x0", "pos", "word"))).alias("ws"), F.min("y0").alias("top"), F.max("y1").alias("bottom"), F.first("height").alias("height")
+    )
+    cells = cells.withColumn("text", F.array_join("ws.word", " "))
+    lines = cells.groupBy(*PAGE, "line").agg(
+        F.array_sort(F.collect_list(F.struct("cell", "text"))).alias("cs"), F.sum(F.size("ws")).alias("n"), F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.first("height").alias("height")
+    )
+    down = W.partitionBy(*PAGE).orderBy("line")
+    lines = lines.withColumn("gap", F.col("top") - F.lag("bottom").over(down))
+    usual = upper_median(F.collect_list("gap").over(W.partitionBy(*PAGE)))
+    wide = F.greatest(usual * SECTION_GAP[0], F.col("height") * SECTION_GAP[1], F.lit(SECTION_GAP[2]))
+    lines = lines.withColumn("new", F.when(F.col("gap") > wide, 1).otherwise(0)).withColumn("section", F.sum("new").over(down))
+    return lines.select(*PAGE, "line", F.array_join("cs.text", " | ").alias("content"), F.size("cs").alias("cells"), "n", "top", "bottom", "section")
+
+
+def spatial_relations(words: DataFrame, width: float = 800, height: float = 600) -> DataFrame:
+    """doc_id, page, relation, n over all pairs of a page's words: right_of or same_column within a line, else below.
+
+    Only pairs of nearby lines are built, by an equi-join on bands of y; all others of the n * (n - 1) / 2 are `below`.
+    """
+    band = F.floor(F.col("y0") / (SAME_LINE * height + 1))
+    a = words.select(*PAGE, "pos", "x0", "y0", band.alias("band"))
+    b = words.select(*PAGE, F.col("pos").alias("p2"), F.col("x0").alias("x2"), F.col("y0").alias("y2"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    near = a.join(b, [*PAGE, "band"]).where((F.col("pos") < F.col("p2")) & (F.abs(F.col("y0") - F.col("y2")) / height <= SAME_LINE))
+    kind = F.when(F.abs(F.col("x0") - F.col("x2")) / width < SAME_COLUMN, "same_column").otherwise("right_of")
+    met = near.groupBy(*PAGE, kind.alias("relation")).agg(F.count(F.lit(1)).alias("n"))
+    every = words.groupBy(*PAGE).agg((F.count(F.lit(1)) * (F.count(F.lit(1)) - 1) / 2).cast("long").alias("n"))
+    rest = every.join(met.groupBy(*PAGE).agg(F.sum("n").alias("m")), PAGE, "left").select(*PAGE, F.lit("below").alias("relation"), (F.col("n") - F.coalesce("m", F.lit(0))).alias("n"))
+    return met.union(rest.where("n > 0"))
+
+
+def key_values(words: DataFrame, labels: list[str], width: float = 800) -> DataFrame:
+    """doc_id, page, pos, label, value: words that contain a label, and the next word where it stands right of it nearby."""
+    down = W.partitionBy(*PAGE).orderBy("y0", "x0", "pos")
+    label = F.lower(F.rtrim("word", F.lit(":,")))
+    s = words.withColumns({"w1": F.lead("word").over(down), "a1": F.lead("x0").over(down), "b1": F.lead("y0").over(down), "label": label})
+    near = (F.col("b1") == F.col("y0")) & (F.col("a1") > F.col("x0")) & ((F.col("a1") - F.col("x0")) / width < KEY_REACH)
+    return s.where(count_contained(F.col("label"), labels) > 0).select(*PAGE, "pos", "label", F.when(near, F.col("w1")).alias("value"))
+
+
+def box(words: DataFrame, *keys: str) -> DataFrame:
+    """The box around all words of a group, and their number."""
+    return words.groupBy(*keys).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count(F.lit(1)).alias("n"))
+
+
+def value_spans(words: DataFrame, values: DataFrame) -> DataFrame:
+    """For (doc_id, value of one or more words): doc_id, page, value, pos, x0, y0, x1, y1 of each run of words of a page that
+    equals it, capitals aside. Runs are met by their first word; the others are compared along the page."""
+    n = F.size(F.split("value", " "))
+    asked = values.where(F.trim("value") != "").select("doc_id", F.lower("value").alias("value"), F.get(F.split(F.lower("value"), " "), F.lit(0)).alias("first"), n.alias("size")).distinct()
+    every = words.select(*PAGE, F.col("pos").alias("at"), F.lower("word").alias("low"), "x0", "y0", "x1", "y1")
+    met = words.withColumn("first", F.lower("word")).join(asked, ["doc_id", "first"]).select(*PAGE, "pos", "value", "size")
+    run = met.withColumn("at", F.explode(F.sequence("pos", F.col("pos") + F.col("size") - 1))).join(every, [*PAGE, "at"])
+    found = run.groupBy(*PAGE, "pos", "value", "size").agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("at", "low")))["low"], " ").alias("said"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")
+    )
+    return found.where("said = value").select(*PAGE, "value", "pos", "x0", "y0", "x1", "y1")
+
+
+def layout_text(words: DataFrame) -> DataFrame:
+    """doc_id, page, text: a line `[x0,y0,x1,y1] word` for each word, in order."""
+    one = F.format_string("[%d,%d,%d,%d] %s", "x0", "y0", "x1", "y1", "word")
+    page = words.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("pos", one.alias("s")))).alias("x"))
+    return page.select(*PAGE, F.array_join("x.s", "\n").alias("text"))
+
+
+def page_markdown(words: DataFrame) -> DataFrame:
+    """doc_id, page, markdown: sections set apart by a blank line; two or more following lines of a section with the same
+    number (two or more) of cells are a pipe table with a bold head, other lines are paragraphs."""
+    lines = text_lines(words)
+    section = W.partitionBy(*PAGE, "section").orderBy("line")
+    lines = lines.withColumn("new", F.when(F.lag("cells").over(section).eqNullSafe(F.col("cells")), 0).otherwise(1)).withColumn("part", F.sum("new").over(section))
+    parts = lines.groupBy(*PAGE, "section", "part", "cells").agg(F.array_sort(F.collect_list(F.struct("line", "content")))["content"].alias("ls"))
+    head = F.concat(F.lit("| **"), F.replace(F.get("ls", F.lit(0)), F.lit(" | "), F.lit("** | **")), F.lit("** |"))
+    rule = F.concat(F.lit("|"), F.repeat(F.lit("---|"), F.col("cells")))
+    rows = F.transform(F.slice("ls", F.lit(2), F.size("ls")), lambda x: F.concat(F.lit("| "), x, F.lit(" |")))
+    text = F.when((F.col("cells") > 1) & (F.size("ls") > 1), F.array_join(F.concat(F.array(head, rule), rows), "\n")).otherwise(F.array_join("ls", "\n"))
+    done = parts.groupBy(*PAGE, "section").agg(F.array_join(F.array_sort(F.collect_list(F.struct("part", text.alias("t"))))["t"], "\n").alias("t"))
+    return done.groupBy(*PAGE).agg(F.array_join(F.array_sort(F.collect_list(F.struct("section", "t")))["t"], "\n\n").alias("markdown"))
 
 
 def running_lines(words: DataFrame, tolerance: float = Y_TOLERANCE) -> DataFrame:
@@ -13,13 +127,15 @@ def running_lines(words: DataFrame, tolerance: float = Y_TOLERANCE) -> DataFrame
 
     The recurrence is a fold over the page's sorted words, so it stays in the JVM and groups are single pages.
     """
-    page = words.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct(F.col("y0").cast("double").alias("y"), "x0"))).alias("ws"))
-    start = F.array().cast("array<struct<ref:double,n:int>>")
+    page = words.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(F.col("y0").cast("double").alias("y"), "x0"))).alias("ws"))
+    none = F.array().cast("array<struct<ref:double,n:int>>")
+    zero = F.struct(none.alias("done"), F.lit(0.0).alias("ref"), F.lit(0).alias("n"))
 
-    def step(lines, w):
-        last = F.element_at(lines, -1)
-        joins = (F.size(lines) > 0) & (F.abs(w["y"] - F.get(lines, F.size(lines) - 1)["ref"]) <= tolerance)
-        grown = F.concat(F.slice(lines, F.lit(1), F.size(lines) - 1), F.array(F.struct(((last["ref"] + w["y"]) / 2).alias("ref"), (last["n"] + 1).alias("n"))))
-        return F.when(joins, grown).otherwise(F.concat(lines, F.array(F.struct(w["y"].alias("ref"), F.lit(1).alias("n")))))
+    def step(s, w):
+        # only a finished line touches the array, so a word costs no copy of it
+        joins = (s["n"] > 0) & (F.abs(w["y"] - s["ref"]) <= tolerance)
+        ended = F.when(joins | (s["n"] == 0), s["done"]).otherwise(F.concat(s["done"], F.array(F.struct(s["ref"].alias("ref"), s["n"].alias("n")))))
+        return F.struct(ended.alias("done"), F.when(joins, (s["ref"] + w["y"]) / 2).otherwise(w["y"]).alias("ref"), F.when(joins, s["n"] + 1).otherwise(F.lit(1)).alias("n"))
 
-    return page.select("doc_id", "page", F.posexplode(F.aggregate("ws", start, step)).alias("line", "l")).select("doc_id", "page", "line", F.col("l.ref").alias("y"), F.col("l.n").alias("n"))
+    last = lambda s: F.concat(s["done"], F.array(F.struct(s["ref"].alias("ref"), s["n"].alias("n"))))
+    return page.select(*PAGE, F.posexplode(F.aggregate("ws", zero, step, last)).alias("line", "l")).select(*PAGE, "line", F.col("l.ref").alias("y"), F.col("l.n").alias("n"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..registry import query
 from ..sources.tables import SQL_INVOICES, SQL_ITEMS, Tables
-from .evaluating import accuracy_per_field, quality_flags, step_timings
+from .evaluating import FLAGS_SQL, JOINED_SQL, accuracy_per_field, quality_flags, step_timings
 
 
 @query(f"WITH {SQL_INVOICES} SELECT supplier, count(*) AS invoices, round(avg(total), 2) AS mean_total, round(avg(CASE WHEN n_lines > 0 THEN 1.0 ELSE 0.0 END) * 100, 2) AS found_pct FROM inv GROUP BY supplier ORDER BY invoices DESC, supplier LIMIT 5")
@@ -29,10 +29,12 @@ def ask_performance(spark: SparkSession, d: str) -> DataFrame:
     return step_timings(spark, d).select(F.col("step").alias("stage"), "mean").orderBy(F.desc("mean"))
 
 
+@query(f"{JOINED_SQL} SELECT field, count(*) AS n, CAST(sum(CAST(exact AS INT)) AS BIGINT) AS hits, round(avg(CASE WHEN exact THEN 1.0 ELSE 0.0 END), 4) AS score FROM j GROUP BY field ORDER BY score DESC, field")
 def ask_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return accuracy_per_field(spark, d).orderBy(F.desc("score"), "field")
 
 
+@query(FLAGS_SQL)
 def ask_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality_flags(spark, d)
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as X
+from ..operators import evidence as V
 from ..registry import query
 from ..sources.tables import Tables
 
@@ -27,7 +27,7 @@ def truth_and_predictions(t: Tables):
     return gt, pr.union(o.where(k % 17 == 0).select("doc_id", F.lit("EXTRA"), F.lit("x")))
 
 
-_JOINED = f"WITH {_EV}, j AS (SELECT doc_id, field, truth, pred, truth IS NOT NULL AND pred IS NOT NULL AND lower(truth) = lower(pred) AS exact FROM gt FULL JOIN pr USING (doc_id, field))"
+JOINED_SQL = f"WITH {_EV}, j AS (SELECT doc_id, field, truth, pred, truth IS NOT NULL AND pred IS NOT NULL AND lower(truth) = lower(pred) AS exact FROM gt FULL JOIN pr USING (doc_id, field))"
 
 
 def joined(t: Tables):
@@ -35,12 +35,12 @@ def joined(t: Tables):
     return gt.join(pr, ["doc_id", "field"], "full_outer").withColumn("exact", F.coalesce(F.lower("truth") == F.lower("pred"), F.lit(False)))
 
 
-@query(f"{_JOINED} SELECT field, count(*) AS n, CAST(sum(CAST(exact AS INT)) AS BIGINT) AS hits, round(avg(CASE WHEN exact THEN 1.0 ELSE 0.0 END), 4) AS score FROM j GROUP BY field")
+@query(f"{JOINED_SQL} SELECT field, count(*) AS n, CAST(sum(CAST(exact AS INT)) AS BIGINT) AS hits, round(avg(CASE WHEN exact THEN 1.0 ELSE 0.0 END), 4) AS score FROM j GROUP BY field")
 def accuracy_per_field(spark, d):
     return joined(Tables(spark, d)).groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("exact").cast("int")).alias("hits"), F.round(F.avg(F.when(F.col("exact"), 1.0).otherwise(0.0)), 4).alias("score"))
 
 
-@query(f"""{_JOINED}, c AS (SELECT field, CAST(count(*) FILTER (exact) AS DOUBLE) AS tp, CAST(count(*) FILTER (pred IS NOT NULL AND NOT exact) AS DOUBLE) AS fp, CAST(count(*) FILTER (truth IS NOT NULL AND NOT exact) AS DOUBLE) AS fn FROM j GROUP BY field)
+@query(f"""{JOINED_SQL}, c AS (SELECT field, CAST(count(*) FILTER (exact) AS DOUBLE) AS tp, CAST(count(*) FILTER (pred IS NOT NULL AND NOT exact) AS DOUBLE) AS fp, CAST(count(*) FILTER (truth IS NOT NULL AND NOT exact) AS DOUBLE) AS fn FROM j GROUP BY field)
 SELECT coalesce(field, 'ALL') AS field, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, round(2 * sum(tp) / greatest(2 * sum(tp) + sum(fp) + sum(fn), 1), 4) AS f1 FROM c GROUP BY ROLLUP (field)""")
 def entity_f1_micro(spark, d):
     """Counts and F1 of each field, and of all together, by one rollup."""
@@ -61,15 +61,13 @@ def detection_rate(spark, d):
     return truth_and_predictions(Tables(spark, d))[1].groupBy("field").agg(F.round(F.avg(F.when(F.col("pred").isNull(), 0.0).otherwise(1.0)), 4).alias("rate"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH b AS (SELECT item_id, text AS val, string_split(lower(text), ' ') AS ws FROM benchmark), x AS (SELECT item_id, d.doc_id, contains(lower(d.text), lower(val)) AS whole, len(list_intersect(ws, string_split(lower(d.text), ' '))) > 0 AS part FROM b JOIN documents d ON d.doc_id % 40 = item_id % 40)
-SELECT item_id, count(*) AS n, CAST(sum(CAST(whole OR part AS INT)) AS BIGINT) AS found FROM x GROUP BY item_id""")
+@query("""WITH b AS (SELECT item_id, lower(text) AS val, string_split(lower(text), ' ') AS ws FROM benchmark), s AS (SELECT doc_id, lower(text) AS src, string_split(lower(text), ' ') AS ds FROM documents)
+SELECT item_id, (SELECT count(*) FROM documents) AS n, CAST(sum(CASE WHEN contains(src, val) OR list_has_any(ws, ds) THEN 1 ELSE 0 END) AS BIGINT) AS found FROM b, s GROUP BY item_id""")
 def faithfulness(spark, d):
-    """Values of which a word, or the whole, stands in the source text."""
+    """In how many of all documents a word of a value, or the whole, stands."""
     t = Tables(spark, d)
-    b = t.benchmark.select("item_id", F.lower("text").alias("val"), (F.col("item_id") % 40).alias("k"))
-    x = t.documents.select(F.lower("text").alias("src"), (F.col("doc_id") % 40).alias("k")).join(b, "k")
-    found = F.contains("src", F.col("val")) | F.arrays_overlap(F.split("val", " "), F.split("src", " "))
-    return x.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.sum(found.cast("int")).alias("found"))
+    found = V.documents_with_evidence(t.benchmark.select("item_id", F.col("text").alias("value")), t.documents.select("doc_id", F.col("text").alias("source")))
+    return found.join(F.broadcast(t.documents.agg(F.count(F.lit(1)).alias("n")))).select("item_id", "n", "found")
 
 
 _TIER = """CASE WHEN val = src THEN 1.0 WHEN contains(src, val) THEN 0.9 WHEN ov > 0.7 THEN 0.8 * ov ELSE 0.0 END"""
@@ -99,8 +97,11 @@ def reasoning_confidence(spark, d):
     return Tables(spark, d).documents.select("doc_id", F.round(s + 1e-9, 4).alias("score"))
 
 
-@query("""SELECT count(*) AS n, round(avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END) * 100, 4) AS good_pct, round(avg(CASE WHEN toxic = 1 THEN 1.0 ELSE 0.0 END) * 100, 4) AS toxic_pct,
-  CASE WHEN avg(quality) >= 0.8 THEN 'PASS' WHEN avg(quality) < 0.5 THEN 'FAIL' ELSE 'PARTIAL' END AS verdict FROM labels""")
+FLAGS_SQL = """SELECT count(*) AS n, round(avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END) * 100, 4) AS good_pct, round(avg(CASE WHEN toxic = 1 THEN 1.0 ELSE 0.0 END) * 100, 4) AS toxic_pct,
+  CASE WHEN avg(quality) >= 0.8 THEN 'PASS' WHEN avg(quality) < 0.5 THEN 'FAIL' ELSE 'PARTIAL' END AS verdict FROM labels"""
+
+
+@query(FLAGS_SQL)
 def quality_flags(spark, d):
     q = F.avg("quality")
     return Tables(spark, d).labels.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("quality") == 1, 1.0).otherwise(0.0)) * 100, 4).alias("good_pct"), F.round(F.avg(F.when(F.col("toxic") == 1, 1.0).otherwise(0.0)) * 100, 4).alias("toxic_pct"), F.when(q >= 0.8, "PASS").when(q < 0.5, "FAIL").otherwise("PARTIAL").alias("verdict"))

@@ -1,83 +1,91 @@
-"""Queries on word boxes: lines, cells, spatial relations, keys and values, spans of values."""
+"""Queries on word boxes: lines, cells, spatial relations, keys and values, spans of values. All pages of all texts."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.text import count_contained
-from ..operators.layout import running_lines
+from ..operators import layout as P
 from ..registry import query
 from ..sources.tables import SQL_WORDS, Tables
 
+_LINES = f"""{SQL_WORDS}, med AS (SELECT doc_id, page, list_sort(list(y1 - y0))[count(*) // 2 + 1] AS height, list_sort(list((x1 - x0) / greatest(length(word), 1)::DOUBLE))[count(*) // 2 + 1] AS char FROM words GROUP BY doc_id, page),
+j AS (SELECT w.*, height, char, CASE WHEN abs(y0 - lag(y0) OVER d) > greatest(0.6 * height, 5) THEN 1 ELSE 0 END AS jump FROM words w JOIN med USING (doc_id, page) WINDOW d AS (PARTITION BY w.doc_id, w.page ORDER BY y0, x0, pos)),
+l AS (SELECT *, sum(jump) OVER (PARTITION BY doc_id, page ORDER BY y0, x0, pos) AS line FROM j),
+g AS (SELECT *, CASE WHEN x0 - lag(x1) OVER a > greatest(2 * char, 10) THEN 1 ELSE 0 END AS gap FROM l WINDOW a AS (PARTITION BY doc_id, page, line ORDER BY x0, pos)),
+c AS (SELECT *, sum(gap) OVER (PARTITION BY doc_id, page, line ORDER BY x0, pos) AS cell FROM g),
+ct AS (SELECT doc_id, page, line, cell, string_agg(word, ' ' ORDER BY x0, pos) AS t, count(*) AS n, min(y0) AS top, max(y1) AS bottom, any_value(height) AS height FROM c GROUP BY doc_id, page, line, cell),
+lt AS (SELECT doc_id, page, line, string_agg(t, ' | ' ORDER BY cell) AS content, count(*) AS cells, sum(n) AS n, min(top) AS top, max(bottom) AS bottom, any_value(height) AS height FROM ct GROUP BY doc_id, page, line),
+lg AS (SELECT *, top - lag(bottom) OVER (PARTITION BY doc_id, page ORDER BY line) AS gap FROM lt),
+um AS (SELECT doc_id, page, list_sort(list(gap) FILTER (gap IS NOT NULL))[count(gap) // 2 + 1] AS usual FROM lg GROUP BY doc_id, page),
+sec AS (SELECT lg.*, sum(CASE WHEN gap > greatest(2 * usual, 2.5 * height, 10) THEN 1 ELSE 0 END) OVER (PARTITION BY lg.doc_id, lg.page ORDER BY line) AS section FROM lg JOIN um USING (doc_id, page))"""
 
-@query(f"""WITH {SQL_WORDS}, g AS (SELECT *, CASE WHEN y0 - lag(y0) OVER w > 5 THEN 1 ELSE 0 END AS new FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY y0, x0)), l AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY y0, x0) AS line FROM g)
-SELECT doc_id, CAST(line AS BIGINT) AS line, string_agg(word, ' ' ORDER BY x0) AS content, count(*) AS n FROM l GROUP BY doc_id, line""")
+
+@query(f"WITH {_LINES} SELECT doc_id, page, CAST(line AS BIGINT) AS line, content, cells, CAST(n AS BIGINT) AS n, CAST(section AS BIGINT) AS section FROM sec")
 def ocr_lines(spark, d):
-    w = W.partitionBy("doc_id").orderBy("y0", "x0")
-    g = Tables(spark, d).words.withColumn("new", F.when(F.col("y0") - F.lag("y0").over(w) > 5, 1).otherwise(0)).withColumn("line", F.sum("new").over(w))
-    rows = g.groupBy("doc_id", "line").agg(F.array_sort(F.collect_list(F.struct("x0", "word"))).alias("x"))
-    return rows.select("doc_id", "line", F.array_join("x.word", " ").alias("content"), F.size("x").cast("long").alias("n"))
+    return P.text_lines(Tables(spark, d).words).select("doc_id", "page", "line", "content", F.col("cells").cast("long").alias("cells"), "n", "section")
 
 
-@query(f"""WITH {SQL_WORDS}, e AS (SELECT *, x0 + 8 * length(word) AS x1 FROM words), g AS (SELECT *, CASE WHEN x0 - lag(x1) OVER w > 16 OR lag(x1) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY doc_id, y0 ORDER BY x0))
-SELECT doc_id, y0, CAST(sum(new) AS BIGINT) AS cells FROM g GROUP BY doc_id, y0""")
+@query(f"WITH {_LINES} SELECT doc_id, page, CAST(line AS BIGINT) AS line, CAST(max(cell) + 1 AS BIGINT) AS cells FROM c GROUP BY doc_id, page, line")
 def ocr_cells(spark, d):
-    w = W.partitionBy("doc_id", "y0").orderBy("x0")
-    e = Tables(spark, d).words.withColumn("x1", F.col("x0") + 8 * F.length("word"))
-    gap = F.col("x0") - F.lag("x1").over(w)
-    return e.withColumn("new", F.when(gap.isNull() | (gap > 16), 1).otherwise(0)).groupBy("doc_id", "y0").agg(F.sum("new").alias("cells"))
+    return P.lines_and_cells(Tables(spark, d).words).groupBy("doc_id", "page", "line").agg((F.max("cell") + 1).alias("cells"))
+
+
+@query(f"""WITH {_LINES}, r AS (SELECT *, CASE WHEN cells = lag(cells) OVER w THEN 0 ELSE 1 END AS new FROM sec WINDOW w AS (PARTITION BY doc_id, page, section ORDER BY line)),
+p AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page, section ORDER BY line) AS part FROM r), k AS (SELECT *, count(*) OVER (PARTITION BY doc_id, page, section, part) AS m, row_number() OVER (PARTITION BY doc_id, page, section, part ORDER BY line) AS i FROM p),
+t AS (SELECT doc_id, page, section, line, CASE WHEN cells < 2 OR m < 2 THEN content WHEN i > 1 THEN '| ' || content || ' |' ELSE '| **' || replace(content, ' | ', '** | **') || '** |' || chr(10) || '|' || repeat('---|', cells) END AS s FROM k),
+s AS (SELECT doc_id, page, section, string_agg(s, chr(10) ORDER BY line) AS s FROM t GROUP BY doc_id, page, section)
+SELECT doc_id, page, string_agg(s, chr(10) || chr(10) ORDER BY section) AS markdown FROM s GROUP BY doc_id, page""")
+def ocr_markdown(spark, d):
+    return P.page_markdown(Tables(spark, d).words)
+
+
+@query(f"WITH {SQL_WORDS} SELECT doc_id, page, string_agg(printf('[%d,%d,%d,%d] %s', x0, y0, x1, y1, word), chr(10) ORDER BY pos) AS text FROM words GROUP BY doc_id, page")
+def ocr_layout_text(spark, d):
+    return P.layout_text(Tables(spark, d).words)
 
 
-@query(f"""WITH {SQL_WORDS}, p AS (SELECT a.doc_id, abs(a.y0 - b.y0) / 600.0 AS dy, abs(a.x0 - b.x0) / 800.0 AS dx FROM words a JOIN words b ON a.doc_id = b.doc_id AND a.pos < b.pos WHERE a.pos < 30 AND b.pos < 30),
-r AS (SELECT doc_id, CASE WHEN dy <= 0.02 THEN CASE WHEN dx < 0.015 THEN 'same_column' ELSE 'right_of' END ELSE 'below' END AS relation FROM p) SELECT doc_id, relation, count(*) AS n FROM r GROUP BY doc_id, relation""")
+@query(f"""WITH {SQL_WORDS}, p AS (SELECT a.doc_id, a.page, abs(a.y0 - b.y0) / 600.0 AS dy, abs(a.x0 - b.x0) / 800.0 AS dx FROM words a JOIN words b ON a.doc_id = b.doc_id AND a.page = b.page AND a.pos < b.pos),
+r AS (SELECT doc_id, page, CASE WHEN dy <= 0.02 THEN CASE WHEN dx < 0.015 THEN 'same_column' ELSE 'right_of' END ELSE 'below' END AS relation FROM p) SELECT doc_id, page, relation, count(*) AS n FROM r GROUP BY doc_id, page, relation""")
 def spatial_edges(spark, d):
-    """Relations of word pairs of a page's head; pairs are built inside the page's array, nothing is shuffled twice."""
-    words = Tables(spark, d).words.where("pos < 30")
-    a, b = words.select("doc_id", "pos", "x0", "y0"), words.select("doc_id", F.col("pos").alias("p2"), F.col("x0").alias("x2"), F.col("y0").alias("y2"))
-    dy, dx = F.abs(F.col("y0") - F.col("y2")) / 600, F.abs(F.col("x0") - F.col("x2")) / 800
-    r = a.join(b, "doc_id").where("pos < p2").select("doc_id", F.when(dy <= 0.02, F.when(dx < 0.015, "same_column").otherwise("right_of")).otherwise("below").alias("relation"))
-    return r.groupBy("doc_id", "relation").agg(F.count(F.lit(1)).alias("n"))
+    return P.spatial_relations(Tables(spark, d).words)
 
 
 _KV = "[" + ", ".join(f"'{w}'" for w in L.KV_LABELS) + "]"
 
 
-@query(f"""WITH {SQL_WORDS}, s AS (SELECT *, lead(word, 1) OVER w AS w1, lead(x0, 1) OVER w AS a1, lead(y0, 1) OVER w AS b1 FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY y0, x0))
-SELECT doc_id, pos, lower(rtrim(word, ':,')) AS label, CASE WHEN b1 = y0 AND a1 > x0 AND (a1 - x0) / 800.0 < 0.5 THEN w1 END AS value FROM s WHERE len(list_filter({_KV}, lambda k: contains(lower(rtrim(word, ':,')), k))) > 0""")
+@query(f"""WITH {SQL_WORDS}, s AS (SELECT *, lead(word, 1) OVER w AS w1, lead(x0, 1) OVER w AS a1, lead(y0, 1) OVER w AS b1 FROM words WINDOW w AS (PARTITION BY doc_id, page ORDER BY y0, x0, pos))
+SELECT doc_id, page, pos, lower(rtrim(word, ':,')) AS label, CASE WHEN b1 = y0 AND a1 > x0 AND (a1 - x0) / 800.0 < 0.5 THEN w1 END AS value FROM s WHERE len(list_filter({_KV}, lambda k: contains(lower(rtrim(word, ':,')), k))) > 0""")
 def kv_pairs(spark, d):
-    w = W.partitionBy("doc_id").orderBy("y0", "x0")
-    label = F.lower(F.rtrim("word", F.lit(":,")))
-    s = Tables(spark, d).words.withColumns({"w1": F.lead("word").over(w), "a1": F.lead("x0").over(w), "b1": F.lead("y0").over(w), "label": label})
-    near = (F.col("b1") == F.col("y0")) & (F.col("a1") > F.col("x0")) & ((F.col("a1") - F.col("x0")) / 800 < 0.5)
-    return s.where(count_contained(F.col("label"), L.KV_LABELS) > 0).select("doc_id", "pos", "label", F.when(near, F.col("w1")).alias("value"))
+    return P.key_values(Tables(spark, d).words, L.KV_LABELS)
 
 
-@query(f"""WITH {SQL_WORDS}, v AS (SELECT doc_id, pos, word FROM words WHERE pos = doc_id % 20), m AS (SELECT w.doc_id, w.pos, w.x0, w.y0 FROM words w JOIN v ON v.doc_id = w.doc_id AND lower(v.word) = lower(w.word))
-SELECT doc_id, CAST(min(pos) AS INT) AS first_pos, min(x0) AS x0, min(y0) AS y0, max(x0) + 80 AS x1, max(y0) + 20 AS y1, count(*) AS n FROM m GROUP BY doc_id""")
+@query(f"""WITH {SQL_WORDS}, v AS (SELECT DISTINCT a.doc_id, lower(a.word) || ' ' || lower(b.word) AS value FROM words a JOIN words b ON a.doc_id = b.doc_id AND a.page = b.page AND b.pos = a.pos + 1 WHERE a.page = 0 AND a.pos = a.doc_id % 20)
+SELECT a.doc_id, a.page, value, a.pos, least(a.x0, b.x0) AS x0, least(a.y0, b.y0) AS y0, greatest(a.x1, b.x1) AS x1, greatest(a.y1, b.y1) AS y1
+FROM v JOIN words a ON a.doc_id = v.doc_id JOIN words b ON a.doc_id = b.doc_id AND a.page = b.page AND b.pos = a.pos + 1 WHERE lower(a.word) || ' ' || lower(b.word) = value AND trim(value) <> ''""")
 def value_to_span(spark, d):
-    """Words equal to a document's value, and the box around them."""
+    """Where a value of two words stands in its document: every page, every occurrence, with its box."""
     words = Tables(spark, d).words
-    v = words.where("pos = doc_id % 20").select("doc_id", F.lower("word").alias("value"))
-    m = words.withColumn("value", F.lower("word")).join(v, ["doc_id", "value"])
-    return m.groupBy("doc_id").agg(F.min("pos").alias("first_pos"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), (F.max("x0") + 80).alias("x1"), (F.max("y0") + 20).alias("y1"), F.count(F.lit(1)).alias("n"))
+    head = words.where("page = 0 and pos in (doc_id % 20, doc_id % 20 + 1)").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("x"))
+    return P.value_spans(words, head.where(F.size("x") == 2).select("doc_id", F.array_join("x.word", " ").alias("value")))
 
 
-@query(f"WITH {SQL_WORDS} SELECT doc_id, min(x0) AS x0, min(y0) AS y0, max(x0) + 80 AS x1, max(y0) + 20 AS y1, CAST(trunc(1000 * max(x0) / 800) AS INT) AS nx FROM words GROUP BY doc_id")
+@query(f"WITH {SQL_WORDS} SELECT doc_id, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, CAST(trunc(1000 * min(x0) / 800) AS INT) AS nx, CAST(trunc(1000 * max(y1) / 600) AS INT) AS ny, count(*) AS n FROM words GROUP BY doc_id, page")
 def bbox_union(spark, d):
-    return Tables(spark, d).words.groupBy("doc_id").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), (F.max("x0") + 80).alias("x1"), (F.max("y0") + 20).alias("y1"), (1000 * F.max("x0") / 800).cast("int").alias("nx"))
+    return P.box(Tables(spark, d).words, "doc_id", "page").withColumns({"nx": (1000 * F.col("x0") / 800).cast("int"), "ny": (1000 * F.col("y1") / 600).cast("int")})
 
 
-@query(f"WITH {SQL_WORDS}, v AS (SELECT doc_id, lower(word) AS v FROM words WHERE pos = 3) SELECT w.doc_id, round(avg(conf) + 1e-9, 4) AS confidence FROM words w JOIN v USING (doc_id) WHERE contains(v, lower(word)) OR contains(lower(word), v) GROUP BY w.doc_id")
+@query(f"WITH {SQL_WORDS}, v AS (SELECT doc_id, lower(word) AS v FROM words WHERE page = 0 AND pos = 3) SELECT w.doc_id, round(avg(conf) + 1e-9, 4) AS confidence FROM words w JOIN v USING (doc_id) WHERE contains(v, lower(word)) OR contains(lower(word), v) GROUP BY w.doc_id")
 def confidence_source(spark, d):
-    """Mean confidence of the words that contain a value or that it contains."""
+    """Mean confidence of the words that contain a value or that it contains, over all pages."""
     words = Tables(spark, d).words
-    v = words.where("pos = 3").select("doc_id", F.lower("word").alias("v"))
+    v = words.where("page = 0 and pos = 3").select("doc_id", F.lower("word").alias("v"))
     low = F.lower("word")
     return words.join(v, "doc_id").where(F.contains("v", low) | F.contains(low, F.col("v"))).groupBy("doc_id").agg(F.round(F.avg("conf") + 1e-9, 4).alias("confidence"))
 
 
-@query()
+@query(f"""WITH {SQL_WORDS}, p AS (SELECT doc_id, page, list(CAST(y0 AS DOUBLE) ORDER BY y0, x0) AS ys FROM words GROUP BY doc_id, page),
+f AS (SELECT doc_id, page, list_reduce(list_transform(ys, lambda y: [{{'ref': y, 'n': 1}}]), lambda a, w: CASE WHEN abs(w[1].ref - a[-1].ref) <= 12 THEN list_append(a[1:len(a) - 1], {{'ref': (a[-1].ref + w[1].ref) / 2, 'n': a[-1].n + 1}}) ELSE list_concat(a, w) END) AS ls FROM p)
+SELECT doc_id, page, i - 1 AS line, l.ref AS y, l.n AS n FROM (SELECT doc_id, page, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS i FROM f)""")
 def ocr_running_lines(spark, d):
-    return running_lines(Tables(spark, d).page_words)
+    return P.running_lines(Tables(spark, d).words)

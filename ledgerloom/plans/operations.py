@@ -81,10 +81,10 @@ def flat_pagination(spark, d):
     return Tables(spark, d).orders.select(F.col("o_orderkey").alias("doc_id")).orderBy("doc_id").offset(40).limit(20)
 
 
-@query("""SELECT conv_id, label, list_words FROM (SELECT conv_id, role AS label, string_agg(left(text, 12), '|' ORDER BY turn) AS list_words FROM conversations WHERE role <> 'system' GROUP BY conv_id, role)""")
+@query("""SELECT conv_id, label, list_words FROM (SELECT conv_id, role AS label, string_agg(text, '|' ORDER BY turn, text) AS list_words FROM conversations WHERE role <> 'system' GROUP BY conv_id, role)""")
 def gt_field_dict(spark, d):
-    """Labels of a document with their values in order; the outside label is dropped."""
-    g = Tables(spark, d).conversations.where("role <> 'system'").groupBy("conv_id", F.col("role").alias("label")).agg(F.array_sort(F.collect_list(F.struct("turn", F.left("text", F.lit(12)).alias("v")))).alias("x"))
+    """Labels of a document with their whole values in order; the outside label is dropped."""
+    g = Tables(spark, d).conversations.where("role <> 'system'").groupBy("conv_id", F.col("role").alias("label")).agg(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("v")))).alias("x"))
     return g.select("conv_id", "label", F.array_join("x.v", "|").alias("list_words"))
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.text import cosine
 from ..operators import ranking as R
 from ..registry import query
 from ..sources.tables import Tables
@@ -32,24 +31,21 @@ _DENSE = """v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS D
 dense AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, list_dot_product(q.a, v.a) / (sqrt(list_dot_product(q.a, q.a)) * sqrt(list_dot_product(v.a, v.a))) AS score FROM v q, v WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)"""
 
 
-def _dense(t: Tables):
-    v = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("a"))
-    q = v.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("a").alias("b"))
-    return q.join(v, F.col("query_id") != F.col("doc_id")).select("query_id", "doc_id", cosine(F.col("a"), F.col("b")).alias("score"))
+def _dense(t: Tables, k: int):
+    v = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
+    return R.dense(v, v.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"), k)
 
 
 @query(f"WITH {_DENSE} SELECT query_id, rank, doc_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM dense) WHERE rank <= 5")
 def dense_topk(spark, d):
-    return R.top_k(_dense(Tables(spark, d)), 5).select("query_id", "rank", "doc_id", F.round("score", 4).alias("score"))
+    return R.top_k(_dense(Tables(spark, d), 5), 5).select("query_id", "rank", "doc_id", F.round("score", 4).alias("score"))
 
 
 _OVER = f"""ov AS (SELECT query_id, doc_id, CAST(sum(2) AS DOUBLE) AS score FROM (SELECT DISTINCT query_id, w FROM q WHERE length(w) > 3) JOIN (SELECT DISTINCT doc_id, w FROM tf) USING (w) GROUP BY query_id, doc_id)"""
 
 
 def _overlap(t: Tables):
-    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(R.words(F.col("text")))).alias("w")).where(F.length("w") > 3)
-    held = t.documents.select("doc_id", F.explode(F.array_distinct(R.words(F.col("text")))).alias("w"))
-    return asked.join(held, "w").groupBy("query_id", "doc_id").agg((F.count(F.lit(1)) * 2.0).alias("score"))
+    return R.overlap(t.documents, t.benchmark.select(F.col("item_id").alias("query_id"), "text"))
 
 
 @query(f"WITH {_BM25}, {_OVER} SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ov) WHERE rank <= 5")

@@ -24,9 +24,11 @@ SQL_ITEMS = """items AS (
   FROM lineitem
 )"""
 
+#: All words of each text on pages of 200; ten words a line, a larger gap after every fifth line.
 SQL_WORDS = """words AS (
-  SELECT doc_id, CAST(i AS INT) AS pos, w[i + 1] AS word, (i % 10) * 80 AS x0, (i // 10) * 20 AS y0, ((i * 37) % 100) / 100.0::DOUBLE AS conf
-  FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM (SELECT doc_id, string_split(replace(text, chr(10), ' '), ' ')[1:200] AS w FROM documents))
+  SELECT doc_id, i // 200 AS page, CAST(i % 200 AS INT) AS pos, word, (i % 10) * 80 AS x0, (i % 200 // 10) * 20 + (i % 200 // 50) * 50 AS y0,
+    (i % 10) * 80 + 8 * length(word) AS x1, (i % 200 // 10) * 20 + (i % 200 // 50) * 50 + 16 AS y1, ((i % 200 * 37) % 100) / 100.0::DOUBLE AS conf
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM (SELECT doc_id, string_split(replace(text, chr(10), ' '), ' ') AS w FROM documents))
 )"""
 
 #: Number strings in the formats that the parsers differ on.
@@ -74,19 +76,16 @@ class Tables:
 
     @property
     def words(self) -> DataFrame:
-        """Words of the first page of each text (200 words) with boxes on a grid: doc_id, pos, word, x0, y0, conf."""
-        page = F.slice(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), 1, 200)
-        pos = F.col("pos")
-        return self.documents.select("doc_id", F.posexplode(page).alias("pos", "word")).select(
-            "doc_id", "pos", "word", (pos % 10 * 80).cast("long").alias("x0"), (F.floor(pos / 10) * 20).cast("long").alias("y0"), ((pos * 37 % 100) / F.lit(100.0)).alias("conf"))
-
-    @property
-    def page_words(self) -> DataFrame:
-        """All words of each text on pages of 200, with boxes as of `words`: doc_id, page, pos, word, x0, y0, conf."""
+        """All words of each text, on pages of 200, with boxes on a grid: doc_id, page, pos, word, x0, y0, x1, y1, conf."""
         every = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
-        pos = F.col("at") % 200
-        return self.documents.select("doc_id", F.posexplode(every).alias("at", "word")).select(
-            "doc_id", F.floor(F.col("at") / 200).alias("page"), pos.alias("pos"), "word", (pos % 10 * 80).cast("long").alias("x0"), (F.floor(pos / 10) * 20).cast("long").alias("y0"), ((pos * 37 % 100) / F.lit(100.0)).alias("conf"))
+        pos, x0 = F.col("pos"), F.col("pos") % 10 * 80
+        y0 = F.floor(pos / 10) * 20 + F.floor(pos / 50) * 50
+        placed = self.documents.select("doc_id", F.posexplode(every).alias("at", "word"))
+        placed = placed.select("doc_id", F.floor(F.col("at") / 200).alias("page"), (F.col("at") % 200).alias("pos"), "word")
+        return placed.select(
+            "*", x0.cast("long").alias("x0"), y0.cast("long").alias("y0"), (x0 + 8 * F.length("word")).cast("long").alias("x1"),
+            (y0 + 16).cast("long").alias("y1"), ((pos * 37 % 100) / F.lit(100.0)).alias("conf"),
+        )
 
     @property
     def numbers(self) -> DataFrame:
