@@ -62,3 +62,13 @@ def export_number(c: Column) -> Column:
     """Two decimals, or 0.00 where the text has other characters than digits, points and commas."""
     value = F.coalesce(F.when(c.rlike(r"^[0-9.,]+$"), guarded(F.replace(c, F.lit(","), F.lit(".")))), F.lit(0.0))
     return F.format_string("%.2f", F.floor(value * 100 + 0.5) / 100)
+
+
+def is_amount(c: Column) -> Column:
+    """Whether the normal form of the text is a number."""
+    return F.coalesce(guarded(normal_number(c)).isNotNull(), F.lit(False))
+
+
+def money(c: Column) -> Column:
+    """Comma is a point, € and $ dropped; null where that is no number."""
+    return guarded(F.translate(F.replace(c, F.lit(","), F.lit(".")), "€$", ""))

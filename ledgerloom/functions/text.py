@@ -83,3 +83,67 @@ def count_contained(c: Column, words: list[str]) -> Column:
 def repaired_json(c: Column) -> Column:
     """A variant from the text, else from what lies between its first and last brace, else null."""
     return F.coalesce(F.try_parse_json(c), F.try_parse_json(F.regexp_extract(c, r"(?s)\{.*\}", 0)))
+
+
+def plain_words(c: Column) -> Column:
+    """Small letters without accents and punctuation; letters of other scripts stay."""
+    return F.regexp_replace(F.translate(F.lower(c), ACCENTED, PLAIN), r"(?U)[^\w\s]", "")
+
+
+def light(c: Column) -> Column:
+    """Trimmed, small, a comma as a point, without currency signs."""
+    return without(F.replace(F.lower(F.trim(c)), F.lit(","), F.lit(".")), SIGNS)
+
+
+def overlap_f1(value: Column, source: Column) -> Column:
+    """1 if the source has all words of the value, else the F1 of the distinct words of both; 0 where one has none."""
+    x, y = (F.array_distinct(tokens(fold(c))) for c in (value, source))
+    n, m, both = F.size(x), F.size(y), F.size(F.array_intersect(x, y))
+    f1 = F.round(2.0 * both / (n + m) + 1e-12, 3)
+    return F.when((n <= 0) | (m <= 0), 0.0).when(both == n, 1.0).otherwise(f1)
+
+
+#: Texts that stand for no value, patterns of formats by field, and of dates.
+PLACEHOLDERS = ["n/a", "null", "none", "unknown", "not found"]
+_AMOUNT = [r"[0-9,]+\.?[0-9]*", r"€[0-9,]+", r"\$[0-9,]+"]
+FORMATS = {
+    "NUMBER": [r"FACTU[/0-9]+", r"INV[-0-9]+", r"FA[-0-9]+", r"[0-9]{4,}"],
+    "INVOICE_DATE": [r"[0-9]{2}/[0-9]{2}/[0-9]{4}", r"[0-9]{4}-[0-9]{2}-[0-9]{2}", r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}"],
+    "TOTAL_AMOUNT": _AMOUNT, "TOTAL_UNTAXED": _AMOUNT, "TAX_AMOUNT": _AMOUNT, "LINE/QUANTITY": [r"[0-9]+\.?[0-9]*"], "LINE/UNIT_PRICE": _AMOUNT, "LINE/SUB_TOTAL": _AMOUNT,
+}
+_MONTHS = "(January|February|March|April|May|June|July|August|September|October|November|December)"
+DATES = [r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}", r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}", r"[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{2,4}", rf"{_MONTHS}\s+[0-9]{{1,2}},?\s+[0-9]{{4}}", rf"[0-9]{{1,2}}\s+{_MONTHS}\s+[0-9]{{4}}"]
+#: Identifiers that a text may hold, by kind.
+IDENTIFIERS = {"Invoice Number": [r"\b(FA[0-9]{2}/[0-9]{4}/[0-9]+)\b", r"\b(INV[-_]?[0-9]+)\b"], "Reference": [r"\b(BC[0-9]+)\b", r"\b(PO[-_]?[0-9]+)\b"]}
+
+
+def value_quality(c: Column) -> Column:
+    """`empty`, `high` (3 to 499 characters and no placeholder), else `medium`."""
+    v = F.trim(c)
+    return F.when(c.isNull() | (v == ""), "empty").when((F.length(v) > 2) & (F.length(v) < 500) & ~F.lower(v).isin(*PLACEHOLDERS), "high").otherwise("medium")
+
+
+def format_score(field: Column, value: Column) -> Column:
+    """1 if a pattern of the field is found, 0.3 if none, 0.5 for a field without patterns, 0 for an empty value."""
+    out = F.when(value.isNull() | (F.trim(value) == ""), 0.0)
+    for name, patterns in FORMATS.items():
+        out = out.when(field == name, F.when(value.rlike("(?i)" + "|".join(patterns)), 1.0).otherwise(0.3))
+    return out.otherwise(0.5)
+
+
+def like_a_date(c: Column) -> Column:
+    return c.rlike("|".join(DATES))
+
+
+def has_separator(c: Column) -> Column:
+    """Whether a date has a slash, a dash or a point in it."""
+    return c.rlike(r"[/.-]")
+
+
+def missing_identifiers(source: Column, known: Column) -> Column:
+    """Lines `- kind: identifier` of those that the source holds and `known` doesn't, in the order of kinds and places."""
+    def of(kind: str, pattern: str) -> Column:
+        matches = F.regexp_extract_all(source, F.lit("(?i)" + pattern), F.lit(1))
+        return F.transform(F.filter(matches, lambda m: ~F.contains(known, m)), lambda m: F.concat(F.lit(f"- {kind}: "), m))
+
+    return F.array_join(F.concat(*[of(kind, p) for kind, ps in IDENTIFIERS.items() for p in ps]), "\n")

@@ -70,3 +70,14 @@ def direct_confidence(errors: Column, warnings: Column, bad_format: Column) -> C
 
 def validator_adjustment(errors: Column, warnings: Column) -> Column:
     return -0.3 * errors - 0.1 * warnings
+
+
+def consistency(total: Column, untaxed: Column, tax: Column, lines: Column) -> Column:
+    """Scores of three fields by the others: total (1 if it isn't below the untaxed amount, else 0.3), tax (1 within a cent of
+    the difference, 0.7 within one, else 0.3), untaxed (1 within a cent of the sum of lines, 0.7 within a tenth, else 0.3);
+    0.5 where something is missing."""
+    grade = lambda gap, near: F.when(gap < 0.01, 1.0).when(near, 0.7).otherwise(0.3)
+    gap_tax, gap_lines = F.abs(tax - (total - untaxed)), F.abs(lines - untaxed)
+    scores = {"TOTAL_AMOUNT": F.when(total >= untaxed, 1.0).otherwise(0.3), "TAX_AMOUNT": grade(gap_tax, gap_tax < 1), "TOTAL_UNTAXED": grade(gap_lines, gap_lines / F.greatest(lines, F.lit(1.0)) < 0.1)}
+    whole = {"TOTAL_AMOUNT": total + untaxed, "TAX_AMOUNT": total + untaxed + tax, "TOTAL_UNTAXED": lines + untaxed}
+    return F.struct(*[F.when(whole[k].isNull(), 0.5).otherwise(v).alias(k) for k, v in scores.items()])

@@ -31,6 +31,26 @@ SQL_WORDS = """words AS (
   FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM (SELECT doc_id, string_split(replace(text, chr(10), ' '), ' ') AS w FROM documents))
 )"""
 
+#: Fields of the pages of a customer's documents in long form, each order a page, with gaps and odd forms by its key.
+SQL_FIELDS = """heads AS (
+  SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page, o_orderkey AS k, c_name AS name, c_nationkey AS nation, o_orderdate AS day, CAST(trunc(o_totalprice) AS BIGINT) AS net
+  FROM orders JOIN customer ON o_custkey = c_custkey
+), fields AS (
+  SELECT doc_id, page, k, unnest(['NUMBER', 'SUPPLIER', 'SUPPLIER_NAME', 'ADDRESS', 'IBAN', 'INVOICE_DATE', 'TOTAL', 'TOTAL_UNTAXED', 'TOTAL_AMOUNT', 'TAX_AMOUNT', 'LINE/DESCRIPTION']) AS field, unnest([
+    CASE WHEN k % 6 = 0 THEN concat('FA', k) ELSE CAST(k AS VARCHAR) END,
+    CASE WHEN k % 5 = 0 THEN NULL WHEN k % 5 = 1 THEN 'null' ELSE name END, CASE WHEN k % 4 = 0 THEN name END, CASE WHEN k % 3 = 0 THEN '' ELSE concat('nation ', nation) END,
+    CASE WHEN k % 7 = 0 THEN concat('FR76 ', k) ELSE concat('fr', 1000 + nation) END,
+    CASE k % 4 WHEN 0 THEN strftime(day, '%Y-%m-%d') WHEN 1 THEN strftime(day, '%d/%m/%Y') WHEN 2 THEN strftime(day, '%Y%m%d') ELSE strftime(day, '%B %d %Y') END,
+    concat(CASE WHEN k % 9 = 0 THEN '-' ELSE '' END, net), CAST(net AS VARCHAR), concat('€', CASE WHEN k % 10 = 0 THEN net - 1 ELSE net + 100 END), concat(CASE k % 3 WHEN 0 THEN 100 WHEN 1 THEN 105 ELSE 100 END, CASE WHEN k % 3 = 2 THEN ',5' ELSE '' END),
+    CASE WHEN k % 2 = 0 THEN concat('item ', k % 10) END]) AS value FROM heads
+)"""
+#: Issues of those pages, each with the fields that it names.
+SQL_ISSUES = """issues AS (
+  SELECT doc_id, page, 'negative' AS rule, 'error' AS severity, concat('Negative total ', value) AS message, ['TOTAL'] AS fields FROM fields WHERE field = 'TOTAL' AND starts_with(value, '-')
+  UNION ALL SELECT doc_id, page, 'format', 'warning', concat('Date format unusual: ', value), ['INVOICE_DATE'] FROM fields WHERE field = 'INVOICE_DATE' AND NOT regexp_matches(value, '[/.-]')
+  UNION ALL SELECT doc_id, page, 'vat_context', 'warning', concat('Tax is ', value), ['TAX_AMOUNT', 'TOTAL'] FROM fields WHERE field = 'TAX_AMOUNT' AND starts_with(value, '105')
+)"""
+
 #: Number strings in the formats that the parsers differ on.
 SQL_NUMBERS = """numbers AS (
   SELECT p_partkey AS id, CASE p_partkey % 10
@@ -87,6 +107,41 @@ class Tables:
             (y0 + 16).cast("long").alias("y1"), ((pos * 37 % 100) / F.lit(100.0)).alias("conf"),
         )
 
+    @property
+    def fields(self) -> DataFrame:
+        """doc_id, page, k, field, value: the customers' orders as pages with fields."""
+        from pyspark.sql import Window as W
+
+        k, net, day = F.col("o_orderkey"), F.col("o_totalprice").cast("long"), F.col("o_orderdate")
+        who = self.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("string").alias("nation"))
+        text = lambda c: c.cast("string")
+        values = {
+            "NUMBER": F.when(k % 6 == 0, F.concat(F.lit("FA"), text(k))).otherwise(text(k)),
+            "SUPPLIER": F.when(k % 5 == 1, "null").when(k % 5 != 0, F.col("name")),
+            "SUPPLIER_NAME": F.when(k % 4 == 0, F.col("name")),
+            "ADDRESS": F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("nation "), "nation")),
+            "IBAN": F.when(k % 7 == 0, F.concat(F.lit("FR76 "), text(k))).otherwise(F.concat(F.lit("fr"), text(1000 + F.col("nation").cast("int")))),
+            "INVOICE_DATE": F.when(k % 4 == 0, F.date_format(day, "yyyy-MM-dd")).when(k % 4 == 1, F.date_format(day, "dd/MM/yyyy")).when(k % 4 == 2, F.date_format(day, "yyyyMMdd")).otherwise(F.date_format(day, "MMMM dd yyyy")),
+            "TOTAL": F.concat(F.when(k % 9 == 0, "-").otherwise(""), text(net)),
+            "TOTAL_UNTAXED": text(net),
+            "TOTAL_AMOUNT": F.concat(F.lit("€"), text(F.when(k % 10 == 0, net - 1).otherwise(net + 100))),
+            "TAX_AMOUNT": F.when(k % 3 == 0, "100").when(k % 3 == 1, "105").otherwise("100,5"),
+            "LINE/DESCRIPTION": F.when(k % 2 == 0, F.concat(F.lit("item "), text(k % 10))),
+        }
+        page = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long")
+        pairs = F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in values.items()])
+        heads = self.orders.select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate", page.alias("page")).join(who, "o_custkey")
+        return heads.select(F.col("o_custkey").alias("doc_id"), "page", k.alias("k"), F.explode(pairs).alias("f")).select("doc_id", "page", "k", "f.field", "f.value")
+
+    @property
+    def issues(self) -> DataFrame:
+        """doc_id, page, rule, severity, message, fields: what the rules say of those pages."""
+        f, v = self.fields, F.col("value")
+        found = lambda field, when, rule, severity, said, named: f.where((F.col("field") == field) & when).select("doc_id", "page", F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.concat(F.lit(said), v).alias("message"), F.array(*[F.lit(n) for n in named]).alias("fields"))
+        negative = found("TOTAL", v.startswith("-"), "negative", "error", "Negative total ", ["TOTAL"])
+        odd = found("INVOICE_DATE", ~v.rlike(r"[/.-]"), "format", "warning", "Date format unusual: ", ["INVOICE_DATE"])
+        return negative.union(odd).union(found("TAX_AMOUNT", v.startswith("105"), "vat_context", "warning", "Tax is ", ["TAX_AMOUNT", "TOTAL"]))
+
     @property
     def numbers(self) -> DataFrame:
         k = F.col("p_partkey")
