@@ -44,3 +44,10 @@ ROUTES = [
 ]
 KV_LABELS = ["total", "tva", "ttc", "ht", "montant", "date", "facture", "invoice", "n°", "n.", "ref", "client", "adresse", "tel"]
 ERP_COLUMNS = {"NUMBER": "InvoiceNumber", "SUPPLIER": "SupplierName", "ADDRESS": "SupplierAddress", "INVOICE_DATE": "InvoiceDate", "TOTAL": "NetAmount", "TOTAL_AMOUNT": "GrossAmount"}
+#: Colours of boxes: of ground truth, and of labels without a colour of their own.
+TRUTH_COLOUR, OTHER_COLOUR = "#3b82f6", "#95a5a6"
+LABEL_COLOURS = {
+    "NUMBER": "#ff4757", "SUPPLIER": "#2ed573", "ADDRESS": "#1e90ff", "INVOICE_DATE": "#ffa502", "INVOICE_DUE_DATE": "#ff6348", "PO_NUMBER": "#a29bfe", "TOTAL": "#00d2d3",
+    "TOTAL_AMOUNT": "#6c5ce7", "TOTAL_UNTAXED": "#7bed9f", "TAX_AMOUNT": "#e056fd", "LINE/DESCRIPTION": "#f9ca24", "LINE/QUANTITY": "#0abde3", "LINE/UOM": "#26de81", "LINE/PRICE": "#45aaf2",
+    "LINE/SUB_TOTAL": "#fc5c65", "LINE/TAX": "#8854d0", "O": "#95a5a6",
+}

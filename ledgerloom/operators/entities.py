@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.text import tokens
+from ..sources.folders import shared
 
 #: Words that a supplier's name is compared without, and cutoffs of match, entity and edge.
 LEGAL = ["sarl", "sa", "sas", "sasu", "sci", "scop", "llc", "inc", "corp", "ltd", "limited", "gmbh", "ag", "spa", "sl", "nv", "bv", "ab", "eurl", "ei", "micro-entreprise", "auto-entrepreneur"]
@@ -81,6 +82,21 @@ def candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     return met.select("id", "name", "vendor_id", "vendor")
 
 
+def by_rare_words(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """Pairs of rows with word lists `a` and `b` (distinct words) that may have a Jaccard similarity of `least` or more, once
+    each: an equi-join on the rarest n - ceil(least * n) + 1 words of either list, the only ones that can decide it."""
+    often = right.select(F.explode("b").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+
+    def rarest(rows: DataFrame, words: str, id_name: str) -> DataFrame:
+        ranked = rows.select(id_name, F.size(words).alias("n"), F.explode(words).alias("w")).join(often, "w", "left")
+        place = F.row_number().over(W.partitionBy(id_name).orderBy(F.coalesce("df", F.lit(0)), "w"))
+        return ranked.withColumn("k", place).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select(id_name, "w")
+
+    ids = left.columns[0], right.columns[0]
+    pairs = rarest(left, "a", ids[0]).join(rarest(right, "b", ids[1]), "w").select(*ids).distinct()
+    return pairs.join(left, ids[0]).join(right, ids[1])
+
+
 def best_vendor(left: DataFrame, right: DataFrame, least: float = MATCH) -> DataFrame:
     """For each (id, name) the most similar (vendor_id, vendor) of at least `least`; ties go to the smaller vendor_id."""
     scored = candidates(left, right, least).withColumn("score", token_sort_ratio("name", "vendor"))
@@ -96,15 +112,24 @@ def likely_same(names: DataFrame, least: float = EDGE) -> DataFrame:
 
 
 def entities(names: DataFrame, least: float = ENTITY) -> DataFrame:
-    """id, entity (smallest id that similar names lead to): least labels spread over the links until none changes."""
+    """id, entity (smallest id that similar names lead to): labels spread over the links, two steps a round by way of the
+    label's own label, until none changes; each round is cut off from the last by a checkpoint, where one is configured."""
     links = likely_same(names, least).select("id", "other")
-    both = links.union(links.select("other", "id")).withColumnsRenamed({"id": "a", "other": "b"}).persist()
+    both = _cut(links.union(links.select("other", "id")).withColumnsRenamed({"id": "a", "other": "b"}))
     now = names.select("id", F.col("id").alias("entity"))
     while True:
         spread = both.join(now.select(F.col("id").alias("b"), "entity"), "b").groupBy("a").agg(F.min("entity").alias("low"))
-        after = now.join(spread, F.col("id") == F.col("a"), "left").select("id", F.least("entity", F.coalesce("low", "entity")).alias("entity"), (F.col("low") < F.col("entity")).alias("moved"))
-        after = after.persist()
-        moved = not after.where("moved").isEmpty()
-        now = after.select("id", "entity")
-        if not moved:
+        near = now.join(spread, F.col("id") == F.col("a"), "left").select("id", "entity", F.least("entity", F.coalesce("low", "entity")).alias("low"))
+        jump = now.select(F.col("id").alias("low"), F.col("entity").alias("far"))
+        after = _cut(near.join(jump, "low").select("id", F.least("low", "far").alias("new"), "entity"))
+        now = after.select("id", F.col("new").alias("entity"))
+        if after.where("new < entity").isEmpty():
             return now
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder, without which the plan of each round would hold all rounds before."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared(df.sparkSession))
+    return df.checkpoint()

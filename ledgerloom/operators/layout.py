@@ -122,6 +122,29 @@ def page_markdown(words: DataFrame) -> DataFrame:
     return done.groupBy(*PAGE).agg(F.array_join(F.array_sort(F.collect_list(F.struct("section", "t")))["t"], "\n\n").alias("markdown"))
 
 
+def table_candidates(lines: DataFrame, least_words: int = 2, spread: int = 2, least_columns: int = 3) -> DataFrame:
+    """doc_id, page, line, columns, is_table: pairs of following lines of at least two words whose numbers of words differ by
+    at most two; a table where one has three or more. For lines (doc_id, page, line, n) as of `running_lines`."""
+    down = W.partitionBy(*PAGE).orderBy("line")
+    met = lines.withColumn("m", F.lead("n").over(down)).where((F.col("n") >= least_words) & (F.col("m") >= least_words) & (F.abs(F.col("n") - F.col("m")) <= spread))
+    columns = F.greatest("n", "m")
+    return met.select(*PAGE, "line", columns.alias("columns"), (columns >= least_columns).alias("is_table"))
+
+
+def graph_markdown(words: DataFrame, labels: list[str]) -> DataFrame:
+    """doc_id, page, markdown: the page's key-value pairs as a list, if it has any, and its lines."""
+    pairs = key_values(words, labels).where("value is not null").groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("pos", F.concat(F.lit("- "), "label", F.lit(": "), "value").alias("s"))))["s"].alias("kv"))
+    lines = text_lines(words).groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("line", "content")))["content"].alias("ls"))
+    head = F.when(F.size("kv") > 0, F.concat(F.lit("## Key-Value Pairs\n"), F.array_join("kv", "\n"), F.lit("\n\n"))).otherwise("")
+    return lines.join(pairs, PAGE, "left").select(*PAGE, F.concat(head, F.lit("## Document Text\n"), F.array_join("ls", "\n")).alias("markdown"))
+
+
+def overlay(boxes: DataFrame, colours: dict[str, str], truth: str, other: str) -> DataFrame:
+    """`colour` for boxes with `label` and `source`: one for ground truth, a label's own for predictions, else `other`."""
+    own = F.create_map(*[F.lit(x) for pair in colours.items() for x in pair])
+    return boxes.withColumn("colour", F.when(F.col("source") == "ground_truth", truth).otherwise(F.coalesce(F.try_element_at(own, F.col("label")), F.lit(other))))
+
+
 def running_lines(words: DataFrame, tolerance: float = Y_TOLERANCE) -> DataFrame:
     """doc_id, page, line, y, n: a word joins the line while |y - ref| <= tolerance; ref becomes the mean of ref and y.
 

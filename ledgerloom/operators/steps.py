@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from time import perf_counter
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +52,25 @@ def available(spark: SparkSession, enabled: list[str], done: list[str]) -> DataF
     on, ok = F.array(*[F.lit(s) for s in enabled]), F.array(*[F.lit(s) for s in done])
     met = F.forall("needs", lambda g: ~F.arrays_overlap(g, on) | F.arrays_overlap(F.array_intersect(g, on), ok))
     return df.where(met & ~F.col("step").isin(*done)).select("place", "step")
+
+
+@dataclass
+class Run:
+    """What a run of steps gave: the last good DataFrame, and for each step its place, name, seconds to plan and error."""
+
+    result: DataFrame
+    log: list[tuple[int, str, float, str | None]] = field(default_factory=list)
+
+
+def run_steps(start: DataFrame, steps: dict[str, Callable[[DataFrame], DataFrame]], enabled: list[str] | None = None) -> Run:
+    """Apply the enabled steps of a registry in its order. A step is a function of a DataFrame, so plans stay lazy; one that
+    fails while it is planned is logged and left out."""
+    run = Run(start)
+    for place, (name, step) in enumerate((n, s) for n, s in steps.items() if enabled is None or n in enabled):
+        begun, error = perf_counter(), None
+        try:
+            run.result = run.result.transform(step)
+        except Exception as e:  # the step's error belongs to the log, whatever it is
+            error = f"{type(e).__name__}: {e}".split("\n")[0]
+        run.log.append((place, name, perf_counter() - begun, error))
+    return run

@@ -139,3 +139,46 @@ def mode_compare_pivot(spark, d):
     f = Tables(spark, d).orders.select(F.col("o_orderkey").alias("doc_id"), F.explode(F.create_map(F.lit("a"), v, F.lit("b"), F.when(F.col("o_orderkey") % 9 == 0, v * 2).otherwise(v), F.lit("c"), v)).alias("mode", "v"))
     p = f.groupBy("doc_id").pivot("mode", ["a", "b", "c"]).agg(F.round(F.max("v"), 2))
     return p.withColumn("differ", F.size(F.array_distinct(F.array("a", "b", "c"))) > 1)
+
+
+_COUNTS = f"""{JOINED_SQL}, c AS (SELECT field, CAST(count(*) FILTER (exact) AS DOUBLE) AS tp, CAST(count(*) FILTER (pred IS NOT NULL AND NOT exact) AS DOUBLE) AS fp, CAST(count(*) FILTER (truth IS NOT NULL AND NOT exact) AS DOUBLE) AS fn FROM j GROUP BY field),
+m AS (SELECT field, tp / greatest(tp + fp, 1) AS p, tp / greatest(tp + fn, 1) AS r, 2 * tp / greatest(2 * tp + fp + fn, 1) AS f1, tp, fp, fn FROM c)"""
+
+
+def measures(t: Tables):
+    """field, tp, fp, fn, p, r, f1."""
+    ok, n = F.col("exact"), F.lit(1)
+    c = joined(t).groupBy("field").agg(F.count(F.when(ok, n)).alias("tp"), F.count(F.when(F.col("pred").isNotNull() & ~ok, n)).alias("fp"), F.count(F.when(F.col("truth").isNotNull() & ~ok, n)).alias("fn"))
+    share = lambda a, b: a / F.greatest(b, n)
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return c.withColumns({"p": share(tp, tp + fp), "r": share(tp, tp + fn), "f1": share(2 * tp, 2 * tp + fp + fn)})
+
+
+@query(f"{_COUNTS} SELECT field, round(p, 4) AS p, round(r, 4) AS r, round(f1, 4) AS f1 FROM m")
+def field_precision_recall(spark, d):
+    return measures(Tables(spark, d)).select("field", *[F.round(c, 4).alias(c) for c in ("p", "r", "f1")])
+
+
+@query(f"{_COUNTS} SELECT round(avg(f1), 4) AS macro_f1, round(2 * sum(tp) / greatest(2 * sum(tp) + sum(fp) + sum(fn), 1), 4) AS micro_f1, avg(f1) > 0.7 AS accurate, (SELECT sum(value) < 5000 FROM events) AS fast, (SELECT max(value) < 2048 FROM events) AS memory_efficient FROM m")
+def production_summary(spark, d):
+    """Macro and micro F1 over the fields, and flags of accuracy, time and memory."""
+    t = Tables(spark, d)
+    f = measures(t).agg(F.round(F.avg("f1"), 4).alias("macro_f1"), F.round(2 * F.sum("tp") / F.greatest(2 * F.sum("tp") + F.sum("fp") + F.sum("fn"), F.lit(1)), 4).alias("micro_f1"), (F.avg("f1") > 0.7).alias("accurate"))
+    return f.join(t.events.agg((F.sum("value") < 5000).alias("fast"), (F.max("value") < 2048).alias("memory_efficient")))
+
+
+METRICS = {
+    "accuracy": lambda t: joined(t).agg(F.avg(F.col("exact").cast("int")).alias("value")),
+    "detection_rate": lambda t: truth_and_predictions(t)[1].agg(F.avg(F.col("pred").isNotNull().cast("int")).alias("value")),
+    "validity": lambda t: truth_and_predictions(t)[1].agg(F.avg(F.when(F.length("pred") > 2, 1.0).otherwise(0.5)).alias("value")),
+}
+
+
+@query(f"""{JOINED_SQL} SELECT 'accuracy' AS metric, round(avg(CAST(exact AS INT)), 6) AS value FROM j UNION ALL SELECT 'detection_rate', round(avg(CASE WHEN pred IS NULL THEN 0.0 ELSE 1.0 END), 6) FROM pr UNION ALL SELECT 'validity', round(avg(CASE WHEN length(pred) > 2 THEN 1.0 ELSE 0.5 END), 6) FROM pr""")
+def evaluation_metrics(spark, d):
+    """The chosen metrics as one table."""
+    t, out = Tables(spark, d), None
+    for name, metric in METRICS.items():
+        row = metric(t).select(F.lit(name).alias("metric"), F.round("value", 6).alias("value"))
+        out = row if out is None else out.union(row)
+    return out

@@ -142,16 +142,18 @@ v AS (SELECT s_suppkey AS vendor_id, list_filter(string_split(lower(replace(s_na
 s AS (SELECT query_id, vendor_id, CAST(len(list_intersect(a, b)) AS DOUBLE) / len(list_distinct(list_concat(a, b))) AS score FROM q, v)
 SELECT query_id, vendor_id, round(score, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vendor_id) AS k FROM s) WHERE k = 1 AND score >= 0.8""")
 def vendor_match_jaccard(spark, d):
-    """Best vendor by shared words; only pairs that share a word are compared (an equi-join on words)."""
+    """Best vendor by shared words. Words are ordered by how rare they are; a pair of Jaccard similarity 0.8 shares one of the
+    rarest n - ceil(0.8 n) + 1 words of either name, so only those are joined on, and each pair is counted once."""
     k = F.col("s_suppkey") % 3
     asked = F.when(k == 0, F.upper("s_name")).when(k == 1, F.concat("s_name", F.lit(" SARL"))).otherwise(F.concat(F.lit("Ste "), F.replace("s_name", F.lit("#"), F.lit(" "))))
     words = lambda c: F.array_distinct(F.filter(X.tokens(F.lower(F.replace(c, F.lit("#"), F.lit(" ")))), lambda w: ~w.isin("sarl", "ste")))
     s = Tables(spark, d).supplier
-    q = s.select(F.col("s_suppkey").alias("query_id"), words(asked).alias("a")).withColumn("n", F.size("a"))
-    v = s.select(F.col("s_suppkey").alias("vendor_id"), words(F.col("s_name")).alias("b")).withColumn("m", F.size("b"))
-    met = q.select("query_id", "n", F.explode("a").alias("w")).join(v.select("vendor_id", "m", F.explode("b").alias("w")), "w").groupBy("query_id", "vendor_id").agg((F.count(F.lit(1)) / (F.first("n") + F.first("m") - F.count(F.lit(1)))).alias("score"))
+    q = s.select(F.col("s_suppkey").alias("query_id"), words(asked).alias("a"))
+    v = s.select(F.col("s_suppkey").alias("vendor_id"), words(F.col("s_name")).alias("b"))
+    met = N.by_rare_words(q, v, 0.8)
+    score = F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))
     best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vendor_id"))
-    return met.withColumn("k", best).where("k = 1 and score >= 0.8").select("query_id", "vendor_id", F.round("score", 3).alias("score"))
+    return met.withColumn("score", score).withColumn("k", best).where("k = 1 and score >= 0.8").select("query_id", "vendor_id", F.round("score", 3).alias("score"))
 
 
 @query("SELECT c_nationkey AS nation, count(*) AS n, round(sum(c_acctbal), 2) AS balance, round(avg(c_acctbal), 4) AS mean FROM customer GROUP BY c_nationkey")
@@ -201,20 +203,45 @@ def _asked_names(t: Tables):
     return t.supplier.select(F.col("s_suppkey").alias("id"), asked.alias("name"))
 
 
-@query()
+#: Longest common subsequence of two lists of character codes `x` and `y`, by a fold over rows of the table.
+_LCS = """list_reduce(list_concat([list_transform(range(len(y) + 1), lambda j: 0)], list_transform(x, lambda c: [c])), lambda above, c:
+  list_reduce(list_concat([[0]], list_transform(range(1, len(y) + 1), lambda j: [j])), lambda out, j: list_append(out, CASE WHEN y[j[1]] = c[1] THEN above[j[1]] + 1 ELSE greatest(above[j[1] + 1], out[-1]) END)))[-1]"""
+_SORTED = "array_to_string(list_sort(list_filter(string_split(lower({0}), ' '), lambda w: w <> '')), ' ')"
+_CODES = "list_transform(string_split({0}, ''), lambda c: ord(c))"
+_RATIO = f"2.0 * {_LCS} / (len(x) + len(y))"
+
+
+@query(f"""WITH a AS (SELECT s_suppkey AS id, {_SORTED.format(_QNAME)} AS p FROM supplier), b AS (SELECT s_suppkey AS vendor_id, {_SORTED.format("s_name")} AS q FROM supplier),
+s AS (SELECT id, vendor_id, {_RATIO} AS score FROM (SELECT id, vendor_id, {_CODES.format("p")} AS x, {_CODES.format("q")} AS y FROM a, b))
+SELECT id, vendor_id, round(score, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, vendor_id) AS k FROM s) WHERE k = 1 AND score >= 0.8""")
 def vendor_match_ratio(spark, d):
     """Best vendor by sorted-token similarity behind a filter that loses no pair."""
     t = Tables(spark, d)
     return N.best_vendor(_asked_names(t), t.supplier.select(F.col("s_suppkey").alias("vendor_id"), F.col("s_name").alias("vendor")))
 
 
-@query()
+@query(f"""WITH a AS (SELECT CAST(n_nationkey AS BIGINT) AS id, {_SORTED.format("n_name")} AS p FROM nation), s AS (SELECT id, other, {_RATIO} AS score FROM (SELECT a.id, b.id AS other, {_CODES.format("a.p")} AS x, {_CODES.format("b.p")} AS y FROM a JOIN a b ON a.id < b.id))
+SELECT id, other, round(score, 3) AS score, round(least(1.0, 1.2 * score), 3) AS confidence FROM s WHERE score >= 0.6""")
 def supplier_edges(spark, d):
     return N.likely_same(Tables(spark, d).nation.select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name")))
 
 
-@query()
+@query(f"""WITH RECURSIVE a AS (SELECT CAST(n_nationkey AS BIGINT) AS id, {_SORTED.format("n_name")} AS p FROM nation UNION ALL SELECT n_nationkey + 100, {_SORTED.format("n_name")} FROM nation),
+s AS (SELECT id, other, {_RATIO} AS score FROM (SELECT a.id, b.id AS other, {_CODES.format("a.p")} AS x, {_CODES.format("b.p")} AS y FROM a JOIN a b ON a.id <> b.id)), l AS (SELECT id, other FROM s WHERE score >= 0.8),
+r AS (SELECT id, id AS entity FROM a UNION SELECT l.id, r.entity FROM r JOIN l ON l.other = r.id) SELECT id, min(entity) AS entity FROM r GROUP BY id""")
 def supplier_entities(spark, d):
     n = Tables(spark, d).nation.select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
     twice = n.union(n.select(F.col("id") + 100, F.concat("name", F.lit(" LTD"))))
     return N.entities(twice.select("id", N.normal_name(F.col("name")).alias("name")))
+
+
+@query("""WITH p AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page, o_orderstatus AS type FROM orders), h AS (SELECT * FROM p WHERE page % 4 <> 0),
+g AS (SELECT *, CASE WHEN type = lag(type) OVER w THEN 0 ELSE 1 END AS new FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY page)), r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY page) AS run FROM g)
+SELECT doc_id, type, array_to_string(range(min(page), max(page) + 1), ',') AS pages FROM r GROUP BY doc_id, type, run""")
+def page_groups_filled(spark, d):
+    """Runs of equal page types; a page number that is missing inside a run belongs to it."""
+    page = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
+    p = Tables(spark, d).orders.select(F.col("o_custkey").alias("doc_id"), page.alias("page"), F.col("o_orderstatus").alias("type")).where("page % 4 <> 0")
+    w = W.partitionBy("doc_id").orderBy("page")
+    runs = p.withColumn("new", F.when(F.lag("type").over(w) == F.col("type"), 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
+    return runs.groupBy("doc_id", "type", "run").agg(F.array_join(F.sequence(F.min("page"), F.max("page")).cast("array<string>"), ",").alias("pages")).drop("run")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..operators import layout as P
 from ..registry import query
-from ..sources.tables import SQL_WORDS, Tables
+from ..sources.tables import SQL_FIELDS, SQL_WORDS, Tables
 
 _LINES = f"""{SQL_WORDS}, med AS (SELECT doc_id, page, list_sort(list(y1 - y0))[count(*) // 2 + 1] AS height, list_sort(list((x1 - x0) / greatest(length(word), 1)::DOUBLE))[count(*) // 2 + 1] AS char FROM words GROUP BY doc_id, page),
 j AS (SELECT w.*, height, char, CASE WHEN abs(y0 - lag(y0) OVER d) > greatest(0.6 * height, 5) THEN 1 ELSE 0 END AS jump FROM words w JOIN med USING (doc_id, page) WINDOW d AS (PARTITION BY w.doc_id, w.page ORDER BY y0, x0, pos)),
@@ -89,3 +89,30 @@ f AS (SELECT doc_id, page, list_reduce(list_transform(ys, lambda y: [{{'ref': y,
 SELECT doc_id, page, i - 1 AS line, l.ref AS y, l.n AS n FROM (SELECT doc_id, page, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS i FROM f)""")
 def ocr_running_lines(spark, d):
     return P.running_lines(Tables(spark, d).words)
+
+
+_RUNNING = f"""{SQL_WORDS}, p AS (SELECT doc_id, page, list(CAST(y0 AS DOUBLE) ORDER BY y0, x0) AS ys FROM words GROUP BY doc_id, page),
+f AS (SELECT doc_id, page, list_reduce(list_transform(ys, lambda y: [{{'ref': y, 'n': 1}}]), lambda a, w: CASE WHEN abs(w[1].ref - a[-1].ref) <= 12 THEN list_append(a[1:len(a) - 1], {{'ref': (a[-1].ref + w[1].ref) / 2, 'n': a[-1].n + 1}}) ELSE list_concat(a, w) END) AS ls FROM p),
+rl AS (SELECT doc_id, page, i - 1 AS line, l.n AS n FROM (SELECT doc_id, page, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS i FROM f))"""
+
+
+@query(f"WITH {_RUNNING}, m AS (SELECT *, lead(n) OVER (PARTITION BY doc_id, page ORDER BY line) AS m FROM rl) SELECT doc_id, page, line, greatest(n, m) AS columns, greatest(n, m) >= 3 AS is_table FROM m WHERE n >= 2 AND m >= 2 AND abs(n - m) <= 2")
+def table_candidates(spark, d):
+    return P.table_candidates(P.running_lines(Tables(spark, d).words))
+
+
+@query(f"""WITH {_LINES}, kv AS (SELECT *, lead(word, 1) OVER w AS w1, lead(x0, 1) OVER w AS a1, lead(y0, 1) OVER w AS b1 FROM words WINDOW w AS (PARTITION BY doc_id, page ORDER BY y0, x0, pos)),
+ks AS (SELECT doc_id, page, string_agg(concat('- ', lower(rtrim(word, ':,')), ': ', w1), chr(10) ORDER BY pos) AS kv FROM kv WHERE b1 = y0 AND a1 > x0 AND (a1 - x0) / 800.0 < 0.5 AND len(list_filter({_KV}, lambda k: contains(lower(rtrim(word, ':,')), k))) > 0 GROUP BY doc_id, page),
+ls AS (SELECT doc_id, page, string_agg(content, chr(10) ORDER BY line) AS t FROM sec GROUP BY doc_id, page)
+SELECT doc_id, page, concat(CASE WHEN kv IS NOT NULL THEN concat('## Key-Value Pairs', chr(10), kv, chr(10), chr(10)) ELSE '' END, '## Document Text', chr(10), t) AS markdown FROM ls LEFT JOIN ks USING (doc_id, page)""")
+def graph_markdown(spark, d):
+    return P.graph_markdown(Tables(spark, d).words, L.KV_LABELS)
+
+
+_COLOURS = " ".join(f"WHEN label = '{k}' THEN '{v}'" for k, v in L.LABEL_COLOURS.items())
+
+
+@query(f"WITH {SQL_FIELDS} SELECT doc_id, page, label, CASE WHEN source = 'ground_truth' THEN '{L.TRUTH_COLOUR}' {_COLOURS} ELSE '{L.OTHER_COLOUR}' END AS colour FROM (SELECT doc_id, page, field AS label, CASE WHEN k % 3 = 0 THEN 'ground_truth' ELSE 'predicted' END AS source FROM fields)")
+def box_overlay(spark, d):
+    boxes = Tables(spark, d).fields.select("doc_id", "page", F.col("field").alias("label"), F.when(F.col("k") % 3 == 0, "ground_truth").otherwise("predicted").alias("source"))
+    return P.overlay(boxes, L.LABEL_COLOURS, L.TRUTH_COLOUR, L.OTHER_COLOUR).select("doc_id", "page", "label", "colour")

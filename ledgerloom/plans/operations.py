@@ -9,7 +9,7 @@ from ..functions.lexicon import ERP_COLUMNS
 from ..operators import exports as E
 from ..operators import steps as S
 from ..registry import query
-from ..sources.tables import SQL_INVOICES, Tables
+from ..sources.tables import SQL_INVOICES, SQL_ITEMS, Tables
 
 
 @query("""SELECT event_type AS cache, CAST(sum(CASE WHEN CAST(floor(value) AS BIGINT) % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS hits, count(*) AS lookups, round(avg(CASE WHEN CAST(floor(value) AS BIGINT) % 2 = 0 THEN 1.0 ELSE 0.0 END), 4) AS rate FROM events GROUP BY ROLLUP (event_type)""")
@@ -104,9 +104,14 @@ def dag_downstream(spark, d):
     return S.downstream(spark)
 
 
-@query()
+_ENABLED, _DONE = S.PRESETS["hybrid"], ["ingestion", "hybrid_ocr", "document_classifier"]
+_SET = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+_NEEDS = ", ".join(f"({i}, '{s}', [{', '.join(_SET(g) for g in S.PREREQUISITES[s])}]::VARCHAR[][])" for i, s in enumerate(_ENABLED))
+
+
+@query(f"SELECT place, step FROM (VALUES {_NEEDS}) t(place, step, needs) WHERE step NOT IN ({', '.join(repr(s) for s in _DONE)}) AND len(list_filter(needs, lambda g: list_has_any(g, {_SET(_ENABLED)}) AND NOT list_has_any(list_intersect(g, {_SET(_ENABLED)}), {_SET(_DONE)}))) = 0")
 def available_steps(spark, d):
-    return S.available(spark, enabled=S.PRESETS["hybrid"], done=["ingestion", "hybrid_ocr", "document_classifier"])
+    return S.available(spark, enabled=_ENABLED, done=_DONE)
 
 
 @query(f"WITH {SQL_INVOICES} SELECT CAST(doc_id AS VARCHAR) AS \"InvoiceNumber\", supplier AS \"SupplierName\", CAST(invoice_date AS VARCHAR) AS \"InvoiceDate\", printf('%.2f', floor(total * 100 + 0.5) / 100) AS \"NetAmount\" FROM inv")
@@ -127,6 +132,22 @@ def export_edi(spark, d):
     return e.select("doc_id", F.get("s", F.lit(3)).alias("head"), F.get("s", n - 4).alias("tail"), F.split(F.get("s", n - 3), r"\*")[1].cast("long").alias("segments"))
 
 
-@query()
+_CUR = ' currencyID="EUR"'
+_MONEY = lambda c: f"printf('%.2f', floor({c} * 100 + 0.5) / 100)"
+_XMLNS = "".join(f' xmlns{p}="urn:oasis:names:specification:ubl:schema:xsd:{n}-2"' for p, n in ((":cbc", "CommonBasicComponents"), (":cac", "CommonAggregateComponents"), ("", "Invoice")))
+_AMOUNTS = ", ".join(f"""'<cbc:{n}{_CUR}>', {_MONEY("total")}, '</cbc:{n}>'""" for n in ("TaxExclusiveAmount", "TaxInclusiveAmount", "PayableAmount"))
+
+
+@query(f"""WITH {SQL_INVOICES}, {SQL_ITEMS}, l AS (SELECT doc_id, string_agg(concat('<cac:InvoiceLine><cbc:ID>', pos, '</cbc:ID><cac:Item><cbc:Name>', part, '</cbc:Name></cac:Item><cbc:InvoicedQuantity unitCode="C62">', {_MONEY("quantity")}, '</cbc:InvoicedQuantity><cbc:PriceAmount{_CUR}>', {_MONEY("unit_price")}, '</cbc:PriceAmount><cbc:LineExtensionAmount{_CUR}>', {_MONEY("sub_total")}, '</cbc:LineExtensionAmount></cac:InvoiceLine>'), '' ORDER BY pos) AS ls FROM items GROUP BY doc_id)
+SELECT doc_id, concat('<?xml version="1.0" encoding="UTF-8"?>', chr(10), '<Invoice{_XMLNS}><cbc:ID>', doc_id, '</cbc:ID><cbc:IssueDate>', invoice_date, '</cbc:IssueDate><cbc:DocumentCurrencyCode>EUR</cbc:DocumentCurrencyCode><cbc:InvoiceTypeCode>380</cbc:InvoiceTypeCode>',
+  coalesce('<cac:AccountingSupplierParty><cac:Party><cac:PartyName><cbc:Name>' || supplier || '</cbc:Name></cac:PartyName></cac:Party></cac:AccountingSupplierParty>', ''), '<cac:LegalMonetaryTotal>', {_AMOUNTS}, '</cac:LegalMonetaryTotal>', coalesce(ls, ''), '</Invoice>') AS xml FROM inv LEFT JOIN l USING (doc_id)""")
 def export_ubl(spark, d):
     return _bundles(Tables(spark, d)).select("doc_id", E.ubl_invoice().alias("xml"))
+
+
+@query("SELECT * FROM (VALUES (0, 'positive', true), (1, 'broken', false), (2, 'half', true)) t(place, step, good)")
+def steps_log(spark, d):
+    """Three steps of a registry on the orders; the second can't be planned and is left out."""
+    steps = {"positive": lambda o: o.where("o_totalprice > 0"), "broken": lambda o: o.select("no_such_column"), "half": lambda o: o.withColumn("half", F.col("o_totalprice") / 2)}
+    run = S.run_steps(Tables(spark, d).orders, steps)
+    return spark.createDataFrame([(p, n, e is None) for p, n, _, e in run.log], "place int, step string, good boolean")

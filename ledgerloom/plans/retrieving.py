@@ -76,3 +76,12 @@ def rules_topk(spark, d):
     scored = F.array(*[F.struct(F.size(F.filter(words, lambda w, b=b: F.contains(F.lit(b), w))).cast("long").alias("score"), F.lit(-i).alias("pos"), F.lit(k).alias("rule")) for i, k, b in _RULES])
     best = Tables(spark, d).pages.select("page_id", F.slice(F.sort_array(scored, asc=False), 1, 2).alias("best"))
     return best.select("page_id", F.posexplode("best").alias("rank", "b")).select("page_id", (F.col("rank") + 1).alias("rank"), "b.rule", "b.score")
+
+
+@query(f"""WITH {_BM25}, {_OVER}, s AS (SELECT *, 'bm25' AS via FROM bm WHERE score > 0 UNION ALL SELECT query_id, doc_id, score, 'keywords' FROM ov WHERE query_id NOT IN (SELECT query_id FROM bm WHERE score > 0))
+SELECT query_id, rank, doc_id, round(score, 4) AS score, via FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 3""")
+def retrieval_sparse(spark, d):
+    """BM25, and common words for queries that it finds nothing for."""
+    t = Tables(spark, d)
+    found = R.sparse(t.documents, t.benchmark.select(F.col("item_id").alias("query_id"), "text"), 3)
+    return R.retrieved("sparse", 3, None, found).select("query_id", "rank", "doc_id", F.round("score", 4).alias("score"), "via")

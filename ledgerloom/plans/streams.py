@@ -36,13 +36,35 @@ def idle_heartbeats(spark, d):
     return Tables(spark, d).events.select("user_id", "event_id", F.lag("event_id").over(w).alias("previous"), F.coalesce(gap > 25, F.lit(False)).alias("idle"))
 
 
-@query()
+@query("""WITH r AS (SELECT *, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER w AS run FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS errors FROM r),
+b AS (SELECT *, CASE WHEN lag(event_type) OVER w = 'error' THEN lag(errors) OVER w ELSE 0 END AS before, epoch(ts - lag(ts) OVER w) AS waited FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, event_id, CASE WHEN coalesce(before, 0) < 2 THEN 'closed' WHEN waited >= 30 THEN 'half_open' ELSE 'open' END AS state FROM b""")
+def breaker_probes(spark, d):
+    """The state in which each event finds its user's breaker, which opens after two errors here."""
+    return P.breaker_probes(Tables(spark, d).events, failures=2)
+
+
+@query("""WITH c AS (SELECT conv_id, list(CAST(length(text) % 40 AS BIGINT) ORDER BY turn, text) AS xs FROM conversations GROUP BY conv_id),
+f AS (SELECT conv_id, list_reduce(list_concat([{'n': 0, 'rest': CAST(0 AS BIGINT)}], list_transform(xs, lambda x: {'n': 0, 'rest': x})), lambda s, x: CASE WHEN s.rest + x.rest >= 50 THEN {'n': s.n + 1, 'rest': CAST(0 AS BIGINT)} ELSE {'n': s.n, 'rest': s.rest + x.rest} END) AS r FROM c)
+SELECT conv_id, CAST(r.n AS INT) AS n, r.rest AS rest FROM f""")
+def partial_output(spark, d):
+    """How often a growing answer is passed on, at fifty new characters."""
+    g = Tables(spark, d).conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text")))["text"].alias("ts"))
+    r = g.select("conv_id", P.emissions(F.transform("ts", lambda t: (F.length(t) % 40).cast("long"))).alias("r"))
+    return r.select("conv_id", "r.n", "r.rest")
+
+
+@query("""WITH w AS (SELECT user_id, date_trunc('hour', ts) AS start, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, start, n, n > 2 AS limited FROM w WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
 def stream_rate_windows(spark, d):
     """The windows as a stream writes them: all but those that are still open at the end of the input."""
     out = P.replayed(spark, f"{d}/events.parquet", lambda s: P.rate_windows(s, 2, "1 hour"))
-    return out.select("user_id", "start", "n", "limited")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", "limited")
 
 
-@query()
+@query("""WITH r AS (SELECT *, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM events),
+e AS (SELECT user_id, event_id, event_type, run, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS errors, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was, ts FROM r),
+b AS (SELECT *, lag(errors) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM e)
+SELECT user_id, event_id, 'open' AS state FROM b WHERE event_type = 'error' AND errors = 5 UNION ALL SELECT user_id, event_id, 'closed' FROM b WHERE event_type <> 'error' AND was = 'error' AND before >= 5""")
 def stream_breaker(spark, d):
     return P.replayed(spark, f"{d}/events.parquet", P.breaker_stream)

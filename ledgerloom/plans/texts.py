@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as X
-from ..operators.classify import classify_counted, classify_weighted
+from ..operators.classify import classify_counted, classify_documents, classify_weighted, document_types
 from ..operators.chunks import fixed_chunks, sentence_chunks
 from ..operators.pipe_tables import table_items
 from ..registry import query
@@ -21,7 +21,13 @@ def doc_chunk_fixed(spark, d):
     return fixed_chunks(Tables(spark, d).documents)
 
 
-@query()
+_MARK = "list_min(list_filter([position('.' IN z), position('!' IN z), position('?' IN z)], lambda p: p > 0))"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT doc_id, text, CAST(0 AS BIGINT) AS s, CASE WHEN length(text) <= 1000 THEN length(text) ELSE least(length(text), 800 + coalesce((SELECT {_MARK} FROM (SELECT substr(text, 801, 200) AS z)), 200)) END AS e FROM documents WHERE length(text) > 0
+  UNION ALL SELECT doc_id, text, n, CASE WHEN n + 1000 < length(text) THEN n + 800 + coalesce(m, 200) ELSE length(text) END FROM (SELECT doc_id, text, n, (SELECT {_MARK} FROM (SELECT substr(text, n + 801, 200) AS z)) AS m FROM (SELECT doc_id, text, greatest(e - 200, s + 1) AS n, e FROM c) WHERE e < length(text))),
+p AS (SELECT doc_id, s, e, trim(substr(text, s + 1, e - s), ' ' || chr(9) || chr(10) || chr(13)) AS content FROM c)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INT) AS chunk, CAST(s AS INT) AS start, CAST(e AS INT) AS "end", content, CAST(count(*) OVER (PARTITION BY doc_id) AS INT) AS total FROM p WHERE content <> ''""")
 def doc_chunk_sentence(spark, d):
     return sentence_chunks(Tables(spark, d).documents.select("doc_id", "text"))
 
@@ -65,11 +71,11 @@ def language_keyword(spark, d):
     return Tables(spark, d).documents.select("doc_id", F.when(hits(_FR) > hits(_EN), "fr").otherwise("en").alias("language"))
 
 
-def _weighted_sql(extra: float) -> str:
-    hits = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS type, {i} AS ord, len(list_filter({_LIST(ws)}, lambda w: contains(lower(text), w))) * {w + extra} AS score FROM documents" for i, (k, (w, ws)) in enumerate(L.PAGE_SIGNATURES.items()))
+def _weighted_sql(extra: float, table: str = "documents") -> str:
+    hits = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS type, {i} AS ord, len(list_filter({_LIST(ws)}, lambda w: contains(lower(text), w))) * {w + extra} AS score FROM {table}" for i, (k, (w, ws)) in enumerate(L.PAGE_SIGNATURES.items()))
     return f"""WITH s AS (SELECT * FROM ({hits}) WHERE score > 0), b AS (SELECT doc_id, arg_max(type, score * 1000 - ord) AS type, max(score) AS top, sum(score) AS total FROM s GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN b.doc_id IS NULL OR least(1.0, top / greatest(total - top + 1, 1)) < 0.5 THEN 'other' ELSE type END AS type,
-  CASE WHEN length(trim(text)) < 5 OR b.doc_id IS NULL THEN 0.5 ELSE round(least(1.0, CAST(top AS DOUBLE) / greatest(total - top + 1, 1)), 3) END AS confidence FROM documents d LEFT JOIN b USING (doc_id)"""
+  CASE WHEN length(trim(text)) < 5 OR b.doc_id IS NULL THEN 0.5 ELSE round(least(1.0, CAST(top AS DOUBLE) / greatest(total - top + 1, 1)), 3) END AS confidence FROM {table} d LEFT JOIN b USING (doc_id)"""
 
 
 @query(_weighted_sql(0.2))
@@ -137,3 +143,38 @@ def qa_context(spark, d):
 def regex_identifiers(spark, d):
     found = F.explode(F.regexp_extract_all("text", F.lit("[0-9]{3}-[0-9]{4}"), F.lit(0)))
     return Tables(spark, d).documents.select("doc_id", found.alias("found")).groupBy("doc_id", "found").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT doc_id, CASE WHEN length(trim(text)) < 10 OR type = 'other' THEN 'unknown' ELSE type END AS type, confidence FROM ({_weighted_sql(0.3)}) JOIN documents USING (doc_id)")
+def document_classify(spark, d):
+    return classify_documents(Tables(spark, d).documents.select("doc_id", "text"))
+
+
+def _driver_sql() -> str:
+    pages = "SELECT doc_id * 1000 + i AS doc_id, substr(text, i * 2000 + 1, 2000) AS text FROM (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / 2000.0) AS BIGINT))) AS i FROM documents)"
+    body = _weighted_sql(0.2, "parts")
+    return f"""WITH parts AS ({pages}), typed AS ({body}), c AS (SELECT doc_id // 1000 AS doc_id, type, count(*) AS n FROM typed GROUP BY ALL),
+b AS (SELECT doc_id, arg_min(type, concat(lpad(CAST(100000 - n AS VARCHAR), 6, '0'), type)) AS type, max(n) / CAST(sum(n) AS DOUBLE) AS share FROM c GROUP BY doc_id) SELECT doc_id, type, round(share, 6) AS share, CASE WHEN share < 0.6 THEN 'mixed' ELSE 'uniform' END AS kind FROM b"""
+
+
+@query(_driver_sql())
+def classifier_driver(spark, d):
+    """Every page of 2000 characters is classified, then the document by its pages."""
+    pages = Tables(spark, d).documents.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.ceil(F.length("text") / 2000).cast("int") - 1)).alias("page")).where("length(text) > 0")
+    typed = document_types(pages.select("doc_id", "page", F.substr("text", F.col("page") * 2000 + 1, F.lit(2000)).alias("text")))
+    return typed.withColumn("share", F.round("share", 6))
+
+
+@query("SELECT doc_id, source, lang AS field, k AS turn FROM (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE lang IS NOT NULL) ORDER BY k, source LIMIT 50")
+def example_store(spark, d):
+    """At most fifty labelled examples, one of each source in turn."""
+    k = F.row_number().over(W.partitionBy("source").orderBy("doc_id")).cast("long")
+    return Tables(spark, d).documents.where("lang is not null").select("doc_id", "source", F.col("lang").alias("field"), k.alias("turn")).orderBy("turn", "source").limit(50)
+
+
+@query(f"""SELECT '### Field Extraction Rules' || chr(10) || string_agg(concat('- **', k, '**: ', v), chr(10) ORDER BY k) AS prompt FROM (VALUES {", ".join("('" + k + "', '" + "; ".join(ws).replace("'", "''") + "')" for k, (_, ws) in L.PAGE_SIGNATURES.items())}) t(k, v)""")
+def rules_prompt(spark, d):
+    """The rule base as a block of a prompt."""
+    rules = spark.createDataFrame([(k, "; ".join(ws)) for k, (_, ws) in L.PAGE_SIGNATURES.items()], "k string, v string")
+    lines = rules.agg(F.array_sort(F.collect_list(F.struct("k", F.concat(F.lit("- **"), "k", F.lit("**: "), "v").alias("s"))))["s"].alias("ls"))
+    return lines.select(F.concat(F.lit("### Field Extraction Rules\n"), F.array_join("ls", "\n")).alias("prompt"))

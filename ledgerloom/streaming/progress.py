@@ -6,7 +6,6 @@ DataFrame of (event_id, ts, user_id, event_type, value), so that the batch run i
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pandas as pd
@@ -14,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.folders import shared
+
 #: Watermark, idle time that ends a session, failures that open a breaker, seconds until it is tried again.
 LATE, IDLE, FAILURES, PAUSE = "10 minutes", "10 minutes", 5, 30
 
@@ -42,6 +43,30 @@ def breaker_states(events: DataFrame) -> DataFrame:
     return runs.groupBy("user_id", "run").agg(F.count(F.lit(1)).alias("failures"), F.min("event_id").alias("first_event")).where(F.col("failures") >= FAILURES).drop("run")
 
 
+def breaker_probes(events: DataFrame, failures: int = FAILURES, pause: int = PAUSE) -> DataFrame:
+    """The state in which each event finds its user's breaker: `open` after `failures` consecutive errors, `half_open` once
+    `pause` seconds passed since the last of them (the event is then a probe), else `closed`."""
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    bad = F.col("event_type") == "error"
+    seconds = F.col("ts").cast("timestamp").cast("double")
+    runs = events.withColumn("run", F.sum((~bad).cast("int")).over(w)).withColumn("errors", F.sum(bad.cast("int")).over(W.partitionBy("user_id", "run").orderBy("ts", "event_id")))
+    before = F.when(F.lag(bad).over(w), F.lag("errors").over(w)).otherwise(0)
+    seen = runs.select("user_id", "event_id", before.alias("before"), (seconds - F.lag(seconds).over(w)).alias("waited"))
+    state = F.when(F.coalesce("before", F.lit(0)) < failures, "closed").when(F.col("waited") >= pause, "half_open").otherwise("open")
+    return seen.select("user_id", "event_id", state.alias("state"))
+
+
+def emissions(lengths, least: int = 50):
+    """How often a text that grows by these lengths is passed on, at `least` new characters, and the characters left: n, rest."""
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("rest"))
+
+    def step(s, x):
+        total = s["rest"] + x
+        return F.struct(F.when(total >= least, s["n"] + 1).otherwise(s["n"]).alias("n"), F.when(total >= least, F.lit(0).cast("long")).otherwise(total).alias("rest"))
+
+    return F.aggregate(lengths, zero, step)
+
+
 def breaker_stream(events: DataFrame, failures: int = FAILURES) -> DataFrame:
     """The breaker as a stateful operator: one row whenever a user's breaker opens or closes."""
 
@@ -61,12 +86,6 @@ def breaker_stream(events: DataFrame, failures: int = FAILURES) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, state string", "count int, is_open boolean", "append", "NoTimeout")
 
 
-def shared(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the cluster names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return path or f"file://{tempfile.gettempdir()}/ledgerloom-shared"
-
-
 def replayed(spark: SparkSession, path: str, transform, schema: str | None = None, mode: str = "append") -> DataFrame:
     """Run a stream over all files of a folder once (available now) and return what it wrote."""
 
