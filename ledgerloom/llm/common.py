@@ -45,7 +45,7 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     out = df.checkpoint(eager=True)
-    sc._jvm.System.gc()  # shuffle files of dropped plans are deleted once the driver's garbage is collected
+    sc._jvm.System.gc()  # Spark deletes shuffle files of dropped plans only once the driver's garbage is collected
     return out
 
 
@@ -141,7 +141,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 _POW, _INV = _powers(_BASE, 1 << 16), _powers(pow(_BASE, -1, 1 << 64), 1 << 16)
-_POW_HI, _INV_HI = _powers(pow(_BASE, 1 << 16, 1 << 64), 1 << 12), _powers(pow(_BASE, -(1 << 16), 1 << 64), 1 << 12)
+_POW_HI, _INV_HI = _powers(pow(_BASE, 1 << 16, 1 << 64), 1 << 15), _powers(pow(_BASE, -(1 << 16), 1 << 64), 1 << 15)
 
 
 def _pow_at(at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -179,8 +179,8 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     """64-bit hash of each byte span: a polynomial over random byte values, by prefix sums, then mixed."""
     if not len(start):
         return np.zeros(0, np.uint64)
-    if len(data) >= 1 << 28:
-        raise ValueError("an Arrow batch of 256 MB or more; lower spark.sql.execution.arrow.maxBytesPerBatch")
+    if len(data) >= 1 << 31:
+        raise ValueError("an Arrow batch of 2 GB or more; lower spark.sql.execution.arrow.maxBytesPerBatch")
     total = np.zeros((blocks := -(-len(data) // len(_POW))) * len(_POW) + 1, np.uint64)
     np.take(_BYTE, data, out=total[1 : len(data) + 1])
     grid = total[1:].reshape(blocks, len(_POW))

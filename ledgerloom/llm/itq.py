@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drawn, prepare
+from .common import cut, drawn, join_hot, prepare
 from .components import components
 from .vectors import blocked, forest, group_starts, pairs_in, rows_of, runs, usable
 
@@ -144,7 +144,8 @@ def near_vectors(rows: DataFrame, *, threshold: float = THRESHOLD, sample: int =
     """vec_id, n_links, component_id, kept for each row of (vec_id, embedding, label)."""
     spark = prepare(rows.sparkSession)
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
-    fit = rows.where(usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
+    good = usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
+    fit = rows.where(good)
     one = cut(fit.groupBy("label", "embedding").agg(F.min("vec_id").alias("gid"), F.count(F.lit(1)).alias("copies")))
     links = spark.createDataFrame([], "gid long, low long, links long")
     for (width,) in one.select(F.size("embedding")).distinct().orderBy(F.size("embedding")).collect():
@@ -162,6 +163,7 @@ def near_vectors(rows: DataFrame, *, threshold: float = THRESHOLD, sample: int =
     links = cut(links)
     roots = components(links.select(F.col("gid").alias("a"), F.col("low").alias("b")))
     found = one.join(links.groupBy("gid").agg(F.sum("links").alias("links")), "gid", "left").join(roots.withColumnRenamed("node", "gid"), "gid", "left")
-    found = found.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "gid").alias("root"))
-    out = rows.join(found, ["label", "embedding"], "left")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"), F.coalesce("root", "vec_id").eqNullSafe(F.col("vec_id")).alias("kept"))
+    found = cut(found.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "gid").alias("root"), F.col("copies").alias("n")))
+    met = join_hot(fit, found, ["label", "embedding"], "vec_id", found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).select("vec_id", "links", "root")
+    out = met.union(rows.where(~good).select("vec_id", F.lit(0).cast("long"), "vec_id"))
+    return out.select("vec_id", F.col("links").cast("long").alias("n_links"), F.col("root").alias("component_id"), F.col("root").eqNullSafe(F.col("vec_id")).alias("kept"))

@@ -20,6 +20,7 @@ import hashlib
 import random
 import re
 from functools import lru_cache
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ from .common import batches, fresh, prepare
 KINDS = ["email", "ip", "card", "phone", "secret"]
 BASE = KINDS[:4]
 MAX_ATOMS, SEED = 24, 7
+#: Candidate segments whose features are held at once.
+AT_ONCE = 4096
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*$")
@@ -122,11 +125,10 @@ def _features(text: str, atoms: list[tuple[int, int]], i: int, j: int, cue: str)
     return out
 
 
-def _segments(text: str, atoms: list[tuple[int, int]], free: list[bool]) -> list[tuple[int, int]]:
-    """Candidate segments: no space at either end, a digit or @ inside, no atom of a base span."""
+def _segments(text: str, atoms: list[tuple[int, int]], free: list[bool]):
+    """Candidate segments by their start: no space at either end, a digit or @ inside, no atom of a base span."""
     hot = [bool(_TRIGGER.search(text[s:e])) for s, e in atoms]
     solid = [not text[s:e].isspace() for s, e in atoms]
-    out = []
     for i in range(len(atoms)):
         if not solid[i]:
             continue
@@ -136,8 +138,7 @@ def _segments(text: str, atoms: list[tuple[int, int]], free: list[bool]) -> list
                 break
             some = some or hot[j - 1]
             if some and solid[j - 1]:
-                out.append((i, j))
-    return out
+                yield i, j
 
 
 def _cue_of(text: str, at: int) -> str:
@@ -162,28 +163,29 @@ class Crf:
 
     def decode(self, text: str, atoms, free, cue: str) -> list[tuple[int, str, int]]:
         """The best segmentation: outside atoms score 0, a segment its span's score."""
-        segs = _segments(text, atoms, free)
-        if not segs:
+        # features are held for AT_ONCE segments at a time; only segments of positive score can be in the best segmentation
+        ending: dict[int, list[tuple[int, int, float]]] = {}
+        for segs in batched(_segments(text, atoms, free), AT_ONCE):
+            score = self.scores(self.rows(text, atoms, segs, cue))
+            kind, top = score.argmax(axis=1), score.max(axis=1)
+            for k in np.flatnonzero(top > 0).tolist():
+                ending.setdefault(segs[k][1], []).append((segs[k][0], int(kind[k]), float(top[k])))
+        if not ending:
             return []
-        score = self.scores(self.rows(text, atoms, segs, cue))
-        kind, top = score.argmax(axis=1), score.max(axis=1)
-        ending: dict[int, list[int]] = {}
-        for k, (_, j) in enumerate(segs):
-            if top[k] > 0:
-                ending.setdefault(j, []).append(k)
-        best, back = [0.0] * (len(atoms) + 1), [-1] * (len(atoms) + 1)
+        best, back = [0.0] * (len(atoms) + 1), [None] * (len(atoms) + 1)
         for j in range(1, len(atoms) + 1):
             best[j] = best[j - 1]
-            for k in ending.get(j, ()):
-                if (v := best[segs[k][0]] + top[k]) > best[j]:
-                    best[j], back[j] = v, k
+            for i, kind, gain in ending.get(j, ()):
+                if (v := best[i] + gain) > best[j]:
+                    best[j], back[j] = v, (i, kind)
         out, j = [], len(atoms)
         while j > 0:
-            if (k := back[j]) < 0:
+            if back[j] is None:
                 j -= 1
             else:
-                out.append((atoms[segs[k][0]][0], KINDS[kind[k]], atoms[segs[k][1] - 1][1]))
-                j = segs[k][0]
+                i, kind = back[j]
+                out.append((atoms[i][0], KINDS[kind], atoms[j - 1][1]))
+                j = i
         return out[::-1]
 
 
@@ -266,7 +268,7 @@ def trained(examples: int = 900, rounds: int = 6, decay: float = 1e-3) -> Crf:
         if not first:
             continue
         atoms = [m.span() for m in _ATOM.finditer(text, first.start())]
-        segs = _segments(text, atoms, [True] * len(atoms))
+        segs = list(_segments(text, atoms, [True] * len(atoms)))
         cue = _cue_of(text, atoms[0][0])
         rows = [[names.setdefault(f, len(names)) for f in _features(text, atoms, i, j, cue if i == 0 else _cue_of(text, atoms[i][0]))] for i, j in segs]
         at = {(atoms[i][0], atoms[j - 1][1]): k for k, (i, j) in enumerate(segs)}

@@ -69,6 +69,14 @@ class TestQuality:
         assert [r.score for r in sorted(rows, key=lambda r: r.doc_id)][:4] == [0.0, 0.0, 0.5, 0.5]
         assert quality.score_quality(docs(spark, []), labels).count() == 0
 
+    def test_null_and_repeated_ids(self, spark):
+        d, labels = self.table(spark, 200)
+        more = d.union(d.where("doc_id < 3")).union(d.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+        rows = quality.score_quality(more, labels).collect()
+        assert len(rows) == 204 and [r.held_out for r in rows if r.doc_id is None] == [False]
+        named = quality.with_quality(d, quality.train(d, labels))
+        assert named.columns == [*d.columns, "score_"] and named.count() == 200
+
     def test_the_prior_is_found(self):
         r = np.random.default_rng(0)
         p, u = r.normal(2, 1, 4000), np.concatenate([r.normal(2, 1, 2800), r.normal(-4, 1, 1200)])
@@ -117,6 +125,12 @@ class TestPii:
         z, p = pii.expectations(model.scores(model.rows(text, atoms, segs, "")), segs, len(atoms))
         assert np.isfinite(z) and (p >= 0).all() and (p <= 1 + 1e-9).all()
 
+    def test_long_regions_are_decoded_in_pieces(self, monkeypatch):
+        text = " ".join(["call +49 151 234 5678", "4111-1111 x9", "user7@mail.example.org", "secret=abcdef0123456789"] * 300)
+        whole = pii.all_spans(text, pii.trained())
+        monkeypatch.setattr(pii, "AT_ONCE", 50)
+        assert pii.all_spans(text, pii.trained()) == whole and len(whole[1]) >= 600
+
     def test_odd_texts_and_redaction(self, spark):
         d = docs(spark, [*ODD, "mail a.b@example.com now, call +1 (555) 123-4567", "9" * 30000, "1.1 " * 20000])
         rows = {r.doc_id: r for r in pii.find_spans(d).collect()}
@@ -237,7 +251,7 @@ class TestVectors:
         rows += [(9001, None, 1, "x"), (9002, [0.0] * 16, 1, "x"), (9003, [float("nan")] * 16, 1, "x"), (9004, [1.0, None], 1, "x"), (9005, rows[100][1], None, "x"), (9006, [1.0, 2.0], 1, "x"), (9007, [], 1, "x")]
         return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, gid string")
 
-    def test_itq_finds_the_links_of_brute_force(self, spark):
+    def test_itq_finds_the_links_of_brute_force(self, spark, monkeypatch):
         x = self.vectors()
         u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
         label = np.array([i % 2 if i >= 300 else 1 for i in range(len(x))])
@@ -248,6 +262,11 @@ class TestVectors:
         assert sum(got[i].n_links for i in range(len(x))) >= 0.99 * near.sum() and all(got[i].n_links <= near[i].sum() for i in range(len(x)))
         assert [got[i].component_id for i in range(200, 230)] == [200] * 30
         assert itq.near_vectors(self.frame(spark, x).limit(0)).count() == 0
+        monkeypatch.setattr(itq, "BLOCK", 40)  # buckets are split into blocks
+        split = {r.vec_id: (r.n_links, r.component_id) for r in itq.near_vectors(self.frame(spark, x)).collect()}
+        assert split == {i: (r.n_links, r.component_id) for i, r in got.items()}
+        twice = itq.near_vectors(self.frame(spark, x).where("vec_id in (200, 500, 9001)").union(self.frame(spark, x).where("vec_id in (200, 9001)"))).collect()
+        assert sorted((r.vec_id, r.n_links, r.component_id) for r in twice) == [(200, 1, 200), (200, 1, 200), (500, 0, 500), (9001, 0, 9001), (9001, 0, 9001)]
 
     def test_srs_recall_and_exact_scores(self, spark):
         x = self.vectors(1500)
