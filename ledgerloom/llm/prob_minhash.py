@@ -202,11 +202,11 @@ def _copies(signed: DataFrame) -> DataFrame:
 
 def _with_leads(pairs: DataFrame, sets: DataFrame, star: int) -> DataFrame:
     """`pairs` (lead, rep, y) with the leader's set x; a leader of many pairs is dealt to several tasks."""
-    many = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / star).cast("int").alias("salts")).where("salts > 1")
-    salts = F.coalesce("salts", F.lit(1))
-    by_lead = sets.select(F.col("id").alias("lead"), F.col("grams").alias("x")).join(many, "lead", "left")
-    by_lead = by_lead.select("lead", "x", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    dealt = pairs.join(many, "lead", "left").select("lead", "rep", F.pmod(F.xxhash64("rep"), salts).cast("int").alias("salt"))
+    salts = F.ceil(F.col("n") / star).cast("int")
+    many = cut(pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("n"))).withColumn("salts", salts)
+    by_lead = sets.select(F.col("id").alias("lead"), F.col("grams").alias("x")).join(many, "lead")
+    by_lead = by_lead.select("lead", "x", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    dealt = join_hot(pairs, many, ["lead"], "rep", pairs.count()).select("lead", "rep", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"))
     held = dealt.join(sets.select(F.col("id").alias("rep"), F.col("grams").alias("y")), "rep")
     return held.join(by_lead, ["lead", "salt"]).select("lead", "rep", "x", "y")
 
