@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from pathlib import Path
@@ -207,9 +208,24 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return out + np.arange(total)
 
 
+def released() -> None:
+    """Give memory that earlier batches used back to the system; a reused worker would keep it for the rest of the job."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _TRIM = None
+
+
 def batches(frame_batches, rows: int = BATCH_ROWS, size: int = BATCH_BYTES):
     """The incoming Arrow batches, cut again where a batch holds more than `size` bytes."""
+    released()
     for b in frame_batches:
         step = max(1, min(rows, int(rows * size / max(1, b.nbytes)))) if b.nbytes > size else max(1, b.num_rows)
         for i in range(0, b.num_rows, step):
             yield b.slice(i, step)
+    released()

@@ -67,7 +67,7 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.hashes, self.at, self.size, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.hashes, self.at, self.size, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
         if self.tok.get_vocab_size() > 1 << 16:
             raise ValueError(f"{path}: ids of {self.tok.get_vocab_size()} tokens don't fit in 16 bits")
         if self.encode(pa.array([PROBE]))[0].tolist() != [*self.tok.encode(PROBE, add_special_tokens=False).ids, END]:
