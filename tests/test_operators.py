@@ -90,3 +90,73 @@ def test_filters_and_columns_reach_the_scan(spark, data):
 
     plan = Tables(spark, data).orders.where("o_orderstatus = 'O'").select("o_orderkey")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(o_orderstatus,O)" in plan and "o_totalprice" not in plan
+
+
+def test_layout_of_a_small_page(spark):
+    from ledgerloom.operators import layout as P
+
+    box = lambda pos, word, x, y: (1, 0, pos, word, x, y, x + 8 * len(word), y + 16)
+    rows = [box(0, "Invoice", 0, 0), box(1, "no", 60, 2), box(2, "Item", 0, 80), box(3, "Qty", 200, 80), box(4, "Bolt", 0, 100), box(5, "2", 200, 101), box(6, "Nut", 0, 120), box(7, "3", 200, 120), box(8, "Cog", 0, 140), box(9, "4", 200, 140), box(10, "Total:", 0, 240), box(11, "9", 60, 240)]
+    words = spark.createDataFrame(rows, "doc_id long, page long, pos int, word string, x0 long, y0 long, x1 long, y1 long")
+    lines = [(r.content, r.cells, r.section) for r in P.text_lines(words).orderBy("line").collect()]
+    assert lines == [("Invoice no", 1, 0), ("Item | Qty", 2, 1), ("Bolt | 2", 2, 1), ("Nut | 3", 2, 1), ("Cog | 4", 2, 1), ("Total: 9", 1, 2)]
+    assert P.page_markdown(words).first().markdown == "Invoice no\n\n| **Item** | **Qty** |\n|---|---|\n| Bolt | 2 |\n| Nut | 3 |\n| Cog | 4 |\n\nTotal: 9"
+    assert [(r.label, r.value) for r in P.key_values(words, ["total", "invoice"]).orderBy("pos").collect()] == [("invoice", None), ("total", "9")]
+    found = P.value_spans(words, spark.createDataFrame([(1, "bolt 2"), (1, "total: 8"), (1, ""), (2, "bolt")], "doc_id long, value string")).collect()
+    assert [(r.value, r.pos, r.x0, r.y0, r.x1, r.y1) for r in found] == [("bolt 2", 4, 0, 100, 208, 117)]
+    brute = {}
+    for i, a in enumerate(rows):
+        for b in rows[i + 1 :]:
+            kind = "below" if abs(a[5] - b[5]) / 600 > 0.02 else "same_column" if abs(a[4] - b[4]) / 800 < 0.015 else "right_of"
+            brute[kind] = brute.get(kind, 0) + 1
+    assert {r.relation: r.n for r in P.spatial_relations(words).collect()} == brute
+    assert P.text_lines(words.limit(0)).count() == 0 and P.spatial_relations(words.limit(0)).count() == 0
+
+
+def test_fields_with_nulls_and_empty_tables(spark):
+    from ledgerloom.operators import fields as O
+
+    fields = spark.createDataFrame([(1, 1, "TOTAL", "-5"), (1, 1, "SUPPLIER", "null"), (1, 2, "SUPPLIER_NAME", " Acme "), (1, 2, "TOTAL", None), (2, 1, None, "x")], "doc_id long, page long, field string, value string")
+    issues = spark.createDataFrame([(1, 1, "negative", "error", "Negative total", ["TOTAL"]), (1, 1, "format", "warning", "Odd", ["TOTAL", "X"])], "doc_id long, page long, rule string, severity string, message string, fields array<string>")
+    scores = {(r.page, r.field): (r.confidence, r.level) for r in O.field_scores(fields.where("doc_id = 1"), issues, F.lit(True)).collect()}
+    assert scores == {(1, "TOTAL"): (0.55, "low"), (1, "SUPPLIER"): (0.0, "low"), (2, "SUPPLIER_NAME"): (1.0, "high"), (2, "TOTAL"): (0.0, "low")}
+    assert [(r.page, r.supplier) for r in O.linked_entities(fields, ["SUPPLIER", "SUPPLIER_NAME"]).collect()] == [(2, "Acme")]
+    assert {(r.page, r.field, r.status) for r in O.traces(fields.where("doc_id = 1"), issues).collect()} == {(1, "TOTAL", "WARNING"), (1, "SUPPLIER", "VALID"), (2, "SUPPLIER_NAME", "VALID"), (2, "TOTAL", "VALID")}
+    assert O.gathered(fields.where("doc_id = 1")).first().text == "[Page 1]\n  TOTAL: -5\n\n[Page 2]\n  SUPPLIER_NAME:  Acme "
+    assert O.correction_hints(issues, spark.createDataFrame([(1, 2, "TOTAL", 0.1)], "doc_id long, page long, field string, confidence double")).orderBy("page").first().hint == "Odd Negative total"
+    for made in (O.gathered(fields.limit(0)), O.results_json(fields.limit(0), issues.limit(0)), O.graph_stats(O.graph_nodes(fields.limit(0))), O.label_sets(fields.limit(0), fields.limit(0))):
+        assert made.count() == 0
+
+
+def test_transcripts_merge(spark):
+    from ledgerloom.operators.fields import merged_transcripts
+
+    rows = [(["Tota1", "12", "EUR"], ["total", "12", "eur", "net"], [0.5, 0.9, None]), (["a", "b", "c", "d", "e"], ["a"], [0.1] * 5), ([], ["x"], [])]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>, c array<double>")
+    got = [[tuple(x) for x in r[0]] for r in df.select(merged_transcripts(F.col("a"), F.col("b"), F.col("c"))).collect()]
+    assert got[0] == [("Tota1", 0.5), ("12", 0.9), ("EUR", 0.5), ("total", 0.95), ("12", 0.95), ("eur", 0.95), ("net", 0.95)]
+    assert got[1] == [(w, 0.1) for w in "abcde"] and got[2] == [("x", 0.95)]
+
+
+def test_rare_words_lose_no_pair(spark):
+    import random
+
+    from ledgerloom.operators.entities import by_rare_words
+
+    r = random.Random(2)
+    sets = [sorted({r.choice("abcdefghij") for _ in range(r.randint(1, 7))}) for _ in range(60)]
+    left = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "id int, a array<string>")
+    right = left.selectExpr("id as other", "a as b")
+    pairs = {(x.id, x.other) for x in by_rare_words(left, right, 0.6).collect()}
+    near = {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if len(set(x) & set(y)) >= 0.6 * len(set(x) | set(y))}
+    assert near <= pairs and len(pairs) < 60 * 60
+
+
+def test_steps_and_breaker_probes(spark):
+    from ledgerloom.operators.steps import run_steps
+    from ledgerloom.streaming.progress import breaker_probes
+
+    run = run_steps(spark.range(4), {"even": lambda d: d.where("id % 2 = 0"), "bad": lambda d: d.select("nothing"), "off": lambda d: d.limit(0)}, enabled=["even", "bad"])
+    assert run.result.count() == 2 and [(n, e is None) for _, n, _, e in run.log] == [("even", True), ("bad", False)]
+    events = spark.createDataFrame([(i, f"2024-01-01 00:00:{i:02d}", 1, "error" if i < 3 else "view") for i in (0, 1, 2, 5, 40)], "event_id long, ts string, user_id long, event_type string")
+    assert [x.state for x in breaker_probes(events, failures=3, pause=30).orderBy("event_id").collect()] == ["closed", "closed", "closed", "open", "closed"]
