@@ -30,15 +30,20 @@ def normal_name(name: Column) -> Column:
 
 
 def indel_ratio(a: str, b: str) -> float:
-    """1 - (insertions + deletions) / (len a + len b), from the longest common subsequence; 1 for two empty texts."""
+    """1 - (insertions + deletions) / (len a + len b), from the longest common subsequence; 1 for two empty texts.
+
+    The table's rows are bit vectors (Crochemore et al., 2001): a zero bit is a step of the subsequence's length.
+    """
     if not a or not b:
         return float(a == b)
-    row = [0] * (len(b) + 1)
+    at: dict[str, int] = {}
+    for j, y in enumerate(b):
+        at[y] = at.get(y, 0) | 1 << j
+    full = row = (1 << len(b)) - 1
     for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-    return 2.0 * row[-1] / (len(a) + len(b))
+        hit = row & at.get(x, 0)
+        row = (row + hit | row - hit) & full
+    return 2.0 * (len(b) - row.bit_count()) / (len(a) + len(b))
 
 
 def sorted_words(s: str) -> str:
