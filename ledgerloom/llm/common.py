@@ -159,11 +159,11 @@ def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0] if len(off) else np.zeros(1, np.int64)
 
 
-def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each run of non-space bytes, and how many runs lie before each document (n+1)."""
+def word_spans(data: np.ndarray, off: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each run of bytes that are not in `space`, and how many runs lie before each document (n+1)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    solid = ~_SPACE[data]
+    solid = ~space[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     heads = off[:-1][off[:-1] < len(data)]

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import CONTROL, chat_digest, format_chats
 from .common import table
+from .filter_audit import audit
+from .importance import resample
 from .mixing import mixture
 from .packing import pack
 from .pii import find_spans
@@ -15,6 +17,7 @@ from .prob_minhash import near_duplicates
 from .quality import score_quality
 from .srs import nearest
 from .unit_dedup import repeated_spans
+from .warc import archived
 
 
 def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +66,18 @@ def op10_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "labels"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_pu_quality": op1_pu_quality,
     "op2_pii": op2_pii,
@@ -74,6 +89,9 @@ QUERIES = {
     "op8_unit_dedup": op8_unit_dedup,
     "op9_gated_lm": op9_gated_lm,
     "op10_prob_minhash": op10_prob_minhash,
+    "op11_warc_members": op11_warc_members,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_importance": op13_importance,
 }
 ORACLES: dict[str, str] = {}
 
@@ -101,3 +119,75 @@ SELECT conv_id, count(*) AS n_turns,
     ELSE 16 + length(label) END) AS BIGINT) AS formatted_chars
 FROM s GROUP BY conv_id
 """
+
+ORACLES["op11_warc_members"] = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), l AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS lead FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> lead THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> lead THEN lead END AS refers_to
+FROM l
+"""
+
+ORACLES["op12_filter_audit"] = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id
+), m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad, [
+    len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text),
+    regexp_matches(text, '[#$%&*|]'), t.doc_id > min(t.doc_id) OVER (PARTITION BY text)] AS fails
+  FROM t LEFT JOIN l ON t.doc_id = l.doc_id
+), c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM m GROUP BY ALL),
+o AS (
+  SELECT f AS filter_order FROM (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f)
+  UNION ALL SELECT filter_order || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE length(filter_order) < 5 AND NOT contains(filter_order, x)
+), s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o WHERE length(filter_order) = 5),
+e AS (
+  SELECT part, filter_order, step, n, good, bad, fails, fails[ascii(filter_order[step]) - 64] AS here,
+    coalesce(list_bool_or([fails[ascii(filter_order[i]) - 64] FOR i IN range(1, step)]), false) AS gone, len([x FOR x IN fails IF x]) AS m
+  FROM c, s
+)
+SELECT part, filter_order, CAST(step AS INT) AS step,
+  CAST(sum(CASE WHEN here OR gone THEN 0 ELSE n END) AS BIGINT) AS kept, CAST(sum(CASE WHEN here AND NOT gone THEN n ELSE 0 END) AS BIGINT) AS removed,
+  CAST(sum(CASE WHEN here AND gone THEN n ELSE 0 END) AS BIGINT) AS redundant, CAST(sum(CASE WHEN here AND m = 1 THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+  CAST(sum(CASE WHEN here AND NOT gone THEN good ELSE 0 END) AS BIGINT) AS good_lost, CAST(sum(CASE WHEN here AND NOT gone THEN bad ELSE 0 END) AS BIGINT) AS toxic_lost,
+  CAST(sum(CASE WHEN here THEN n * 120 // m ELSE 0 END) AS BIGINT) AS shapley
+FROM e GROUP BY ALL
+"""
+
+ORACLES["op13_importance"] = r"""
+WITH x AS (
+  SELECT doc_id, 1 AS side, row_number() OVER () AS i, text FROM documents UNION ALL SELECT NULL, 2, row_number() OVER (), text FROM benchmark
+), w AS (
+  SELECT doc_id, side, i, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM x
+), f AS (
+  SELECT side, i, unnest(w) AS feature FROM w
+  UNION ALL SELECT side, i, unnest([w[k] || ' ' || w[k + 1] FOR k IN range(1, len(w))]) FROM w
+), tab AS (
+  SELECT list(list_reduce(list_prepend(CAST(i AS UBIGINT), [CAST(k AS UBIGINT) FOR k IN range(8)]), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) ORDER BY i) AS t FROM range(256) r(i)
+), h AS (
+  SELECT feature, hex(encode(feature)) AS h FROM (SELECT DISTINCT feature FROM f)
+), b AS (
+  SELECT feature, CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), [CAST(16 * (strpos('123456789ABCDEF', h[k])) + strpos('123456789ABCDEF', h[k + 1]) AS UBIGINT) FOR k IN range(1, len(h), 2)]),
+    lambda c, k: xor(c >> 8, t[CAST(xor(c, k) & 255 AS INT) + 1])), 4294967295) % 10000 AS BIGINT) AS bucket
+  FROM h, tab
+), n AS (
+  SELECT bucket, CAST(count_if(side = 1) AS DOUBLE) AS s, CAST(count_if(side = 2) AS DOUBLE) AS t FROM f JOIN b USING (feature) GROUP BY bucket
+), g AS (
+  SELECT bucket, CAST(floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain FROM n
+), d AS (
+  SELECT i, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS total FROM f JOIN b USING (feature) JOIN g USING (bucket) WHERE side = 1 GROUP BY i
+), m AS (
+  SELECT doc_id, len(w) AS words, coalesce(n_features, 0) AS n_features,
+    CASE WHEN coalesce(n_features, 0) = 0 THEN 0 ELSE (total - ((total % n_features) + n_features) % n_features) // n_features END AS weight,
+    CAST('0x' || left(sha256('7:' || doc_id), 8) AS BIGINT) AS h
+  FROM w LEFT JOIN d USING (i) WHERE side = 1
+), v AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM m),
+r AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS place, count_if(words >= 20) OVER () AS fit FROM v)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+  CASE WHEN words >= 20 AND place <= 25 * fit // 100 THEN CAST(place AS BIGINT) END AS rank
+FROM r
+"""
