@@ -2,8 +2,9 @@
 
 Exact duplicates come from partition refinement: documents are split by length in code points, then by the hash of one
 block of text after the other (blocks double in size, so there are few), and whoever is alone in its class leaves at once.
-Only the rows of ids, lengths and hashes are shuffled for that. The full texts of the survivors are compared in the end, and
-all ids but the least of a text are marked. A class of several texts (hashes that collide) is resolved by its texts.
+Only the rows of ids, lengths and hashes are shuffled for that. The full texts of the survivors, found at the scan by a
+bitmap of their classes of fixed size, are compared in the end, and all ids but the least of a text are marked. A class of
+several texts (hashes that collide) is resolved by its texts.
 
 The five conditions then make a mask of 5 bits a document. Documents are counted by part, mask and label; all 120 orders are
 worked out on those counts, at most 32 a part, so their number costs no pass over the documents.
@@ -27,7 +28,9 @@ from .common import cut, join_hot, prepare, written
 #: The filters in the order of their bits: short, repetitive, capital letters, special characters, exact duplicate.
 FILTERS = "ABCDE"
 #: Code points of the first block; each further one is as long as all before it.
-BLOCK, LEVELS = 4096, 21
+BLOCK = 4096
+#: Bits of the map of class hashes that keeps texts of no class from the last shuffle (8 MB, whatever the input).
+BITS = 1 << 26
 
 
 def _hash(part: Column) -> Column:
@@ -36,10 +39,11 @@ def _hash(part: Column) -> Column:
 
 def blocks(text: Column, size: Column, block: int = BLOCK) -> Column:
     """Hashes of the successive blocks of `text`, which has `size` code points; one for an empty text."""
+    # block k > 0 begins at block * 2**(k-1); the length of the binary form of (size-1) / block says how many begin before the end
+    count = F.when(size <= block, 0).otherwise(F.length(F.bin(F.floor((size - 1) / block).cast("long"))))
     begin = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.lit(block).cast("long") * F.pow(F.lit(2), k - 1).cast("long"))
     wide = lambda k: F.when(k == 0, F.lit(block)).otherwise(begin(k))
-    inside = F.filter(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: (k == 0) | (begin(k) < size))
-    return F.transform(inside, lambda k: _hash(F.substr(text, (begin(k) + 1).cast("int"), wide(k).cast("int"))))
+    return F.transform(F.sequence(F.lit(0), count), lambda k: _hash(F.substr(text, (begin(k) + 1).cast("int"), wide(k).cast("int"))))
 
 
 def conditions(text: Column) -> list[Column]:
@@ -84,17 +88,26 @@ def duplicates(docs: DataFrame, *, block: int = BLOCK) -> DataFrame:
     return _duplicates(texts, refined(written(sized)), block)
 
 
+def _in_map(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose `key` is in `keys`, and the few others whose hash falls on the same bit of the broadcast map."""
+    at = F.pmod(F.col("key"), F.lit(BITS))
+    grid = keys.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    met = rows.withColumn("bucket", F.bitmap_bucket_number(at)).join(F.broadcast(cut(grid)), "bucket")
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substr("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return met.where(F.getbit(byte, (place % 8).cast("int")) == 1).drop("bucket", "bits")
+
+
 def _duplicates(texts: DataFrame, alike: DataFrame, block: int) -> DataFrame:
     size = F.length("text").cast("long")
-    alike = written(alike.distinct())
-    keyed = texts.withColumn("key", _full_key(size, blocks(F.col("text"), size, block))).join(alike, ["doc_id", "key"])
+    alike = written(alike)
+    sizes = cut(alike.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    keyed = _in_map(texts.withColumn("key", _full_key(size, blocks(F.col("text"), size, block))), sizes)
     # copies of a text combine before the shuffle
     same = keyed.groupBy("key", "text").agg(F.min("doc_id").alias("least"))
-    classes = cut(same.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("least").alias("least")))
-    sizes = alike.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    plain = cut(classes.where("kinds = 1").join(sizes, "key").select("key", "least", "n"))
-    out = join_hot(alike, plain, ["key"], "doc_id", alike.count()).where("doc_id > least").select("doc_id", "key")
-    if not classes.where("kinds > 1").isEmpty():
+    classes = cut(same.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("least").alias("least")).join(sizes, "key"))
+    out = join_hot(alike, classes.where("kinds = 1").select("key", "least", "n"), ["key"], "doc_id", alike.count()).where("doc_id > least").select("doc_id", "key")
+    if not classes.where("kinds > 1").isEmpty():  # hashes that collide: told apart by the texts
         several = keyed.join(classes.where("kinds > 1").select("key"), "key")
         out = out.union(several.join(several.groupBy("key", "text").agg(F.min("doc_id").alias("least")), ["key", "text"]).where("doc_id > least").select("doc_id", "key"))
     return out.distinct()

@@ -93,7 +93,7 @@ def features(texts, own: np.ndarray | None = None, n: int = N, buckets: int = BU
         now = _followed(spaced[mine] if k == 1 else _followed(now, _SPACE, np.ones(len(now), np.int64)), crc[mine + k], length[mine + k])
         docs.append(doc[mine])
         codes.append(now)
-    return np.concatenate(docs), (np.concatenate(codes) % np.uint32(buckets)).astype(np.int64)
+    return np.concatenate(docs), np.concatenate(codes).astype(np.int64) % buckets
 
 
 def _chunked(n: int, words: int):

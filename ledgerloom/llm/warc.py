@@ -86,8 +86,9 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def inflated(stream, piece: int = PIECE):
     """The bytes of a gzip file of one or many members, or of a plain file, in pieces."""
-    engine = None
-    while data := stream.read(piece):
+    engine, first = None, stream.read(2)
+    while data := first + stream.read(piece):
+        first = b""
         if engine is None and not data.startswith(b"\x1f\x8b"):
             while data:
                 yield data
@@ -167,6 +168,9 @@ def _normalised(out_dir: str):
                         sink.write(member)
                         rows.append((final, at, len(member), head.get("warc-type"), _page(head.get("warc-record-id")), head.get("warc-target-uri"), head.get("warc-payload-digest", "").removeprefix("sha256:") or None, _page(head.get("warc-refers-to"))))
                         at += len(member)
+                if not rows:
+                    to.delete_file(part)
+                    continue
                 with to.open_output_stream(f"{part}.idx", compression=None) as sink:
                     for row in rows:
                         sink.write((json.dumps(dict(zip(_FIELDS[1:], row[1:], strict=True))) + "\n").encode())
