@@ -3,9 +3,10 @@
 Fit, on a bounded sample: centre, principal axes, then rotations that alternate between signs and the orthogonal
 Procrustes solution, so that the bits are balanced and lose little. Each rotation gives a code of `width` bits; its
 consecutive substrings of k bits are the keys of one hash table each. There are as many rotations as a pair at the
-threshold needs to share a key with probability `recall`; k grows with the logarithm of the rows of a label, so
-buckets keep their size. Vectors that share a key and label, and whose whole codes are close enough, are compared by
-cosine in double precision on the original vectors. A pair counts in the first table in which it meets.
+threshold needs to share a key with probability `recall` (see `ItqTables`: computed from the angles that are left once the
+mean is gone, and measured); k grows with the logarithm of the rows of a label, so buckets keep their size, and shrinks
+where a common mean makes codes of near vectors differ. Vectors that share a key and label, and whose whole codes are close
+enough, are compared by cosine in double precision on the original vectors. A pair counts in the first table in which it meets.
 
 Equal vectors of a label are grouped first; one stands for them. Buckets are cut into blocks of bounded size, and a
 block gives counts and a spanning forest of its links, never its pairs.
@@ -31,37 +32,92 @@ from .vectors import blocked, forest, group_starts, pairs_in, rows_of, runs, usa
 #: Rows of the fit (most), rows of a block, and the share of pairs at the threshold that a table set must find.
 SAMPLE, BLOCK, RECALL = 20_000, 2_000, 0.998
 THRESHOLD, SEED, ROUNDS = 0.93, 11, 30
+#: Pairs made at the threshold to measure the recall of the tables, and tables at most that `plan` looks at for each k.
+PROBES, MOST = 4000, 1 << 12
+
+
+def partners(x: np.ndarray, threshold: float, rng: np.random.Generator) -> np.ndarray:
+    """For each unit vector one at exactly `threshold`: for even rows moved at random, for odd ones along a line of the data."""
+    u = rng.standard_normal(x.shape)
+    u[1::2] = x[rng.permutation(len(x))[: len(u[1::2])]] - x[1::2]
+    u -= np.einsum("ij,ij->i", u, x)[:, None] * x
+    size = np.linalg.norm(u, axis=1, keepdims=True)
+    spare = rng.standard_normal(x.shape)
+    spare -= np.einsum("ij,ij->i", spare, x)[:, None] * x
+    u = np.where(size > 1e-9, u / np.maximum(size, 1e-9), spare / np.maximum(np.linalg.norm(spare, axis=1, keepdims=True), 1e-9))
+    return threshold * x + math.sqrt(1 - threshold * threshold) * u
 
 
 class ItqTables:
-    """Rotations and table keys for vectors of one length."""
+    """Rotations and table keys for vectors of one length.
+
+    Two unit vectors at the threshold are sqrt(2 - 2 * threshold) apart; what angle that is after the mean has been taken off
+    depends on how far from the mean they lie. So the share of bits that differ is computed from the distances of the sample
+    to its mean, k and the number of tables from that (the cheapest of all pairs of both that reach `recall`), and then tables
+    are added until pairs made at the threshold (`partners`) are found as often as that.
+    """
 
     def __init__(self, sample: np.ndarray, per_label: int, threshold: float = THRESHOLD, recall: float = RECALL):
         x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
         self.mean = x.mean(axis=0)
         self.width = min(64, x.shape[1])
         self.axes = np.linalg.eigh((x - self.mean).T @ (x - self.mean))[1][:, ::-1][:, : self.width]
-        flip = math.acos(threshold) / math.pi
-        self.k = max(1, min(self.width, max(8, round(math.log2(max(per_label, 1) / 16)))))
-        need = max(1, math.ceil(math.log(1 - recall) / math.log(1 - (1 - flip) ** self.k)))
-        per = self.width // self.k
-        #: A pair at the threshold differs in more bits than this with a probability of about 1e-4.
-        self.radius = math.ceil(self.width * flip + 4 * math.sqrt(self.width * flip * (1 - flip)))
         rng, v = np.random.default_rng(SEED), (x - self.mean) @ self.axes
-        self.rotations = []
-        for _ in range(math.ceil(need / per)):
-            r = np.linalg.qr(rng.standard_normal((self.width, self.width)))[0]
-            for _ in range(ROUNDS):
-                left, _, right = np.linalg.svd(np.sign(v @ r).T @ v)
-                r = (left @ right).T
+        far2 = np.maximum(np.einsum("ij,ij->i", v, v), 1e-12)
+        flip = np.arccos(np.clip(1 - (1 - threshold) / far2, -1, 1)) / math.pi
+        self.k, need = self.plan(flip, per_label, recall)
+        self.rotations, self.tables = [], []
+        self._data, self._rng = v, rng
+        probe = x[rng.permutation(len(x))[:PROBES]] if len(x) > PROBES else np.tile(x, (-(-PROBES // len(x)), 1))[:PROBES]
+        other = partners(probe, threshold, rng)
+        met = np.zeros(len(probe), bool)
+        differ = []
+        while len(self.tables) < need or (min(met[0::2].mean(), met[1::2].mean()) < recall and len(self.tables) < 4 * need + 64):
+            r = self._rotation()
             self.rotations.append(r)
-        self.tables = [(c, s * self.k) for c in range(len(self.rotations)) for s in range(per)][:need]
+            diff = self._code(probe, r) ^ self._code(other, r)
+            differ.append(np.bitwise_count(diff))
+            for s in range(self.width // self.k if self.k else 1):
+                if len(self.tables) >= need and min(met[0::2].mean(), met[1::2].mean()) >= recall:
+                    break
+                self.tables.append((len(self.rotations) - 1, s * self.k))
+                met |= (diff >> np.uint64(s * self.k)) & np.uint64((1 << self.k) - 1) == 0
+        del self._data, self._rng
+        #: Recall of the made pairs, and more bits than any of them differs in (the first code of a row is looked at).
+        self.measured, self.radius = float(min(met[0::2].mean(), met[1::2].mean())), int(differ[0].max()) + 3
+
+    def plan(self, flip: np.ndarray, per_label: int, recall: float) -> tuple[int, int]:
+        """Bits of a key and number of tables: of those that reach `recall`, the ones of least work a row.
+
+        Where no number up to MOST does (the vectors lie as close to their mean as to each other), one table of one key.
+        """
+        best = (math.inf, 0, 1)
+        for k in range(1, min(self.width, 24) + 1):
+            apart = 1 - (1 - flip) ** k  # in one table, by row of the sample
+            few, many = 0, 1
+            while many < MOST and 1 - (apart**many).mean() < recall:
+                few, many = many, 2 * many
+            while many - few > 1:
+                mid = (few + many) // 2
+                few, many = (few, mid) if 1 - (apart**mid).mean() >= recall else (mid, many)
+            if many < MOST:  # a row of a table costs about as much as 64 comparisons
+                best = min(best, (many * (64 + per_label / 2.0**k), k, many))
+        return best[1:]
+
+    def _rotation(self) -> np.ndarray:
+        r = np.linalg.qr(self._rng.standard_normal((self.width, self.width)))[0]
+        for _ in range(ROUNDS):
+            left, _, right = np.linalg.svd(np.sign(self._data @ r).T @ self._data)
+            r = (left @ right).T
+        return r
+
+    def _code(self, unit: np.ndarray, r: np.ndarray) -> np.ndarray:
+        return ((((unit - self.mean) @ self.axes) @ r > 0) * np.left_shift(np.uint64(1), np.arange(self.width, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
 
     def codes(self, x: np.ndarray) -> np.ndarray:
         """One 64-bit code a rotation."""
-        v = (x / np.linalg.norm(x, axis=1, keepdims=True) - self.mean) @ self.axes
-        bit = np.left_shift(np.uint64(1), np.arange(self.width, dtype=np.uint64))
-        return np.stack([((v @ r > 0) * bit).sum(axis=1, dtype=np.uint64) for r in self.rotations], axis=1)
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        return np.stack([self._code(unit, r) for r in self.rotations], axis=1)
 
     def keys(self, codes: np.ndarray) -> np.ndarray:
         mask = np.uint64((1 << self.k) - 1)
@@ -146,12 +202,13 @@ def near_vectors(rows: DataFrame, *, threshold: float = THRESHOLD, sample: int =
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
     good = usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     fit = rows.where(good)
-    one = cut(fit.groupBy("label", "embedding").agg(F.min("vec_id").alias("gid"), F.count(F.lit(1)).alias("copies")))
+    # the checkpoint fixes the numbers of the groups; a vec_id may have several
+    one = cut(fit.groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies")).withColumn("gid", F.monotonically_increasing_id()))
     links = spark.createDataFrame([], "gid long, low long, links long")
     for (width,) in one.select(F.size("embedding")).distinct().orderBy(F.size("embedding")).collect():
         ours = one.where(F.size("embedding") == width)
         per_label, total = ours.groupBy("label").count().agg(F.max("count"), F.sum("count")).first()
-        taken = drawn(ours.select("gid", "embedding"), ["gid"], sample, SEED, total).select("embedding").toArrow()
+        taken = drawn(ours.select("first", "embedding"), ["first", "embedding"], sample, SEED, total).select("embedding").toArrow()
         model = ItqTables(rows_of(taken["embedding"], width), per_label, threshold)
         coded = ours.select("gid", "label", "embedding").mapInArrow(_coded(model), "label long, t int, key long, gid long, codes binary")
         block, order = ["label", "t", "key", "bi", "bj"], ["label", "t", "key", "bi", "bj", "mine", "gid", "codes"]
@@ -163,7 +220,9 @@ def near_vectors(rows: DataFrame, *, threshold: float = THRESHOLD, sample: int =
     links = cut(links)
     roots = components(links.select(F.col("gid").alias("a"), F.col("low").alias("b")))
     found = one.join(links.groupBy("gid").agg(F.sum("links").alias("links")), "gid", "left").join(roots.withColumnRenamed("node", "gid"), "gid", "left")
-    found = cut(found.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "gid").alias("root"), F.col("copies").alias("n")))
-    met = join_hot(fit, found, ["label", "embedding"], "vec_id", found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).select("vec_id", "links", "root")
+    found = cut(found.select("gid", "label", "embedding", "first", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "gid").alias("root")))
+    least = cut(found.groupBy("root").agg(F.min("first").alias("component"), F.count(F.lit(1)).alias("n")))
+    named = cut(join_hot(found, least, ["root"], "gid", found.count()).select("label", "embedding", "links", "component", F.col("copies").alias("n")))
+    met = join_hot(fit, named, ["label", "embedding"], "vec_id", named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).select("vec_id", "links", "component")
     out = met.union(rows.where(~good).select("vec_id", F.lit(0).cast("long"), "vec_id"))
-    return out.select("vec_id", F.col("links").cast("long").alias("n_links"), F.col("root").alias("component_id"), F.col("root").eqNullSafe(F.col("vec_id")).alias("kept"))
+    return out.select("vec_id", F.col("links").cast("long").alias("n_links"), F.col("component").alias("component_id"), F.col("component").eqNullSafe(F.col("vec_id")).alias("kept"))

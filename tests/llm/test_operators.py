@@ -268,6 +268,35 @@ class TestVectors:
         twice = itq.near_vectors(self.frame(spark, x).where("vec_id in (200, 500, 9001)").union(self.frame(spark, x).where("vec_id in (200, 9001)"))).collect()
         assert sorted((r.vec_id, r.n_links, r.component_id) for r in twice) == [(200, 1, 200), (200, 1, 200), (500, 0, 500), (9001, 0, 9001), (9001, 0, 9001)]
 
+    @pytest.mark.parametrize("width, common", [(64, 0.0), (64, 0.8), (64, 0.9), (24, 0.8), (128, 0.5)])
+    def test_itq_keeps_its_recall_under_a_common_mean(self, spark, width, common):
+        r = np.random.default_rng(2)
+        mean = np.zeros(width)
+        mean[0] = common**0.5
+        base = r.standard_normal((400, width))
+        x = mean + (1 - common) ** 0.5 * base / np.linalg.norm(base, axis=1, keepdims=True)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = np.concatenate([x, itq.partners(x, 0.94, r)])
+        near = x @ x.T >= 0.93
+        np.fill_diagonal(near, False)
+        rows = spark.createDataFrame([(i, [float(v) for v in row], 1) for i, row in enumerate(x)], "vec_id long, embedding array<double>, label int")
+        got = itq.near_vectors(rows).collect()
+        assert sum(g.n_links for g in got) >= 0.99 * near.sum() and all(g.n_links <= near[g.vec_id].sum() for g in got)
+
+    def test_itq_of_few_and_of_equal_vectors(self):
+        for x in (np.ones((1, 8)), np.ones((5, 8)), np.eye(3), np.array([[1.0, 0.001], [1.0, -0.001]])):
+            model = itq.ItqTables(x, 5)
+            assert len(model.tables) >= 1 and model.keys(model.codes(x)).shape == (len(x), len(model.tables))
+
+    def test_itq_counts_vectors_of_one_id_apart(self, spark):
+        r = np.random.default_rng(4)
+        far = [(i, [float(v) for v in r.standard_normal(32)], 1) for i in range(100, 150)]
+        v, w = (r.standard_normal(32) for _ in range(2))
+        rows = [(1, v.tolist(), 1), (1, w.tolist(), 1), (2, (v + 0.001).tolist(), 1), *far]
+        got = itq.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+        assert sorted((g.vec_id, g.n_links, g.component_id) for g in got if g.vec_id < 3) == [(1, 0, 1), (1, 1, 1), (2, 1, 1)]
+        assert all(g.n_links == 0 and g.kept for g in got if g.vec_id >= 100)
+
     def test_srs_recall_and_exact_scores(self, spark):
         x = self.vectors(1500)
         rows = srs.nearest(self.frame(spark, x).where("vec_id <> 9005")).orderBy("query_id", "rank").collect()
