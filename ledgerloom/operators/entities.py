@@ -60,31 +60,44 @@ def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 FREQUENT = "0fbghpmudclsotrnaie "
 
 
+def numbered_characters(name: str) -> list[str]:
+    """The characters of a name's sorted words, numbered by occurrence, rarest first; one empty text for none."""
+    seen: dict[str, int] = {}
+    for c in sorted_words(name):
+        seen[c] = seen.get(c, 0) + 1
+    return [f"{c}{-k}" for k, _, c in sorted(((-k, FREQUENT.find(c), c) for c, n in seen.items() for k in range(n)))] or [""]
+
+
 def rare_characters(name: str, least: float) -> list[str]:
-    """The characters by which a name must meet every name of similarity `least`: numbered by occurrence, rarest first.
+    """The characters by which a name must meet every name of similarity `least`, rarest first.
 
     The ratio is at most twice the common characters (with repeats) over both lengths, so a name of n characters shares at
     least n * least / (2 - least) with any such name; leaving out fewer than that many from the end loses no pair.
     """
-    text, seen = sorted_words(name), {}
-    if not text:
-        return [""]
-    for c in text:
-        seen[c] = seen.get(c, 0) + 1
-    every = sorted(((-k, FREQUENT.find(c), c) for c, n in seen.items() for k in range(n)))
-    must = max(1, math.ceil(len(text) * least / (2 - least) - 1e-9))
-    return [f"{c}{-k}" for k, _, c in every[: len(text) - must + 1]]
+    every, n = numbered_characters(name), len(sorted_words(name))
+    return every[: max(1, n - max(1, math.ceil(n * least / (2 - least) - 1e-9)) + 1)]
+
 
+def candidates(left: DataFrame, right: DataFrame, least: float, which: Column | None = None) -> DataFrame:
+    """Pairs (id, name) x (vendor_id, vendor), every pair of similarity `least` or more among them; no cross join.
 
-def candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """Pairs (id, name) x (vendor_id, vendor), every pair of similarity `least` or more among them; no cross join."""
-    keys = F.pandas_udf(lambda s: pd.Series([None if x is None else rare_characters(x, least) for x in s]), "array<string>")
+    Names meet by their rare characters; a pair goes on if `which` holds and its common characters (with repeats) are as many
+    as the similarity needs. Both tests stay in the JVM.
+    """
+    numbered = F.pandas_udf(lambda s: pd.Series([None if x is None else numbered_characters(x) for x in s]), "array<string>")
     size = F.pandas_udf(lambda s: pd.Series([None if x is None else len(sorted_words(x)) for x in s], dtype="Int64"), "long")
-    a = left.select("id", "name", keys("name").alias("p"), size("name").alias("n")).withColumn("k", F.explode("p"))
-    b = right.select("vendor_id", "vendor", keys("vendor").alias("q"), size("vendor").alias("m")).withColumn("k", F.explode("q"))
-    near = 2 * F.least("n", "m") >= (least - 1e-9) * (F.col("n") + F.col("m"))
-    met = a.join(b, "k").where(near & (F.get(F.array_intersect("p", "q"), F.lit(0)) == F.col("k")))
-    return met.select("id", "name", "vendor_id", "vendor")
+
+    def keyed(rows: DataFrame, name: str, every: str, n: str, key: str) -> DataFrame:
+        rows = rows.withColumns({every: numbered(name), n: size(name)})
+        must = F.greatest(F.lit(1), F.ceil(F.col(n) * least / (2 - least) - 1e-9))
+        rows = rows.withColumn(key, F.slice(every, F.lit(1), F.greatest(F.lit(1), F.col(n) - must + 1).cast("int")))
+        return rows.withColumn("k", F.explode(key))
+
+    a, b = keyed(left.select("id", "name"), "name", "u", "n", "p"), keyed(right.select("vendor_id", "vendor"), "vendor", "v", "m", "q")
+    need = (least - 1e-9) * (F.col("n") + F.col("m"))
+    near = (2 * F.least("n", "m") >= need) & (F.lit(True) if which is None else which)
+    once = F.get(F.array_intersect("p", "q"), F.lit(0)) == F.col("k")
+    return a.join(b, "k").where(near & once & (2 * F.size(F.array_intersect("u", "v")) >= need)).select("id", "name", "vendor_id", "vendor")
 
 
 def by_rare_words(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
@@ -119,20 +132,24 @@ def likely_same(names: DataFrame, least: float = EDGE) -> DataFrame:
 def entities(names: DataFrame, least: float = ENTITY) -> DataFrame:
     """id, entity (smallest id that similar names lead to): labels spread over the links, two steps a round by way of the
     label's own label, until none changes; each round is cut off from the last by a checkpoint, where one is configured."""
-    links = likely_same(names, least).select("id", "other")
-    both = _cut(links.union(links.select("other", "id")).withColumnsRenamed({"id": "a", "other": "b"}))
-    now = names.select("id", F.col("id").alias("entity"))
+    return spread(names.select("id"), likely_same(names, least).select("id", "other"))
+
+
+def spread(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, entity): the smallest id that the links (id, other), taken both ways, lead to."""
+    both = cut(links.union(links.select("other", "id")).toDF("a", "b"))
+    now = cut(ids.select("id", F.col("id").alias("entity")))
     while True:
-        spread = both.join(now.select(F.col("id").alias("b"), "entity"), "b").groupBy("a").agg(F.min("entity").alias("low"))
-        near = now.join(spread, F.col("id") == F.col("a"), "left").select("id", "entity", F.least("entity", F.coalesce("low", "entity")).alias("low"))
+        low = both.join(now.select(F.col("id").alias("b"), "entity"), "b").groupBy("a").agg(F.min("entity").alias("low"))
+        near = now.join(low, F.col("id") == F.col("a"), "left").select("id", "entity", F.least("entity", F.coalesce("low", "entity")).alias("low"))
         jump = now.select(F.col("id").alias("low"), F.col("entity").alias("far"))
-        after = _cut(near.join(jump, "low").select("id", F.least("low", "far").alias("new"), "entity"))
+        after = cut(near.join(jump, "low").select("id", F.least("low", "far").alias("new"), "entity"))
         now = after.select("id", F.col("new").alias("entity"))
         if after.where("new < entity").isEmpty():
             return now
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder, without which the plan of each round would hold all rounds before."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:

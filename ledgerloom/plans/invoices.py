@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import entities as N
+from ..operators import linking as A
 from ..operators import rules as R
 from ..registry import query
 from ..sources.tables import SQL_INVOICES, SQL_ITEMS, Tables
@@ -235,6 +236,41 @@ def supplier_entities(spark, d):
     return N.entities(twice.select("id", N.normal_name(F.col("name")).alias("name")))
 
 
+#: Three arrivals of each document, named by its first two words: as they are, with a legal form and a letter less, and with
+#: a prefix and a letter more.
+_ARRIVALS = f"""raw AS (SELECT 3 * doc_id + i AS id, CASE i WHEN 0 THEN b WHEN 1 THEN concat(left(b, length(b) - 1), ' LTD') ELSE concat('Ste ', b, 'x') END AS name
+  FROM (SELECT doc_id, array_to_string(string_split(text, ' ')[1:2], ' ') AS b FROM documents), (SELECT unnest([0, 1, 2]) AS i)),
+words AS (SELECT id, CASE WHEN trim(name) = '' THEN 'Unknown' ELSE name END AS name FROM raw),
+keyed AS (SELECT id, name, array_to_string(list_sort(list_filter(string_split_regex(regexp_replace(lower(trim(name)), '[^\\pL\\pN_\\s&.-]', '', 'g'), '\\s+'), lambda x: x <> '' AND x NOT IN ({", ".join(repr(w) for w in [*N.LEGAL, *N.PREFIXES, *N.SMALL])}))), ' ') AS key FROM words),
+one AS (SELECT key, regexp_replace(strip_accents(key), '[^ -~]', '?', 'g') AS plain, min(id) AS id FROM keyed GROUP BY key),
+near AS (SELECT id, other, {_RATIO} AS score FROM (SELECT a.id, b.id AS other, {_CODES.format("a.key")} AS x, {_CODES.format("b.key")} AS y FROM one a JOIN one b ON b.id < a.id
+  WHERE a.key <> '' AND b.key <> '' AND levenshtein(a.plain, b.plain) <= 0.2 * (length(a.key) + length(b.key)) + 1e-9) WHERE {_RATIO} >= 0.8),
+best AS (SELECT id, other FROM (SELECT *, max(score) OVER (PARTITION BY id) AS top FROM near) WHERE score = top),
+tree AS (SELECT id, id AS entity FROM one WHERE id NOT IN (SELECT id FROM best) UNION SELECT best.id, tree.entity FROM tree JOIN best ON best.other = tree.id),
+linked AS (SELECT k.id, k.name, k.key, min(t.entity) AS entity FROM keyed k JOIN one o ON k.key = o.key JOIN tree t ON t.id = o.id GROUP BY ALL)"""
+
+
+def _arrivals(t: Tables):
+    b = F.array_join(F.slice(F.split("text", " "), 1, 2), " ")
+    d = t.documents.select("doc_id", b.alias("b"))
+    kinds = [F.col("b"), F.concat(F.expr("left(b, length(b) - 1)"), F.lit(" LTD")), F.concat(F.lit("Ste "), "b", F.lit("x"))]
+    return d.select("doc_id", F.posexplode(F.array(*kinds)).alias("i", "name")).select((3 * F.col("doc_id") + F.col("i")).alias("id"), "name")
+
+
+@query(f"WITH RECURSIVE {_ARRIVALS} SELECT id, entity FROM linked")
+def supplier_arrivals(spark, d):
+    """Each name's entity when names join the entity of the most similar earlier name or open one."""
+    return A.linked_suppliers(_arrivals(Tables(spark, d)))
+
+
+@query(f"""WITH RECURSIVE {_ARRIVALS}, forms AS (SELECT entity, key, min(id) AS id, arg_min(name, id) AS name, count(*) AS n FROM linked GROUP BY entity, key)
+SELECT entity, arg_min(name, id) AS canonical, string_agg(name, '; ' ORDER BY id) AS variations, CAST(sum(n) AS BIGINT) AS invoices FROM forms GROUP BY entity""")
+def supplier_entity_list(spark, d):
+    """The entities with their first names, variations and numbers of invoices."""
+    names = _arrivals(Tables(spark, d))
+    return A.entity_list(names, A.linked_suppliers(names)).withColumn("variations", F.array_join("variations", "; "))
+
+
 @query("""WITH p AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page, o_orderstatus AS type FROM orders), h AS (SELECT * FROM p WHERE page % 4 <> 0),
 g AS (SELECT *, CASE WHEN type = lag(type) OVER w THEN 0 ELSE 1 END AS new FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY page)), r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY page) AS run FROM g)
 SELECT doc_id, type, array_to_string(range(min(page), max(page) + 1), ',') AS pages FROM r GROUP BY doc_id, type, run""")

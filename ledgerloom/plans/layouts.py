@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..operators import layout as P
+from ..operators import spans as SP
 from ..registry import query
 from ..sources.tables import SQL_FIELDS, SQL_WORDS, Tables
 
@@ -60,14 +61,50 @@ def kv_pairs(spark, d):
     return P.key_values(Tables(spark, d).words, L.KV_LABELS)
 
 
-@query(f"""WITH {SQL_WORDS}, v AS (SELECT DISTINCT a.doc_id, lower(a.word) || ' ' || lower(b.word) AS value FROM words a JOIN words b ON a.doc_id = b.doc_id AND a.page = b.page AND b.pos = a.pos + 1 WHERE a.page = 0 AND a.pos = a.doc_id % 20)
-SELECT a.doc_id, a.page, value, a.pos, least(a.x0, b.x0) AS x0, least(a.y0, b.y0) AS y0, greatest(a.x1, b.x1) AS x1, greatest(a.y1, b.y1) AS y1
-FROM v JOIN words a ON a.doc_id = v.doc_id JOIN words b ON a.doc_id = b.doc_id AND a.page = b.page AND b.pos = a.pos + 1 WHERE lower(a.word) || ' ' || lower(b.word) = value AND trim(value) <> ''""")
+#: A field of each document, made of words of its first page: as they stand, between marks, with plural endings and a word
+#: too many, as bare digits, as one word among others, or absent with evidence.
+_SPAN_FIELDS = """h AS (SELECT doc_id, list(word ORDER BY pos) AS w, CAST(doc_id % 20 AS INT) AS k FROM words WHERE page = 0 GROUP BY doc_id),
+f AS (SELECT doc_id, concat('F', doc_id % 6) AS field, CASE doc_id % 6 WHEN 0 THEN concat(w[k + 1], ' ', w[k + 2]) WHEN 1 THEN concat('(', w[k + 1], ')') WHEN 2 THEN concat(w[k + 1], 's ', w[k + 2], ' zzz')
+  WHEN 3 THEN concat('no ', regexp_extract(array_to_string(w, ' '), '[0-9]+', 0)) WHEN 4 THEN concat('qq ww ', w[k + 1]) ELSE 'absent' END AS value, CASE WHEN doc_id % 6 = 5 THEN concat(w[k + 1], ' ', w[k + 2]) ELSE '' END AS evidence FROM h)"""
+_BARE = "trim({0}, '" + SP.MARKS.replace("'", "''") + "')"
+_SPAN = f"""WITH {SQL_WORDS}, {_SPAN_FIELDS},
+g AS (SELECT doc_id, which, goal, list_filter(string_split_regex(goal, '[ \t\n\r]+'), lambda x: x <> '') AS parts FROM (SELECT doc_id, 'evidence' AS which, lower(trim(evidence)) AS goal FROM f UNION ALL SELECT doc_id, 'value', lower(trim(value)) FROM f) WHERE goal <> ''),
+ws AS (SELECT doc_id, page, pos, word, lower(word) AS low, sum(length(word) + 1) OVER (PARTITION BY doc_id, page ORDER BY pos) - length(word) - 1 AS here FROM words),
+pg AS (SELECT doc_id, page, string_agg(low, ' ' ORDER BY pos) AS txt, list(low ORDER BY pos) AS lows FROM ws GROUP BY doc_id, page),
+q AS (SELECT doc_id, page, which, goal, parts, len(parts) AS m, lows, txt, strpos(txt, goal) - 1 AS idx, regexp_replace(txt, '[^0-9]', '', 'g') AS digits, regexp_replace(goal, '[^0-9]', '', 'g') AS want FROM g JOIN pg USING (doc_id)),
+l1 AS (SELECT doc_id, page, which, list(CAST(pos AS INT) ORDER BY pos) AS ids FROM q JOIN ws USING (doc_id, page) WHERE idx >= 0 AND here >= idx AND here + length(word) <= idx + length(goal) GROUP BY ALL),
+l2 AS (SELECT doc_id, page, which, [CAST(min(pos) AS INT)] AS ids FROM q JOIN ws USING (doc_id, page) WHERE m = 1 AND (low = parts[1] OR {_BARE.format("low")} = {_BARE.format("parts[1]")}) GROUP BY ALL),
+p AS (SELECT doc_id, page, which, m, unnest(parts) AS part, unnest(range(m)) AS ti FROM q WHERE m > 1),
+r AS (SELECT doc_id, page, which, m, pos - ti AS start, ti, row_number() OVER (PARTITION BY doc_id, page, which, pos - ti ORDER BY ti) - 1 AS k FROM p JOIN ws USING (doc_id, page)
+  WHERE pos >= ti AND ({_BARE.format("low")} = {_BARE.format("part")} OR rtrim({_BARE.format("low")}, 's') = rtrim({_BARE.format("part")}, 's'))),
+n AS (SELECT doc_id, page, which, m, start, count(*) AS n FROM r WHERE k = ti GROUP BY ALL),
+l3 AS (SELECT doc_id, page, which, [CAST(i AS INT) FOR i IN range(s, s + n)] AS ids FROM (SELECT doc_id, page, which, max(n) AS n, arg_max(start, n * 1000 - start) AS s FROM n WHERE n >= greatest(1, m // 2) GROUP BY ALL)),
+l4 AS (SELECT doc_id, page, which, list_reduce(list_concat([{{'w': '', 'at': CAST(0 AS BIGINT), 'i': CAST(-1 AS BIGINT), 'ids': CAST([] AS BIGINT[])}}], [{{'w': x, 'at': CAST(0 AS BIGINT), 'i': CAST(0 AS BIGINT), 'ids': CAST([] AS BIGINT[])}} FOR x IN lows]), lambda s, x:
+    [CASE WHEN d = '' THEN {{'w': '', 'at': s.at + length(x.w) + 1, 'i': s.i + 1, 'ids': s.ids}}
+      WHEN strpos(substr(digits, s.at + 1), d) = 0 THEN {{'w': '', 'at': s.at, 'i': s.i + 1, 'ids': s.ids}}
+      ELSE {{'w': '', 'at': s.at + strpos(substr(digits, s.at + 1), d) - 1 + length(d), 'i': s.i + 1, 'ids': CASE WHEN s.at + strpos(substr(digits, s.at + 1), d) - 1 >= strpos(digits, want) - 1 AND s.at + strpos(substr(digits, s.at + 1), d) - 1 + length(d) <= strpos(digits, want) - 1 + length(want) THEN list_append(s.ids, s.i + 1) ELSE s.ids END}}
+      END FOR d IN [regexp_replace(x.w, '[^0-9]', '', 'g')]][1]).ids AS ids FROM q WHERE m > 1 AND want <> '' AND strpos(digits, want) > 0),
+s AS (SELECT q.doc_id, q.page, q.which, CASE WHEN l1.ids IS NOT NULL THEN l1.ids WHEN q.m = 1 THEN l2.ids WHEN l3.ids IS NOT NULL THEN l3.ids WHEN len(l4.ids) > 0 THEN [CAST(i AS INT) FOR i IN l4.ids] END AS ids
+  FROM q LEFT JOIN l1 USING (doc_id, page, which) LEFT JOIN l2 USING (doc_id, page, which) LEFT JOIN l3 USING (doc_id, page, which) LEFT JOIN l4 USING (doc_id, page, which)),
+w AS (SELECT doc_id, page, list(CAST(pos AS INT) ORDER BY pos) AS ids FROM q JOIN ws USING (doc_id, page) WHERE which = 'value' AND list_contains(parts, low) GROUP BY doc_id, page),
+c AS (SELECT pg.doc_id, pg.page, CASE WHEN e.ids IS NOT NULL THEN 'evidence' WHEN v.ids IS NOT NULL THEN 'value' ELSE 'word' END AS link, coalesce(e.ids, v.ids, w.ids) AS ids
+  FROM pg LEFT JOIN s e ON e.doc_id = pg.doc_id AND e.page = pg.page AND e.which = 'evidence' LEFT JOIN s v ON v.doc_id = pg.doc_id AND v.page = pg.page AND v.which = 'value' LEFT JOIN w ON w.doc_id = pg.doc_id AND w.page = pg.page),
+o AS (SELECT doc_id, page, link, unnest(ids) AS pos FROM c JOIN f USING (doc_id) WHERE trim(value) <> '' AND value <> 'null')
+SELECT o.doc_id, o.page, field, value, link, CAST(count(*) AS INT) AS n, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM o JOIN words USING (doc_id, page, pos) JOIN f ON f.doc_id = o.doc_id GROUP BY ALL"""
+
+
+@query(_SPAN)
 def value_to_span(spark, d):
-    """Where a value of two words stands in its document: every page, every occurrence, with its box."""
+    """The box of a document's field on each of its pages, by evidence, value or any word of it."""
     words = Tables(spark, d).words
-    head = words.where("page = 0 and pos in (doc_id % 20, doc_id % 20 + 1)").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("x"))
-    return P.value_spans(words, head.where(F.size("x") == 2).select("doc_id", F.array_join("x.word", " ").alias("value")))
+    head = words.where("page = 0").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word")))["word"].alias("w")).withColumn("k", (F.col("doc_id") % 20).cast("int"))
+    word = lambda i: F.coalesce(F.get("w", F.col("k") + i), F.lit(""))
+    two, kind = F.concat(word(0), F.lit(" "), word(1)), F.col("doc_id") % 6
+    digits = F.concat(F.lit("no "), F.regexp_extract(F.array_join("w", " "), "[0-9]+", 0))
+    value = F.when(kind == 0, two).when(kind == 1, F.concat(F.lit("("), word(0), F.lit(")"))).when(kind == 2, F.concat(word(0), F.lit("s "), word(1), F.lit(" zzz")))
+    value = value.when(kind == 3, digits).when(kind == 4, F.concat(F.lit("qq ww "), word(0))).otherwise("absent")
+    fields = head.select("doc_id", F.concat(F.lit("F"), kind.cast("string")).alias("field"), value.alias("value"), F.when(kind == 5, two).otherwise("").alias("evidence"))
+    return SP.field_boxes(words, fields)
 
 
 @query(f"WITH {SQL_WORDS} SELECT doc_id, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, CAST(trunc(1000 * min(x0) / 800) AS INT) AS nx, CAST(trunc(1000 * max(y1) / 600) AS INT) AS ny, count(*) AS n FROM words GROUP BY doc_id, page")
