@@ -51,3 +51,19 @@ LABEL_COLOURS = {
     "TOTAL_AMOUNT": "#6c5ce7", "TOTAL_UNTAXED": "#7bed9f", "TAX_AMOUNT": "#e056fd", "LINE/DESCRIPTION": "#f9ca24", "LINE/QUANTITY": "#0abde3", "LINE/UOM": "#26de81", "LINE/PRICE": "#45aaf2",
     "LINE/SUB_TOTAL": "#fc5c65", "LINE/TAX": "#8854d0", "O": "#95a5a6",
 }
+#: Words that tell French and English questions apart; entries of two words never equal a word.
+FRENCH_KEYWORDS = [
+    "quels", "quelle", "quelles", "quel", "combien", "montant", "total", "fournisseur", "facture", "ligne", "description", "prix", "quantité",
+    "précision", "rappel", "confiance", "fidélité", "qualité", "drapeau", "recommandation", "améliorer", "stratégie", "temps", "performance",
+    "vitesse", "mémoire", "cache", "exactitude", "taux", "pourcentage", "afficher", "montrer", "liste", "résumé", "synthèse", "analyse",
+    "sont", "mentionnés", "extraits", "trouvés", "présents", "disponibles", "les", "des", "de", "du", "la", "le", "et", "est", "dans", "sur",
+    "pour", "avec", "par", "pas", "que", "qui", "ce", "cette", "ces", "totaux", "sous-total", "taxe", "tva", "date", "numéro", "adresse",
+    "articles", "produits", "services", "unités", "mesure",
+]
+ENGLISH_KEYWORDS = [
+    "what", "which", "how", "how many", "how much", "total", "amount", "supplier", "vendor", "invoice", "line", "description", "price", "quantity",
+    "accuracy", "precision", "recall", "confidence", "faithfulness", "quality", "flag", "recommendation", "improve", "strategy", "time", "performance",
+    "speed", "memory", "cache", "show", "list", "summary", "analysis", "are", "mentioned", "extracted", "found", "present", "available",
+    "the", "and", "is", "in", "on", "for", "with", "by", "not", "totals", "subtotal", "tax", "vat", "date", "number", "address",
+    "items", "products", "services", "units", "measure",
+]

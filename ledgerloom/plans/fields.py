@@ -24,11 +24,11 @@ def _wide(t: Tables):
     return O.wide(t.fields, _NAMES)
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang WHEN doc_id % 3 = 1 AND source <> '' THEN source ELSE left(text, 20) END AS text FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang WHEN doc_id % 3 = 1 AND source <> '' THEN source ELSE text END AS text FROM documents")
 def text_priority(spark, d):
     """The first text of several that isn't empty."""
     k = F.col("doc_id") % 3
-    return Tables(spark, d).documents.select("doc_id", O.first_text(F.when(k == 0, F.col("lang")).otherwise(""), F.when(k == 1, F.col("source")), F.left("text", F.lit(20))).alias("text"))
+    return Tables(spark, d).documents.select("doc_id", O.first_text(F.when(k == 0, F.col("lang")).otherwise(""), F.when(k == 1, F.col("source")), F.col("text")).alias("text"))
 
 
 @query(f"{_BASE} SELECT doc_id, page, CASE field WHEN 'TOTAL_UNTAXED' THEN 'TOTAL' WHEN 'LINE/PRICE' THEN 'LINE/UNIT_PRICE' ELSE field END AS field, {_P} AS value FROM fields")
@@ -271,11 +271,11 @@ def vendor_and_currency(spark, d):
     return g.select("doc_id", "currency", "vendor", O.head_of(F.col("ns")).alias("numbers"))
 
 
-@query("SELECT doc_id, text, url FROM (SELECT doc_id, left(text, 30) AS text, NULL AS url FROM documents UNION ALL SELECT page_id, NULL, url FROM pages)")
+@query("SELECT doc_id, text, url FROM (SELECT doc_id, text, NULL AS url FROM documents UNION ALL SELECT page_id, NULL, url FROM pages)")
 def pages_union(spark, d):
     """Pages of several sources in one table; columns that a source lacks are null."""
     t = Tables(spark, d)
-    return t.documents.select("doc_id", F.left("text", F.lit(30)).alias("text")).unionByName(t.pages.select(F.col("page_id").alias("doc_id"), "url"), allowMissingColumns=True)
+    return t.documents.select("doc_id", "text").unionByName(t.pages.select(F.col("page_id").alias("doc_id"), "url"), allowMissingColumns=True)
 
 
 @query("SELECT o_orderpriority AS batch, o_orderkey AS doc_id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS place FROM orders")

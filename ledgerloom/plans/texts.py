@@ -60,15 +60,12 @@ def language_french_score(spark, d):
     return Tables(spark, d).documents.select("doc_id", hits.alias("hits"), (hits >= 3).alias("french"))
 
 
-_FR, _EN = ["le", "la", "de", "du", "des", "et", "est", "dans", "sur", "pour", "par", "que", "qui", "les"], ["the", "and", "is", "in", "on", "for", "with", "by", "not", "which", "are"]
-
-
 @query(f"""WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-zàâäéèêëïîôùûüÿçœæ]+')) AS ws FROM documents)
-SELECT doc_id, CASE WHEN len(list_intersect(ws, {_LIST(_FR)})) > len(list_intersect(ws, {_LIST(_EN)})) THEN 'fr' ELSE 'en' END AS language FROM w""")
+SELECT doc_id, CASE WHEN len(list_intersect(ws, {_LIST(L.FRENCH_KEYWORDS)})) > len(list_intersect(ws, {_LIST(L.ENGLISH_KEYWORDS)})) THEN 'fr' ELSE 'en' END AS language FROM w""")
 def language_keyword(spark, d):
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-zàâäéèêëïîôùûüÿçœæ]+"), F.lit(0))
     hits = lambda xs: F.size(F.array_intersect(words, F.array(*[F.lit(x) for x in xs])))
-    return Tables(spark, d).documents.select("doc_id", F.when(hits(_FR) > hits(_EN), "fr").otherwise("en").alias("language"))
+    return Tables(spark, d).documents.select("doc_id", F.when(hits(L.FRENCH_KEYWORDS) > hits(L.ENGLISH_KEYWORDS), "fr").otherwise("en").alias("language"))
 
 
 def _weighted_sql(extra: float, table: str = "documents") -> str:

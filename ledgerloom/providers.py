@@ -35,7 +35,7 @@ class StandIn:
         out = []
         for t in texts:
             v = [0.0] * self.width
-            for w in (t or "")[:2000].lower().split():
+            for w in (t or "").lower().split():
                 h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
                 v[h % self.width] += 1.0 if h >> 63 else -1.0
             norm = sum(x * x for x in v) ** 0.5

@@ -24,4 +24,4 @@ def query(sql: str | None = None, name: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from .plans import ask, evaluating, fields, invoices, layouts, operations, retrieving, scalars, streams, texts  # noqa: F401
+    from .plans import ask, evaluating, fields, invoices, layouts, operations, retrieving, scalars, state, streams, texts  # noqa: F401
