@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .rules import HIGH_FROM, REVIEW_BELOW
 
 PAGE = ["doc_id", "page"]
@@ -172,6 +173,10 @@ def label_sets(truth: DataFrame, found: DataFrame) -> DataFrame:
     return a.join(b, "doc_id", "full_outer").select("doc_id", n(F.array_union(x, y)).alias("n_union"), n(F.array_intersect(x, y)).alias("n_both"), n(F.array_except(x, y)).alias("n_missed"), n(F.array_except(y, x)).alias("n_extra"))
 
 
+#: Words of a transcript that are folded at once.
+CHUNK = 256
+
+
 def merged_transcripts(a: Column, b: Column, confidences: Column, least: float = 0.8) -> Column:
     """(word, confidence) of words `a` with their confidences, of which those are replaced that the next token of `b` equals,
     contains or is contained in (0.95 then); remaining tokens of `b` follow. If `b` has less than `least` of the words of
@@ -186,6 +191,12 @@ def merged_transcripts(a: Column, b: Column, confidences: Column, least: float =
         return F.struct(F.concat(s["out"], F.array(F.when(same, pair(token, F.lit(0.95))).otherwise(pair(x["word"], x["confidence"])))).alias("out"), F.when(same, s["at"] + 1).otherwise(s["at"]).alias("at"))
 
     words = F.zip_with(a, confidences, lambda w, c: F.struct(w.alias("word"), F.coalesce(c, F.lit(0.5)).alias("confidence")))
-    rest = lambda s: F.concat(s["out"], F.transform(F.slice(b, s["at"] + 1, F.size(b)), lambda t: pair(t, F.lit(0.95))))
-    folded = F.aggregate(words, F.struct(none.alias("out"), F.lit(0).alias("at")), step, rest)
+
+    def chunk(s, xs):
+        # a step copies the words of its chunk only, and a chunk the list of chunks
+        return let(F.aggregate(xs, F.struct(none.alias("out"), s["at"].alias("at")), step), lambda r: F.struct(F.concat(s["out"], F.array(r["out"])).alias("out"), r["at"].alias("at")))
+
+    chunks = let(words, lambda ws: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(ws) - 1) / CHUNK).cast("int"))), lambda i: F.slice(ws, i * CHUNK + 1, F.lit(CHUNK))))
+    rest = lambda s: F.concat(F.flatten(s["out"]), F.transform(F.slice(b, s["at"] + 1, F.size(b)), lambda t: pair(t, F.lit(0.95))))
+    folded = F.aggregate(chunks, F.struct(F.array().cast("array<array<struct<word:string,confidence:double>>>").alias("out"), F.lit(0).alias("at")), chunk, rest)
     return F.when(F.size(b) < least * F.size(a), F.transform(words, lambda x: pair(x["word"], x["confidence"]))).otherwise(folded)

@@ -11,18 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import let, tokens
 from .layout import PAGE
 
 #: Marks that don't count around a word, the ending that doesn't count in a run, and what means no value.
 MARKS, PLURAL, NOTHING = ".,:;€$£()[]\"'", "s", "null"
 
 
-def let(value: Column, use) -> Column:
-    """`use(value)` with the value computed once, however often `use` names it, also within lambdas."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _bare(word: Column) -> Column:
     return F.btrim(word, F.lit(MARKS))
 

@@ -67,7 +67,7 @@ def dataset_top_values(spark, d):
 @query("SELECT doc_id, source, CAST(k AS INT) AS turn FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) ORDER BY k, source LIMIT 50")
 def roundrobin_sample(spark, d):
     k = F.row_number().over(W.partitionBy("source").orderBy("doc_id"))
-    return Tables(spark, d).documents.select("doc_id", "source", k.alias("turn")).orderBy("turn", "source").limit(50)
+    return Tables(spark, d).documents.select("doc_id", "source", k.alias("turn")).where("turn <= 50").orderBy("turn", "source").limit(50)
 
 
 @query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) WHERE k BETWEEN 6 AND 10")

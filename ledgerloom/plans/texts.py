@@ -166,7 +166,7 @@ def classifier_driver(spark, d):
 def example_store(spark, d):
     """At most fifty labelled examples, one of each source in turn."""
     k = F.row_number().over(W.partitionBy("source").orderBy("doc_id")).cast("long")
-    return Tables(spark, d).documents.where("lang is not null").select("doc_id", "source", F.col("lang").alias("field"), k.alias("turn")).orderBy("turn", "source").limit(50)
+    return Tables(spark, d).documents.where("lang is not null").select("doc_id", "source", F.col("lang").alias("field"), k.alias("turn")).where("turn <= 50").orderBy("turn", "source").limit(50)
 
 
 @query(f"""SELECT '### Field Extraction Rules' || chr(10) || string_agg(concat('- **', k, '**: ', v), chr(10) ORDER BY k) AS prompt FROM (VALUES {", ".join("('" + k + "', '" + "; ".join(ws).replace("'", "''") + "')" for k, (_, ws) in L.PAGE_SIGNATURES.items())}) t(k, v)""")
