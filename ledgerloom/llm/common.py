@@ -84,6 +84,25 @@ def join_hot(rows: DataFrame, values: DataFrame, keys: list[str], by: str, total
     return dealt.join(values.withColumn(salt, F.explode(F.sequence(F.lit(0), per - 1))).drop("n"), [*keys, salt]).drop(salt)
 
 
+#: Bits of the map of `in_map`: 8 MB, whatever the input.
+BITS = 1 << 26
+
+
+def in_map(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose `key` is one of `keys`, and few others: those whose hash falls on the same bit of a broadcast map.
+
+    What only a small part of a wide table is wanted for need not shuffle the rest; the map has a fixed size, and lets more
+    rows through as keys become as many as its bits. A join or group afterwards tells the others apart.
+    """
+    at = F.pmod(F.xxhash64(key), F.lit(BITS))
+    bucket, bits = fresh(rows, "map_bucket"), fresh(rows, "map_bits")
+    grid = keys.groupBy(F.bitmap_bucket_number(at).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias(bits))
+    met = rows.withColumn(bucket, F.bitmap_bucket_number(at)).join(F.broadcast(cut(grid)), bucket)
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substr(bits, (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return met.where(F.getbit(byte, (place % 8).cast("int")) == 1).drop(bucket, bits)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that `df` does not have in any case."""
     have = {c.lower() for c in df.columns}

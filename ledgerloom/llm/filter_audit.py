@@ -23,14 +23,12 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_hot, prepare, written
+from .common import cut, in_map, join_hot, prepare, written
 
 #: The filters in the order of their bits: short, repetitive, capital letters, special characters, exact duplicate.
 FILTERS = "ABCDE"
 #: Code points of the first block; each further one is as long as all before it.
 BLOCK = 4096
-#: Bits of the map of class hashes that keeps texts of no class from the last shuffle (8 MB, whatever the input).
-BITS = 1 << 26
 
 
 def _hash(part: Column) -> Column:
@@ -88,21 +86,11 @@ def duplicates(docs: DataFrame, *, block: int = BLOCK) -> DataFrame:
     return _duplicates(texts, refined(written(sized)), block)
 
 
-def _in_map(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows whose `key` is in `keys`, and the few others whose hash falls on the same bit of the broadcast map."""
-    at = F.pmod(F.col("key"), F.lit(BITS))
-    grid = keys.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
-    met = rows.withColumn("bucket", F.bitmap_bucket_number(at)).join(F.broadcast(cut(grid)), "bucket")
-    place = F.bitmap_bit_position(at)
-    byte = F.conv(F.hex(F.substr("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return met.where(F.getbit(byte, (place % 8).cast("int")) == 1).drop("bucket", "bits")
-
-
 def _duplicates(texts: DataFrame, alike: DataFrame, block: int) -> DataFrame:
     size = F.length("text").cast("long")
     alike = written(alike)
     sizes = cut(alike.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
-    keyed = _in_map(texts.withColumn("key", _full_key(size, blocks(F.col("text"), size, block))), sizes)
+    keyed = in_map(texts.withColumn("key", _full_key(size, blocks(F.col("text"), size, block))), sizes, "key")
     # copies of a text combine before the shuffle
     same = keyed.groupBy("key", "text").agg(F.min("doc_id").alias("least"))
     classes = cut(same.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("least").alias("least")).join(sizes, "key"))

@@ -16,7 +16,7 @@ give a spanning forest of the links. A link holds if the Jaccard similarity of t
 least `threshold`; shingles are told apart by 32 bits there, which errs by about n / 2**32 for sets of n shingles.
 Classes are the connected components of the links.
 
-Hot keys: digests that a large share of all rows have are salted (`join_hot`); leaders of many pairs are salted.
+Hot keys: digests and bands that a large share of all rows have are salted (`join_hot`); leaders of many pairs are salted.
 
 Defined cases: a null or empty text (no words) is a class of its own; rows of equal doc_id are one document and share
 its class (the smallest of their digests' classes); a null doc_id gives class null; an empty table gives no rows; other
@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut, flat_bytes, fresh, join_hot, mix64, prepare, ragged, span_hashes, unit_interval, word_spans, written
+from .common import batches, cut, flat_bytes, forget, fresh, join_hot, mix64, prepare, ragged, span_hashes, unit_interval, word_spans, written
 from .components import components
 from .vectors import forest, group_starts, runs
 
@@ -135,19 +135,29 @@ def _sets(incoming):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(small[cutting[i] : cutting[i + 1]]).tobytes() for i in range(b.num_rows)], pa.binary())], ["id", "grams"])
 
 
-def jaccard(x: np.ndarray, y: np.ndarray) -> float:
-    """Share of common values of two arrays of distinct values."""
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / max(1, len(x) + len(y) - both)
+def _numbered(sets: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit values of each row's set with the row's number above them, ascending, and the sizes of the sets."""
+    raw = sets.cast(pa.large_binary())
+    off = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    size = np.diff(off) // 4
+    data = np.frombuffer(raw.buffers()[2], np.uint8)[off[0] : off[-1]].view(np.uint32) if size.sum() else np.zeros(0, np.uint32)
+    return (np.repeat(np.arange(len(size), dtype=np.uint64), size) << np.uint64(32)) | data, size
+
+
+def alike(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """Jaccard similarity of the sets in each row of two binary columns; all rows of a batch by one merge."""
+    (p, n), (q, m) = _numbered(x), _numbered(y)
+    both = np.concatenate((p, q))
+    both.sort(kind="stable")  # two ascending runs
+    common = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(32)).astype(np.int64), minlength=len(n)) if len(both) else np.zeros(len(n), np.int64)
+    return common / np.maximum(1, n + m - common)
 
 
 def _verify(threshold: float):
     def run(incoming):
         for b in batches(incoming):
-            lead, rep = b.column(0).to_pylist(), b.column(1).to_pylist()
-            x, y = ([np.frombuffer(v, np.uint32) for v in b.column(i).to_pylist()] for i in (2, 3))
-            good = [min(len(p), len(q)) >= threshold * max(len(p), len(q)) and jaccard(p, q) >= threshold for p, q in zip(x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(lead, pa.int64()), pa.array(rep, pa.int64()), pa.array(good, pa.bool_())], ["lead", "rep", "good"])
+            good = alike(b.column(2), b.column(3)) >= threshold
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(good)], ["lead", "rep", "good"])
 
     return run
 
@@ -186,7 +196,8 @@ def _meetings(members: DataFrame, block: int) -> DataFrame:
     """For (key, rep, failed): the rows of all blocks in which failed rows meet members; a key's f failed and n other
     rows take about f * n / block copies, and keys without failures none."""
     per = F.ceil(F.count(F.lit(1)) / block).cast("int").alias("all_blocks"), F.ceil(F.count(F.when(F.col("failed"), 1)) / block).cast("int").alias("bad_blocks")
-    met = members.join(members.groupBy("key").agg(*per).where("bad_blocks > 0"), "key")
+    counts = cut(members.groupBy("key").agg(*per, F.count(F.lit(1)).alias("n")).where("bad_blocks > 0"))
+    met = join_hot(members, counts, ["key"], "rep", members.count())
     mine = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asks = met.where("failed").select("key", mine("bad_blocks").alias("fi"), spread("all_blocks").alias("ai"), F.lit(True).alias("failed"), "rep")
@@ -220,20 +231,24 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = cut(_copies(signed).groupBy("doc_id").agg(F.min("rep").alias("rep")))
     alone = signed.join(members.select("doc_id"), "doc_id", "left_anti")
     keyed = alone.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key")).distinct()
-    leads = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "lead")
-    left = cut(keyed.join(leads, "key"))
+    leads = cut(keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    total = leads.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    left = cut(join_hot(keyed, leads, ["key"], "rep", total))
     wanted = left.select(F.col("rep").alias("doc_id")).distinct()
     grams = written(known.join(wanted, "doc_id").mapInArrow(_sets, "id long, grams binary").dropDuplicates(["id"]))
     pairs = cut(left.where("rep <> lead").select("lead", "rep").distinct())
     judged = cut(_with_leads(pairs, grams, star).mapInArrow(_verify(threshold), "lead long, rep long, good boolean"))
-    failed = left.join(judged.where("not good").select("lead", "rep"), ["lead", "rep"]).select("key", "rep", F.lit(True).alias("failed"))
-    rest = left.select("key", "rep").join(failed.select("key").distinct(), "key").join(failed, ["key", "rep"], "left")
+    failed = cut(left.join(judged.where("not good").select("lead", "rep"), ["lead", "rep"]).select("key", "rep", F.lit(True).alias("failed")))
+    bad = cut(leads.join(failed.select("key").distinct(), "key").select("key", "n"))
+    rest = join_hot(left.select("key", "rep"), bad, ["key"], "rep", total).join(failed, ["key", "rep"], "left")
     rest = cut(rest.select("key", "rep", F.coalesce("failed", F.lit(False)).alias("failed")))
     order = ["key", "fi", "ai"]
     held = _meetings(rest, block).join(grams.withColumnRenamed("id", "rep"), "rep").select(*order, "failed", "rep", "grams")
     within = held.repartition(*order).sortWithinPartitions(*order, "rep").mapInArrow(_within(threshold), "a long, b long")
     links = members.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).union(judged.where("good").select("rep", "lead")).union(within)
     roots = components(links).select(F.col("node").alias("doc_id"), F.col("root"))
+    forget(docs.sparkSession, signed)
+    forget(docs.sparkSession, grams)
     out = texts.select("doc_id").join(roots, "doc_id", "left")
     return out.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), (F.coalesce("root", "doc_id").eqNullSafe(F.col("doc_id"))).alias("kept"))
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batches, cut, flat_bytes, forget, fresh, join_hot, mix64, prepare, ragged, span_hashes, word_spans, written
+from .common import batches, cut, flat_bytes, forget, fresh, in_map, join_hot, mix64, prepare, ragged, span_hashes, word_spans, written
 
 LEAST = 6
 
@@ -160,8 +160,8 @@ def repeated_spans(docs: DataFrame, *, least: int = LEAST, id_col: str = "doc_id
     sides = F.explode(F.array(side(False, "start", "first.doc_id", "first.start", floor), side(True, "end", "last.doc_id", "last.end", F.lit(0))))
     sides = runs.select("doc_id", "run", sides.alias("s")).select("doc_id", "run", "s.*")
     wanted = sides.groupBy(F.col("kept_doc").alias("doc_id"), F.col("kept_pos").alias("pos"), "after").agg(F.count(F.lit(1)).alias("n"))
-    asked = sides.select("doc_id", "pos", "after").union(wanted.select("doc_id", "pos", "after")).groupBy("doc_id").agg(F.collect_set(F.struct("pos", "after")).alias("asked"))
-    texts = rows.groupBy("doc_id").agg(F.min("text").alias("text"))
+    asked = cut(sides.select("doc_id", "pos", "after").union(wanted.select("doc_id", "pos", "after")).groupBy("doc_id").agg(F.collect_set(F.struct("pos", "after")).alias("asked")))
+    texts = in_map(rows, asked.select("doc_id"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     beside = written(texts.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_beside, "doc_id long, pos long, after boolean, words binary, reach binary"))
     kept = cut(wanted.join(beside.drop("reach"), ["doc_id", "pos", "after"]).select(F.col("doc_id").alias("kept_doc"), F.col("pos").alias("kept_pos"), "after", F.col("words").alias("kept_words"), "n"))
     own = sides.join(beside, ["doc_id", "pos", "after"]).select("doc_id", "run", "after", "pos", "least", "words", "reach", "kept_doc", "kept_pos")
