@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import table, written
+from ledgerloom.llm.common import forget, table, written
 from ledgerloom.llm.mixing import mixed
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.pii import redact
@@ -52,7 +52,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs)
+            out = written(out)
+            if k:
+                forget(spark, docs)  # the next stage reads only what this one has written
+        docs = out
     return docs
