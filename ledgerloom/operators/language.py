@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 DEFAULT, SHORT = "en", 20
 #: Numbers of trigrams, the weights of their first two characters, and languages at most.
 CELLS, FIRST, SECOND, MOST = 1 << 14, 961, 31, 500
+#: Characters that are turned into trigrams at once.
+AT_ONCE = 1 << 19
 
 
 def _cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -32,8 +34,16 @@ def _cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return doc[2:][same], ((codes[:-2] * FIRST + codes[1:-1] * SECOND + codes[2:]) % CELLS)[same]
 
 
-def _low(texts: pa.Array) -> list[str]:
-    return [x or "" for x in texts.to_pylist()]
+def _pieces(texts: list[str]):
+    """Slices of the texts of about `AT_ONCE` characters, so that a batch's arrays stay small whatever its texts."""
+    first = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > AT_ONCE:
+            yield slice(first, i)
+            first, size = i, 0
+        size += len(t)
+    if texts:
+        yield slice(first, len(texts))
 
 
 def learned(texts: DataFrame) -> dict[str, np.ndarray]:
@@ -42,11 +52,12 @@ def learned(texts: DataFrame) -> dict[str, np.ndarray]:
     def run(incoming):
         total: dict[str, np.ndarray] = {}
         for b in incoming:
-            langs = b.column(1).to_pylist()
-            doc, cell = _cells(_low(b.column(0)))
-            for lang in set(langs):
-                mine = np.array([x == lang for x in langs])[doc]
-                total[lang] = total.get(lang, np.zeros(CELLS, np.int64)) + np.bincount(cell[mine], minlength=CELLS)
+            texts, langs = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for part in _pieces(texts):
+                doc, cell = _cells(texts[part])
+                for lang in set(langs[part]):
+                    mine = np.array([x == lang for x in langs[part]])[doc]
+                    total[lang] = total.get(lang, np.zeros(CELLS, np.int64)) + np.bincount(cell[mine], minlength=CELLS)
             if len(total) > MOST:
                 raise ValueError(f"more than {MOST} languages")
         for lang, n in total.items():
@@ -70,9 +81,13 @@ def detected(rows: DataFrame, model: dict[str, np.ndarray], text: str = "text",
     def run(series):
         for s in series:
             texts = ["" if x is None else x for x in s]
-            doc, cell = _cells(texts)
-            score = np.stack([np.bincount(doc, weights=row[cell], minlength=len(texts)) for row in table]) if langs else np.zeros((1, len(texts)))
-            yield s.__class__([(langs or [DEFAULT])[i] for i in score.argmax(axis=0)])
+            found: list[str] = []
+            for part in _pieces(texts):
+                doc, cell = _cells(texts[part])
+                n = len(texts[part])
+                score = np.stack([np.bincount(doc, weights=row[cell], minlength=n) for row in table]) if langs else np.zeros((1, n))
+                found += [(langs or [DEFAULT])[i] for i in score.argmax(axis=0)]
+            yield s.__class__(found, dtype=object)
 
     guess = F.pandas_udf(_series(run), "string")
     long = F.length(F.trim(F.coalesce(text, F.lit("")))) >= SHORT
