@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import calibration as C
 from ..operators import evidence as V
 from ..registry import query
 from ..sources.tables import Tables
@@ -113,6 +114,22 @@ def calibration_mean(spark, d):
     return Tables(spark, d).labels.agg(F.round(m, 6).alias("accuracy"), F.when(F.count(F.lit(1)) < 3, 0.4).when(m < 0.5, 0.45).when(m > 0.85, 0.35).otherwise(0.4).alias("word_weight"))
 
 
+@query(f"""WITH RECURSIVE r AS (SELECT source AS key, CAST(doc_id // 50 AS BIGINT) AS batch, count(quality) AS n, avg(quality) AS accuracy FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY batch) AS i FROM r),
+f AS (SELECT key, CAST(-1 AS BIGINT) AS batch, CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS accuracy, CAST(0 AS BIGINT) AS i, 40 AS a, 40 AS b, 20 AS c, 30 AS e FROM (SELECT DISTINCT key FROM o)
+  UNION ALL SELECT o.key, o.batch, o.n, o.accuracy, o.i,
+    CASE WHEN o.n >= 3 AND o.accuracy < 0.5 THEN least(60, a + 5) WHEN o.n >= 3 AND o.accuracy > 0.85 THEN greatest(20, a - 5) ELSE a END,
+    CASE WHEN o.n >= 3 AND o.accuracy < 0.5 THEN greatest(20, b - 5) ELSE b END, CASE WHEN o.n >= 3 AND o.accuracy > 0.85 THEN least(40, c + 5) ELSE c END,
+    CASE WHEN o.n >= 3 AND o.accuracy < 0.4 THEN least(50, e + 5) WHEN o.n >= 3 AND o.accuracy > 0.8 THEN greatest(10, e - 5) ELSE e END
+  FROM f JOIN o ON o.key IS NOT DISTINCT FROM f.key AND o.i = f.i + 1)
+SELECT key, batch, n, accuracy, a / 100 AS ocr_conf, b / 100 AS evidence_match, c / 100 AS format_valid, e / 100 AS vlm_error_deduction, 0.15 AS vlm_warning_deduction, 0.2 AS vlm_format_deduction FROM f WHERE i > 0""")
+def calibration_fold(spark, d):
+    """The weights after each batch of documents (fifty numbers), folded by source in the order of the batches."""
+    t = Tables(spark, d)
+    records = t.documents.select("doc_id", "source").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
+    return C.calibrated(records.select(F.col("source").alias("key"), F.floor(F.col("doc_id") / 50).alias("batch"), F.col("quality").alias("accuracy")))
+
+
 @query("""SELECT event_type AS step, count(*) AS n, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99, round(min(value), 4) AS low, round(max(value), 4) AS high FROM events GROUP BY event_type""")
 def step_timings(spark, d):
     at = lambda p: F.round(F.percentile("value", F.lit(p)), 4)
