@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
+from ..operators import quantised as Q
 from ..operators import ranking as R
 from ..registry import query
+from ..sources.folders import shared
 from ..sources.tables import Tables
 
 _WORDS = "list_filter(string_split(regexp_replace(lower(text), '[.,\\n]', ' ', 'g'), ' '), lambda w: length(w) > 1)"
@@ -41,6 +45,40 @@ def dense_topk(spark, d):
     return R.top_k(_dense(Tables(spark, d), 5), 5).select("query_id", "rank", "doc_id", F.round("score", 4).alias("score"))
 
 
+_TOP = "SELECT query_id, rank, doc_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM dense) WHERE rank <= 5"
+
+
+@query(f"WITH {_DENSE} {_TOP}")
+def quantised_topk(spark, d):
+    """What `dense_topk` finds, from 4-bit codes and the vectors of those that may be among the best."""
+    v = Tables(spark, d).embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
+    index = Q.VectorIndex(spark, f"{shared(spark)}/vectors-{uuid.uuid4().hex}")
+    index.refresh(v)
+    found = Q.search(index.codes(), v, v.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"), 5)
+    return R.top_k(found, 5).select("query_id", "rank", "doc_id", F.round("score", 4).alias("score"))
+
+
+_BUCKET = "CAST(concat('0x', left(md5(CAST(vec_id AS VARCHAR)), 6)) AS BIGINT) % 64"
+
+
+@query(f"""WITH v AS (SELECT vec_id, len(embedding) AS size, {_BUCKET} AS bucket FROM embeddings), r AS (SELECT 1 AS run, *, true AS new FROM v WHERE vec_id % 1000 >= 3 UNION ALL
+  SELECT 2, *, bucket IN (SELECT bucket FROM v WHERE vec_id % 1000 < 3) FROM v UNION ALL SELECT 3, *, false FROM v UNION ALL SELECT 4, *, bucket IN (SELECT bucket FROM v WHERE vec_id % 1000 = 500) FROM v)
+SELECT run, count(*) AS vectors, count(DISTINCT bucket) FILTER (new) AS buckets_written, CAST(sum((size + 1) // 2 + 16) AS BIGINT) AS bytes_scanned, CAST(sum(size * 4) AS BIGINT) AS bytes_of_vectors FROM r GROUP BY run""")
+def quantised_index_runs(spark, d):
+    """An index brought up to date four times: some vectors missing, all there, nothing new, some vectors turned round."""
+    v = Tables(spark, d).embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
+    turned = F.when(F.col("doc_id") % 1000 == 500, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding"))
+    index = Q.VectorIndex(spark, f"{shared(spark)}/vectors-{uuid.uuid4().hex}")
+    out = None
+    for run, rows in enumerate([v.where("doc_id % 1000 >= 3"), v, v, v.withColumn("embedding", turned)], 1):
+        written = len(index.refresh(rows))
+        size = index.codes().agg(F.count(F.lit(1)).alias("vectors"), F.sum(F.length("code") + 16).alias("bytes_scanned"))
+        plain = rows.where(Q.usable()).agg(F.sum(F.size("embedding") * 4).cast("long").alias("bytes_of_vectors"))
+        row = size.crossJoin(plain).select(F.lit(run).alias("run"), "vectors", F.lit(written).alias("buckets_written"), "bytes_scanned", "bytes_of_vectors")  # one row each
+        out = row if out is None else out.union(row)
+    return out
+
+
 _OVER = f"""ov AS (SELECT query_id, doc_id, CAST(sum(2) AS DOUBLE) AS score FROM (SELECT DISTINCT query_id, w FROM q WHERE length(w) > 3) JOIN (SELECT DISTINCT doc_id, w FROM tf) USING (w) GROUP BY query_id, doc_id)"""
 
 
