@@ -67,3 +67,7 @@ ENGLISH_KEYWORDS = [
     "the", "and", "is", "in", "on", "for", "with", "by", "not", "totals", "subtotal", "tax", "vat", "date", "number", "address",
     "items", "products", "services", "units", "measure",
 ]
+#: What marks a line as a title, what a title with numbers begins with, and its most words.
+TITLE_KEYWORDS = ["invoice", "facture", "bill", "receipt"]
+TITLE_STARTS = ["invoice", "facture", "your", "bill", "receipt", "statement"]
+TITLE_WORDS_MOST = 10

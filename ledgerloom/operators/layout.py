@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as L
 from ..functions.text import count_contained
 
 #: Tolerances of running lines and of neighbours, and the ratios and least sizes of gaps.
 Y_TOLERANCE, SAME_LINE, SAME_COLUMN, KEY_REACH = 12, 0.02, 0.015, 0.5
 LINE_GAP, CELL_GAP, SECTION_GAP = (0.6, 5.0), (2.0, 10.0), (2.0, 2.5, 10.0)
+#: Tolerance of a column's starts (character widths, least) and the share of lines within it, of tables and of
+#: sections with a head.
+ALIGN = (3.0, 20.0, 0.7, 0.5)
 PAGE = ["doc_id", "page"]
 
 
@@ -21,7 +25,7 @@ def upper_median(values: Column) -> Column:
 
 def lines_and_cells(words: DataFrame) -> DataFrame:
     """The words with `line` (a new one where y0 leaves the word before by more than 0.6 median heights) and `cell` (within
-    a line, where the gap to the word before exceeds two median character widths), and `height`, the median.
+    a line, where the gap to the word before exceeds two median character widths), and `height` and `char`, the medians.
 
     One exchange: pages are gathered for the medians, and the windows keep their partitioning.
     """
@@ -35,25 +39,31 @@ def lines_and_cells(words: DataFrame) -> DataFrame:
     rows = rows.withColumn("new", F.when(jump, 1).otherwise(0)).withColumn("line", F.sum("new").over(down))
     along = W.partitionBy(*PAGE, "line").orderBy("x0", "pos")
     gap = F.col("x0") - F.lag("x1").over(along) > F.greatest(F.col("char") * CELL_GAP[0], F.lit(CELL_GAP[1]))
-    return rows.withColumn("new", F.when(gap, 1).otherwise(0)).withColumn("cell", F.sum("new").over(along)).drop("new", "char")
+    return rows.withColumn("new", F.when(gap, 1).otherwise(0)).withColumn("cell", F.sum("new").over(along)).drop("new")
 
 
-def text_lines(words: DataFrame) -> DataFrame:
-    """doc_id, page, line, content (cells joined by ` | `), cells, n, top, bottom, section: a new section begins where the
-    gap above a line exceeds twice the median gap, 2.5 median heights and 10."""
+def structured_lines(words: DataFrame) -> DataFrame:
+    """doc_id, page, line, cs (cells: cell, text, x), n, top, bottom, char, section: a new section begins where the gap above a
+    line exceeds twice the median gap, 2.5 median heights and 10."""
     cells = lines_and_cells(words).groupBy(*PAGE, "line", "cell").agg(
-        F.array_sort(F.collect_list(F.struct("x0", "pos", "word"))).alias("ws"), F.min("y0").alias("top"), F.max("y1").alias("bottom"), F.first("height").alias("height")
+        F.array_sort(F.collect_list(F.struct("x0", "pos", "word"))).alias("ws"), F.min("y0").alias("top"), F.max("y1").alias("bottom"), F.first("height").alias("height"), F.first("char").alias("char")
     )
-    cells = cells.withColumn("text", F.array_join("ws.word", " "))
+    cells = cells.withColumns({"text": F.array_join("ws.word", " "), "x": F.get("ws.x0", F.lit(0))})
     lines = cells.groupBy(*PAGE, "line").agg(
-        F.array_sort(F.collect_list(F.struct("cell", "text"))).alias("cs"), F.sum(F.size("ws")).alias("n"), F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.first("height").alias("height")
+        F.array_sort(F.collect_list(F.struct("cell", "text", "x"))).alias("cs"), F.sum(F.size("ws")).alias("n"), F.min("top").alias("top"), F.max("bottom").alias("bottom"),
+        F.first("height").alias("height"), F.first("char").alias("char"),
     )
     down = W.partitionBy(*PAGE).orderBy("line")
     lines = lines.withColumn("gap", F.col("top") - F.lag("bottom").over(down))
     usual = upper_median(F.collect_list("gap").over(W.partitionBy(*PAGE)))
     wide = F.greatest(usual * SECTION_GAP[0], F.col("height") * SECTION_GAP[1], F.lit(SECTION_GAP[2]))
     lines = lines.withColumn("new", F.when(F.col("gap") > wide, 1).otherwise(0)).withColumn("section", F.sum("new").over(down))
-    return lines.select(*PAGE, "line", F.array_join("cs.text", " | ").alias("content"), F.size("cs").alias("cells"), "n", "top", "bottom", "section")
+    return lines.select(*PAGE, "line", "cs", "n", "top", "bottom", "char", "section")
+
+
+def text_lines(words: DataFrame) -> DataFrame:
+    """doc_id, page, line, content (cells joined by ` | `), cells, n, top, bottom, section."""
+    return structured_lines(words).select(*PAGE, "line", F.array_join("cs.text", " | ").alias("content"), F.size("cs").alias("cells"), "n", "top", "bottom", "section")
 
 
 def spatial_relations(words: DataFrame, width: float = 800, height: float = 600) -> DataFrame:
@@ -107,19 +117,72 @@ def layout_text(words: DataFrame) -> DataFrame:
     return page.select(*PAGE, F.array_join("x.s", "\n").alias("text"))
 
 
-def page_markdown(words: DataFrame) -> DataFrame:
-    """doc_id, page, markdown: sections set apart by a blank line; two or more following lines of a section with the same
-    number (two or more) of cells are a pipe table with a bold head, other lines are paragraphs."""
-    lines = text_lines(words)
+def _aligned(lines: Column, cells: Column, tolerance: Column, share: float) -> Column:
+    """Whether two or more lines reach each of the first `cells` columns, and of those at least `share` begin within `tolerance`
+    of the column's median start."""
+    given = lambda x, then: F.get(F.transform(F.array(x), then), F.lit(0))
+    near = lambda xs: given(upper_median(xs), lambda m: F.size(F.filter(xs, lambda x: F.abs(x - m) <= tolerance)) >= F.size(xs) * F.lit(share))
+    starts = lambda i: F.transform(F.filter(lines, lambda c: F.size(c["cs"]) > i), lambda c: F.get(c["cs"], i)["x"])
+    return (F.size(lines) >= 2) & F.forall(F.sequence(F.lit(0), cells - 1), lambda i: given(starts(i), lambda xs: (F.size(xs) >= 2) & near(xs)))
+
+
+def is_title(text: Column) -> Column:
+    """At most ten words with a title's keyword in them; a run of three digits only where the text begins like a title."""
+    low = F.lower(F.trim(text))
+    short = F.size(F.filter(F.split(low, r"\s+"), lambda w: w != "")) <= L.TITLE_WORDS_MOST
+    begins = F.greatest(*[low.startswith(w) for w in L.TITLE_STARTS])
+    return short & (~text.rlike("[0-9]{3}") | begins) & (count_contained(low, L.TITLE_KEYWORDS) > 0)
+
+
+def page_markdown(words: DataFrame, tables_only: bool = True) -> DataFrame:
+    """doc_id, page, markdown: sections set apart by a blank line.
+
+    Two or more following lines of a section with the same number (two or more) of cells are table lines where their columns
+    begin at like places: 0.7 of the lines within three character widths (20 at least) of the column's median; of three or
+    more lines the first may stand out. A section without any, of two or more lines and headed by three or more cells, is all
+    table where half of the lines align with the head's columns. Following table lines are one pipe table with a bold head.
+    In a section with tables other lines are left out, or stay as paragraphs with `tables_only=False`; in one without, lines
+    are paragraphs, with marks between three or more cells, and of the first two of a page those like a title are headings.
+    """
+    lines = structured_lines(words)
     section = W.partitionBy(*PAGE, "section").orderBy("line")
-    lines = lines.withColumn("new", F.when(F.lag("cells").over(section).eqNullSafe(F.col("cells")), 0).otherwise(1)).withColumn("part", F.sum("new").over(section))
-    parts = lines.groupBy(*PAGE, "section", "part", "cells").agg(F.array_sort(F.collect_list(F.struct("line", "content")))["content"].alias("ls"))
-    head = F.concat(F.lit("| **"), F.replace(F.get("ls", F.lit(0)), F.lit(" | "), F.lit("** | **")), F.lit("** |"))
-    rule = F.concat(F.lit("|"), F.repeat(F.lit("---|"), F.col("cells")))
-    rows = F.transform(F.slice("ls", F.lit(2), F.size("ls")), lambda x: F.concat(F.lit("| "), x, F.lit(" |")))
-    text = F.when((F.col("cells") > 1) & (F.size("ls") > 1), F.array_join(F.concat(F.array(head, rule), rows), "\n")).otherwise(F.array_join("ls", "\n"))
-    done = parts.groupBy(*PAGE, "section").agg(F.array_join(F.array_sort(F.collect_list(F.struct("part", text.alias("t"))))["t"], "\n").alias("t"))
-    return done.groupBy(*PAGE).agg(F.array_join(F.array_sort(F.collect_list(F.struct("section", "t")))["t"], "\n\n").alias("markdown"))
+    cells = F.size("cs")
+    lines = lines.withColumn("new", F.when(F.lag(cells).over(section).eqNullSafe(cells), 0).otherwise(1)).withColumn("part", F.sum("new").over(section))
+    one = F.struct("line", F.transform("cs", lambda c: F.struct(c["text"].alias("text"), c["x"].cast("double").alias("x"))).alias("cs"))
+    parts = lines.groupBy(*PAGE, "section", "part").agg(F.array_sort(F.collect_list(one)).alias("ls"), F.first("char").alias("char"))
+    tolerance, n = F.greatest(F.col("char") * ALIGN[0], F.lit(ALIGN[1])), F.size(F.get("ls", F.lit(0))["cs"])
+    rest = F.slice("ls", F.lit(2), F.size("ls"))
+    meets = (n >= 2) & (_aligned(F.col("ls"), n, tolerance, ALIGN[2]) | ((F.size("ls") >= 3) & _aligned(rest, n, tolerance, ALIGN[2])))
+    parts = parts.withColumn("table", F.coalesce(meets, F.lit(False)))
+    every = F.transform("ls", lambda x: F.struct(x["line"].alias("line"), x["cs"].alias("cs"), F.col("table").alias("table")))
+    secs = parts.groupBy(*PAGE, "section").agg(F.array_sort(F.flatten(F.collect_list(every))).alias("ls"), F.bool_or("table").alias("any"), F.first("char").alias("char"))
+    n = F.size(F.get("ls", F.lit(0))["cs"])
+    headed = ~F.col("any") & (F.size("ls") >= 2) & (n >= 3)
+    whole = F.coalesce(headed & _aligned(F.col("ls"), n, tolerance, ALIGN[3]), F.lit(False))
+    secs = secs.withColumn("whole", whole).withColumn("tables", F.col("any") | F.col("whole"))
+
+    def written(x, i):
+        before = F.get(F.col("ls"), i - 1)["table"]
+        table, texts = x["table"] | F.col("whole"), F.transform(x["cs"], lambda c: c["text"])
+        opens = (i == 0) | (~F.col("whole") & ~before)
+        head = F.concat(F.lit("| **"), F.array_join(texts, "** | **"), F.lit("** |\n|"), F.array_join(F.transform(texts, lambda _: F.lit("---")), "|"), F.lit("|"))
+        row = F.concat(F.lit("| "), F.array_join(texts, " | "), F.lit(" |"))
+        plain = F.when(F.size(texts) >= 3, F.array_join(texts, " | ")).otherwise(F.array_join(texts, " "))
+        title = (F.col("section") == 0) & (i < 2) & ~F.col("tables") & is_title(F.when(F.size(texts) >= 3, F.get(texts, F.lit(0))).otherwise(plain))
+        text = F.when(table & opens, head).when(table, row).when(title, F.concat(F.lit("## "), plain)).otherwise(plain)
+        # a table ends a block, and so does the text before it
+        apart = F.when(i == 0, "").when(table != (before | F.col("whole")), "\n\n").otherwise("\n")
+        return F.struct((table | ~F.col("tables")).alias("kept"), table.alias("table"), opens.alias("opens"), text.alias("text"), apart.alias("apart"))
+
+    secs = secs.select(*PAGE, "section", F.transform("ls", written).alias("ls"))
+    if tables_only:
+        kept = F.filter("ls", lambda x: x["kept"])
+        apart = lambda x, i: F.when(i == 0, "").when(x["table"] & x["opens"], "\n\n").otherwise("\n")
+        text = F.array_join(F.transform(kept, lambda x, i: F.concat(apart(x, i), x["text"])), "")
+    else:
+        text = F.array_join(F.transform("ls", lambda x: F.concat(x["apart"], x["text"])), "")
+    page = secs.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("section", text.alias("t"))))["t"].alias("ts"))
+    return page.select(*PAGE, F.concat(F.rtrim(F.array_join("ts", "\n\n"), F.lit("\n")), F.lit("\n")).alias("markdown"))
 
 
 def table_candidates(lines: DataFrame, least_words: int = 2, spread: int = 2, least_columns: int = 3) -> DataFrame:

@@ -15,8 +15,8 @@ j AS (SELECT w.*, height, char, CASE WHEN abs(y0 - lag(y0) OVER d) > greatest(0.
 l AS (SELECT *, sum(jump) OVER (PARTITION BY doc_id, page ORDER BY y0, x0, pos) AS line FROM j),
 g AS (SELECT *, CASE WHEN x0 - lag(x1) OVER a > greatest(2 * char, 10) THEN 1 ELSE 0 END AS gap FROM l WINDOW a AS (PARTITION BY doc_id, page, line ORDER BY x0, pos)),
 c AS (SELECT *, sum(gap) OVER (PARTITION BY doc_id, page, line ORDER BY x0, pos) AS cell FROM g),
-ct AS (SELECT doc_id, page, line, cell, string_agg(word, ' ' ORDER BY x0, pos) AS t, count(*) AS n, min(y0) AS top, max(y1) AS bottom, any_value(height) AS height FROM c GROUP BY doc_id, page, line, cell),
-lt AS (SELECT doc_id, page, line, string_agg(t, ' | ' ORDER BY cell) AS content, count(*) AS cells, sum(n) AS n, min(top) AS top, max(bottom) AS bottom, any_value(height) AS height FROM ct GROUP BY doc_id, page, line),
+ct AS (SELECT doc_id, page, line, cell, string_agg(word, ' ' ORDER BY x0, pos) AS t, min(x0) AS x, count(*) AS n, min(y0) AS top, max(y1) AS bottom, any_value(height) AS height, any_value(char) AS char FROM c GROUP BY doc_id, page, line, cell),
+lt AS (SELECT doc_id, page, line, string_agg(t, ' | ' ORDER BY cell) AS content, list(t ORDER BY cell) AS ts, count(*) AS cells, sum(n) AS n, min(top) AS top, max(bottom) AS bottom, any_value(height) AS height, any_value(char) AS char FROM ct GROUP BY doc_id, page, line),
 lg AS (SELECT *, top - lag(bottom) OVER (PARTITION BY doc_id, page ORDER BY line) AS gap FROM lt),
 um AS (SELECT doc_id, page, list_sort(list(gap) FILTER (gap IS NOT NULL))[count(gap) // 2 + 1] AS usual FROM lg GROUP BY doc_id, page),
 sec AS (SELECT lg.*, sum(CASE WHEN gap > greatest(2 * usual, 2.5 * height, 10) THEN 1 ELSE 0 END) OVER (PARTITION BY lg.doc_id, lg.page ORDER BY line) AS section FROM lg JOIN um USING (doc_id, page))"""
@@ -32,11 +32,24 @@ def ocr_cells(spark, d):
     return P.lines_and_cells(Tables(spark, d).words).groupBy("doc_id", "page", "line").agg((F.max("cell") + 1).alias("cells"))
 
 
+_TITLE = "len(string_split_regex(trim({0}), '[ \\t]+')) <= 10 AND (NOT regexp_matches({0}, '[0-9]{{3}}') OR regexp_matches(lower(trim({0})), '^(invoice|facture|your|bill|receipt|statement)')) AND regexp_matches(lower({0}), 'invoice|facture|bill|receipt')"
+
+
 @query(f"""WITH {_LINES}, r AS (SELECT *, CASE WHEN cells = lag(cells) OVER w THEN 0 ELSE 1 END AS new FROM sec WINDOW w AS (PARTITION BY doc_id, page, section ORDER BY line)),
-p AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page, section ORDER BY line) AS part FROM r), k AS (SELECT *, count(*) OVER (PARTITION BY doc_id, page, section, part) AS m, row_number() OVER (PARTITION BY doc_id, page, section, part ORDER BY line) AS i FROM p),
-t AS (SELECT doc_id, page, section, line, CASE WHEN cells < 2 OR m < 2 THEN content WHEN i > 1 THEN '| ' || content || ' |' ELSE '| **' || replace(content, ' | ', '** | **') || '** |' || chr(10) || '|' || repeat('---|', cells) END AS s FROM k),
-s AS (SELECT doc_id, page, section, string_agg(s, chr(10) ORDER BY line) AS s FROM t GROUP BY doc_id, page, section)
-SELECT doc_id, page, string_agg(s, chr(10) || chr(10) ORDER BY section) AS markdown FROM s GROUP BY doc_id, page""")
+p AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page, section ORDER BY line) AS part FROM r),
+k AS (SELECT *, count(*) OVER (PARTITION BY doc_id, page, section, part) AS m, row_number() OVER (PARTITION BY doc_id, page, section, part ORDER BY line) AS i,
+  row_number() OVER (PARTITION BY doc_id, page, section ORDER BY line) AS j, count(*) OVER (PARTITION BY doc_id, page, section) AS total, first(cells) OVER (PARTITION BY doc_id, page, section ORDER BY line) AS head, greatest(3 * char, 20) AS tol FROM p),
+x AS (SELECT k.doc_id, k.page, section, part, k.line, i, m, total, head, k.cells, ct.cell, ct.x, tol FROM k JOIN ct USING (doc_id, page, line)),
+a1 AS (SELECT doc_id, page, section, part, cell, any_value(tol) AS tol, list(CAST(x AS DOUBLE)) AS xs, list(CAST(x AS DOUBLE)) FILTER (i > 1) AS ys FROM x WHERE cells >= 2 AND m >= 2 GROUP BY ALL),
+a2 AS (SELECT doc_id, page, section, part, bool_and(len(list_filter(xs, lambda v: abs(v - list_sort(xs)[len(xs) // 2 + 1]) <= tol)) >= len(xs) * CAST(0.7 AS DOUBLE)) OR bool_and(len(ys) >= 2 AND len(list_filter(ys, lambda v: abs(v - list_sort(ys)[len(ys) // 2 + 1]) <= tol)) >= len(ys) * CAST(0.7 AS DOUBLE)) AS ok FROM a1 GROUP BY doc_id, page, section, part),
+w AS (SELECT k.*, coalesce(ok, false) AS run, bool_or(coalesce(ok, false)) OVER (PARTITION BY k.doc_id, k.page, k.section) AS any_run FROM k LEFT JOIN a2 USING (doc_id, page, section, part)),
+h1 AS (SELECT doc_id, page, section, cell, any_value(head) AS head, any_value(tol) AS tol, list(CAST(x AS DOUBLE)) AS xs FROM x WHERE total >= 2 AND head >= 3 AND cell < head GROUP BY doc_id, page, section, cell),
+h2 AS (SELECT doc_id, page, section, bool_and(len(xs) >= 2 AND len(list_filter(xs, lambda v: abs(v - list_sort(xs)[len(xs) // 2 + 1]) <= tol)) >= len(xs) * CAST(0.5 AS DOUBLE)) AS ok FROM h1 GROUP BY doc_id, page, section),
+z AS (SELECT w.*, any_run OR coalesce(h2.ok, false) AS tables, run OR (NOT any_run AND coalesce(h2.ok, false)) AS tab FROM w LEFT JOIN h2 USING (doc_id, page, section)),
+o AS (SELECT *, tab AND NOT coalesce(lag(tab) OVER (PARTITION BY doc_id, page, section ORDER BY line), false) AS opens, CASE WHEN cells >= 3 THEN content ELSE array_to_string(ts, ' ') END AS plain, CASE WHEN cells >= 3 THEN ts[1] ELSE array_to_string(ts, ' ') END AS lead FROM z),
+t AS (SELECT doc_id, page, section, line, opens, CASE WHEN opens THEN '| **' || array_to_string(ts, '** | **') || '** |' || chr(10) || '|' || repeat('---|', cells) WHEN tab THEN '| ' || content || ' |' WHEN section = 0 AND j <= 2 AND {_TITLE.format("lead")} THEN '## ' || plain ELSE plain END AS s FROM o WHERE tab OR NOT tables),
+s AS (SELECT doc_id, page, section, string_agg(CASE WHEN opens THEN chr(10) ELSE '' END || s, chr(10) ORDER BY line) AS s FROM t GROUP BY doc_id, page, section)
+SELECT doc_id, page, rtrim(string_agg(CASE WHEN starts_with(s, chr(10) || '| **') THEN substr(s, 2) ELSE s END, chr(10) || chr(10) ORDER BY section), chr(10)) || chr(10) AS markdown FROM s GROUP BY doc_id, page""")
 def ocr_markdown(spark, d):
     return P.page_markdown(Tables(spark, d).words)
 
