@@ -23,35 +23,50 @@ def upper_median(values: Column) -> Column:
     return F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int"))
 
 
-def lines_and_cells(words: DataFrame) -> DataFrame:
-    """The words with `line` (a new one where y0 leaves the word before by more than 0.6 median heights) and `cell` (within
-    a line, where the gap to the word before exceeds two median character widths), and `height` and `char`, the medians.
+def given(value: Column, then) -> Column:
+    """`then` of a value that is worked out once, however often `then` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
-    One exchange: pages are gathered for the medians, and the windows keep their partitioning.
-    """
-    columns = [c for c in words.columns if c not in PAGE]
-    page = words.groupBy(*PAGE).agg(F.collect_list(F.struct(*columns)).alias("ws"))
-    wide = lambda w: (w["x1"] - w["x0"]) / F.greatest(F.length(w["word"]), F.lit(1))
-    page = page.withColumns({"height": upper_median(F.transform("ws", lambda w: w["y1"] - w["y0"])), "char": upper_median(F.transform("ws", wide))})
-    rows = page.select(*PAGE, "height", "char", F.explode("ws").alias("w")).select(*PAGE, "height", "char", "w.*")
-    down = W.partitionBy(*PAGE).orderBy("y0", "x0", "pos")
-    jump = F.abs(F.col("y0") - F.lag("y0").over(down)) > F.greatest(F.col("height") * LINE_GAP[0], F.lit(LINE_GAP[1]))
-    rows = rows.withColumn("new", F.when(jump, 1).otherwise(0)).withColumn("line", F.sum("new").over(down))
-    along = W.partitionBy(*PAGE, "line").orderBy("x0", "pos")
-    gap = F.col("x0") - F.lag("x1").over(along) > F.greatest(F.col("char") * CELL_GAP[0], F.lit(CELL_GAP[1]))
-    return rows.withColumn("new", F.when(gap, 1).otherwise(0)).withColumn("cell", F.sum("new").over(along)).drop("new")
+
+def cut(values: Column, new) -> Column:
+    """An array as an array of runs: one begins at the first place and wherever `new(values, place)` holds."""
+
+    def runs(xs):
+        starts = F.filter(F.sequence(F.lit(0), F.size(xs) - 1), lambda i: (i == 0) | F.coalesce(new(xs, i), F.lit(False)))
+        run = lambda ss: F.transform(ss, lambda s, k: F.slice(xs, s + 1, F.coalesce(F.get(ss, k + 1), F.size(xs)) - s))
+        return given(starts, run)
+
+    return given(values, runs)
+
+
+def gathered(words: DataFrame) -> DataFrame:
+    """Pages of words: doc_id, page, ws (x0, y0, x1, y1, pos, word). Word tables are gathered by one exchange; pages stay."""
+    if "ws" in words.columns:
+        return words
+    return words.groupBy(*PAGE).agg(F.collect_list(F.struct("x0", "y0", "x1", "y1", "pos", "word")).alias("ws"))
 
 
 def structured_lines(words: DataFrame) -> DataFrame:
-    """doc_id, page, line, cs (cells: cell, text, x), n, top, bottom, char, section: a new section begins where the gap above a
-    line exceeds twice the median gap, 2.5 median heights and 10."""
-    cells = lines_and_cells(words).groupBy(*PAGE, "line", "cell").agg(
-        F.array_sort(F.collect_list(F.struct("x0", "pos", "word"))).alias("ws"), F.min("y0").alias("top"), F.max("y1").alias("bottom"), F.first("height").alias("height"), F.first("char").alias("char")
-    )
-    cells = cells.withColumns({"text": F.array_join("ws.word", " "), "x": F.get("ws.x0", F.lit(0))})
-    lines = cells.groupBy(*PAGE, "line").agg(
-        F.array_sort(F.collect_list(F.struct("cell", "text", "x"))).alias("cs"), F.sum(F.size("ws")).alias("n"), F.min("top").alias("top"), F.max("bottom").alias("bottom"),
-        F.first("height").alias("height"), F.first("char").alias("char"),
+    """doc_id, page, line, cs (cells: cell, text, x), n, top, bottom, char, section; for words or pages.
+
+    A new line begins where y0 leaves the word before by more than 0.6 median heights, a new cell of a line where the gap to the
+    word before exceeds two median character widths, and a new section where the gap above a line exceeds twice the median gap,
+    2.5 median heights and 10. Lines and cells are cut within the row of a page; only sections, for pages, need an exchange,
+    of lines.
+    """
+    pages = gathered(words)
+    wide = lambda w: (w["x1"] - w["x0"]) / F.greatest(F.length(w["word"]), F.lit(1))
+    down = F.array_sort(F.transform("ws", lambda w: F.struct(w["y0"].alias("y0"), w["x0"].alias("x0"), w["pos"].alias("pos"), w["word"].alias("word"), w["x1"].alias("x1"), w["y1"].alias("y1"))))
+    heights = upper_median(F.transform("ws", lambda w: w["y1"] - w["y0"]))
+    pages = pages.select(*PAGE, heights.alias("height"), upper_median(F.transform("ws", wide)).alias("char"), down.alias("ws"))
+    jump = lambda xs, i: F.abs(F.get(xs, i)["y0"] - F.get(xs, i - 1)["y0"]) > F.greatest(F.col("height") * LINE_GAP[0], F.lit(LINE_GAP[1]))
+    lines = pages.select(*PAGE, "height", "char", F.posexplode(cut(F.col("ws"), jump)).alias("line", "ws"))
+    along = F.array_sort(F.transform("ws", lambda w: F.struct(w["x0"].alias("x0"), w["pos"].alias("pos"), w["word"].alias("word"), w["x1"].alias("x1"))))
+    gap = lambda xs, i: F.get(xs, i)["x0"] - F.get(xs, i - 1)["x1"] > F.greatest(F.col("char") * CELL_GAP[0], F.lit(CELL_GAP[1]))
+    cell = lambda c, k: F.struct(k.alias("cell"), F.array_join(c["word"], " ").alias("text"), F.get(c, F.lit(0))["x0"].alias("x"))
+    lines = lines.select(
+        *PAGE, F.col("line").cast("long").alias("line"), F.transform(cut(along, gap), cell).alias("cs"), F.size("ws").cast("long").alias("n"),
+        F.array_min("ws.y0").alias("top"), F.array_max("ws.y1").alias("bottom"), "height", "char",
     )
     down = W.partitionBy(*PAGE).orderBy("line")
     lines = lines.withColumn("gap", F.col("top") - F.lag("bottom").over(down))

@@ -24,12 +24,12 @@ sec AS (SELECT lg.*, sum(CASE WHEN gap > greatest(2 * usual, 2.5 * height, 10) T
 
 @query(f"WITH {_LINES} SELECT doc_id, page, CAST(line AS BIGINT) AS line, content, cells, CAST(n AS BIGINT) AS n, CAST(section AS BIGINT) AS section FROM sec")
 def ocr_lines(spark, d):
-    return P.text_lines(Tables(spark, d).words).select("doc_id", "page", "line", "content", F.col("cells").cast("long").alias("cells"), "n", "section")
+    return P.text_lines(Tables(spark, d).word_pages).select("doc_id", "page", "line", "content", F.col("cells").cast("long").alias("cells"), "n", "section")
 
 
 @query(f"WITH {_LINES} SELECT doc_id, page, CAST(line AS BIGINT) AS line, CAST(max(cell) + 1 AS BIGINT) AS cells FROM c GROUP BY doc_id, page, line")
 def ocr_cells(spark, d):
-    return P.lines_and_cells(Tables(spark, d).words).groupBy("doc_id", "page", "line").agg((F.max("cell") + 1).alias("cells"))
+    return P.text_lines(Tables(spark, d).word_pages).select("doc_id", "page", "line", F.col("cells").cast("long").alias("cells"))
 
 
 _TITLE = "len(string_split_regex(trim({0}), '[ \\t]+')) <= 10 AND (NOT regexp_matches({0}, '[0-9]{{3}}') OR regexp_matches(lower(trim({0})), '^(invoice|facture|your|bill|receipt|statement)')) AND regexp_matches(lower({0}), 'invoice|facture|bill|receipt')"
@@ -51,7 +51,7 @@ t AS (SELECT doc_id, page, section, line, opens, CASE WHEN opens THEN '| **' ||
 s AS (SELECT doc_id, page, section, string_agg(CASE WHEN opens THEN chr(10) ELSE '' END || s, chr(10) ORDER BY line) AS s FROM t GROUP BY doc_id, page, section)
 SELECT doc_id, page, rtrim(string_agg(CASE WHEN starts_with(s, chr(10) || '| **') THEN substr(s, 2) ELSE s END, chr(10) || chr(10) ORDER BY section), chr(10)) || chr(10) AS markdown FROM s GROUP BY doc_id, page""")
 def ocr_markdown(spark, d):
-    return P.page_markdown(Tables(spark, d).words)
+    return P.page_markdown(Tables(spark, d).word_pages)
 
 
 @query(f"WITH {SQL_WORDS} SELECT doc_id, page, string_agg(printf('[%d,%d,%d,%d] %s', x0, y0, x1, y1, word), chr(10) ORDER BY pos) AS text FROM words GROUP BY doc_id, page")

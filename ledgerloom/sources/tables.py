@@ -107,6 +107,20 @@ class Tables:
             (y0 + 16).cast("long").alias("y1"), ((pos * 37 % 100) / F.lit(100.0)).alias("conf"),
         )
 
+    @property
+    def word_pages(self) -> DataFrame:
+        """The same as pages: doc_id, page, ws (x0, y0, x1, y1, pos, word). A text is cut within its row, so nothing is shuffled."""
+        every = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("every") - 1) / 200).cast("int")), lambda p: F.slice("every", p * 200 + 1, F.lit(200)))
+
+        def placed(word, at):
+            pos = at.cast("long")
+            x0, y0 = pos % 10 * 80, F.floor(pos / 10) * 20 + F.floor(pos / 50) * 50
+            return F.struct(x0.alias("x0"), y0.alias("y0"), (x0 + 8 * F.length(word)).alias("x1"), (y0 + 16).alias("y1"), pos.alias("pos"), word.alias("word"))
+
+        pages = self.documents.where("text is not null").select("doc_id", every.alias("every")).select("doc_id", F.posexplode(cut).alias("page", "words"))
+        return pages.select("doc_id", F.col("page").cast("long").alias("page"), F.transform("words", placed).alias("ws"))
+
     @property
     def fields(self) -> DataFrame:
         """doc_id, page, k, field, value: the customers' orders as pages with fields."""
