@@ -100,7 +100,7 @@ def test_layout_of_a_small_page(spark):
     words = spark.createDataFrame(rows, "doc_id long, page long, pos int, word string, x0 long, y0 long, x1 long, y1 long")
     lines = [(r.content, r.cells, r.section) for r in P.text_lines(words).orderBy("line").collect()]
     assert lines == [("Invoice no", 1, 0), ("Item | Qty", 2, 1), ("Bolt | 2", 2, 1), ("Nut | 3", 2, 1), ("Cog | 4", 2, 1), ("Total: 9", 1, 2)]
-    assert P.page_markdown(words).first().markdown == "Invoice no\n\n| **Item** | **Qty** |\n|---|---|\n| Bolt | 2 |\n| Nut | 3 |\n| Cog | 4 |\n\nTotal: 9"
+    assert P.page_markdown(words).first().markdown == "## Invoice no\n\n| **Item** | **Qty** |\n|---|---|\n| Bolt | 2 |\n| Nut | 3 |\n| Cog | 4 |\n\nTotal: 9\n"
     assert [(r.label, r.value) for r in P.key_values(words, ["total", "invoice"]).orderBy("pos").collect()] == [("invoice", None), ("total", "9")]
     found = P.value_spans(words, spark.createDataFrame([(1, "bolt 2"), (1, "total: 8"), (1, ""), (2, "bolt")], "doc_id long, value string")).collect()
     assert [(r.value, r.pos, r.x0, r.y0, r.x1, r.y1) for r in found] == [("bolt 2", 4, 0, 100, 208, 117)]
