@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 from time import perf_counter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _TEXT = ("ocr", "vision_ocr", "hybrid_ocr", "document_graph")
@@ -45,13 +46,32 @@ def downstream(spark: SparkSession) -> DataFrame:
         SELECT DISTINCT step, downstream FROM r""")
 
 
+def runnable(progress: DataFrame, enabled: list[str]) -> DataFrame:
+    """Rows with `done` (array of finished steps, null: none) times the enabled steps that may run next: place, step. A step may
+    run that isn't done and of whose every prerequisite an enabled alternative is done; groups without one count as met. The
+    graph is a handful of literals, so each row is decided by itself and nothing is shuffled."""
+    done = F.coalesce("done", F.array().cast("array<string>"))
+
+    def free(place: int, step: str):
+        on = [[a for a in group if a in enabled] for group in PREREQUISITES[step]]
+        met = [F.arrays_overlap(done, F.array(*map(F.lit, group))) for group in on if group]
+        ok = reduce(lambda x, y: x & y, met, ~F.array_contains(done, step))
+        return F.when(ok, F.struct(F.lit(place).alias("place"), F.lit(step).alias("step")))
+
+    steps = F.array_compact(F.array(*[free(i, s) for i, s in enumerate(enabled)]))
+    return progress.withColumn("next", F.explode(steps)).select(*progress.columns, "next.place", "next.step")
+
+
 def available(spark: SparkSession, enabled: list[str], done: list[str]) -> DataFrame:
-    """Enabled steps that aren't done and of whose every prerequisite an enabled alternative is done; groups without one count as met."""
-    rows = [(i, s, [list(g) for g in PREREQUISITES[s]]) for i, s in enumerate(enabled)]
-    df = spark.createDataFrame(rows, "place int, step string, needs array<array<string>>")
-    on, ok = F.array(*[F.lit(s) for s in enabled]), F.array(*[F.lit(s) for s in done])
-    met = F.forall("needs", lambda g: ~F.arrays_overlap(g, on) | F.arrays_overlap(F.array_intersect(g, on), ok))
-    return df.where(met & ~F.col("step").isin(*done)).select("place", "step")
+    """place and step of the enabled steps that may run when `done` are finished."""
+    return runnable(spark.createDataFrame([(done,)], "done array<string>"), enabled).drop("done")
+
+
+def held_up(spark: SparkSession, failed: DataFrame) -> DataFrame:
+    """step, downstream, failed_runs: for each dependence, in how many runs (run_id, step of `failed`, repeats allowed) the step
+    failed. Runs are counted by step before they meet the graph."""
+    n = failed.groupBy("step").agg(F.count_distinct("run_id").alias("failed_runs"))
+    return downstream(spark).join(n, "step", "left").select("step", "downstream", F.coalesce("failed_runs", F.lit(0)).alias("failed_runs"))
 
 
 @dataclass
@@ -60,16 +80,28 @@ class Run:
 
     result: DataFrame
     log: list[tuple[int, str, float, str | None]] = field(default_factory=list)
+    start: DataFrame | None = None
+    good: list[tuple[int, Callable[[DataFrame], DataFrame]]] = field(default_factory=list)
+
+    def rows(self) -> dict[int, int]:
+        """Run the good steps once, and for the place of each the rows that it let through, observed on the way."""
+        df, seen = self.start, {}
+        for place, step in self.good:
+            seen[place] = Observation()
+            df = df.transform(step).observe(seen[place], F.count(F.lit(1)).alias("rows"))
+        df.write.format("noop").mode("overwrite").save()
+        return {place: o.get["rows"] for place, o in seen.items()}
 
 
 def run_steps(start: DataFrame, steps: dict[str, Callable[[DataFrame], DataFrame]], enabled: list[str] | None = None) -> Run:
     """Apply the enabled steps of a registry in its order. A step is a function of a DataFrame, so plans stay lazy; one that
     fails while it is planned is logged and left out."""
-    run = Run(start)
+    run = Run(start, start=start)
     for place, (name, step) in enumerate((n, s) for n, s in steps.items() if enabled is None or n in enabled):
         begun, error = perf_counter(), None
         try:
             run.result = run.result.transform(step)
+            run.good.append((place, step))
         except Exception as e:  # the step's error belongs to the log, whatever it is
             error = f"{type(e).__name__}: {e}".split("\n")[0]
         run.log.append((place, name, perf_counter() - begun, error))

@@ -99,19 +99,32 @@ def cross_page_common_keys(spark, d):
 _EDGES = ", ".join(f"('{a}', '{b}')" for b, alts in S.PREREQUISITES.items() for group in alts for a in group)
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT * FROM (VALUES {_EDGES}) x(step, after)), r AS (SELECT step, after FROM e UNION SELECT r.step, e.after FROM r JOIN e ON r.after = e.step) SELECT step, after AS downstream FROM r""")
-def dag_downstream(spark, d):
-    return S.downstream(spark)
-
-
-_ENABLED, _DONE = S.PRESETS["hybrid"], ["ingestion", "hybrid_ocr", "document_classifier"]
+_ENABLED = S.PRESETS["hybrid"]
 _SET = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 _NEEDS = ", ".join(f"({i}, '{s}', [{', '.join(_SET(g) for g in S.PREREQUISITES[s])}]::VARCHAR[][])" for i, s in enumerate(_ENABLED))
+#: Runs of eight events, each event a step of the preset that ended, by an error or well.
+_ENDED = f"ended AS (SELECT event_id // 8 AS run_id, {_SET(_ENABLED)}[1 + CAST(floor(value) AS BIGINT) % {len(_ENABLED)}] AS step, event_type <> 'error' AS good FROM events)"
+
+
+def _ended(t: Tables):
+    step = F.get(F.array(*map(F.lit, _ENABLED)), (F.floor("value") % len(_ENABLED)).cast("int"))
+    return t.events.select(F.floor(F.col("event_id") / 8).alias("run_id"), step.alias("step"), (F.col("event_type") != "error").alias("good"))
+
+
+@query(f"""WITH RECURSIVE {_ENDED}, e AS (SELECT * FROM (VALUES {_EDGES}) x(step, after)), r AS (SELECT step, after FROM e UNION SELECT r.step, e.after FROM r JOIN e ON r.after = e.step),
+n AS (SELECT step, count(DISTINCT run_id) AS n FROM ended WHERE NOT good GROUP BY step) SELECT step, after AS downstream, coalesce(n, 0) AS failed_runs FROM r LEFT JOIN n USING (step)""")
+def dag_downstream(spark, d):
+    """Every dependence of the step graph, with the runs in which a failed step holds the other one up."""
+    return S.held_up(spark, _ended(Tables(spark, d)).where("not good").select("run_id", "step"))
 
 
-@query(f"SELECT place, step FROM (VALUES {_NEEDS}) t(place, step, needs) WHERE step NOT IN ({', '.join(repr(s) for s in _DONE)}) AND len(list_filter(needs, lambda g: list_has_any(g, {_SET(_ENABLED)}) AND NOT list_has_any(list_intersect(g, {_SET(_ENABLED)}), {_SET(_DONE)}))) = 0")
+@query(f"""WITH {_ENDED}, done AS (SELECT run_id, coalesce(list(DISTINCT step) FILTER (good), []) AS done FROM ended GROUP BY run_id)
+SELECT run_id, place, step FROM done, (VALUES {_NEEDS}) t(place, step, needs) WHERE NOT list_contains(done, step)
+AND len(list_filter(needs, lambda g: list_has_any(g, {_SET(_ENABLED)}) AND NOT list_has_any(list_intersect(g, {_SET(_ENABLED)}), done))) = 0""")
 def available_steps(spark, d):
-    return S.available(spark, enabled=_ENABLED, done=_DONE)
+    """What each run may do next, after the steps that it finished."""
+    done = _ended(Tables(spark, d)).groupBy("run_id").agg(F.collect_set(F.when(F.col("good"), F.col("step"))).alias("done"))
+    return S.runnable(done, _ENABLED).drop("done")
 
 
 @query(f"WITH {SQL_INVOICES} SELECT CAST(doc_id AS VARCHAR) AS \"InvoiceNumber\", supplier AS \"SupplierName\", CAST(invoice_date AS VARCHAR) AS \"InvoiceDate\", printf('%.2f', floor(total * 100 + 0.5) / 100) AS \"NetAmount\" FROM inv")
@@ -145,9 +158,11 @@ def export_ubl(spark, d):
     return _bundles(Tables(spark, d)).select("doc_id", E.ubl_invoice().alias("xml"))
 
 
-@query("SELECT * FROM (VALUES (0, 'positive', true), (1, 'broken', false), (2, 'half', true)) t(place, step, good)")
+@query("""WITH big AS (SELECT * FROM orders WHERE o_totalprice > 100000) SELECT 0 AS place, 'big' AS step, true AS good, count(*) AS n FROM big UNION ALL SELECT 1, 'broken', false, NULL
+UNION ALL SELECT 2, 'open', true, count(*) FILTER (o_orderstatus = 'O') FROM big UNION ALL SELECT 3, 'half', true, count(*) FILTER (o_orderstatus = 'O') FROM big""")
 def steps_log(spark, d):
-    """Three steps of a registry on the orders; the second can't be planned and is left out."""
-    steps = {"positive": lambda o: o.where("o_totalprice > 0"), "broken": lambda o: o.select("no_such_column"), "half": lambda o: o.withColumn("half", F.col("o_totalprice") / 2)}
+    """Four steps of a registry on the orders, with the rows behind each; the second can't be planned and is left out."""
+    steps = {"big": lambda o: o.where("o_totalprice > 100000"), "broken": lambda o: o.select("no_such_column"), "open": lambda o: o.where("o_orderstatus = 'O'"), "half": lambda o: o.withColumn("half", F.col("o_totalprice") / 2)}
     run = S.run_steps(Tables(spark, d).orders, steps)
-    return spark.createDataFrame([(p, n, e is None) for p, n, _, e in run.log], "place int, step string, good boolean")
+    rows = run.rows()
+    return spark.createDataFrame([(p, n, e is None, rows.get(p)) for p, n, _, e in run.log], "place int, step string, good boolean, n long")

@@ -169,9 +169,18 @@ def example_store(spark, d):
     return Tables(spark, d).documents.where("lang is not null").select("doc_id", "source", F.col("lang").alias("field"), k.alias("turn")).where("turn <= 50").orderBy("turn", "source").limit(50)
 
 
-@query(f"""SELECT '### Field Extraction Rules' || chr(10) || string_agg(concat('- **', k, '**: ', v), chr(10) ORDER BY k) AS prompt FROM (VALUES {", ".join("('" + k + "', '" + "; ".join(ws).replace("'", "''") + "')" for k, (_, ws) in L.PAGE_SIGNATURES.items())}) t(k, v)""")
+_SIGNED = ", ".join("('" + k + "', [" + ", ".join("'" + w.replace("'", "''") + "'" for w in ws) + "])" for k, (_, ws) in L.PAGE_SIGNATURES.items())
+
+
+@query(f"""WITH f AS (SELECT doc_id, k, list_filter(ws, lambda w: contains(lower(text), w)) AS ws FROM documents, (VALUES {_SIGNED}) t(k, ws)),
+b AS (SELECT doc_id, count(*) AS n_rules, string_agg(concat('- **', k, '**: ', list_aggregate(ws, 'string_agg', '; ')), chr(10) ORDER BY len(ws) DESC, k) AS s FROM f WHERE len(ws) > 0 GROUP BY doc_id)
+SELECT doc_id, coalesce(n_rules, 0) AS n_rules, coalesce('### Field Extraction Rules' || chr(10) || s, '') AS prompt FROM documents LEFT JOIN b USING (doc_id)""")
 def rules_prompt(spark, d):
-    """The rule base as a block of a prompt."""
-    rules = spark.createDataFrame([(k, "; ".join(ws)) for k, (_, ws) in L.PAGE_SIGNATURES.items()], "k string, v string")
-    lines = rules.agg(F.array_sort(F.collect_list(F.struct("k", F.concat(F.lit("- **"), "k", F.lit("**: "), "v").alias("s"))))["s"].alias("ls"))
-    return lines.select(F.concat(F.lit("### Field Extraction Rules\n"), F.array_join("ls", "\n")).alias("prompt"))
+    """For each document the rules with a word in its text, those with most words first, as a block of a prompt; none: empty.
+    The rules are literals, so a text is read once, in its row, and isn't shuffled."""
+    low = Tables(spark, d).documents.select("doc_id", F.lower("text").alias("low"))
+    hits = lambda ws: F.array_compact(F.array(*[F.when(F.contains("low", F.lit(w)), F.lit(w)) for w in ws]))
+    rules = low.select("doc_id", F.array(*[F.struct(F.lit(k).alias("k"), hits(ws).alias("ws")) for k, (_, ws) in L.PAGE_SIGNATURES.items()]).alias("rules"))
+    keyed = F.transform(F.filter("rules", lambda r: F.size(r["ws"]) > 0), lambda r: F.struct((-F.size(r["ws"])).alias("n"), r["k"].alias("k"), F.concat(F.lit("- **"), r["k"], F.lit("**: "), F.array_join(r["ws"], "; ")).alias("s")))
+    found = rules.select("doc_id", F.array_sort(keyed)["s"].alias("lines"))
+    return found.select("doc_id", F.size("lines").cast("long").alias("n_rules"), F.when(F.size("lines") > 0, F.concat(F.lit("### Field Extraction Rules\n"), F.array_join("lines", "\n"))).otherwise("").alias("prompt"))

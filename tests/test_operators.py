@@ -160,3 +160,29 @@ def test_steps_and_breaker_probes(spark):
     assert run.result.count() == 2 and [(n, e is None) for _, n, _, e in run.log] == [("even", True), ("bad", False)]
     events = spark.createDataFrame([(i, f"2024-01-01 00:00:{i:02d}", 1, "error" if i < 3 else "view") for i in (0, 1, 2, 5, 40)], "event_id long, ts string, user_id long, event_type string")
     assert [x.state for x in breaker_probes(events, failures=3, pause=30).orderBy("event_id").collect()] == ["closed", "closed", "closed", "open", "closed"]
+
+
+def test_runnable_steps_of_each_row(spark):
+    from ledgerloom.operators.steps import runnable
+
+    rows = [(1, ["ingestion"], "x"), (2, None, "y"), (3, [], "z"), (3, [], "z"), (4, ["ingestion", "ocr", "document_classifier", "embedding"], None)]
+    df = spark.createDataFrame(rows, "run_id int, done array<string>, step_note string")
+    got = sorted((r.run_id, r.step) for r in runnable(df, ["ingestion", "ocr", "document_classifier", "embedding"]).collect())
+    assert got == [(1, "document_classifier"), (1, "ocr"), (2, "ingestion"), (3, "ingestion"), (3, "ingestion")]
+    assert runnable(df.limit(0), ["ingestion"]).count() == 0
+
+
+def test_failed_runs_are_counted_once_for_each_dependent_step(spark):
+    from ledgerloom.operators.steps import held_up
+
+    failed = spark.createDataFrame([(1, "validation"), (1, "validation"), (2, "validation"), (None, "export"), (3, None)], "run_id int, step string")
+    got = {(r.step, r.downstream): r.failed_runs for r in held_up(spark, failed).collect()}
+    assert got[("validation", "export")] == got[("validation", "confidence_scoring")] == 2
+    assert got[("export", "evaluation")] == 0 and got[("ingestion", "ocr")] == 0
+
+
+def test_run_steps_counts_rows_in_one_pass(spark):
+    from ledgerloom.operators.steps import run_steps
+
+    run = run_steps(spark.range(10), {"even": lambda d: d.where("id % 2 = 0"), "bad": lambda d: d.select("nothing"), "none": lambda d: d.where("id > 99")})
+    assert run.rows() == {0: 5, 2: 0}
