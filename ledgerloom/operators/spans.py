@@ -130,7 +130,14 @@ def field_boxes(words: DataFrame, fields: DataFrame) -> DataFrame:
     """doc_id, page, field, value, link, n, x0, y0, x1, y1 for (doc_id, field, value, evidence) on each page of words
     (doc_id, page, pos, word, x0, y0, x1, y1) that has the field; pages are gathered once and meet their document's fields."""
     page = words.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("pos", "word", "x0", "y0", "x1", "y1"))).alias("ws"))
-    met = page.join(fields, "doc_id").withColumn("span", field_span(F.col("ws")["word"], F.col("value"), F.col("evidence"))).where("span is not null")
+    return boxed(page.join(fields, "doc_id"))
+
+
+def boxed(pages: DataFrame) -> DataFrame:
+    """The same of pages that carry a field in their row: doc_id, page, ws (word and box, in order), field, value, evidence.
+    Nothing is shuffled. A span comes out of a generator, so that the test whether there is one doesn't work it out again."""
+    span = field_span(F.col("ws")["word"], F.col("value"), F.col("evidence"))
+    met = pages.withColumn("span", F.explode(F.array_compact(F.array(span))))
     boxes = F.transform(F.col("span.ids"), lambda i: F.get(F.col("ws"), i))
     side = lambda name, pick: pick(F.transform("boxes", lambda b: b[name])).alias(name)
     met = met.select(*PAGE, "field", "value", "span.link", F.size("span.ids").alias("n"), boxes.alias("boxes"))

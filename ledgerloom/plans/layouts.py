@@ -8,7 +8,7 @@ from ..functions import lexicon as L
 from ..operators import layout as P
 from ..operators import spans as SP
 from ..registry import query
-from ..sources.tables import SQL_FIELDS, SQL_WORDS, Tables
+from ..sources.tables import SQL_FIELDS, SQL_WORDS, Tables, every_word, paged
 
 _LINES = f"""{SQL_WORDS}, med AS (SELECT doc_id, page, list_sort(list(y1 - y0))[count(*) // 2 + 1] AS height, list_sort(list((x1 - x0) / greatest(length(word), 1)::DOUBLE))[count(*) // 2 + 1] AS char FROM words GROUP BY doc_id, page),
 j AS (SELECT w.*, height, char, CASE WHEN abs(y0 - lag(y0) OVER d) > greatest(0.6 * height, 5) THEN 1 ELSE 0 END AS jump FROM words w JOIN med USING (doc_id, page) WINDOW d AS (PARTITION BY w.doc_id, w.page ORDER BY y0, x0, pos)),
@@ -109,15 +109,14 @@ SELECT o.doc_id, o.page, field, value, link, CAST(count(*) AS INT) AS n, min(x0)
 @query(_SPAN)
 def value_to_span(spark, d):
     """The box of a document's field on each of its pages, by evidence, value or any word of it."""
-    words = Tables(spark, d).words
-    head = words.where("page = 0").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word")))["word"].alias("w")).withColumn("k", (F.col("doc_id") % 20).cast("int"))
+    head = Tables(spark, d).documents.select("doc_id", "text", F.slice(every_word("text"), 1, 200).alias("w"), (F.col("doc_id") % 20).cast("int").alias("k"))
     word = lambda i: F.coalesce(F.get("w", F.col("k") + i), F.lit(""))
     two, kind = F.concat(word(0), F.lit(" "), word(1)), F.col("doc_id") % 6
     digits = F.concat(F.lit("no "), F.regexp_extract(F.array_join("w", " "), "[0-9]+", 0))
     value = F.when(kind == 0, two).when(kind == 1, F.concat(F.lit("("), word(0), F.lit(")"))).when(kind == 2, F.concat(word(0), F.lit("s "), word(1), F.lit(" zzz")))
     value = value.when(kind == 3, digits).when(kind == 4, F.concat(F.lit("qq ww "), word(0))).otherwise("absent")
-    fields = head.select("doc_id", F.concat(F.lit("F"), kind.cast("string")).alias("field"), value.alias("value"), F.when(kind == 5, two).otherwise("").alias("evidence"))
-    return SP.field_boxes(words, fields)
+    said = head.select("doc_id", "text", F.concat(F.lit("F"), kind.cast("string")).alias("field"), value.alias("value"), F.when(kind == 5, two).otherwise("").alias("evidence"))
+    return SP.boxed(paged(said))
 
 
 @query(f"WITH {SQL_WORDS} SELECT doc_id, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, CAST(trunc(1000 * min(x0) / 800) AS INT) AS nx, CAST(trunc(1000 * max(y1) / 600) AS INT) AS ny, count(*) AS n FROM words GROUP BY doc_id, page")

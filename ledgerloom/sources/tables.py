@@ -65,6 +65,25 @@ SQL_NUMBERS = """numbers AS (
 )"""
 
 
+def every_word(text: str):
+    return F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ")
+
+
+def paged(documents: DataFrame) -> DataFrame:
+    """Texts as pages of 200 words with boxes on a grid: page and ws (x0, y0, x1, y1, pos, word) in place of `text`, beside the
+    other columns. A text is cut within its row, so nothing is shuffled; a null text has no page."""
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("every") - 1) / 200).cast("int")), lambda p: F.slice("every", p * 200 + 1, F.lit(200)))
+    kept = [c for c in documents.columns if c != "text"]
+
+    def placed(word, at):
+        pos = at.cast("long")
+        x0, y0 = pos % 10 * 80, F.floor(pos / 10) * 20 + F.floor(pos / 50) * 50
+        return F.struct(x0.alias("x0"), y0.alias("y0"), (x0 + 8 * F.length(word)).alias("x1"), (y0 + 16).alias("y1"), pos.alias("pos"), word.alias("word"))
+
+    pages = documents.where("text is not null").select(*kept, every_word("text").alias("every")).select(*kept, F.posexplode(cut).alias("page", "words"))
+    return pages.select(*kept, F.col("page").cast("long").alias("page"), F.transform("words", placed).alias("ws"))
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -109,17 +128,8 @@ class Tables:
 
     @property
     def word_pages(self) -> DataFrame:
-        """The same as pages: doc_id, page, ws (x0, y0, x1, y1, pos, word). A text is cut within its row, so nothing is shuffled."""
-        every = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
-        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("every") - 1) / 200).cast("int")), lambda p: F.slice("every", p * 200 + 1, F.lit(200)))
-
-        def placed(word, at):
-            pos = at.cast("long")
-            x0, y0 = pos % 10 * 80, F.floor(pos / 10) * 20 + F.floor(pos / 50) * 50
-            return F.struct(x0.alias("x0"), y0.alias("y0"), (x0 + 8 * F.length(word)).alias("x1"), (y0 + 16).alias("y1"), pos.alias("pos"), word.alias("word"))
-
-        pages = self.documents.where("text is not null").select("doc_id", every.alias("every")).select("doc_id", F.posexplode(cut).alias("page", "words"))
-        return pages.select("doc_id", F.col("page").cast("long").alias("page"), F.transform("words", placed).alias("ws"))
+        """The same as pages: doc_id, page, ws (x0, y0, x1, y1, pos, word)."""
+        return paged(self.documents.select("doc_id", "text"))
 
     @property
     def fields(self) -> DataFrame:
