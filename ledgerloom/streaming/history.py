@@ -1,97 +1,87 @@
-"""The history of each vendor's invoices as keyed state: every invoice is checked against it, then appended.
+"""The history of each vendor's invoices as a table that a stream carries on: every invoice is checked against it, then appended.
 
-State by vendor: the last `LOOKBACK` totals in order of arrival, and the invoices of the last `DUPLICATE_DAYS` days. Both are
-bounded, so a vendor with any number of invoices holds a fixed number of totals and one window of days; a timer removes the
-state of a vendor that the watermark has left behind by `FORGET`. An invoice arrives by its date, then its id; the invoices of
-a micro-batch are put in that order. One that is dated before what its vendor's state has seen, but not before the watermark,
-is checked against that state as it stands; those before the watermark are dropped.
+Each micro-batch writes one table: its own invoices with what was found, and the state that the next batch starts from. State
+are the last `LOOKBACK` invoices of each vendor and those that an invoice not before the watermark can still repeat; so a vendor
+with any number of invoices holds a fixed number of them and one window of days, and one that the watermark has left behind by
+`FORGET` none. Batches are checked by windows and a join, not vendor by vendor; one that runs again writes its table over.
 
-Defined cases: null vendors are one vendor; a null total is neither checked nor counted; rows without a date are left out.
+An invoice arrives by its batch, its date, then its id. One that is dated before what its vendor's state has seen, but not
+before the watermark, is checked against that state as it stands; those before the watermark are dropped. The watermark is the
+latest date of the batches before, less `LATE` days.
+
+Defined cases: null vendors share one run of totals and repeat nothing; a null total takes a place in the run, but is neither
+checked nor counted; rows without a date are left out.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from ..operators.rules import DUPLICATE_DAYS, LEAST_HISTORY, LOOKBACK, SIGMAS
 
-#: Event time after which a vendor without invoices is forgotten, in days, and the lateness that the watermark allows.
-FORGET, LATE = 3650, "30 days"
-CHECKED = "doc_id long, vendor_id long, duplicate_of long, n int, mean double, anomalous boolean"
-
-
-class History(StatefulProcessor):
-    """(doc_id, vendor_id, invoice_date, total) to `CHECKED`, one row each."""
-
-    def __init__(self, forget_days: float = FORGET):
-        self.forget = int(forget_days * 86_400_000)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.totals = handle.getListState("totals", "total double")
-        self.recent = handle.getListState("recent", "day date, doc_id long, total double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        totals = [t for (t,) in self.totals.get()] if self.totals.exists() else []
-        recent = list(self.recent.get()) if self.recent.exists() else []
-        new = pd.concat(list(rows)).sort_values(["invoice_date", "doc_id"])
-        out = []
-        for doc, day, total in new[["doc_id", "invoice_date", "total"]].itertuples(index=False):
-            known = total is not None and not math.isnan(total)
-            since = None if pd.isna(day) else day - pd.Timedelta(days=DUPLICATE_DAYS)
-            same = [d for at, d, t in recent if since is not None and pd.Timestamp(at) >= pd.Timestamp(since) and known and total != 0 and abs(t - total) < 0.01]
-            past = pd.Series(totals[-LOOKBACK:], dtype="float64")
-            mean, spread = (past.mean(), past.std()) if len(past) > 1 else (past.mean() if len(past) else math.nan, math.nan)
-            odd = bool(known and len(past) >= LEAST_HISTORY and spread > 0 and total > mean + SIGMAS * spread)
-            out.append((doc, key[0], min(same) if same else None, len(past), None if math.isnan(mean) else mean, odd))
-            if known:
-                totals = [*totals, float(total)][-LOOKBACK:]
-                if since is not None and total != 0:
-                    recent = [r for r in recent if pd.Timestamp(r[0]) >= pd.Timestamp(since)] + [(pd.Timestamp(day).date(), int(doc), float(total))]
-        if totals:
-            self.totals.put([(t,) for t in totals])
-        if recent:
-            self.recent.put(recent)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        seen = [pd.Timestamp(d).value // 1_000_000 for d in new["invoice_date"] if not pd.isna(d)]
-        self.handle.registerTimer(max([timerValues.getCurrentWatermarkInMs(), *seen]) + self.forget)
-        yield pd.DataFrame(out, columns=["doc_id", "vendor_id", "duplicate_of", "n", "mean", "anomalous"]).astype({"duplicate_of": "Int64", "vendor_id": "Int64", "n": "int32"})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.totals.clear()
-        self.recent.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
-
-
-def checked(invoices: DataFrame, forget_days: float = FORGET) -> DataFrame:
-    """A stream of (doc_id, vendor_id, invoice_date, total) to `CHECKED`; needs the RocksDB state store."""
-    timed = invoices.selectExpr("doc_id", "vendor_id", "cast(invoice_date as timestamp) as invoice_date", "cast(total as double) as total").where("invoice_date is not null").withWatermark("invoice_date", LATE)
-    return timed.groupBy("vendor_id").transformWithStateInPandas(History(forget_days), outputStructType=CHECKED, outputMode="append", timeMode="EventTime")
-
-
-#: The state store that list state and timers need.
-STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+#: Days after which a vendor without invoices is forgotten, and days of lateness that the watermark allows.
+FORGET, LATE = 3650, 30
+ROWS = "doc_id long, vendor_id long, day date, total double"
+CHECKED = ["doc_id", "vendor_id", "duplicate_of", "n", "mean", "anomalous"]
+#: Width of the bins in which totals meet: more than the difference of repeated ones, so these are in one bin or the next.
+BIN = 0.02
+
+
+def repeats(new: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, duplicate_of: the smallest earlier invoice of the vendor, of the last `DUPLICATE_DAYS` days and with its total.
+
+    `known` holds the new rows too. Invoices of one vendor, total, day and batch count as one, the smallest of them.
+    """
+    bin_of = F.floor(F.col("total") / BIN)
+    rows = new.where("vendor_id is not null and total <> 0 and not isnan(total)").withColumn("bin", bin_of)
+    days = known.where("vendor_id is not null and total <> 0 and not isnan(total)").groupBy("vendor_id", "total", "day", "batch").agg(F.min("doc_id").alias("past_doc"))
+    past = days.select(F.col("vendor_id"), F.col("total").alias("past_total"), F.col("day").alias("past_day"), F.col("batch").alias("past_batch"), "past_doc", F.explode(F.array(bin_of - 1, bin_of, bin_of + 1)).alias("bin"))
+    before = (F.col("past_batch") < F.col("batch")) | (F.col("past_day") < F.col("day")) | ((F.col("past_day") == F.col("day")) & (F.col("past_doc") < F.col("doc_id")))
+    near = (F.abs(F.col("past_total") - F.col("total")) < 0.01) & (F.col("past_day") >= F.date_sub("day", DUPLICATE_DAYS))
+    return rows.join(past, ["vendor_id", "bin"]).where(before & near).groupBy("doc_id").agg(F.min("past_doc").alias("duplicate_of"))
+
+
+def checked(new: DataFrame, state: DataFrame) -> DataFrame:
+    """The rows of state and of a batch, `fresh` for the batch's, with `duplicate_of`, `n`, `mean`, `anomalous`, and of the
+    vendor `last`, its latest day, and `late`, whether the row is one of its last `LOOKBACK`."""
+    every = state.withColumn("fresh", F.lit(False)).unionByName(new.withColumn("fresh", F.lit(True)))
+    order = W.partitionBy("vendor_id").orderBy("batch", "day", "doc_id")
+    past = order.rowsBetween(-LOOKBACK, -1)
+    total = F.when(~F.isnan("total"), F.col("total"))
+    seen = every.select("*", F.count(total).over(past).cast("int").alias("n"), F.avg(total).over(past).alias("mean"), F.stddev_samp(total).over(past).alias("spread"), F.lead(F.lit(1), LOOKBACK).over(order).isNull().alias("late"), F.max("day").over(W.partitionBy("vendor_id")).alias("last"))
+    odd = (F.col("n") >= LEAST_HISTORY) & (F.col("spread") > 0) & (total > F.col("mean") + SIGMAS * F.col("spread"))
+    return seen.withColumn("anomalous", F.coalesce(odd, F.lit(False))).join(repeats(new, every.drop("fresh")), "doc_id", "left").drop("spread")
+
+
+def batch_folder(folder: str, n: int) -> str:
+    return f"{folder}/rows/batch_id={n}"
+
+
+def put(batch: DataFrame, n: int, folder: str, forget_days: float) -> None:
+    """Check batch `n` against the state that batch `n - 1` has left and write its rows and the new state."""
+    spark: SparkSession = batch.sparkSession
+    rows = batch.selectExpr("doc_id", "vendor_id", "cast(invoice_date as date) as day", "cast(total as double) as total").where("day is not null").withColumn("batch", F.lit(n).cast("long"))
+    if n:
+        last = spark.read.parquet(batch_folder(folder, n - 1))
+        state = last.where("kept").select("doc_id", "vendor_id", "day", "total", "batch")
+        latest = last.agg(F.max("latest")).first()[0]
+    else:
+        state, latest = spark.createDataFrame([], f"{ROWS}, batch long"), None
+    if latest is not None:
+        rows = rows.where(F.col("day") >= F.date_sub(F.lit(latest), LATE))
+    newest = rows.agg(F.max("day")).first()[0]
+    now = max((d for d in (latest, newest) if d is not None), default=None)
+    mark = F.date_sub(F.lit(now).cast("date"), LATE)
+    kept = (F.col("last") >= F.date_sub(mark, int(forget_days))) & (F.col("late") | (F.col("day") >= F.date_sub(mark, DUPLICATE_DAYS)))
+    out = checked(rows, state).withColumns({"kept": kept, "latest": F.lit(now).cast("date")})
+    out.where("fresh or kept").drop("late", "last").write.mode("overwrite").parquet(batch_folder(folder, n))
 
 
 def run_over(source: DataFrame, folder: str, forget_days: float = FORGET) -> DataFrame:
-    """Check all that `source` has not given to the checkpoint in `folder` before; the rows checked so far."""
-    spark = source.sparkSession
-    before = {k: spark.conf.get(k, None) for k in STORE}
-    for k, v in STORE.items():
-        spark.conf.set(k, v)
-    try:
-        write = checked(source, forget_days).writeStream.outputMode("append").option("checkpointLocation", f"{folder}/log").format("parquet").option("path", f"{folder}/rows")
-        write.trigger(availableNow=True).start().awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return spark.read.parquet(f"{folder}/rows")
+    """Check all of the stream (doc_id, vendor_id, invoice_date, total) that was not given to the checkpoint in `folder` before;
+    the rows checked so far."""
+    write = source.writeStream.foreachBatch(lambda batch, n: put(batch, n, folder, forget_days)).option("checkpointLocation", f"{folder}/log")
+    write.trigger(availableNow=True).start().awaitTermination()
+    return source.sparkSession.read.parquet(f"{folder}/rows").where("fresh").select(*CHECKED)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,6 +35,23 @@ def test_history_goes_on_from_its_checkpoint_and_forgets(spark, tmp_path):
     assert got[12].duplicate_of == 11 and got[61].n == 1
 
 
+def test_history_of_many_vendors_is_not_checked_vendor_by_vendor(spark, tmp_path):
+    day = lambda n: dt.date(2020, 1, 1) + dt.timedelta(days=n)
+    many = [(i, i, day(0), 5.0) for i in range(20_000)]
+    one = [(90_000 + i, 70_000, day(i // 60), 10.0 + 0.009 * (i % 3)) for i in range(180)] + [(95_000 + i, None, day(0), 7.0) for i in range(2)]
+    began = time.monotonic()
+    for rows in (many + one[:90], one[90:] + [(i + 30_000, i, day(1), 5.0) for i in range(20_000)]):
+        spark.createDataFrame(rows, ORDERS).repartition(4).write.mode("append").parquet(f"{tmp_path}/orders")
+        out = H.run_over(spark.readStream.schema(ORDERS).parquet(f"file://{tmp_path}/orders"), f"file://{tmp_path}/state")
+    got = {r.doc_id: r for r in out.collect()}
+    assert time.monotonic() - began < 60  # a call for each vendor and batch takes longer
+    assert len(got) == 40_182 and all(got[i + 30_000].duplicate_of == i and got[i + 30_000].n == 1 for i in range(20_000))
+    rows = [r for r in one if r[1]]
+    for k, (doc, _, at, total) in enumerate(rows):
+        assert got[doc].duplicate_of == min((d for d, _, a, t in rows[:k] if a >= at - dt.timedelta(days=30) and abs(t - total) < 0.01), default=None) and got[doc].n == min(k, 50)
+    assert got[95_001].duplicate_of is None and got[95_001].n == 1
+
+
 class TestCache:
     def frame(self, spark, rows):
         return spark.createDataFrame(rows, "key string, result string, cached_at string").withColumn("cached_at", F.col("cached_at").cast("timestamp"))
