@@ -12,6 +12,7 @@ from ledgerloom.operators import language as LG
 from ledgerloom.operators import retry as RE
 from ledgerloom.sources.cache import ResultCache, through
 from ledgerloom.streaming import history as H
+from ledgerloom.streaming import progress as P
 
 ORDERS = "doc_id long, vendor_id long, invoice_date date, total double"
 
@@ -52,6 +53,27 @@ def test_history_of_many_vendors_is_not_checked_vendor_by_vendor(spark, tmp_path
     assert got[95_001].duplicate_of is None and got[95_001].n == 1
 
 
+def test_breaker_puts_frames_of_a_user_in_order(spark, tmp_path):
+    kinds = ["error" if i % 9 else "click" for i in range(400)]
+    at = dt.datetime(2024, 1, 1)
+    rows = [(i, at + dt.timedelta(seconds=i // 2), i % 7 // 6, kinds[i], 1.0) for i in sorted(range(400), key=lambda i: i * 37 % 400)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        got = {tuple(r) for r in P.replayed(spark, f"file://{tmp_path}/events", P.breaker_stream).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = set()
+    for user in (0, 1):
+        n, was = 0, False
+        for i in (i for i in range(400) if i % 7 // 6 == user):
+            n = n + 1 if kinds[i] == "error" else 0
+            if (n >= 5) != was:
+                was = not was
+                want.add((user, i, "open" if was else "closed"))
+    assert got == want and len(want) > 20
+
+
 class TestCache:
     def frame(self, spark, rows):
         return spark.createDataFrame(rows, "key string, result string, cached_at string").withColumn("cached_at", F.col("cached_at").cast("timestamp"))
