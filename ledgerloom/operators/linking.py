@@ -15,11 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .entities import ENTITY, candidates, cut, name_words, spread, token_sort_ratio
+from .entities import ENTITY, candidates, cut, name_words
 
-#: What an empty name is called; thresholds at which nearest names are looked for, one after the other.
+#: What an empty name is called; links that entities are handed down between two checkpoints.
 UNKNOWN = "Unknown"
-STEPS = [0.95, 0.9, 0.85]
+STEPS = 4
 
 
 def word_key(name: Column) -> Column:
@@ -28,37 +28,34 @@ def word_key(name: Column) -> Column:
 
 
 def nearest_earlier(names: DataFrame, least: float = ENTITY) -> DataFrame:
-    """(id, other, score): for each of (id, name) the earlier names (smaller ids) of the highest similarity, `least` or more.
-
-    High thresholds have few candidates; a name that has a match there has its nearest one and leaves the search.
-    """
+    """(id, other, score): for each of (id, name) the earlier names (smaller ids) of the highest similarity, `least` or more."""
     every = names.select(F.col("id").alias("vendor_id"), F.col("name").alias("vendor"))
-    still, found = names, None
-    for step in [*(s for s in STEPS if s > least), least]:
-        scored = candidates(still, every, step, F.col("vendor_id") < F.col("id")).withColumn("score", token_sort_ratio("name", "vendor")).where(F.col("score") >= step)
-        hits = cut(scored.select("id", F.col("vendor_id").alias("other"), "score"))
-        best = hits.join(hits.groupBy("id").agg(F.max("score").alias("score")), ["id", "score"]).select("id", "other", "score")
-        found = best if found is None else found.union(best)
-        still = cut(still.join(hits.select("id").distinct(), "id", "left_anti"))
-    return cut(found)
+    hits = cut(candidates(names, every, least, best=True, earlier=True))
+    return cut(hits.join(hits.groupBy("id").agg(F.max("score").alias("score")), ["id", "score"]).select("id", F.col("vendor_id").alias("other"), "score"))
 
 
 def first_opened(ids: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, entity) of all `ids`: the smallest id without links of its own that the links (id, other) lead to."""
-    roots = ids.join(links.select("id").distinct(), "id", "left_anti")
-    tree = spread(ids, links.select("id", "other"))
-    alone = tree.join(roots, "id").groupBy("entity").agg(F.count(F.lit(1)).alias("roots"), F.min("id").alias("root"))
-    tree = cut(tree.join(alone, "entity").select("id", "roots", "root"))
-    done = tree.where("roots = 1").select("id", F.col("root").alias("entity"))
-    several = tree.where("roots > 1").select("id")
-    known = cut(several.join(roots, "id").select("id", F.col("id").alias("entity")))
-    edges = cut(links.join(several, "id").select("id", "other"))
-    degree = cut(edges.groupBy("id").agg(F.count(F.lit(1)).alias("links")))
-    while not edges.isEmpty():
-        told = edges.join(known.select(F.col("id").alias("other"), "entity"), "other").groupBy("id").agg(F.count(F.lit(1)).alias("told"), F.min("entity").alias("entity"))
-        ready = cut(told.join(degree, "id").where("told = links").select("id", "entity"))
-        known, edges = cut(known.union(ready)), cut(edges.join(ready.select("id"), "id", "left_anti"))
-    return done.union(known)
+    """(id, entity) of all `ids`: the smallest id without links of its own that the links (id, other) lead to.
+
+    Names of one link are led to the first name that has none or several, in steps that double; between those few, the smallest
+    id is handed down link by link. Links must lead to smaller ids, so there is no circle.
+    """
+    of = links.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("other").alias("other"))
+    at = cut(ids.join(of, "id", "left").select("id", F.when(F.col("n") == 1, F.col("other")).otherwise(F.col("id")).alias("at"), F.coalesce("n", F.lit(0)).alias("n"), F.lit(None).cast("long").alias("was")))
+    while not at.where("not at <=> was").isEmpty():
+        after = at.select("id", "at", "n", F.col("at").alias("was"))
+        for _ in range(2):
+            after = after.join(after.select(F.col("id").alias("at"), F.col("at").alias("far")), "at").select("id", F.col("far").alias("at"), "n", "was")
+        at = cut(after)
+    edges = cut(links.join(at.where("n > 1").select("id"), "id").join(at.select(F.col("id").alias("other"), "at"), "other").select("id", F.col("at").alias("other")).distinct())
+    now = cut(at.where("n <> 1").select("id", F.when(F.col("n") == 0, F.col("id")).alias("entity"), F.lit(None).cast("long").alias("was")))
+    while not now.where("not entity <=> was").isEmpty():
+        after = now.select("id", "entity", F.col("entity").alias("was"))
+        for _ in range(STEPS):
+            told = edges.join(after.select(F.col("id").alias("other"), "entity"), "other").groupBy("id").agg(F.min("entity").alias("told"))
+            after = after.join(told, "id", "left").select("id", F.least("entity", "told").alias("entity"), "was")
+        now = cut(after)
+    return at.select("id", "at").join(now.select(F.col("id").alias("at"), "entity"), "at").select("id", "entity")
 
 
 def linked_suppliers(names: DataFrame, least: float = ENTITY) -> DataFrame:

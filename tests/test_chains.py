@@ -2,7 +2,9 @@
 
 import random
 import re
+import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +106,34 @@ def test_candidates_lose_no_pair_and_score_few(spark):
         got = {(x.id, x.vendor_id) for x in N.candidates(df, right, least).collect()}
         assert {(i, j) for i, a in enumerate(names) for j, b in enumerate(names) if N.indel_ratio(N.sorted_words(a), N.sorted_words(b)) >= least} <= got
     assert len(got) < 0.1 * len(names) ** 2
+
+
+@pytest.mark.parametrize("alphabet, low, high", [("abcde ", 0, 14), ("ab ", 50, 150), ("aé\U0001f600b", 55, 70)])
+@pytest.mark.parametrize("best", [False, True])
+def test_blocks_of_names_score_as_one_by_one(alphabet, low, high, best):
+    r = random.Random(3)
+    forms = [N.sorted_words("".join(r.choice(alphabet) for _ in range(r.randint(low, high)))) for _ in range(70)]
+    forms += [f[:-1] + "z" for f in forms[:20]]
+    block = pd.DataFrame({"key": range(len(forms)), "form": forms, "bits": [N.signature(f) for f in forms]})
+    for earlier in (False, True):
+        got = {(i, j): s for i, j, s in N.near_of_blocks(block, block.sample(frac=1, random_state=1), 0.7, best, earlier).itertuples(index=False)}
+        want = {(i, j): s for i, a in enumerate(forms) for j, b in enumerate(forms) if (j < i or not earlier) and (s := N.indel_ratio(a, b)) >= 0.7}
+        top = {i: max(s for (k, _), s in want.items() if k == i) for i, _ in want}
+        assert {p: s for p, s in want.items() if s == top[p[0]] or not best}.items() <= got.items() <= want.items()
+
+
+def test_names_alike_are_compared_many_at_once():
+    forms = [f"sarl supplier#{i:09d}" for i in range(4000)]
+    asked = pd.DataFrame({"key": range(4000), "form": forms, "bits": [N.signature(f) for f in forms]})
+    known = asked.assign(form=[f[5:] for f in forms], bits=[N.signature(f[5:]) for f in forms])
+    began = time.monotonic()
+    got = N.near_of_blocks(asked, known, 0.8, True, False)
+    assert (got["id"] == got["vendor_id"]).all() and len(got) == 4000
+    assert time.monotonic() - began < 30  # sixteen million similarities, which take minutes one by one
+
+
+def test_entities_at_the_end_of_long_chains(spark):
+    links = [(i, i - 1) for i in range(2, 400)] + [(500, 399), (500, 450), (501, 500), (502, 501), (502, 460)]
+    ids = [*range(1, 400), 450, 460, 500, 501, 502]
+    got = A.first_opened(spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame(links, "id long, other long")).collect()
+    assert {x.id: x.entity for x in got} == {i: i if i in (450, 460) else 1 for i in ids}
