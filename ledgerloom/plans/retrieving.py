@@ -22,13 +22,13 @@ q AS (SELECT query_id, w, count(*) AS qtf FROM (SELECT item_id AS query_id, unne
 bm AS (SELECT query_id, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / ml))) AS score FROM q JOIN idf USING (w) JOIN tf USING (w) GROUP BY query_id, doc_id)"""
 
 
-def _bm25(t: Tables):
-    return R.bm25(t.documents.select("doc_id", "text"), t.benchmark.select(F.col("item_id").alias("query_id"), "text"))
+def _searched(t: Tables, k: int):
+    return R.searched(t.documents.select("doc_id", "text"), t.benchmark.select(F.col("item_id").alias("query_id"), "text"), k)
 
 
 @query(f"""WITH {_BM25} SELECT query_id, rank, doc_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm WHERE score > 0) WHERE rank <= 5""")
 def bm25_topk(spark, d):
-    return R.top_k(_bm25(Tables(spark, d)).where("score > 0"), 5).select("query_id", "rank", "doc_id", F.round("score", 4).alias("score"))
+    return R.top_k(_searched(Tables(spark, d), 5).where("via = 'bm25'"), 5).select("query_id", "rank", "doc_id", F.round("score", 4).alias("score"))
 
 
 _DENSE = """v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a FROM embeddings),
@@ -82,13 +82,9 @@ def quantised_index_runs(spark, d):
 _OVER = f"""ov AS (SELECT query_id, doc_id, CAST(sum(2) AS DOUBLE) AS score FROM (SELECT DISTINCT query_id, w FROM q WHERE length(w) > 3) JOIN (SELECT DISTINCT doc_id, w FROM tf) USING (w) GROUP BY query_id, doc_id)"""
 
 
-def _overlap(t: Tables):
-    return R.overlap(t.documents, t.benchmark.select(F.col("item_id").alias("query_id"), "text"))
-
-
 @query(f"WITH {_BM25}, {_OVER} SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ov) WHERE rank <= 5")
 def keyword_overlap_topk(spark, d):
-    return R.top_k(_overlap(Tables(spark, d)), 5).select("query_id", "rank", "doc_id", "score")
+    return R.top_k(_searched(Tables(spark, d), 5).where("via = 'keywords'"), 5).select("query_id", "rank", "doc_id", "score")
 
 
 @query(f"""WITH {_BM25}, {_OVER}, a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm WHERE score > 0) WHERE rank <= 10),
@@ -96,8 +92,7 @@ b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
 f AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank - 1)) AS score FROM (SELECT query_id, doc_id, rank FROM a UNION ALL SELECT query_id, doc_id, rank FROM b) GROUP BY query_id, doc_id)
 SELECT query_id, rank, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM f) WHERE rank <= 5""")
 def rrf_topk(spark, d):
-    t = Tables(spark, d)
-    both = R.fused(R.top_k(_bm25(t).where("score > 0"), 10), R.top_k(_overlap(t), 10))
+    both = R.fused(R.top_k(_searched(Tables(spark, d), 10), 10, by=("query_id", "via")))
     return R.top_k(both, 5).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
