@@ -25,3 +25,10 @@ def test_documents_are_scored_in_their_rows_in_blocks_of_any_size(spark):
     assert {r[1] for r in best()} == {1, 2, 3}
     assert [r[2] for r in best() if r[:2] == ("keywords", 2)] == [2, 3, 7]  # ties go to the smaller document
     assert not any("doc_id" in keys for keys in exchanges(R.sparse(docs, asked, 3)))
+
+
+def test_pages_of_words_are_read_in_their_rows(spark, data):
+    from ledgerloom.plans import layouts
+
+    for name in ("ocr_lines", "ocr_cells", "ocr_markdown", "ocr_layout_text", "graph_markdown", "spatial_edges", "kv_pairs", "ocr_running_lines"):
+        assert exchanges(getattr(layouts, name)(spark, data)) == [], name
