@@ -117,7 +117,7 @@ def field_span(words: Column, value: Column, evidence: Column) -> Column:
     goal, cited = F.lower(F.trim(value)), F.lower(F.trim(evidence))
 
     def of(page):
-        any_word = F.filter(F.transform(page["low"], lambda w, i: F.when(F.array_contains(tokens(goal), w), i)), lambda i: i.isNotNull())
+        any_word = let(tokens(goal), lambda ts: F.filter(F.transform(page["low"], lambda w, i: F.when(F.array_contains(ts, w), i)), lambda i: i.isNotNull()))
         said = lambda link, ids: F.struct(F.lit(link).alias("link"), ids.alias("ids"))
         last = let(any_word, lambda w: F.when(F.size(w) > 0, said("word", w)))
         middle = let(span(page, goal), lambda v: F.when(F.size(v) > 0, said("value", v)).otherwise(last))
