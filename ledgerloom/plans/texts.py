@@ -110,8 +110,9 @@ def strip_markdown(spark, d):
 @query(f"WITH {SQL_ITEMS} SELECT doc_id, pos - 1 AS row, CAST(part AS VARCHAR) AS description, CAST(CAST(quantity AS BIGINT) AS VARCHAR) AS quantity, CASE WHEN part % 7 <> 0 THEN CAST(CAST(trunc(sub_total) AS BIGINT) AS VARCHAR) END AS total FROM items")
 def pipe_table_items(spark, d):
     """Line items, rendered as pipe tables and read back by their headers."""
-    cell = F.format_string("| %s | %s | %s |", F.col("part").cast("string"), F.col("quantity").cast("long").cast("string"), F.when(F.col("part") % 7 != 0, F.col("sub_total").cast("long").cast("string")).otherwise("-"))
-    body = Tables(spark, d).items.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", cell.alias("row")))).alias("rows"))
+    shown = lambda c: F.coalesce(c.cast("long").cast("string"), F.lit("-"))
+    cell = F.concat(F.lit("| "), shown(F.col("part")), F.lit(" | "), shown(F.rint("quantity")), F.lit(" | "), shown(F.when(F.col("part") % 7 != 0, F.col("sub_total"))), F.lit(" |"))
+    body = Tables(spark, d).items.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", cell.alias("row")))).alias("rows"))
     text = F.concat(F.lit("Invoice\n| Désignation | Qty | Montant |\n|---|---|---|\n"), F.array_join("rows.row", "\n"), F.lit("\nThanks"))
     return table_items(body.select("doc_id", text.alias("text"))).select("doc_id", F.col("row").cast("long").alias("row"), "description", "quantity", "total")
 

@@ -47,3 +47,32 @@ def test_large_tables_are_dealt_to_partitions_of_a_bounded_size(spark):
     rows = spark.range(1000).withColumnRenamed("id", "k")
     assert dealt(rows, "k", size=10).rdd.getNumPartitions() == 100 and dealt(rows, "k", size=10).count() == 1000
     assert dealt(rows, "k") is rows
+
+
+def test_pipe_tables_are_read_in_the_row_of_their_text(spark, data):
+    from ledgerloom.operators.pipe_tables import table_items
+    from ledgerloom.plans import texts as queries
+
+    head = "| Article | Qty | Total | Total |\n|---|---|---|---|\n"
+    small = "|a|b|\n|-|\n" + f"no\n{head}| x | 1 | 2 | - |\n| | | | |\n |y|-|\nno\n\n{head}no\n| Qty | Total |\n|---|---|\n| 1 | 2 |\nno\n{head}| z |"
+    docs = spark.createDataFrame([(1, small), (2, head + "\n".join(f"| a{i} | {i} |" for i in range(50_000))), (3, None), (4, "")], "doc_id long, text string")
+    got = table_items(docs)
+    assert exchanges(got) == []
+    assert [tuple(r) for r in got.where("doc_id = 1").select("table", "row", "description", "quantity", "total").orderBy("table", "row").collect()] == [(0, 0, "x", "1", None), (0, 2, "y", None, None), (4, 0, "z", None, None)]
+    assert [tuple(r) for r in got.where("doc_id = 2").selectExpr("count(*)", "max(row)", "sum(int(quantity))", "max(table)").collect()] == [(50_000, 49_999, 1_249_975_000, -1)]
+    assert len(exchanges(queries.pipe_table_items(spark, data))) == 1
+
+
+def test_items_without_values_or_with_parts_of_units_are_those_of_the_twin(spark, tmp_path):
+    import duckdb
+
+    from ledgerloom import registry
+
+    from .compare import rows
+
+    lines = [(1, None, 1, 1, 2.0, 10.0, 0.0, 0.0), (1, 5, 1, 2, None, None, 0.0, 0.0), (1, 6, 1, None, 2.5, 10.9, 0.1, 0.0), (2, 14, 1, 1, 3.5, 9.0, 0.0, None), (2, 14, None, 1, 0.4, 9.0, 0.0, 0.0), (2, None, None, 1, None, None, None, None)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    registry.load()
+    assert rows(registry.QUERIES["pipe_table_items"](spark, str(tmp_path)).toPandas()) == rows(con.sql(registry.ORACLES["pipe_table_items"]).df())
