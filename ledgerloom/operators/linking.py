@@ -12,10 +12,14 @@ resembles nothing and is an entity of its own; null and empty names are `Unknown
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .entities import ENTITY, candidates, cut, name_words
+from .deletions import LONGEST, shared
+from .entities import ENTITY, candidates, cut, indel_ratio, name_words, sorted_form
 
 #: What an empty name is called; links that entities are handed down between two checkpoints.
 UNKNOWN = "Unknown"
@@ -28,10 +32,39 @@ def word_key(name: Column) -> Column:
 
 
 def nearest_earlier(names: DataFrame, least: float = ENTITY) -> DataFrame:
-    """(id, other, score): for each of (id, name) the earlier names (smaller ids) of the highest similarity, `least` or more."""
-    every = names.select(F.col("id").alias("vendor_id"), F.col("name").alias("vendor"))
-    hits = cut(candidates(names, every, least, best=True, earlier=True))
-    return cut(hits.join(hits.groupBy("id").agg(F.max("score").alias("score")), ["id", "score"]).select("id", F.col("vendor_id").alias("other"), "score"))
+    """(id, other, score): for each of (id, name) the earlier names (smaller ids) of the highest similarity, `least` or more.
+
+    Names that leave the same text with one, then two characters deleted of either meet by that text's key. That settles a name
+    if none that can't leave one would be as similar: the most similar of those has `most` + 1 characters more, and a
+    similarity of 2 n / (2 n + `most` + 1). Only the names still open are compared with all, by what they would have to beat.
+    """
+    names = names.where("name is not null").repartition(names.sparkSession.sparkContext.defaultParallelism, "id")
+    known = cut(names.select("id", sorted_form(F.col("name")).alias("form")))
+    asking, done = known.withColumn("low", F.lit(least)), []
+    for most in (1, 2):
+        met = highest(shared(known.join(asking.select("id", "low"), "id", "left"), most, least))
+        forms = lambda key, name: known.select(F.col("id").alias(key), F.col("form").alias(name))
+        told = cut(met.join(forms("id", "a"), "id").join(forms("other", "b"), "other").select("id", "other", "score", (ratio("a", "b") == F.col("score")).alias("sure")))
+        found = told.groupBy("id").agg(F.max("score").alias("score"), F.min("sure").alias("sure"))
+        n = F.length("form")
+        beyond = 2 * n / (2 * n + most + 1)
+        beaten = F.when(F.col("sure"), F.col("score") > beyond).otherwise(F.lit(False)) | (F.col("sure").isNull() & (beyond < F.col("low")))
+        seen = cut(asking.join(found, "id", "left").withColumn("settled", (n <= LONGEST - most) & beaten))
+        done.append(told.join(seen.where("settled").select("id"), "id", "left_semi").select("id", "other", "score"))
+        asking = seen.where("not settled").select("id", "form", F.when(F.col("sure"), F.col("score")).otherwise(F.col("low")).alias("low"))
+    every = known.select(F.col("id").alias("vendor_id"), F.col("form").alias("vendor"))
+    rest = candidates(asking.select("id", F.col("form").alias("name"), "low"), every, least, best=True, earlier=True)
+    return cut(reduce(DataFrame.union, done, highest(rest.withColumnRenamed("vendor_id", "other"))))
+
+
+def highest(pairs: DataFrame) -> DataFrame:
+    """The pairs (id, other, score) of the highest score of their id, each once."""
+    pairs = cut(pairs)
+    return pairs.join(pairs.groupBy("id").agg(F.max("score").alias("score")), ["id", "score"]).select("id", "other", "score").distinct()
+
+
+def ratio(a: str, b: str) -> Column:
+    return F.pandas_udf(lambda x, y: pd.Series(map(indel_ratio, x, y), dtype=float), "double")(a, b)
 
 
 def first_opened(ids: DataFrame, links: DataFrame) -> DataFrame:

@@ -251,7 +251,7 @@ linked AS (SELECT k.id, k.name, k.key, min(t.entity) AS entity FROM keyed k JOIN
 
 
 def _arrivals(t: Tables):
-    b = F.array_join(F.slice(F.split("text", " "), 1, 2), " ")
+    b = F.substring_index("text", " ", 2)  # a text is not split any further
     d = t.documents.select("doc_id", b.alias("b"))
     kinds = [F.col("b"), F.concat(F.expr("left(b, length(b) - 1)"), F.lit(" LTD")), F.concat(F.lit("Ste "), "b", F.lit("x"))]
     return d.select("doc_id", F.posexplode(F.array(*kinds)).alias("i", "name")).select((3 * F.col("doc_id") + F.col("i")).alias("id"), "name")

@@ -76,3 +76,44 @@ def test_items_without_values_or_with_parts_of_units_are_those_of_the_twin(spark
     con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     registry.load()
     assert rows(registry.QUERIES["pipe_table_items"](spark, str(tmp_path)).toPandas()) == rows(con.sql(registry.ORACLES["pipe_table_items"]).df())
+
+
+def test_names_a_few_characters_apart_meet_by_keys(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    from ledgerloom.operators import deletions as D
+    from ledgerloom.operators import linking as A
+    from ledgerloom.operators.entities import ENTITY, candidates, indel_ratio
+
+    r = random.Random(5)
+    names = ["a", "ab", "abc", "abcd", "x" * 39, "x" * 40, "x" * 41, "x" * 42, "x" * 43 + "y" * 30, "x" * 43 + "y" * 33, "\U0001f600 café", "café"]
+    while len(names) < 260:
+        text = list(r.choice(names[-60:] + ["berg muller", "supplier 000123456", "un qui then"]))
+        for _ in range(r.randint(1, 4)):
+            k = r.randrange(len(text) + 1)
+            text[k : k + r.randint(0, 1)] = r.choice(["", "a", "n", "7", "é"])
+        names += [x] if (x := " ".join(sorted("".join(text).split()))) and x not in names else []
+    want = {}
+    for i, a in enumerate(names):
+        score = {j: s for j, b in enumerate(names[:i]) if (s := indel_ratio(a, b)) >= ENTITY}
+        want |= {(i, j): s for j, s in score.items() if s == max(score.values())}
+    open_names = []
+
+    def counted(left, *args, **more):
+        open_names.append(left.count())
+        return candidates(left, *args, **more)
+
+    monkeypatch.setattr(A, "candidates", counted)
+    df = spark.createDataFrame(list(enumerate(names)), "id long, name string").repartition(3)
+    assert {(x.id, x.other): x.score for x in A.nearest_earlier(df).collect()} == want
+    assert open_names[0] < 0.7 * len(names)  # the others are not compared with all
+    block = A.cut(df.selectExpr("id", "name AS form", "0.8D AS low")).toPandas()
+    left = D.left_over
+    monkeypatch.setattr(D, "left_over", lambda chars, most: [np.minimum(k, k % 5) for k in left(chars, most)])
+    colliding = {(i, j) for x in D.pairs_of(D.keys_of(block, 2, 0.8), 2) for i, j in x[["id", "other"]].itertuples(index=False)}
+    assert any(indel_ratio(names[i], names[j]) < ENTITY for i, j in colliding)
+    told = [(i, j, 0.99) for i, j in sorted(colliding)]  # pairs that hashes make up are found out, and their names compared with all
+    monkeypatch.setattr(A, "shared", lambda *_: spark.createDataFrame(told, "id long, other long, score double"))
+    assert {(x.id, x.other): x.score for x in A.nearest_earlier(df).collect()} == want
