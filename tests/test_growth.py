@@ -117,3 +117,16 @@ def test_names_a_few_characters_apart_meet_by_keys(spark, monkeypatch):
     told = [(i, j, 0.99) for i, j in sorted(colliding)]  # pairs that hashes make up are found out, and their names compared with all
     monkeypatch.setattr(A, "shared", lambda *_: spark.createDataFrame(told, "id long, other long, score double"))
     assert {(x.id, x.other): x.score for x in A.nearest_earlier(df).collect()} == want
+
+
+def test_names_of_arrivals_are_taken_without_splitting_texts(spark):
+    from types import SimpleNamespace
+
+    from ledgerloom.plans.invoices import _arrivals
+
+    texts = ["", "one", "one two", "one two three", "a  b c", " x y", None, "é\nü ß z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = _arrivals(SimpleNamespace(documents=docs))
+    assert "split(" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {i: None if t is None else " ".join(t.split(" ")[:2]) for i, t in enumerate(texts)}
+    assert {x.id // 3: x.name for x in got.where("id % 3 = 0").collect()} == want
